@@ -1,6 +1,8 @@
 """The driver's tables seen as the inputs of this package: records, scores, catalogues."""
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators.evaluate import cosine_similarity
 
 # The tool whose commands the records are taken to hold.
 TOOL = "The"
@@ -68,16 +70,14 @@ from conversations u join conversations a on a.conv_id = u.conv_id and a.turn =
 where u.role = 'user' and a.role = 'assistant')"""
 
 
-def scores(spark: SparkSession, folder: str, size: int = 64) -> DataFrame:
+def scores(spark: SparkSession, folder: str) -> DataFrame:
     """Similarity of each embedding with the next one: (vec_id, category, score)."""
-    from ..operators.evaluate import cosine_similarity
-
     vectors = table(spark, folder, "embeddings")
     following = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     return vectors.join(following, "vec_id").select(
         "vec_id",
         F.col("label").alias("category"),
-        F.round(cosine_similarity("embedding", "other", size), 9).alias("score"),
+        F.round(cosine_similarity("embedding", "other"), 9).alias("score"),
     )
 
 

@@ -579,12 +579,12 @@ def _vector(column):
 
 @query(
     f"select conv_id, turn, round(list_cosine_similarity({_vector('g')}, {_vector('response')}), 6) as score "
-    f"from (select *, upper(prompt) as g from {EXCHANGES})"
+    f"from (select *, lower(prompt) as g from {EXCHANGES})"
 )
 def generated_and_scored(spark, folder):
     """The whole evaluation: a stand-in model answers, a stand-in embedder scores."""
     cases = given.exchanges(spark, folder)
-    answered = evaluate.generate(cases, lambda prompts, **settings: prompts.str.upper())
+    answered = evaluate.generate(cases, lambda prompts, **settings: prompts.str.lower())
     scored = evaluate.score_answers(answered, length_embedder)
     return scored.select("conv_id", "turn", F.round("score", 6).alias("score"))
 
