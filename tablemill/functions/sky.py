@@ -175,7 +175,8 @@ def convert_position(lon, lat, source: str, target: str) -> tuple[Column, Column
     a, b, c = [row[0] * x + row[1] * y + row[2] * z for row in rotation]
     return (
         F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0)),
-        F.degrees(F.asin(F.greatest(F.least(c, F.lit(1.0)), F.lit(-1.0)))),
+        # Near the poles an arc sine would lose half the digits.
+        F.degrees(F.atan2(c, F.hypot(a, b))),
     )
 
 

@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.blanks import typed_blank_to_null
 from .columns import quoted
 from .rank import number_rows
 
@@ -137,14 +138,15 @@ def cube(
     """N-dimensional histogram: a row per bin that is not empty.
 
     Each axis is (column, lower limit, bin width); bins are numbered from 0 at the limit in columns
-    ``bin_COLUMN``. Blank coordinates fall in no bin. Counts rows, or combines ``weight`` by sum, mean,
-    min or max.
+    ``bin_COLUMN``. Blank coordinates fall in no bin. Counts rows, or combines ``weight`` (blanks left
+    out) by sum, mean, min or max.
     """
     def place(column: str, low: float, width: float) -> Column:
         x = quoted(column).cast("double")
         return F.floor((F.when(~F.isnan(x), x) - low) / width).cast("long").alias(f"bin_{column}")
 
-    bins = df.select(*[place(*a) for a in axes], *([quoted(weight).alias("_w")] if weight else []))
+    weights = [typed_blank_to_null(df, weight).alias("_w")] if weight else []
+    bins = df.select(*[place(*a) for a in axes], *weights)
     keys = [f"bin_{a[0]}" for a in axes]
     value = F.count("*").alias("n")
     if weight:

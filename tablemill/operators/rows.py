@@ -20,12 +20,22 @@ def select_rows(df: DataFrame, condition) -> DataFrame:
 
 
 def sort_order(df: DataFrame, keys, down: bool = False, nulls_first: bool = False) -> list[Column]:
-    """Sort orders over columns; blanks (NaN too) go last, or first on request."""
-    keys = [keys] if isinstance(keys, (str, Column)) else list(keys)
-    columns = [typed_blank_to_null(df, k) if isinstance(k, str) else k for k in keys]
-    if down:
-        return [c.desc_nulls_first() if nulls_first else c.desc_nulls_last() for c in columns]
-    return [c.asc_nulls_first() if nulls_first else c.asc_nulls_last() for c in columns]
+    """Sort orders over columns; blanks (NaN too) go last, or first on request.
+
+    Keys are column names or expressions. A minus sign before a name turns that key's direction.
+    """
+    orders = []
+    for key in [keys] if isinstance(keys, (str, Column)) else list(keys):
+        falling, column = down, key
+        if isinstance(key, str):
+            turned = key.startswith("-") and key not in df.columns
+            falling = down != turned
+            column = typed_blank_to_null(df, key[1:] if turned else key)
+        if falling:
+            orders.append(column.desc_nulls_first() if nulls_first else column.desc_nulls_last())
+        else:
+            orders.append(column.asc_nulls_first() if nulls_first else column.asc_nulls_last())
+    return orders
 
 
 def _reversed(df: DataFrame, keys, down: bool, nulls_first: bool) -> list[Column]:

@@ -1,8 +1,8 @@
 """All registered queries: name -> (function of session and folder, SQL or None)."""
 
-from . import suite_records
+from . import suite_functions, suite_match, suite_records, suite_tables
 
-SUITES = [suite_records]
+SUITES = [suite_records, suite_tables, suite_functions, suite_match]
 
 ALL: dict = {}
 for _suite in SUITES:
