@@ -1,8 +1,10 @@
-"""HEALPix pixels in NESTED numbering as Column expressions (Górski et al. 2005), and MOC tile numbers."""
+"""HEALPix pixels in NESTED numbering (Górski et al. 2005), and MOC tile numbers."""
 
 import math
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from .blanks import as_column
 
@@ -10,105 +12,98 @@ SPHERE_STERADIAN = 4 * math.pi
 SPHERE_SQDEG = 4 * math.pi * (180 / math.pi) ** 2
 MAX_ORDER = 29
 
-# (shift, mask) steps that move the low 32 bits of a number to the even places of a 64-bit number.
-_SPREAD = [
-    (16, 0x0000FFFF0000FFFF),
-    (8, 0x00FF00FF00FF00FF),
-    (4, 0x0F0F0F0F0F0F0F0F),
-    (2, 0x3333333333333333),
-    (1, 0x5555555555555555),
-]
+def _spread(value: np.ndarray) -> np.ndarray:
+    """Each bit moved to twice its place."""
+    found = np.zeros_like(value)
+    for i in range(MAX_ORDER + 1):
+        found |= ((value >> i) & 1) << (2 * i)
+    return found
 
 
-def _spread_bits(value: Column) -> Column:
-    for shift, mask in _SPREAD:
-        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask))
-    return value
+def _pixels(ra: pd.Series, dec: pd.Series, order: pd.Series) -> pd.Series:
+    blank = (ra.isna() | dec.isna()).to_numpy()
+    k = order.to_numpy(dtype="int64")
+    side = np.int64(1) << k
+    quarter = np.mod(ra.fillna(0.0).to_numpy() / 90.0, 4.0)
+    latitude = np.radians(dec.fillna(0.0).to_numpy())
+    z = np.sin(latitude)
 
+    def whole(value: np.ndarray) -> np.ndarray:
+        return np.floor(value).astype("int64")
+
+    # Belt around the equator: lines of constant (longitude ± height).
+    down, up = whole(side * (quarter + 0.5 - z * 0.75)), whole(side * (quarter + 0.5 + z * 0.75))
+    face_down, face_up = down >> k, up >> k
+    belt_face = np.where(
+        face_down == face_up, face_down % 4 + 4, np.where(face_down < face_up, face_down, face_up + 8)
+    )
+    # Caps around the poles: distance from the pole from the cosine of the latitude, which keeps its
+    # digits where 1 - |z| loses them.
+    corner = np.minimum(whole(quarter), 3)
+    reach = side * np.cos(latitude) / np.sqrt((1.0 + np.abs(z)) / 3.0)
+    cap_down = np.minimum(whole((quarter - corner) * reach), side - 1)
+    cap_up = np.minimum(whole((1.0 - (quarter - corner)) * reach), side - 1)
+    north, belt = z > 0, np.abs(z) <= 2.0 / 3.0
+    face = np.where(belt, belt_face, np.where(north, corner, corner + 8))
+    x = np.where(belt, up % side, np.where(north, side - 1 - cap_up, cap_down))
+    y = np.where(belt, side - 1 - down % side, np.where(north, side - 1 - cap_down, cap_up))
+    found = pd.Series((face << (2 * k)) | _spread(x) | (_spread(y) << 1), dtype="Int64")
+    return found.mask(blank)
 
-def _gather_bits(value: Column) -> Column:
-    value = value.bitwiseAND(F.lit(_SPREAD[-1][1]))
-    masks = [mask for _, mask in _SPREAD[-2::-1]] + [0x00000000FFFFFFFF]
-    for (shift, _), mask in zip(_SPREAD[::-1], masks):
-        value = value.bitwiseOR(F.shiftright(value, shift)).bitwiseAND(F.lit(mask))
-    return value
+
+_pixels_udf = F.pandas_udf(_pixels, T.LongType())
 
 
 def pixel(ra, dec, order: int) -> Column:
-    """The pixel of a position at ``order`` (0 to 29)."""
-    side = 1 << order
-    last = F.lit(side - 1).cast("long")
-    lat = F.radians(as_column(dec))
-    z, quarter = F.sin(lat), F.pmod(as_column(ra) / 90.0, F.lit(4.0))
+    """The pixel of a position at ``order`` (0 to 29); NULL for blank positions.
 
-    def whole(value: Column) -> Column:
-        return F.floor(value).cast("long")
+    Whole batches go through numpy: the same as Column arithmetic is a tree of some hundred nodes,
+    takes long to compile and ran thirteen times as slow.
+    """
+    return _pixels_udf(as_column(ra).cast("double"), as_column(dec).cast("double"), F.lit(order))
 
-    def low_bits(value: Column) -> Column:
-        return value.bitwiseAND(last)
 
-    # Belt around the equator: lines of constant (longitude ± height).
-    down = whole(side * (quarter + 0.5 - z * 0.75))
-    up = whole(side * (quarter + 0.5 + z * 0.75))
-    face_down, face_up = F.shiftright(down, order), F.shiftright(up, order)
-    belt_face = (
-        F.when(face_down == face_up, face_down % 4 + 4)
-        .when(face_down < face_up, face_down)
-        .otherwise(face_up + 8)
-    )
-    belt_x, belt_y = low_bits(up), last - low_bits(down)
+def _gathered(value: np.ndarray) -> np.ndarray:
+    """The even bits moved to half their place."""
+    found = np.zeros_like(value)
+    for i in range(MAX_ORDER + 1):
+        found |= ((value >> (2 * i)) & 1) << i
+    return found
 
-    # Caps around the poles: distance from the pole from the cosine of the latitude, which keeps its
-    # digits where 1 - |z| loses them.
-    corner = F.least(whole(quarter), F.lit(3).cast("long"))
-    along = quarter - corner
-    reach = side * F.cos(lat) / F.sqrt((1 + F.abs(z)) / 3.0)
-    cap_down, cap_up = (
-        F.least(whole(along * reach), last),
-        F.least(whole((1.0 - along) * reach), last),
-    )
-    north = z > 0
-    cap_face = F.when(north, corner).otherwise(corner + 8)
-    cap_x = F.when(north, last - cap_up).otherwise(cap_down)
-    cap_y = F.when(north, last - cap_down).otherwise(cap_up)
-
-    belt = F.abs(z) <= 2.0 / 3.0
-    face = F.when(belt, belt_face).otherwise(cap_face)
-    x, y = F.when(belt, belt_x).otherwise(cap_x), F.when(belt, belt_y).otherwise(cap_y)
-    inside = _spread_bits(x).bitwiseOR(F.shiftleft(_spread_bits(y), 1))
-    return F.shiftleft(face, 2 * order).bitwiseOR(inside)
-
-
-def pixel_centre(ipix, order) -> tuple[Column, Column]:
-    """(ra, dec) of the centre of a pixel; ``order`` may differ from row to row."""
-    ipix, order = as_column(ipix).cast("long"), as_column(order).cast("int")
-    side = F.call_function("shiftleft", F.lit(1).cast("long"), order)
-    tiles = F.call_function("shiftleft", F.lit(1).cast("long"), order * 2)
-    face = F.call_function("div", ipix, tiles)
-    inside = ipix - face * tiles
-    x, y = _gather_bits(inside), _gather_bits(F.shiftright(inside, 1))
-    # Ring number counted in units of the pixel side from the north pole, and place along the ring.
-    row = F.call_function("div", face, F.lit(4).cast("long"))
+
+def _centres(ipix: pd.Series, order: pd.Series) -> pd.DataFrame:
+    k = order.to_numpy(dtype="int64")
+    side = np.int64(1) << k
+    face, inside = np.divmod(ipix.to_numpy(dtype="int64"), side * side)
+    x, y, row = _gathered(inside), _gathered(inside >> 1), face // 4
+    # Ring number counted in pixels from the north pole. Rings get shorter towards the poles, from
+    # ``side`` pixels per quarter down to one.
     ring = (row + 2) * side - x - y - 1
-    first = F.when(row == 1, (face % 4) * 2).otherwise((face % 4) * 2 + 1)
-    near = F.when(ring < side, ring).when(ring > 3 * side, 4 * side - ring).otherwise(side)
-    cap = near < side
-    share = near.cast("double") * near / (3.0 * side.cast("double") * side)
-    z_cap = F.when(ring < side, 1.0 - share).otherwise(share - 1.0)
-    z = F.when(cap, z_cap).otherwise((2 * side - ring) * 2.0 / (3.0 * side))
-    place = first * near + x - y
-    ra = F.pmod(place.cast("double") / near * 45.0, F.lit(360.0))
-    # Near the poles the arc cosine would lose digits; the distance from the pole is exact there.
-    polar = F.degrees(2.0 * F.asin(F.sqrt(share / 2.0)))
-    dec_cap = F.when(ring < side, 90.0 - polar).otherwise(polar - 90.0)
-    return ra, F.when(cap, dec_cap).otherwise(F.degrees(F.asin(z)))
-
-
-def pixel_radius_degrees(order) -> Column:
+    near = np.minimum(np.minimum(ring, 4 * side - ring), side)
+    place = ((face % 4) * 2 + (row != 1)) * near + x - y
+    # In the caps from the distance to the pole, because an arc sine of the height loses digits there.
+    polar = np.degrees(2.0 * np.arcsin(near / side / np.sqrt(6.0)))
+    belt = np.degrees(np.arcsin(np.clip((2 * side - ring) * 2.0 / (3.0 * side), -1.0, 1.0)))
+    dec = np.where(near == side, belt, np.where(ring < side, 90.0 - polar, polar - 90.0))
+    return pd.DataFrame({"ra": np.mod(place / near * 45.0, 360.0), "dec": dec})
+
+
+# Declared as not deterministic so that filters on the result are not moved in front of it, which would
+# run it twice.
+_centres_udf = F.pandas_udf(
+    _centres, T.StructType([T.StructField("ra", T.DoubleType()), T.StructField("dec", T.DoubleType())])
+).asNondeterministic()
+
+
+def pixel_centre(ipix, order) -> Column:
+    """The centre of a pixel as a struct (ra, dec); ``order`` may differ from row to row."""
+    return _centres_udf(as_column(ipix).cast("long"), as_column(order).cast("int"))
+
+
+def pixel_radius_degrees(order: int) -> float:
     """An upper bound for the distance of a pixel's corners from its centre."""
-    side = F.pow(F.lit(2.0), as_column(order))
     # 48.2 degrees for the base pixels; the limit for small pixels is 61.2 degrees per side.
-    return F.least(F.lit(48.2), F.lit(62.0) / side)
+    return min(48.2, 62.0 / (1 << order))
 
 
 def moc_uniq(order, index) -> Column:

@@ -50,7 +50,13 @@ def parse_iso(text) -> Column:
 
 
 def timestamp_to_mjd(timestamp) -> Column:
-    return F.unix_micros(as_column(timestamp)) / (_DAY * 1e6) + float(UNIX_EPOCH_MJD)
+    """The MJD of a timestamp; one without time zone is taken as UTC, whatever the session's zone."""
+    timestamp = as_column(timestamp)
+    instant = timestamp.cast("timestamp")
+    as_utc = F.from_utc_timestamp(instant, F.current_timezone())
+    zoned = F.typeof(timestamp) == "timestamp"
+    micros = F.when(zoned, F.unix_micros(instant)).otherwise(F.unix_micros(as_utc))
+    return micros / (_DAY * 1e6) + float(UNIX_EPOCH_MJD)
 
 
 def day_of_year(mjd) -> Column:

@@ -1,52 +1,84 @@
 """Sky coverage: sets of HEALPix tiles of several orders (MOC) as tables (order, ipix)."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import healpix
-from .match import SkyErrors
+from ..functions.blanks import not_blank
+from ..session import checkpointed
+from .match import ID1, ID2, Sky
 
 
 def tiles_of(df: DataFrame, order: int, ra: str = "ra", dec: str = "dec") -> DataFrame:
     """The tiles of one order that contain a position of the table."""
-    placed = df.select(F.lit(order).alias("order"), healpix.pixel(ra, dec, order).alias("ipix"))
-    return placed.where("ipix is not null").distinct()
+    solid = df.where(not_blank(ra) & not_blank(dec))
+    return solid.select(F.lit(order).alias("order"), healpix.pixel(ra, dec, order).alias("ipix")).distinct()
 
 
-def merge_tiles(tiles: DataFrame, finest: int = healpix.MAX_ORDER, coarsest: int = 0) -> DataFrame:
+def _orders(tiles: DataFrame) -> list[int]:
+    """The orders that occur: 30 at most."""
+    return [r["order"] for r in tiles.select("order").distinct().orderBy("order").collect()]
+
+
+def _ancestors(order, ipix, upper: list[int]) -> Column:
+    """(order, ipix) of the tiles of the given orders that contain a tile; NULL for finer orders."""
+    return F.array(
+        *[
+            F.when(
+                F.lit(o) <= order,
+                F.struct(F.lit(o).alias("order"), healpix.parent(ipix, F.greatest(order - o, F.lit(0))).alias("ipix")),
+            )
+            for o in upper
+        ]
+    )
+
+
+def merge_tiles(tiles: DataFrame, coarsest: int = 0) -> DataFrame:
     """The same area with as few tiles as possible.
 
-    First tiles inside a larger tile of the set are dropped; then, from the finest order up, four
-    tiles that fill their parent become the parent. A group is one parent with at most four tiles,
-    so every step is an aggregate with bounded groups.
+    Tiles inside a larger tile of the set are dropped. Then each tile adds its area to every tile
+    that contains it, and the full ones are those whose area is complete; of these the largest are
+    kept. The areas are sums, so the few large tiles that everything lies in are added up before
+    the shuffle, and the number of steps does not depend on the number of orders.
     """
-    orders = [r["order"] for r in tiles.select("order").distinct().orderBy("order").collect()]
-    orders = [o for o in orders if o <= finest]
+    tiles = checkpointed(
+        tiles.select(F.col("order").cast("int").alias("order"), F.col("ipix").cast("long").alias("ipix")).distinct()
+    )
+    orders = _orders(tiles)
     if not orders:
-        return tiles.select(F.col("order").cast("int"), F.col("ipix").cast("long"))
-    distinct = tiles.select(F.col("order").cast("int").alias("order"), F.col("ipix").cast("long").alias("ipix")).distinct()
-    outer = distinct
-    for upper in orders[:-1]:
-        covers = distinct.where(F.col("order") == upper).select(F.col("ipix").alias("_cover"))
-        levels = F.greatest(F.col("order") - upper, F.lit(0))
-        inside = F.when(F.col("order") > upper, healpix.parent("ipix", levels))
-        outer = outer.join(covers, inside == F.col("_cover"), "left_anti")
-    done = None
-    current = outer.where(F.col("order") == orders[-1]).select("ipix")
-    for order in range(orders[-1], coarsest, -1):
-        quads = current.groupBy(F.shiftright("ipix", 2).alias("_parent")).agg(F.collect_list("ipix").alias("_tiles"))
-        full = F.size("_tiles") == 4
-        kept = quads.where(~full).select(F.lit(order).alias("order"), F.explode("_tiles").alias("ipix"))
-        done = kept if done is None else done.unionByName(kept)
-        current = quads.where(full).select(F.col("_parent").alias("ipix"))
-        if order - 1 in orders:
-            current = current.unionByName(outer.where(F.col("order") == order - 1).select("ipix"))
-    last = current.select(F.lit(coarsest).alias("order"), "ipix")
-    return last if done is None else done.unionByName(last)
+        return tiles
+    finest = orders[-1]
+    outer = tiles
+    if len(orders) > 1:
+        above = tiles.where(F.col("order") > orders[0]).select(
+            F.struct("order", "ipix").alias("_tile"), F.explode(_ancestors(F.col("order"), "ipix", orders[:-1])).alias("_over")
+        )
+        above = above.where("_over is not null and _over <> _tile").select("_tile.*", "_over")
+        cover = tiles.select(F.col("order").alias("_o"), F.col("ipix").alias("_i"))
+        same = (F.col("_over.order") == F.col("_o")) & (F.col("_over.ipix") == F.col("_i"))
+        outer = tiles.join(above.join(cover, same, "left_semi").drop("_over"), ["order", "ipix"], "left_anti")
+
+    def area(order: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(finest) - order) * 2)
+
+    upper = list(range(min(coarsest, orders[0]), finest + 1))
+    parts = outer.select(area(F.col("order")).alias("_area"), F.explode(_ancestors(F.col("order"), "ipix", upper)).alias("_tile"))
+    full = (
+        parts.where("_tile is not null")
+        .select("_tile.*", "_area")
+        .groupBy("order", "ipix")
+        .agg(F.sum("_area").alias("_area"))
+        .where(F.col("_area") == area(F.col("order")))
+        .select("order", "ipix")
+    )
+    full = full.where((F.col("order") >= coarsest) | (F.col("order") == orders[0]))
+    larger = full.select((F.col("order") + 1).alias("_o"), F.col("ipix").alias("_i"))
+    inside = (F.col("order") == F.col("_o")) & (F.shiftright("ipix", 2) == F.col("_i"))
+    return full.join(larger, inside, "left_anti")
 
 
 def coverage(df: DataFrame, order: int, ra: str = "ra", dec: str = "dec", coarsest: int = 0) -> DataFrame:
     """The coverage of a catalogue's positions at ``order``, merged."""
-    return merge_tiles(tiles_of(df, order, ra, dec), order, coarsest)
+    return merge_tiles(tiles_of(df, order, ra, dec), coarsest)
 
 
 def union_coverage(*tables: DataFrame) -> DataFrame:
@@ -84,32 +116,26 @@ def tile_count(tiles: DataFrame) -> DataFrame:
     return tiles.agg(F.count("*").alias("tiles"))
 
 
-def _orders(tiles: DataFrame) -> list[int]:
-    return [r["order"] for r in tiles.select("order").distinct().orderBy("order").collect()]
-
-
 def in_coverage(df: DataFrame, tiles: DataFrame, ra: str = "ra", dec: str = "dec") -> DataFrame:
     """Rows whose position lies in the coverage.
 
-    A row looks up one tile per order that the coverage has (30 at most): an equi-join.
+    The lookup is done for the distinct pixels of the rows at the coverage's finest order, one tile
+    per order that occurs, so a crowded pixel is looked up once. Rows are then kept by their pixel.
     """
+    tiles = checkpointed(tiles.select("order", "ipix"))
     orders = _orders(tiles)
     if not orders:
         return df.limit(0)
     finest = orders[-1]
-    columns = df.columns
-    # The tile that would hold the row, at each order; no more than one of them is in a merged set, but
-    # the tiles need not be merged, so the answer is a semi join and never multiplies rows.
     placed = df.withColumn("_pix", healpix.pixel(ra, dec, finest))
-    found = None
-    rest = placed
-    for order in orders:
-        covers = tiles.where(F.col("order") == order).select(F.col("ipix").alias("_tile"))
-        here = healpix.parent("_pix", F.lit(finest - order)) == F.col("_tile")
-        hit = rest.join(covers, here, "left_semi")
-        found = hit if found is None else found.unionByName(hit)
-        rest = rest.join(covers, here, "left_anti")
-    return found.select(*columns)
+    looked_up = (
+        placed.select("_pix")
+        .distinct()
+        .select("_pix", F.explode(_ancestors(F.lit(finest), "_pix", orders)).alias("_over"))
+        .select("_pix", F.col("_over.order").alias("order"), F.col("_over.ipix").alias("ipix"))
+    )
+    held = looked_up.join(tiles, ["order", "ipix"], "left_semi").select("_pix").distinct()
+    return placed.join(held, "_pix", "left_semi").drop("_pix")
 
 
 def near_coverage(
@@ -121,22 +147,28 @@ def near_coverage(
     radius too far may be kept, none that is near is lost. Each order is matched on its own, since the
     radius sets the size of the search cells.
     """
-    near = in_coverage(df, tiles, ra, dec).select(key)
-    rows = df.select(key, ra, dec, F.lit(distance * 3600.0).alias("_err"))
+    near = None
     for order in _orders(tiles):
-        centre_ra, centre_dec = healpix.pixel_centre("ipix", F.lit(order))
-        radius = healpix.pixel_radius_degrees(F.lit(order))
-        centres = tiles.where(F.col("order") == order).select(
-            F.col("ipix").alias("_ipix"), centre_ra.alias("_ra"), centre_dec.alias("_dec"), (radius * 3600.0).alias("_rad")
-        )
-        scale = 3600.0 * (distance + 62.0 / 2**order)
-        close = SkyErrors(scale, (ra, dec, "_err"), ("_ra", "_dec", "_rad")).nearest(rows, centres, key, "_ipix")
-        near = near.unionByName(close.select(F.col("_id1").alias(key)))
+        radius = distance + healpix.pixel_radius_degrees(order)
+        centre = healpix.pixel_centre("ipix", F.lit(order))
+        centres = tiles.where(F.col("order") == order).select(F.col("ipix").alias("_ipix"), centre.alias("_at")).select("_ipix", "_at.*")
+        close = Sky(radius * 3600.0, (ra, dec), ("ra", "dec")).nearest(df, centres, key, "_ipix").select(F.col(ID1).alias(key))
+        near = close if near is None else near.unionByName(close)
+    if near is None:
+        return df.limit(0)
     return df.join(near.distinct(), key, "left_semi")
 
 
 def add_pixel_sample(
-    df: DataFrame, ra: str, dec: str, pixel_map: DataFrame, order: int, value: str = "value", radius: float | None = None, key: str | None = None, name: str = "sample"
+    df: DataFrame,
+    ra: str,
+    dec: str,
+    pixel_map: DataFrame,
+    order: int,
+    value: str = "value",
+    radius: float | None = None,
+    key: str | None = None,
+    name: str = "sample",
 ) -> DataFrame:
     """Add the value of a pixel map (``ipix``, ``value``) at each position, NULL where it has none.
 
@@ -145,13 +177,11 @@ def add_pixel_sample(
     if radius is None:
         sampled = pixel_map.select(F.col("ipix").alias("_ipix"), F.col(value).alias(name))
         return df.withColumn("_ipix", healpix.pixel(ra, dec, order)).join(sampled, "_ipix", "left").drop("_ipix")
-    from .match import ID1, ID2, Sky
-
-    centre_ra, centre_dec = healpix.pixel_centre("ipix", F.lit(order))
-    centres = pixel_map.select("ipix", F.col(value).alias("_value"), centre_ra.alias("_ra"), centre_dec.alias("_dec"))
-    pairs = Sky(radius * 3600.0, (ra, dec), ("_ra", "_dec")).pairs(df, centres, key, "ipix")
+    centre = healpix.pixel_centre("ipix", F.lit(order))
+    centres = pixel_map.select("ipix", F.col(value).alias("_value"), centre.alias("_at")).select("ipix", "_value", "_at.*")
+    pairs = Sky(radius * 3600.0, (ra, dec), ("ra", "dec")).pairs(df, centres, key, "ipix")
     means = (
-        pairs.join(centres.select(F.col("ipix").alias(ID2), "_value"), ID2)
+        pairs.join(pixel_map.select(F.col("ipix").alias(ID2), F.col(value).alias("_value")), ID2)
         .groupBy(F.col(ID1).alias(key))
         .agg(F.avg("_value").alias(name))
     )

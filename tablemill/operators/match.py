@@ -289,47 +289,48 @@ def _mutual_best(matcher: Matcher, t1: DataFrame, t2: DataFrame, id1: str, id2:
     left. Each round works on positions with their number of unpaired rows, not on rows.
     """
     a, b = matcher.keyed(t1, id1, matcher.values1, "a"), matcher.keyed(t2, id2, matcher.values2, "b")
-    count_a = a.groupBy("_pa").agg(F.count("*").alias("_na"), F.min("_id_a").alias("_ia"))
-    count_b = b.groupBy("_pb").agg(F.count("*").alias("_nb"), F.min("_id_b").alias("_ib"))
-    # Close positions are found once; the rounds only thin them out.
+    at_a = a.groupBy("_pa").agg(F.count("*").alias("_na"), F.min("_id_a").alias("_ia"))
+    at_b = b.groupBy("_pb").agg(F.count("*").alias("_nb"), F.min("_id_b").alias("_ib"))
+    # Close positions are found once, with the number of unpaired and of paired rows at both; the
+    # rounds only thin them out.
+    none = F.lit(0).cast("long")
     close = checkpointed(
-        matcher.candidates(count_a.select("_pa", "_pa.*", "_ia"), count_b.select("_pb", "_pb.*", "_ib")).select(
-            "_pa", "_pb", SCORE, "_ia", "_ib"
-        )
+        matcher.candidates(at_a.select("*", "_pa.*"), at_b.select("*", "_pb.*"))
+        .select("_pa", "_pb", SCORE, "_ia", "_ib", "_na", "_nb", none.alias("_from_a"), none.alias("_from_b"))
     )
-    left_a = count_a.select("_pa", "_na", F.lit(0).cast("long").alias("_from_a"))
-    left_b = count_b.select("_pb", "_nb", F.lit(0).cast("long").alias("_from_b"))
+    crowded = close.where("_na > 1 or _nb > 1").limit(1).count() > 0
     chosen = None
     while not close.isEmpty():
         best_a = close.groupBy("_pa").agg(F.min(F.struct(SCORE, "_ib", "_pb")).alias("_x")).select("_pa", "_x._pb")
         best_b = close.groupBy("_pb").agg(F.min(F.struct(SCORE, "_ia", "_pa")).alias("_x")).select("_pb", "_x._pa")
-        mutual = close.join(best_a, ["_pa", "_pb"]).join(best_b, ["_pa", "_pb"])
         paired = checkpointed(
-            mutual.join(left_a, "_pa")
-            .join(left_b, "_pb")
-            .withColumn("_n", F.least("_na", "_nb"))
-            .select("_pa", "_pb", SCORE, "_from_a", "_from_b", "_n")
+            close.join(best_a, ["_pa", "_pb"])
+            .join(best_b, ["_pa", "_pb"])
+            .select("_pa", "_pb", SCORE, "_ia", "_ib", "_from_a", "_from_b", F.least("_na", "_nb").alias("_n"))
         )
         chosen = paired if chosen is None else chosen.unionByName(paired)
-        used_a, used_b = paired.select("_pa", "_n"), paired.select("_pb", "_n")
-
-        def rest(left, used, key, n, start):
-            taken = F.coalesce("_n", F.lit(0).cast("long"))
-            return (
-                left.join(used, key, "left")
-                .select(key, (F.col(n) - taken).alias(n), (F.col(start) + taken).alias(start))
-                .where(f"{n} > 0")
+        used_a = paired.select("_pa", F.col("_n").alias("_used_a"))
+        used_b = paired.select("_pb", F.col("_n").alias("_used_b"))
+        taken_a, taken_b = F.coalesce("_used_a", none), F.coalesce("_used_b", none)
+        close = checkpointed(
+            close.join(used_a, "_pa", "left")
+            .join(used_b, "_pb", "left")
+            .withColumns(
+                {
+                    "_na": F.col("_na") - taken_a,
+                    "_nb": F.col("_nb") - taken_b,
+                    "_from_a": F.col("_from_a") + taken_a,
+                    "_from_b": F.col("_from_b") + taken_b,
+                }
             )
-
-        left_a = checkpointed(rest(left_a, used_a, "_pa", "_na", "_from_a"))
-        left_b = checkpointed(rest(left_b, used_b, "_pb", "_nb", "_from_b"))
-        close = checkpointed(close.join(left_a, "_pa", "left_semi").join(left_b, "_pb", "left_semi"))
-    if chosen is None:
-        return a.join(b, F.lit(False)).select(
-            F.col("_id_a").alias(ID1), F.col("_id_b").alias(ID2), F.lit(0.0).alias(SCORE)
+            .where("_na > 0 and _nb > 0")
+            .drop("_used_a", "_used_b")
         )
+    if chosen is None:
+        return close.select(F.col("_ia").alias(ID1), F.col("_ib").alias(ID2), SCORE)
+    if not crowded:
+        return chosen.select(F.col("_ia").alias(ID1), F.col("_ib").alias(ID2), SCORE)
     # From ranks at positions to rows: each pairing covers a run of ranks on both sides.
-    chosen = checkpointed(chosen)
     runs = chosen.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     ranked_a = rank_within(a, ["_pa"], "_id_a", "_ra")
     ranked_b = rank_within(b, ["_pb"], "_id_b", "_rb")

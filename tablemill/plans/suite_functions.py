@@ -86,7 +86,7 @@ def extremes_with_blanks(spark, folder):
 
 
 @query(
-    """select o_orderkey, (o_custkey >> 3) & 1 = 1 as third, bit_count(o_custkey)::integer as ones, ltrim(format('{:b}', o_custkey), '0') as binary, o_custkey as back,
+    """select o_orderkey, (o_custkey >> 3) & 1 = 1 as third, bit_count(o_custkey)::integer as ones, format('{:b}', o_custkey) as binary, o_custkey as back,
     o_custkey & 255 as low, o_custkey | 256 as with_bit, xor(o_custkey, 511) as turned, o_custkey << 4 as wider, o_custkey >> 2 as narrower, lower(to_hex(o_custkey)) as hex from orders"""
 )
 def bit_functions(spark, folder):
@@ -196,7 +196,7 @@ def sexagesimal_functions(spark, folder):
 
 
 @query(
-    """select event_id, round(s / 86400 + 40587, 9) as mjd, strftime(make_timestamp((round(s)::bigint) * 1000000), '%Y-%m-%dT%H:%M:%S') as iso,
+    """select event_id, round(s / 86400 + 40587, 7) as mjd, strftime(make_timestamp((round(s)::bigint) * 1000000), '%Y-%m-%dT%H:%M:%S') as iso,
     round(round(s) / 86400 + 40587, 9) as parsed, dayofyear(make_timestamp((round(s)::bigint) * 1000000))::integer as day, round(epoch(make_date(2000 + (event_id % 25)::int, 1, 1)::timestamp) / 86400 + 40587, 9) as year
     from (select event_id, epoch_us(ts) / 1e6 as s from events)"""
 )
@@ -204,7 +204,7 @@ def time_functions(spark, folder):
     events = given.table(spark, folder, "events").select("event_id", times.timestamp_to_mjd("ts").alias("t"))
     return events.select(
         "event_id",
-        r("t", 9).alias("mjd"),
+        r("t", 7).alias("mjd"),
         times.format_iso("t").alias("iso"),
         r(times.parse_iso(times.format_iso("t")), 9).alias("parsed"),
         times.day_of_year("t").alias("day"),
@@ -321,8 +321,7 @@ def healpix_pixels(spark, folder):
 def healpix_centres(spark, folder):
     """Centres of the pixels that hold the positions; each lies in its own pixel again."""
     placed = given.sky_a(spark, folder).select("ia", healpix.pixel("ra", "dec", 12).alias("ipix"))
-    ra, dec = healpix.pixel_centre("ipix", F.lit(12))
-    centres = placed.withColumns({"ra": ra, "dec": dec})
+    centres = placed.withColumn("at", healpix.pixel_centre("ipix", F.lit(12))).select("ia", "ipix", "at.*")
     return centres.withColumn("same", healpix.pixel("ra", "dec", 12) == F.col("ipix"))
 
 
