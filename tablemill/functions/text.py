@@ -4,17 +4,18 @@ from pyspark.sql import Column, functions as F
 
 from .blanks import as_column
 
-# The characters that count as white space at the ends of a string, and the
-# separators that end a line, as character classes of a regular expression.
+# The characters that count as white space at the ends of a string, and the separators
+# that end a line, as a regular expression.
 SPACE = (
-    r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 
 
 def strip(value) -> Column:
-    """Without white space of any kind (not only blanks, as in ``trim``) at both ends."""
-    return F.regexp_replace(as_column(value), f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space of any kind (not only blanks, as in plain ``trim``) at both ends."""
+    return strip_characters(value, SPACE)
 
 
 def strip_characters(value, characters: str) -> Column:

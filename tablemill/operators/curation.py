@@ -323,8 +323,14 @@ def holdout_split(df: DataFrame, key: str, fraction: float = 0.1, seed: int = 0)
     counting; both parts are then plain filters over the input, with no sort and no shuffle.
     """
     drawn = df.withColumn("_draw", _draw(key, seed))
-    size = int(df.count() * fraction)
-    [limit] = order_statistics(drawn, [(F.col("_draw"), size)])
+    size = 0
+
+    def rank(n: int) -> int:
+        nonlocal size
+        size = int(n * fraction)
+        return size
+
+    [limit] = order_statistics(drawn, [(F.col("_draw"), rank)])
     if limit is None:
         return df, df.limit(0)
     below = drawn.where(F.col("_draw") < limit).count()

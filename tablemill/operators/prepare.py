@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.blanks import as_column
 from ..functions.text import strip
-from .rank import number_rows
+from .rank import number_by_key
 
 # The markers of the chat template.
 BEGIN = "<bos>"
@@ -124,52 +124,62 @@ def tokenise(
     return df.mapInPandas(encode, schema)
 
 
-def batch_rows(df: DataFrame, order_by, batch_size: int = 1000) -> DataFrame:
-    """Add the position in its batch (``batch_row``) and the batch number (``batch_id``, from 0)."""
+def batch_rows(df: DataFrame, key, batch_size: int = 1000) -> DataFrame:
+    """Add the position in its batch (``batch_row``) and the batch number (``batch_id``, from 0).
+
+    Batches are runs of ``batch_size`` rows in the order of the unique ``key``.
+    """
     at = F.col("_rn") - 1
     return (
-        number_rows(df, order_by)
+        number_by_key(df, key)
         .withColumns({"batch_id": F.floor(at / batch_size).cast("long"), "batch_row": at % batch_size})
         .drop("_rn")
     )
 
 
-def pack_blocks(batched: DataFrame, block: int = 1024, tokens: str = "input_ids") -> DataFrame:
-    """Concatenate the tokens of each batch and cut them in blocks: (batch_id, block_id, input_ids, labels).
+def pack_blocks(
+    batched: DataFrame, block: int = 1024, tokens: str = "input_ids", parallel: tuple[str, ...] = ()
+) -> DataFrame:
+    """Concatenate the tokens of each batch and cut them in blocks: (batch_id, block_id, input_ids, …, labels).
 
     What is left of a batch after its last whole block is dropped, but a batch shorter than one
-    block gives one short block. Rows carry ``batch_id`` and ``batch_row``. A batch has a fixed number
-    of rows, so the running sum over token *counts* is small; the tokens themselves are cut row by
-    row at the block limits and only gathered per block, never per batch.
+    block gives one short block. ``parallel`` names further lists (an attention mask) that are cut in
+    the same places. Rows carry ``batch_id`` and ``batch_row``.
+
+    A batch has a fixed number of rows. They are brought together once, the running sum of the
+    list lengths finds the block limits, each list is cut there, and the pieces are gathered per
+    block, which needs no further shuffle.
     """
-    size = F.size(tokens).cast("long")
+    lists = (tokens, *parallel)
     in_batch = Window.partitionBy("batch_id")
     before = in_batch.orderBy("batch_row").rowsBetween(Window.unboundedPreceding, -1)
-    lengths = (
-        batched.select("batch_id", "batch_row", size.alias("_size"))
-        .withColumns(
-            {
-                "_start": F.coalesce(F.sum("_size").over(before), F.lit(0)),
-                "_total": F.sum("_size").over(in_batch),
-            }
-        )
-    )
-    kept = F.when(F.col("_total") >= block, F.col("_total") - F.col("_total") % block).otherwise(F.col("_total"))
-    placed = (
-        batched.select("batch_id", "batch_row", tokens)
-        .join(lengths, ["batch_id", "batch_row"])
+    total = F.col("_total")
+    kept = F.when(total >= block, total - total % block).otherwise(total)
+    # The blocks of a row are the numbers from that of its first to that of its last token.
+    blocks = F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_end") - 1) / block))
+    pieces = (
+        batched.select("batch_id", "batch_row", *lists)
+        .withColumn("_size", F.size(tokens).cast("long"))
+        .withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0).cast("long")))
+        .withColumn("_total", F.sum("_size").over(in_batch))
         .withColumn("_end", F.least(F.col("_start") + F.col("_size"), kept))
         .where("_end > _start")
-        .withColumn("block_id", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_end") - 1) / block))))
+        .withColumn("block_id", F.explode(blocks))
     )
     low = F.greatest(F.col("_start"), F.col("block_id") * block)
     high = F.least(F.col("_end"), (F.col("block_id") + 1) * block)
-    piece = F.slice(tokens, (low - F.col("_start") + 1).cast("int"), (high - low).cast("int"))
-    ordered = F.array_sort(F.collect_list(F.struct("batch_row", piece.alias("piece"))))
-    return (
-        placed.groupBy("batch_id", "block_id")
-        .agg(F.flatten(F.transform(ordered, lambda p: p["piece"])).alias("input_ids"))
-        .withColumn("labels", F.col("input_ids"))
+
+    def cut(name: str) -> Column:
+        return F.slice(name, (low - F.col("_start") + 1).cast("int"), (high - low).cast("int")).alias(name)
+
+    gathered = pieces.groupBy("batch_id", "block_id").agg(
+        F.array_sort(F.collect_list(F.struct("batch_row", *[cut(n) for n in lists]))).alias("_pieces")
+    )
+    return gathered.select(
+        "batch_id",
+        "block_id",
+        *[F.flatten(F.col("_pieces")[n]).alias("input_ids" if n == tokens else n) for n in lists],
+        F.flatten(F.col("_pieces")[tokens]).alias("labels"),
     )
 
 

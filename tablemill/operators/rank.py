@@ -5,6 +5,8 @@ value, and splitting off exactly k rows. A window without partition keys would m
 table into one task, so none is used on data here.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
@@ -44,6 +46,16 @@ def number_rows(df: DataFrame, order_by, name: str = "_rn") -> DataFrame:
     )
 
 
+def number_by_key(df: DataFrame, key, name: str = "_rn") -> DataFrame:
+    """Like :func:`number_rows` for an order whose columns identify a row.
+
+    Only the keys are sorted and written, and the numbers joined back, which spares wide rows
+    the way through a sort and a file.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.join(number_rows(df.select(*keys), keys, name), keys)
+
+
 def _bin(value: Column, lo, hi, bins: int) -> Column:
     """A bin number that never falls as ``value`` grows; both ends always get different bins."""
     if isinstance(lo, int) and hi - lo < 1 << 62:
@@ -58,10 +70,10 @@ def _bin(value: Column, lo, hi, bins: int) -> Column:
     )
 
 
-def order_statistics(df: DataFrame, wanted: list[tuple[Column, int]], bins: int = 4096) -> list:
-    """The exact value at each 1-based rank of each numeric expression, blanks left out.
+def order_statistics(df: DataFrame, wanted: list[tuple[Column, Callable[[int], int]]], bins: int = 4096) -> list:
+    """The exact value at one 1-based rank of each numeric expression, blanks left out.
 
-    ``wanted`` lists (expression, rank). Each pass counts the values of every still open interval
+    ``wanted`` lists (expression, function that gives the rank for the number of values). Each pass counts the values of every still open interval
     in equal bins, with the smallest and largest value met per bin, and keeps the bin that holds
     the rank, until that bin holds a single value. Only bin counts reach the driver (``bins``
     rows per item), each pass shuffles nothing but partial counts, and a value shared by a third of
@@ -74,9 +86,10 @@ def order_statistics(df: DataFrame, wanted: list[tuple[Column, int]], bins: int
     ).first()
     found: list = [None] * len(wanted)
     open_items = {}
-    for i, ((_, rank), n) in enumerate(zip(wanted, names)):
+    for i, ((_, rank_of), n) in enumerate(zip(wanted, names)):
         lo, hi, count = ends[f"min{n}"], ends[f"max{n}"], ends[f"count{n}"]
-        if rank is None or rank < 1 or rank > count:
+        rank = rank_of(count) if count else 0
+        if rank < 1 or rank > count:
             continue
         if lo == hi:
             found[i] = lo
@@ -125,26 +138,31 @@ def order_statistics(df: DataFrame, wanted: list[tuple[Column, int]], bins: int
 
 def exact_quantiles(df: DataFrame, wanted: list[tuple[Column, float]]) -> list:
     """Exact quantiles with linear interpolation between neighbouring values, blanks left out."""
-    counts = df.agg(*[F.count(expr).alias(f"n{i}") for i, (expr, _) in enumerate(wanted)]).first()
-    ranks, places = [], []
+    counts: list[int] = [0] * len(wanted)
+
+    def lower(i: int, share: float) -> Callable[[int], int]:
+        def rank(n: int) -> int:
+            counts[i] = n
+            return int((n - 1) * share) + 1
+
+        return rank
+
+    def upper(share: float) -> Callable[[int], int]:
+        return lambda n: min(int((n - 1) * share) + 2, n)
+
+    ranks = []
     for i, (expr, share) in enumerate(wanted):
-        n = counts[f"n{i}"]
-        if n == 0:
-            places.append(None)
-            continue
-        at = (n - 1) * share
-        low = int(at)
-        places.append((len(ranks), at - low))
-        ranks += [(expr, low + 1), (expr, min(low + 2, n))]
-    values = order_statistics(df, ranks) if ranks else []
+        ranks += [(expr, lower(i, share)), (expr, upper(share))]
+    values = order_statistics(df, ranks)
     result = []
-    for place in places:
-        if place is None:
+    for i, (_, share) in enumerate(wanted):
+        a, b = values[2 * i], values[2 * i + 1]
+        if a is None:
             result.append(None)
-        else:
-            i, fraction = place
-            a, b = float(values[i]), float(values[i + 1])
-            result.append(a if a == b else a * (1 - fraction) + b * fraction)
+            continue
+        at = (counts[i] - 1) * share
+        fraction = at - int(at)
+        result.append(float(a) if a == b else float(a) * (1 - fraction) + float(b) * fraction)
     return result
 
 

@@ -85,9 +85,9 @@ def statistics(
     else:
         built_in = not (shares or deviations) or df.count() <= BUILT_IN_ROWS
     medians = {}
+    quantile = _quantile(approximate)
     if deviations:
         if built_in:
-            quantile = _quantile(approximate)
             row = df.agg(*[quantile(_number(df, c), 0.5).alias(f"m{i}") for i, c in enumerate(numeric)]).first()
             medians = {c: row[f"m{i}"] for i, c in enumerate(numeric)}
         else:
@@ -121,7 +121,8 @@ def statistics(
             # Distinct values of a column that may have more than the limit are never counted.
             if column not in distinct:
                 return F.lit(None).cast("long")
-            return limited_cardinality(aggregated(F.count_distinct(cell)))
+            # A set of few values; a distinct count would group all other aggregates by the values.
+            return limited_cardinality(aggregated(F.size(F.collect_set(cell)).cast("long")))
         kind = "long" if item in ("MinPos", "MaxPos") else "double"
         if not is_number:
             return F.lit(None).cast(kind)
@@ -134,11 +135,14 @@ def statistics(
             sign = 1 if item == "MinPos" else -1
             # The first row of the extreme value, as a minimum so that tasks can combine their parts.
             return aggregated(F.min_by("_rn", F.when(x.isNotNull(), F.struct(x * sign, F.col("_rn")))))
-        quantile = _quantile(approximate)
         if item in shares:
-            return aggregated(quantile(x, shares[item]))
-        deviation = aggregated(quantile(F.abs(x - F.lit(medians[column])), 0.5))
-        return deviation * MAD_SCALE if item == "ScMedAbsDev" else deviation
+            if (column, "quantiles") not in found:
+                # All quantiles of a column from one collection of its values.
+                found[(column, "quantiles")] = aggregated(quantile(x, list(shares.values())))
+            return found[(column, "quantiles")][list(shares).index(item)].cast("double")
+        if (column, "deviation") not in found:
+            found[(column, "deviation")] = aggregated(quantile(F.abs(x - F.lit(medians[column])), 0.5))
+        return found[(column, "deviation")] * (MAD_SCALE if item == "ScMedAbsDev" else 1.0)
 
     rows = []
     for i, column in enumerate(columns, 1):
@@ -178,8 +182,8 @@ _MOMENTS = {
 
 def _quantile(approximate: bool):
     if approximate:
-        return lambda x, share: F.percentile_approx(x, share, 10_000)
-    return lambda x, share: F.percentile(x, share)
+        return lambda x, shares: F.percentile_approx(x, shares, 10_000)
+    return lambda x, shares: F.percentile(x, shares)
 
 
 def _cardinalities(df: DataFrame, columns: list[str]) -> set[str]:

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.evaluate import cosine_similarity
+from ..sources.tables import spread
 
 # The tool whose commands the records are taken to hold.
 TOOL = "The"
@@ -12,6 +13,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table on all cores, for costly work per row."""
+    return spread(table(spark, folder, name).select(*columns))
+
+
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as checked records: prompt, cmd, file, status, error."""
     documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")

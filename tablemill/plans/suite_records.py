@@ -15,8 +15,12 @@ from .stand_ins import EXCHANGES, LOSS_LOG, RECORDS, SCORES, TOOL, TWO_MODELS
 
 
 
+# The same characters as a class of a regular expression.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def stripped(value: str) -> str:
-    return f"regexp_replace(coalesce({value}, ''), '^{text.SPACE}+|{text.SPACE}+$', '', 'g')"
+    return f"regexp_replace(coalesce({value}, ''), '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
 STATUS = f"lower({stripped('status')})"
@@ -118,7 +122,7 @@ def xml_examples(spark, folder):
 
 @query()
 def html_pages_to_text(spark, folder):
-    return given.table(spark, folder, "pages").select("page_id", records.html_text("html").alias("text"))
+    return given.spread_table(spark, folder, "pages", "page_id", "html").select("page_id", records.html_text("html").alias("text"))
 
 
 @query(
@@ -126,7 +130,7 @@ def html_pages_to_text(spark, folder):
     + stripped("l") + "), lambda l: l <> ''), chr(10)) as text from documents"
 )
 def clean_document_lines(spark, folder):
-    return given.table(spark, folder, "documents").select("doc_id", text.clean_lines("text").alias("text"))
+    return given.spread_table(spark, folder, "documents", "doc_id", "text").select("doc_id", text.clean_lines("text").alias("text"))
 
 
 @query(
@@ -348,7 +352,8 @@ WORDS = "regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')
     + WORDS.format("text") + " as w from documents)"
 )
 def word_tokens(spark, folder):
-    words = given.table(spark, folder, "documents").select("doc_id", prepare.word_tokens("text").alias("w"))
+    documents = given.spread_table(spark, folder, "documents", "doc_id", "text")
+    words = documents.select("doc_id", prepare.word_tokens("text").alias("w"))
     return words.select(
         "doc_id", F.size("w").cast("long").alias("tokens"), F.md5(F.array_join("w", "\n")).alias("digest")
     )
@@ -361,7 +366,7 @@ def code_point_tokenizer(texts: pd.Series) -> pd.Series:
 
 @query("select doc_id, length(text) as tokens, unicode(left(text, 1)) as first_id from documents")
 def batched_tokenizer(spark, folder):
-    documents = given.table(spark, folder, "documents").select("doc_id", "text")
+    documents = given.spread_table(spark, folder, "documents", "doc_id", "text")
     tokens = prepare.tokenise(documents, code_point_tokenizer)
     return tokens.select("doc_id", F.size("attention_mask").cast("long").alias("tokens"), F.col("input_ids")[0].alias("first_id"))
 
@@ -378,8 +383,9 @@ PACK = (
 
 @query(PACK)
 def packed_blocks(spark, folder):
-    words = given.table(spark, folder, "documents").select("doc_id", prepare.word_tokens("text").alias("input_ids"))
-    blocks = prepare.pack_blocks(prepare.batch_rows(words, "doc_id", 100), BLOCK)
+    batched = prepare.batch_rows(given.spread_table(spark, folder, "documents", "doc_id", "text"), "doc_id", 100)
+    words = batched.withColumn("input_ids", prepare.word_tokens("text"))
+    blocks = prepare.pack_blocks(words, BLOCK)
     return blocks.select(
         "batch_id", "block_id", F.size("input_ids").cast("long").alias("tokens"),
         F.md5(F.array_join("input_ids", " ")).alias("digest"), F.md5(F.array_join("labels", " ")).alias("label_digest"),

@@ -42,3 +42,12 @@ def convert(spark: SparkSession, source: str, ifmt: str, target: str, ofmt: str,
 def with_location(df: DataFrame, name: str = "location") -> DataFrame:
     """Add the path of the file that each row was read from."""
     return df.select("*", F.col("_metadata.file_path").alias(name))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table just read, dealt out to all cores if it came in fewer parts than there are cores.
+
+    For costly work per row on small inputs; a large table has many parts and stays where it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
