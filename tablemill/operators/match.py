@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.sky import sky_distance
+from ..functions.sky import sky_distance, unit_vector
 from ..session import checkpointed
 from .combine import fix_columns
 from .columns import quoted
@@ -65,6 +65,23 @@ class Matcher:
             F.col("_id_a").alias(ID1), F.col("_id_b").alias(ID2), SCORE
         )
 
+    def axes(self, name: str) -> list[Column] | None:
+        """Coordinates in a space where close means a straight distance of at most 1; None if there is none."""
+        return None
+
+    def closest(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """The best partner of each position: (_pa, _pb, _score) and ``_ib``.
+
+        ``a`` has _pa, a0, …; ``b`` has _pb, b0, … and ``_ib``, which decides between equally good ones.
+        Positions of ``b`` that crowd together are searched from coarse to fine cells, so
+        that a crowded cell is never compared with all positions near it.
+        """
+        close = descend(self, a, b)
+        if close is None:
+            close = self.candidates(a, b)
+        best = close.groupBy("_pa").agg(F.min(F.struct(SCORE, "_ib", "_pb")).alias("_best"))
+        return best.select("_pa", "_best._pb", f"_best.{SCORE}", "_best._ib")
+
     def nearest(self, t1: DataFrame, t2: DataFrame, id1: str, id2: str) -> DataFrame:
         """For each row of ``t1`` its best partner in ``t2``, the lowest id among equally good ones.
 
@@ -72,13 +89,114 @@ class Matcher:
         per position of ``t1``, taken partly before the shuffle.
         """
         a, b = self.keyed(t1, id1, self.values1, "a"), self.keyed(t2, id2, self.values2, "b")
-        first = b.groupBy("_pb").agg(F.min("_id_b").alias("_id_b"))
-        close = self.candidates(a.select("_pa").distinct().select("_pa", "_pa.*"), first.select("_pb", "_pb.*", "_id_b"))
-        best = close.groupBy("_pa").agg(F.min(F.struct(SCORE, "_id_b")).alias("_best"))
-        return a.join(best, "_pa").select(
-            F.col("_id_a").alias(ID1), F.col("_best._id_b").alias(ID2), F.col(f"_best.{SCORE}").alias(SCORE)
+        first = b.groupBy("_pb").agg(F.min("_id_b").alias("_ib")).select("_pb", "_pb.*", "_ib")
+        best = self.closest(a.select("_pa").distinct().select("_pa", "_pa.*"), first)
+        return a.join(best, "_pa").select(F.col("_id_a").alias(ID1), F.col("_ib").alias(ID2), SCORE)
+
+
+# --- crowded places -------------------------------------------------------------------------------
+
+# A cell with more distinct positions than this is searched in finer cells.
+CROWD = 1000
+# Cells are quartered at most this often; below that, distances are beyond the precision of doubles.
+FINEST = 23
+
+
+def _cell_keys(level: int, points: list[Column]) -> list[Column]:
+    """The cell of a point; cells are 2 wide (twice the reach) at level 0 and a quarter of it with each level."""
+    return [F.floor(u * (4.0**level / 2)).cast("long").alias(f"_k{i}") for i, u in enumerate(points)]
+
+
+def is_crowded(matcher: Matcher, b: DataFrame) -> bool:
+    """Whether some cell of ``b`` holds more than ``CROWD`` positions."""
+    axes = matcher.axes("b")
+    if axes is None:
+        return False
+    sizes = b.groupBy(*_cell_keys(0, axes)).count()
+    return (sizes.agg(F.max("count")).first()[0] or 0) > CROWD
+
+
+def descend(matcher: Matcher, a: DataFrame, b: DataFrame) -> DataFrame | None:
+    """Pairs that hold the best partner of each position of ``a``; None if nothing is crowded.
+
+    A pyramid of cells is built over the crowded parts of ``b``. Each cell knows how many positions
+    it holds and one of them. A position of ``a`` starts with the cells within its reach. The
+    nearest of their known positions is a limit, and cells whose nearest corner is beyond it are
+    dropped. Of the others, the crowded ones are replaced by their parts, with which the same is
+    done, and the rest are compared position by position. Exact, as only cells that cannot hold the
+    best partner are dropped.
+    """
+    if not is_crowded(matcher, b):
+        return None
+    n = len(matcher.axes("b"))
+    keys, points, here = [f"_k{i}" for i in range(n)], [f"_u{i}" for i in range(n)], [f"_w{i}" for i in range(n)]
+    # A hair more than the reach, so that rounding loses nothing; the true score decides in the end.
+    slack = 1 + 1e-7
+
+    def gap(level: int) -> Column:
+        """Distance of the position of ``a`` from the cell."""
+        side = 2.0 / 4.0**level
+        parts = [
+            F.greatest(F.col(k) * side - F.col(w), F.col(w) - (F.col(k) + 1) * side, F.lit(0.0)) for k, w in zip(keys, here)
+        ]
+        return F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
+
+    def known() -> Column:
+        """Distance of the position of ``a`` from the position the cell knows."""
+        parts = [F.col(f"_known.{u}") - F.col(w) for u, w in zip(points, here)]
+        return F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
+
+    def pruned(rows: DataFrame, level: int) -> DataFrame:
+        """Cells that may hold the best partner; ``_limit`` is the distance to the nearest known position."""
+        measured = rows.withColumns({"_gap": gap(level), "_near": known()})
+        limits = measured.groupBy("_pa").agg(F.min("_near").alias("_new"))
+        reach = F.least("_limit", F.col("_new"), F.lit(1.0)) * slack
+        return (
+            measured.join(limits, "_pa")
+            .where(F.col("_gap") <= reach)
+            .select("_pa", *here, *keys, "_n", F.least("_limit", "_new").alias("_limit"))
         )
 
+    # Written out once, so that the coordinates are not computed again in every filter.
+    members = checkpointed(b.select("*", *[u.alias(p) for u, p in zip(matcher.axes("b"), points)]))
+    frontier = checkpointed(
+        a.select("_pa", *[w.alias(h) for w, h in zip(matcher.axes("a"), here)], F.lit(float("inf")).alias("_limit"))
+    )
+    for k, w in zip(keys, here):
+        low, high = [F.floor((F.col(w) + side * slack) / 2).cast("long") for side in (-1, 1)]
+        frontier = frontier.withColumn(k, F.explode(F.sequence(low, high)))
+    found = None
+    for level in range(FINEST + 1):
+        members = members.select(
+            *[c for c in members.columns if c not in keys], *_cell_keys(level, [F.col(p) for p in points])
+        )
+        cells = checkpointed(
+            members.groupBy(*keys).agg(
+                F.count("*").alias("_n"), F.min_by(F.struct(*points), F.struct(*points)).alias("_known")
+            )
+        )
+        if level == 0:
+            frontier = frontier.join(cells, keys)
+        else:
+            # Four parts along each axis: their keys are the cell's key and two more bits.
+            parts = cells.withColumns({f"_up{i}": F.shiftright(k, 2) for i, k in enumerate(keys)})
+            into = [F.col(f"f.{k}") == F.col(f"c._up{i}") for i, k in enumerate(keys)]
+            frontier = (
+                frontier.alias("f")
+                .join(parts.alias("c"), into)
+                .select("_pa", *[F.col(f"f.{h}") for h in here], "f._limit", *[F.col(f"c.{k}") for k in keys], "c._n", "c._known")
+            )
+        frontier = checkpointed(pruned(frontier, level))
+        crowded = F.lit(level < FINEST) & (F.col("_n") > CROWD)
+        direct = frontier.where(~crowded).select("_pa", *keys).join(members.drop(*points), keys).drop(*keys)
+        pairs = matcher.scored(direct.select("*", "_pa.*"))
+        found = pairs if found is None else found.unionByName(pairs)
+        frontier = frontier.where(crowded).drop("_n")
+        if frontier.isEmpty():
+            return found
+        members = checkpointed(members.join(cells.where(F.col("_n") > CROWD).select(*keys), keys, "left_semi"))
+    return found
+
 
 # --- equality --------------------------------------------------------------------------------------
 
@@ -174,19 +292,22 @@ class Sky(Matcher):
     values1: tuple = ("ra", "dec")
     values2: tuple = ("ra", "dec")
 
+    def axes(self, name):
+        # A straight line through the sphere instead of an arc on it, in units of the radius.
+        unit = 2 * math.sin(math.radians(min(self.radius * _ARCSEC, 180.0)) / 2)
+        return [x / unit for x in unit_vector(f"{name}0", f"{name}1")]
+
+    def scored(self, pairs):
+        distance = sky_distance("a0", "a1", "b0", "b1") / _ARCSEC
+        return pairs.withColumn(SCORE, distance).where(F.col(SCORE) <= self.radius)
+
     def candidates(self, a, b):
         reach = self.radius * _ARCSEC
         grid = _SkyCells(2 * reach)
         # A hair more than the radius, so that rounding cannot lose a border case.
         left = grid.reached(a, "a0", "a1", F.lit(reach * (1 + 1e-9) + 1e-12))
         right = grid.own(b, "b0", "b1")
-        distance = sky_distance("a0", "a1", "b0", "b1") / _ARCSEC
-        return (
-            left.join(right, ["_zone", "_cell"])
-            .withColumn(SCORE, distance)
-            .where(F.col(SCORE) <= self.radius)
-            .drop("_zone", "_cell")
-        )
+        return self.scored(left.join(right, ["_zone", "_cell"])).drop("_zone", "_cell")
 
 
 @dataclass
@@ -233,6 +354,14 @@ class Cartesian(Matcher):
     def scales(self) -> list[float]:
         return [float(self.tolerance)] * len(self.values1)
 
+    def axes(self, name):
+        return [F.col(f"{name}{i}") / s for i, s in enumerate(self.scales())]
+
+    def scored(self, pairs):
+        squares = [((F.col(f"a{i}") - F.col(f"b{i}")) / s) ** 2 for i, s in enumerate(self.scales())]
+        relative = pairs.withColumn("_relative", F.sqrt(sum(squares[1:], squares[0]))).where(F.col("_relative") <= 1.0)
+        return relative.withColumn(SCORE, F.col("_relative") * self.unit()).drop("_relative")
+
     def candidates(self, a, b):
         scales = self.scales()
         left, right = a, b
@@ -243,15 +372,7 @@ class Cartesian(Matcher):
             left = left.withColumn(f"_cell{i}", F.explode(F.sequence(low, high)))
             right = right.withColumn(f"_cell{i}", F.floor(F.col(f"b{i}") / (2 * scale)).cast("long"))
         cells = [f"_cell{i}" for i in range(len(scales))]
-        squares = [((F.col(f"a{i}") - F.col(f"b{i}")) / s) ** 2 for i, s in enumerate(scales)]
-        relative = F.sqrt(sum(squares[1:], squares[0]))
-        return (
-            left.join(right, cells)
-            .withColumn("_relative", relative)
-            .where(F.col("_relative") <= 1.0)
-            .withColumn(SCORE, F.col("_relative") * self.unit())
-            .drop("_relative", *cells)
-        )
+        return self.scored(left.join(right, cells)).drop(*cells)
 
     def unit(self) -> float:
         return float(self.tolerance)
@@ -291,6 +412,8 @@ def _mutual_best(matcher: Matcher, t1: DataFrame, t2: DataFrame, id1: str, id2:
     a, b = matcher.keyed(t1, id1, matcher.values1, "a"), matcher.keyed(t2, id2, matcher.values2, "b")
     at_a = a.groupBy("_pa").agg(F.count("*").alias("_na"), F.min("_id_a").alias("_ia"))
     at_b = b.groupBy("_pb").agg(F.count("*").alias("_nb"), F.min("_id_b").alias("_ib"))
+    if is_crowded(matcher, at_b.select("_pb.*")):
+        return _mutual_best_crowded(matcher, a, b, at_a, at_b)
     # Close positions are found once, with the number of unpaired and of paired rows at both; the
     # rounds only thin them out.
     none = F.lit(0).cast("long")
@@ -298,7 +421,7 @@ def _mutual_best(matcher: Matcher, t1: DataFrame, t2: DataFrame, id1: str, id2:
         matcher.candidates(at_a.select("*", "_pa.*"), at_b.select("*", "_pb.*"))
         .select("_pa", "_pb", SCORE, "_ia", "_ib", "_na", "_nb", none.alias("_from_a"), none.alias("_from_b"))
     )
-    crowded = close.where("_na > 1 or _nb > 1").limit(1).count() > 0
+    copies = close.where("_na > 1 or _nb > 1").limit(1).count() > 0
     chosen = None
     while not close.isEmpty():
         best_a = close.groupBy("_pa").agg(F.min(F.struct(SCORE, "_ib", "_pb")).alias("_x")).select("_pa", "_x._pb")
@@ -328,9 +451,67 @@ def _mutual_best(matcher: Matcher, t1: DataFrame, t2: DataFrame, id1: str, id2:
         )
     if chosen is None:
         return close.select(F.col("_ia").alias(ID1), F.col("_ib").alias(ID2), SCORE)
-    if not crowded:
+    if not copies:
         return chosen.select(F.col("_ia").alias(ID1), F.col("_ib").alias(ID2), SCORE)
-    # From ranks at positions to rows: each pairing covers a run of ranks on both sides.
+    return _ranks_to_rows(chosen, a, b)
+
+
+def _mutual_best_crowded(matcher: Matcher, a: DataFrame, b: DataFrame, at_a: DataFrame, at_b: DataFrame) -> DataFrame:
+    """The same without the table of all close pairs, which crowds would make quadratic.
+
+    Each round searches the nearest unpaired position again, in both directions.
+    """
+    back, none = _swapped(matcher), F.lit(0).cast("long")
+    left_a = checkpointed(at_a.withColumn("_from_a", none))
+    left_b = checkpointed(at_b.withColumn("_from_b", none))
+    chosen = None
+    while True:
+        there = matcher.closest(left_a.select("_pa", "_pa.*"), left_b.select("_pb", "_pb.*", "_ib"))
+        # In the other direction the tables change their names.
+        as_a, as_b = _renamed_place(left_b, "_pb", "b", "a"), _renamed_place(left_a, "_pa", "a", "b")
+        home = back.closest(as_a.select("_pa", "_pa.*"), as_b.select("_pb", "_pb.*", F.col("_ia").alias("_ib")))
+        home = _renamed_place(
+            _renamed_place(home.select(F.col("_pa").alias("_qb"), F.col("_pb").alias("_qa")), "_qb", "a", "b", "_pb"), "_qa", "b", "a", "_pa"
+        )
+        paired = checkpointed(
+            there.select("_pa", "_pb", SCORE)
+            .join(home.select("_pa", "_pb"), ["_pa", "_pb"])
+            .join(left_a, "_pa")
+            .join(left_b, "_pb")
+            .select("_pa", "_pb", SCORE, "_from_a", "_from_b", F.least("_na", "_nb").alias("_n"))
+        )
+        if paired.isEmpty():
+            break
+        chosen = paired if chosen is None else chosen.unionByName(paired)
+        left_a = checkpointed(_unpaired(left_a, paired, "a"))
+        left_b = checkpointed(_unpaired(left_b, paired, "b"))
+    if chosen is None:
+        return a.join(b, F.lit(False)).select(
+            F.col("_id_a").alias(ID1), F.col("_id_b").alias(ID2), F.lit(0.0).alias(SCORE)
+        )
+    return _ranks_to_rows(chosen, a, b)
+
+
+def _renamed_place(df: DataFrame, place: str, old: str, new: str, to: str | None = None) -> DataFrame:
+    """A position's struct with its fields named after the other table."""
+    fields = df.schema[place].dataType.names
+    turned = F.struct(*[F.col(f"{place}.{f}").alias(f.replace(old, new, 1)) for f in fields])
+    return df.withColumn(to or f"_p{new}", turned).drop(place)
+
+
+def _unpaired(left: DataFrame, paired: DataFrame, side: str) -> DataFrame:
+    place, number, start = f"_p{side}", f"_n{side}", f"_from_{side}"
+    taken = F.coalesce("_n", F.lit(0).cast("long"))
+    return (
+        left.join(paired.select(place, "_n"), place, "left")
+        .withColumns({number: F.col(number) - taken, start: F.col(start) + taken})
+        .where(f"{number} > 0")
+        .drop("_n")
+    )
+
+
+def _ranks_to_rows(chosen: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of paired positions: each pairing covers a run of ranks at both positions."""
     runs = chosen.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     ranked_a = rank_within(a, ["_pa"], "_id_a", "_ra")
     ranked_b = rank_within(b, ["_pb"], "_id_b", "_rb")

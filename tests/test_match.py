@@ -324,3 +324,40 @@ def test_in_and_near_coverage(spark):
     fine = spark.createDataFrame([(p,) for p in deepest(cells, 6)], "p long").withColumn("at", healpix.pixel_centre("p", F.lit(6))).select("at.*").collect()
     surely = {i for i, q in enumerate(places) if min(separation(q, tuple(f)) for f in fine) <= 3.0}
     assert inside | surely <= near
+
+
+def crowd(n, seed, shift=0.0):
+    """A tight cluster of clusters in one search cell, and a few places elsewhere."""
+    r = random.Random(seed)
+    found = [(50 + shift + r.gauss(0, 10.0 ** -r.randint(1, 2)), 20 + r.gauss(0, 10.0 ** -r.randint(1, 2))) for _ in range(n)]
+    return found + [(50 + r.uniform(-3, 3), 20 + r.uniform(-3, 3)) for _ in range(n // 4)] + positions(n // 4, seed)[:-5]
+
+
+@pytest.mark.parametrize("shift", [0.0, 0.7])
+def test_crowded_cells_are_searched_exactly(spark, monkeypatch, shift):
+    monkeypatch.setattr(match, "CROWD", 20)
+    a, b = crowd(100, 21), crowd(120, 22, shift)
+    ta, tb = sky(spark, a, "ia"), sky(spark, b, "ib")
+    matcher = match.Sky(1.5 * 3600)
+    assert match.is_crowded(matcher, tb.select(F.col("ra").alias("b0"), F.col("dec").alias("b1")))
+    near = lambda p, others: min((separation(p, q), j) for j, q in enumerate(others))
+    one = ids(match.find_pairs(matcher, ta, tb, "ia", "ib", "best1"))
+    assert one == {(i, near(p, b)[1]) for i, p in enumerate(a) if near(p, b)[0] <= 1.5}
+
+
+def test_crowded_points_in_space(spark, monkeypatch):
+    monkeypatch.setattr(match, "CROWD", 4)
+    r = random.Random(8)
+    a, b = [[(r.gauss(0, 0.1), r.gauss(0, 0.1), r.uniform(-3, 3)) for _ in range(100)] for _ in range(2)]
+    names = ("x0", "x1", "x2")
+    found = ids(match.find_pairs(match.Cartesian(0.5, names, names), table(spark, a, "ia"), table(spark, b, "ib"), "ia", "ib", "best1"))
+    near = [min((math.dist(p, q), j) for j, q in enumerate(b)) for p in a]
+    assert found == {(i, j) for i, (d, j) in enumerate(near) if d <= 0.5}
+
+
+def test_crowded_one_to_one(spark, monkeypatch):
+    monkeypatch.setattr(match, "CROWD", 6)
+    r = random.Random(12)
+    a, b = [[(r.uniform(0, 3),) for _ in range(25)] + [(1.0,)] * n for n in (5, 3)]
+    found = match.find_pairs(match.Cartesian(0.5, ("x0",), ("x0",)), table(spark, a, "ia"), table(spark, b, "ib"), "ia", "ib", "best")
+    assert ids(found) == greedy(a, b, 0.5, math.dist)

@@ -288,3 +288,19 @@ def test_formats(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.read_table(spark, "x", "fits")
     assert tables.with_location(tables.read_table(spark, str(tmp_path / "csv"), "csv", df.schema)).first().location.startswith("file:")
+
+
+def test_files_are_processed_once(spark, tmp_path):
+    from tablemill.streaming.once import process_new_files
+
+    def add(ids):
+        spark.createDataFrame([(i,) for i in ids], "id long").coalesce(1).write.mode("append").csv(str(tmp_path / "in"), header=True)
+
+    def run():
+        process_new_files(spark, str(tmp_path / "in"), "csv", "id long", [step(rows.select_rows, "id % 2 = 0")], str(tmp_path / "out"), str(tmp_path / "c"))
+        return sorted(r.id for r in spark.read.schema("id long").parquet(str(tmp_path / "out")).collect())
+
+    add(range(5))
+    assert run() == [0, 2, 4]
+    add(range(5, 9))
+    assert run() == [0, 2, 4, 6, 8] == run()
