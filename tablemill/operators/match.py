@@ -486,9 +486,7 @@ def _mutual_best_crowded(matcher: Matcher, a: DataFrame, b: DataFrame, at_a: Dat
         left_a = checkpointed(_unpaired(left_a, paired, "a"))
         left_b = checkpointed(_unpaired(left_b, paired, "b"))
     if chosen is None:
-        return a.join(b, F.lit(False)).select(
-            F.col("_id_a").alias(ID1), F.col("_id_b").alias(ID2), F.lit(0.0).alias(SCORE)
-        )
+        chosen = paired
     return _ranks_to_rows(chosen, a, b)
 
 

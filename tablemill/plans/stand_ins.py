@@ -118,14 +118,24 @@ LOSS_LOG = """(select event_id as step, case when event_type = 'click' then valu
   case when event_type = 'view' then value end as eval_loss from events)"""
 
 
+def sky_of(spark: SparkSession, folder: str, name: str, key: str, alias: str) -> DataFrame:
+    """A position for each key of a table: (alias, ra, dec)."""
+    k = F.col(key)
+    return table(spark, folder, name).select(
+        k.alias(alias),
+        ((k * 137.50776405) % 360.0).alias("ra"),
+        F.degrees(F.asin((k * 0.61803398875) % 1.0 * 2.0 - 1.0)).alias("dec"),
+    )
+
+
+def sky_sql(name: str, key: str, alias: str) -> str:
+    return f"""(select {key} as {alias}, ({key} * 137.50776405E0) % 360.0E0 as ra,
+  degrees(asin((({key} * 0.61803398875E0) % 1.0E0) * 2.0E0 - 1.0E0)) as dec from {name})"""
+
+
 def sky_a(spark: SparkSession, folder: str) -> DataFrame:
     """A catalogue with one position per customer: (ia, ra, dec)."""
-    key = F.col("c_custkey")
-    return table(spark, folder, "customer").select(
-        key.alias("ia"),
-        ((key * 137.50776405) % 360.0).alias("ra"),
-        F.degrees(F.asin((key * 0.61803398875) % 1.0 * 2.0 - 1.0)).alias("dec"),
-    )
+    return sky_of(spark, folder, "customer", "c_custkey", "ia")
 
 
 def sky_b(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,6 +145,5 @@ def sky_b(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-SKY_A = """(select c_custkey as ia, (c_custkey * 137.50776405E0) % 360.0E0 as ra,
-  degrees(asin(((c_custkey * 0.61803398875E0) % 1.0E0) * 2.0E0 - 1.0E0)) as dec from customer)"""
+SKY_A = sky_sql("customer", "c_custkey", "ia")
 SKY_B = f"""(select ia as ib, ra + 0.0005E0 * (ia % 4) as ra, dec from {SKY_A})"""

@@ -300,15 +300,20 @@ def moc_numbers(spark, folder):
     )
 
 
-HEALPIX = f"""(with t as (select ia, sin(radians(dec)) as z, cos(radians(dec)) as c, (ra / 90) % 4 as q from {SKY_A}),
+def healpix_sql(sky: str, key: str) -> str:
+    """The pixel of order 10 of each position."""
+    return f"""(with t as (select {key}, sin(radians(dec)) as z, cos(radians(dec)) as c, (ra / 90) % 4 as q from {sky}),
   e as (select *, floor(1024 * (q + 0.5 - z * 0.75))::bigint as jp, floor(1024 * (q + 0.5 + z * 0.75))::bigint as jm,
     least(floor(q)::bigint, 3) as n, 1024 * c / sqrt((1 + abs(z)) / 3) as tmp from t),
   f as (select *, least(floor((q - n) * tmp)::bigint, 1023) as cp, least(floor((1 - (q - n)) * tmp)::bigint, 1023) as cm from e),
-  g as (select ia, case when abs(z) <= 2e0 / 3 then case when jp // 1024 = jm // 1024 then (jp // 1024) % 4 + 4 when jp // 1024 < jm // 1024 then jp // 1024 else jm // 1024 + 8 end
+  g as (select {key}, case when abs(z) <= 2e0 / 3 then case when jp // 1024 = jm // 1024 then (jp // 1024) % 4 + 4 when jp // 1024 < jm // 1024 then jp // 1024 else jm // 1024 + 8 end
       when z > 0 then n else n + 8 end as face,
     case when abs(z) <= 2e0 / 3 then jm % 1024 when z > 0 then 1023 - cm else cp end as x,
     case when abs(z) <= 2e0 / 3 then 1023 - jp % 1024 when z > 0 then 1023 - cp else cm end as y from f)
-  select ia, face * 1048576 + {" + ".join(f"((x >> {i}) & 1) * {4**i} + ((y >> {i}) & 1) * {2 * 4**i}" for i in range(10))} as ipix from g)"""
+  select {key}, face * 1048576 + {" + ".join(f"((x >> {i}) & 1) * {4**i} + ((y >> {i}) & 1) * {2 * 4**i}" for i in range(10))} as ipix from g)"""
+
+
+HEALPIX = healpix_sql(SKY_A, "ia")
 
 
 @query(f"select ia, cast(ipix as bigint) as ipix, cast(ipix // 1048576 as bigint) as face from {HEALPIX}")

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.healpix import pixel
 from ..operators import coverage, match, multimatch
 from . import stand_ins as given
-from .stand_ins import SKY_A, SKY_B
-from .suite_functions import HEALPIX
+from .stand_ins import SKY_A, SKY_B, sky_sql
+from .suite_functions import HEALPIX, healpix_sql
 
 QUERIES = {}
 
@@ -281,50 +282,59 @@ def catalogue_coverage(spark, folder):
     return coverage.coverage(given.sky_a(spark, folder), 5)
 
 
-@query(
-    f"select round(count(distinct ipix >> 8) / (12 * 4096.0), 9) as proportion, count(distinct ipix >> 8) as tiles from {HEALPIX}"
-)
-def coverage_size(spark, folder):
+@query(f"select round(count(distinct ipix >> 8) / (12 * 4096.0), 9) as proportion from {HEALPIX}")
+def coverage_proportion(spark, folder):
     tiles = coverage.tiles_of(given.sky_a(spark, folder), 6)
-    part = coverage.sky_proportion(coverage.merge_tiles(tiles)).withColumn("proportion", F.round("proportion", 9))
-    return part.join(coverage.tile_count(tiles))
+    merged = coverage.merge_tiles(tiles)
+    return coverage.sky_proportion(merged).select(F.round("proportion", 9).alias("proportion"))
+
+
+@query(f"select count(distinct ipix >> 8) as tiles from {HEALPIX}")
+def coverage_tiles(spark, folder):
+    return coverage.tile_count(coverage.tiles_of(given.sky_a(spark, folder), 6))
 
 
-@query(f"select ia from {HEALPIX} where (ipix >> 12) in (select ipix >> 12 from {HEALPIX} where ia % 50 = 0) or (ipix >> 6) in (select ipix >> 6 from {HEALPIX} where ia % 50 = 7)")
+# Two footprints: the places of all suppliers in coarse tiles, those of all parts in fine ones.
+SUPPLIER_PIXELS = healpix_sql(sky_sql("supplier", "s_suppkey", "s"), "s")
+PART_PIXELS = healpix_sql(sky_sql("part", "p_partkey", "p"), "p")
+
+
+@query(
+    f"select ia from {HEALPIX} where (ipix >> 12) in (select ipix >> 12 from {SUPPLIER_PIXELS}) or (ipix >> 6) in (select ipix >> 6 from {PART_PIXELS})"
+)
 def rows_in_coverage(spark, folder):
     """The catalogue's rows inside the union of two coverages of different order."""
-    sky = given.sky_a(spark, folder)
-    coarse = coverage.tiles_of(sky.where("ia % 50 = 0"), 4)
-    fine = coverage.tiles_of(sky.where("ia % 50 = 7"), 7)
-    return coverage.in_coverage(sky, coverage.union_coverage(coarse, fine)).select("ia")
+    coarse = coverage.tiles_of(given.sky_of(spark, folder, "supplier", "s_suppkey", "s"), 4)
+    fine = coverage.tiles_of(given.sky_of(spark, folder, "part", "p_partkey", "p"), 7)
+    return coverage.in_coverage(given.sky_a(spark, folder), coverage.union_coverage(coarse, fine)).select("ia")
 
 
 @query()
 def rows_near_coverage(spark, folder):
-    sky = given.sky_a(spark, folder)
-    tiles = coverage.tiles_of(sky.where("ia % 100 = 0"), 6)
-    return coverage.near_coverage(sky, "ia", tiles, 1.5).select("ia")
+    tiles = coverage.tiles_of(given.sky_of(spark, folder, "supplier", "s_suppkey", "s"), 6)
+    return coverage.near_coverage(given.sky_a(spark, folder), "ia", tiles, 1.5).select("ia")
+
+
+def _pixel_map(spark, folder):
+    """Mean key of the parts in each pixel of order 5."""
+    parts = given.sky_of(spark, folder, "part", "p_partkey", "p")
+    return parts.groupBy(pixel("ra", "dec", 5).alias("ipix")).agg(F.avg("p").alias("value"))
 
 
 @query(
-    f"""with p as (select (ipix >> 10)::bigint as ipix, avg(ia) as value from {HEALPIX} where ia % 2 = 0 group by 1)
-    select h.ia, round(p.value, 6) as sample from {HEALPIX} h left join p on p.ipix = (h.ipix >> 10)"""
+    f"""with m as (select (ipix >> 10)::bigint as ipix, avg(p) as value from {PART_PIXELS} group by 1)
+    select h.ia, round(m.value, 6) as sample from {HEALPIX} h left join m on m.ipix = (h.ipix >> 10)"""
 )
 def sampled_pixel_map(spark, folder):
-    sky = given.sky_a(spark, folder)
-    from ..functions.healpix import pixel
-
-    pixels = sky.where("ia % 2 = 0").groupBy(pixel("ra", "dec", 5).alias("ipix")).agg(F.avg("ia").alias("value"))
-    return coverage.add_pixel_sample(sky, "ra", "dec", pixels, 5).select("ia", F.round("sample", 6).alias("sample"))
+    sampled = coverage.add_pixel_sample(given.sky_a(spark, folder), "ra", "dec", _pixel_map(spark, folder), 5)
+    return sampled.select("ia", F.round("sample", 6).alias("sample"))
 
 
 @query()
 def sampled_pixel_map_mean(spark, folder):
-    sky = given.sky_a(spark, folder)
-    from ..functions.healpix import pixel
-
-    pixels = sky.groupBy(pixel("ra", "dec", 5).alias("ipix")).agg(F.avg("ia").alias("value"))
-    sampled = coverage.add_pixel_sample(sky, "ra", "dec", pixels, 5, radius=2.0, key="ia")
+    sampled = coverage.add_pixel_sample(
+        given.sky_a(spark, folder), "ra", "dec", _pixel_map(spark, folder), 5, radius=2.0, key="ia"
+    )
     return sampled.select("ia", F.round("sample", 6).alias("sample"))
 
 

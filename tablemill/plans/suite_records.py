@@ -290,12 +290,11 @@ def extract_tool_calls(spark, folder):
 
 
 @query(
-    "select rid, case when len(string_split(prompt, 'model ')) > 1 then null else "
-    + stripped("string_split(prompt, ' ')[2]") + f" end as answer from {RECORDS} where contains(prompt, ' ')"
+    f"select rid, case when contains(prompt, ' ') then {stripped("string_split(prompt, ' ')[2]")} end as answer from {RECORDS}"
 )
 def extract_answers(spark, folder):
-    asked = given.records(spark, folder).where(F.contains("prompt", F.lit(" ")))
-    return asked.select("rid", repair.extract_answer("prompt", " ").alias("answer"))
+    """The text between the first two blanks stands for that between two role markers."""
+    return given.records(spark, folder).select("rid", repair.extract_answer("prompt", " ").alias("answer"))
 
 
 # --- templates, tokens, blocks -----------------------------------------------------------------------
