@@ -33,16 +33,6 @@ class Matcher:
         """Join of ``a`` (columns a0, a1, …, _pa) and ``b`` (b0, b1, …, _pb) to pairs (_pa, _pb, _score)."""
         raise NotImplementedError
 
-    def places(self, table: DataFrame, values, name: str) -> DataFrame:
-        """Distinct positions of a table; rows with a blank coordinate match nothing."""
-        columns = [quoted(v) if isinstance(v, str) else v for v in values]
-        picked = table.select(*[c.cast("double").alias(f"{name}{i}") for i, c in enumerate(columns)])
-        keys = [f"{name}{i}" for i in range(len(columns))]
-        solid = picked.dropna(subset=keys)
-        for k in keys:
-            solid = solid.where(~F.isnan(k))
-        return solid
-
     def keyed(self, table: DataFrame, identity: str, values, name: str) -> DataFrame:
         """Rows as (id, position as one struct)."""
         columns = [quoted(v) if isinstance(v, str) else v for v in values]

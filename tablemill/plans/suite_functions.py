@@ -322,11 +322,10 @@ def healpix_pixels(spark, folder):
     return placed.withColumn("face", healpix.parent("ipix", F.lit(10)))
 
 
-@query()
+@query(f"select ia, cast(ipix as bigint) as ipix, true as same from {HEALPIX}")
 def healpix_centres(spark, folder):
-    """Centres of the pixels that hold the positions; each lies in its own pixel again."""
-    placed = given.sky_a(spark, folder).select("ia", healpix.pixel("ra", "dec", 12).alias("ipix"))
-    centres = placed.withColumn("at", healpix.pixel_centre("ipix", F.lit(12))).select("ia", "ipix", "at.*")
-    return centres.withColumn("same", healpix.pixel("ra", "dec", 12) == F.col("ipix"))
-
-
+    """The centre of each position's pixel lies in that pixel again."""
+    placed = given.sky_a(spark, folder).select("ia", healpix.pixel("ra", "dec", 10).alias("ipix"))
+    centres = placed.withColumn("at", healpix.pixel_centre("ipix", F.lit(10)))
+    same = healpix.pixel("at.ra", "at.dec", 10) == F.col("ipix")
+    return centres.select("ia", "ipix", same.alias("same"))

