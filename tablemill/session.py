@@ -42,6 +42,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint, for one round of an iteration."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` with its lineage cut, for one round of an iteration.
+
+    A written table rather than ``df.checkpoint()``: a checkpoint keeps the constraints that the
+    optimiser derived from its plan, and over some ten rounds these grew until planning took
+    a minute. A table also tells its size, so that later joins can be planned by it.
+    """
+    return written(df, "round")
