@@ -17,7 +17,7 @@ from ..session import written
 from . import flat
 
 #: A minimiser is hot above this share of all runs, and above so many runs. At most 2 / HOT_SHARE are sent to tasks.
-HOT_SHARE, HOT_LEAST = 1 / 50_000, 20_000
+HOT_SHARE, HOT_LEAST = 1 / 50_000, 2_000
 #: Runs per bucket, some 60 MB in a task.
 BUCKET_RUNS = 1_000_000
 
