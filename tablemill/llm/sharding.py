@@ -40,10 +40,10 @@ def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 17, i
     # One row per bucket, so the running total is over a table that is thousands of times smaller than its input.
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
-    starts = sizes.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    starts = sizes.select(F.col("bucket").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
 
     def shuffle(rows: pa.Table, start: pa.Table) -> pa.Table:
-        bucket = start.column("bucket")[0].as_py()
+        bucket = start.column("at")[0].as_py()
         rows = rows.take(pc.sort_indices(rows, sort_keys=[("id", "ascending"), ("tie", "ascending")]))
         order = np.random.default_rng([seed, bucket]).permutation(len(rows))
         place = start.column("first")[0].as_py() + np.arange(len(rows), dtype=np.int64)
@@ -53,7 +53,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 17, i
         return pa.table({"shard": pa.array(shard.astype(np.int32)), "slot": pa.array(slot), "record": rows.column("record").take(pa.array(order))})
 
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType()), scattered.schema["record"]])
-    shuffled = scattered.groupBy("bucket").cogroup(starts.groupBy("bucket")).applyInArrow(shuffle, schema)
+    shuffled = scattered.groupBy("bucket").cogroup(starts.groupBy("at")).applyInArrow(shuffle, schema)
     shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return spark.read.schema(schema).parquet(path).select("shard", "slot", "record")
 

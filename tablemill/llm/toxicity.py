@@ -18,6 +18,8 @@ PASSAGE = 8
 #: Learned from at most so many texts of either label, of at most so many bytes each; all others are scored only.
 SAMPLE_EACH, SAMPLE_BYTES = 2_000, 1 << 16
 EPOCHS, BATCH, RATE = 8, 32, 0.5
+#: A small sample is gone through more often, for at least so many steps.
+LEAST_STEPS = 400
 #: Subwords of fewer words in texts of the sample are not learned, so that rare words are known by their common parts.
 LEAST_USES = 4
 #: Score from which a text counts as toxic.
@@ -114,7 +116,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
     softmax, offset = rng.normal(0, 0.1, (DIMENSIONS, 2)), np.zeros(2)
     seen, seen_softmax, seen_offset = np.full(BUCKETS, 1e-6), np.full((DIMENSIONS, 2), 1e-6), np.full(2, 1e-6)
     usable = np.flatnonzero(np.diff(of_text))
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // max(len(usable), 1)))):
         order = rng.permutation(usable)
         for a in range(0, len(order), BATCH):
             some = order[a : a + BATCH]

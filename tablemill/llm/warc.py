@@ -78,23 +78,65 @@ class _Opened:
     """A gzip member that is decoded as its bytes come."""
 
     def __init__(self):
-        self.decoder, self.raw, self.out = zlib.decompressobj(31), [], bytearray()
+        self.decoder, self.out, self.pieces = zlib.decompressobj(31), bytearray(), []
 
-    def feed(self, data: bytes) -> bool | None:
+    @property
+    def is_record(self) -> bool:
+        return self.out.startswith(VERSION[:-1]) and _BREAK in self.out
+
+    def feed(self, piece) -> bool | None:
         """True when the member is complete, None while it goes on, False if this is no WARC record."""
-        self.raw.append(data)
+        self.pieces.append(piece)
         try:
-            self.out += self.decoder.decompress(data)
+            self.out += self.decoder.decompress(piece[1])
         except zlib.error:
             return False
-        head = bytes(self.out[: len(VERSION) - 1])
-        if not VERSION.startswith(head) or _BREAK not in self.out[:_HEADER_LIMIT] and len(self.out) >= _HEADER_LIMIT:
+        if not VERSION.startswith(bytes(self.out[: len(VERSION) - 1])):
             return False
-        if self.decoder.eof:
-            return len(self.out) > 0 and _BREAK in self.out
+        if self.decoder.eof or len(self.out) >= _HEADER_LIMIT and _BREAK not in self.out[:_HEADER_LIMIT]:
+            return self.is_record and self.decoder.eof
         return None
 
 
+class _Members:
+    """Finds records in a sequence of (place, bytes) pieces that all start with the gzip magic.
+
+    A magic inside compressed data starts a piece too, which goes on with the member before it. A piece that starts no
+    record is passed over, and what came after it is looked at anew. ``loose`` gathers the pieces that may belong to a
+    member which starts before the sequence, or ends after it.
+    """
+
+    def __init__(self):
+        self.opened, self.loose, self.seen = None, [], False
+
+    def push(self, pieces):
+        waiting = list(pieces)
+        while waiting:
+            self.opened = self.opened or _Opened()
+            state = self.opened.feed(waiting.pop(0))
+            if state is None:
+                continue
+            opened, self.opened = self.opened, None
+            if state:
+                self.seen = True
+                yield _record(bytes(opened.out))
+            else:
+                if not self.seen:
+                    self.loose.append(opened.pieces[0])
+                waiting = opened.pieces[1:] + waiting
+
+    def finish(self):
+        while self.opened:
+            opened, self.opened = self.opened, None
+            if opened.is_record:
+                self.loose += opened.pieces
+            else:
+                # Too little to tell: it may start a record or only wait for bytes as if it did.
+                self.loose.append(opened.pieces[0])
+                self.seen = False
+                yield from self.push(opened.pieces[1:])
+
+
 _FIELDS = ["record_type", "page_id", "url", "refers_to", "payload_digest", "payload_bytes", "payload"]
 
 
@@ -119,9 +161,9 @@ def _record(data: bytes) -> tuple:
 
 
 _SCHEMA = "record_type string, page_id long, url string, refers_to long, payload_digest string, payload_bytes long, payload binary"
-_PARTS = _SCHEMA + ", file string, block long, seq int, tail boolean, piece binary"
-_NAMES = [*_FIELDS, "file", "block", "seq", "tail", "piece"]
-_TYPES = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+_PARTS = _SCHEMA + ", file string, block long, seq int, piece binary"
+_NAMES = [*_FIELDS, "file", "block", "seq", "piece"]
+_TYPES = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -129,61 +171,42 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _candidates(batches):
-    """Records that start in the byte ranges of a task, and the pieces of members that cross a false magic and a range.
+    """Records that start in the byte ranges of a task, and the loose pieces of members that cross a false magic and a range.
 
     The text reader cuts a range at each gzip magic and gives what starts inside it, each candidate up to the next magic,
-    also beyond the range's end. A magic inside compressed data starts no valid record: its piece continues the
-    member before it, here or, at the start of a range, in the task that owns the range before.
+    also beyond the range's end.
     """
-    place, opened, seq, seen, rows = None, None, 0, False, []
+    place, members, seq, rows, size = None, _Members(), 0, [], 0
 
-    def left(tail: bool, piece: bytes) -> tuple:
-        return (None,) * len(_FIELDS) + (place[0], place[1], seq, tail, piece)
+    def end():
+        found = [r + (None,) * 4 for r in members.finish()]
+        return found + [(None,) * len(_FIELDS) + (*place, k, piece) for k, piece in members.loose]
 
     for batch in batches:
         for value, file, block in zip(*batch.columns):
             value, here = value.as_py(), (file.as_py(), block.as_py())
             if here != place:
-                if opened:
-                    rows.append(left(True, b"".join(opened.raw)))
-                place, opened, seq, seen = here, None, 0, False
+                rows += end() if place else []
+                place, members, seq = here, _Members(), 0
                 if here[1] == 0:  # what stands before the first magic of a file
                     continue
-            waiting = [MAGIC + value]
-            while waiting:
-                opened = opened or _Opened()
-                state = opened.feed(waiting.pop(0))
-                if state is True:
-                    rows.append(_record(bytes(opened.out)) + (None,) * 5)
-                    opened, seen = None, True
-                elif state is False:
-                    # Its first piece starts no record; what came after it may.
-                    if not seen:
-                        seq += 1
-                        rows.append(left(False, opened.raw[0]))
-                    opened, waiting = None, opened.raw[1:] + waiting
-            if sum(len(r[6] or r[11] or b"") for r in rows[-64:]) > 4_000_000 or len(rows) >= 2000:
+            seq += 1
+            for record in members.push([(seq, MAGIC + value)]):
+                rows.append(record + (None,) * 4)
+                size += len(record[6])
+            if size > 4_000_000 or len(rows) >= 2000:
                 yield _batch(rows)
-                rows = []
-    if opened:
-        rows.append(left(True, b"".join(opened.raw)))
+                rows, size = [], 0
+    rows += end() if place else []
     if rows:
         yield _batch(rows)
 
 
 def _stitched(table: pa.Table) -> pa.Table:
-    """Records of one file whose pieces lie in several ranges: a tail goes on with the first pieces of later ranges."""
-    pieces = sorted(table.to_pylist(), key=lambda r: (r["block"], r["tail"], r["seq"]))
-    rows, opened = [], None
-    for r in pieces:
-        if r["tail"]:
-            opened, state = _Opened(), None
-        if opened:
-            state = opened.feed(r["piece"])
-            if state is True:
-                rows.append(_record(bytes(opened.out)))
-            if state is not None:
-                opened = None
+    """Records of one file whose pieces lie in several ranges."""
+    loose = sorted(((r["block"], r["seq"]), r["piece"]) for r in table.select(["block", "seq", "piece"]).to_pylist())
+    members = _Members()
+    rows = [*members.push(loose), *members.finish()]
     return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(_FIELDS, _TYPES))})
 
 
