@@ -16,8 +16,8 @@ BANDS, ROWS = 32, 4
 #: the number of differing samples: a pair above the limit below has more than 48 of 128 samples different, which
 #: happens with probability 1e-10 at similarity 0.85.
 SKETCH_BITS, MOST_DIFFERENT = 512, 2 * 48
-#: Members of a band that are compared with one another in one task.
-BLOCK = 1024
+#: Sets of a group that are compared with one another in one task, and shingles looked at side by side there.
+BLOCK, COLUMNS = 512, 4096
 
 _RNG = np.random.default_rng(5)
 _FACTORS = _RNG.integers(1, 2**32 - 1, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -116,38 +116,88 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
-def _across(members: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs (a, b) in a band of (band, id, component) that lie in different components and whose sketches allow a link.
-
-    Only bands with several components are looked at. Their members come in blocks; a task compares two blocks by XOR
-    and counts bits. Pairs are only made where the sketches allow a link.
+def _common(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The number of shingles that each set of ``left`` shares with each of ``right``, as a product of 0/1 matrices over
+    the shingles that occur in several sets, some columns at a time."""
+    row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    _, column, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    several = count[column] > 1
+    row, column = row[several], (np.cumsum(count > 1) - 1)[column[several]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(left), len(right)), np.int64)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        low, high = np.searchsorted(column, [a, a + COLUMNS])
+        holds = np.zeros((len(grams), min(COLUMNS, int(column[-1]) + 1 - a)), np.float32)
+        holds[row[low:high], column[low:high] - a] = 1
+        total += (holds[left] @ holds[right].T).astype(np.int64)
+    return total
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """Links between components in two blocks of a group, on the full sets: as many as join all that is linked there."""
+    own, ids, component = (table.column(c).to_numpy() for c in ("own", "id", "component"))
+    x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+    left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+    bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+    differs = component[left][:, None] != component[right][None, :]
+    near = np.stack([np.bitwise_count(bits[right] ^ bits[i]).sum(1) <= MOST_DIFFERENT for i in left]) & differs if len(left) and len(right) else differs
+    found = []
+    if near.any():
+        grams = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
+        size = np.array([len(g) for g in grams])
+        common = _common(grams, left, right)
+        union = size[left][:, None] + size[right][None, :] - common
+        root: dict = {}
+
+        def find(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        for i, j in zip(*np.nonzero(near & (common * ALIKE[1] >= ALIKE[0] * union))):
+            a, b = find(component[left[i]]), find(component[right[j]])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                found.append((int(ids[left[i]]), int(ids[right[j]])))
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _across(named: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of (band, id, component), on the full sets.
+
+    Bands that hold several components are open. Sets that hang together by open bands form a group; whatever pair
+    shares an open band is in one group, once. The sets of a group come in blocks, and a task compares two blocks as
+    matrices and gives a spanning set of links, so neither a group in one task nor all its pairs are ever made.
     """
-    sizes = members.groupBy("band").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = sizes.where("low < high").select(F.col("band").alias("open_band"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    open_ = written(open_, "bands")
-    blocked = members.join(open_, members["band"] == open_["open_band"])
-    blocked = blocked.join(bits, blocked["id"] == bits["sketch_id"]).select(
-        "band", "id", "component", "sketch", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own")
-    )
+    sizes = named.groupBy("band").agg(F.min("id").alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = sizes.where("low < high").select(F.col("band").alias("open_band"), "hub")
+    stars = named.join(open_, named["band"] == open_["open_band"]).select("hub", "id").where("hub <> id").distinct()
+    group = written(connected_components(stars), "group").select(F.col("node").alias("member"), F.col("component").alias("grp"))
+    own = named.select("id", "component").distinct()
+    grouped = group.join(own, group["member"] == own["id"]).select("grp", "id", "component")
+
+    def sets(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
+                grams, offsets = shingles(batch.column(1))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([grams[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["gram_id", "grams"]
+                )
+
+    wanted = group.select("member")
+    full = texts.join(wanted, texts["doc_id"] == wanted["member"], "left_semi").select("doc_id", "text").mapInArrow(sets, "gram_id long, grams binary")
+    blocks = grouped.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("grp", "of")
+    blocked = grouped.join(blocks, grouped["grp"] == blocks["of"])
+    blocked = blocked.join(bits, blocked["id"] == bits["sketch_id"]).join(full, F.col("id") == F.col("gram_id"))
+    blocked = blocked.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     # Every block meets every other one once, and itself.
     meets = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "component", "sketch"
+        "grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "component", "sketch", "grams"
     )
-
-    def compare(table: pa.Table) -> pa.Table:
-        own, ids, component = (table.column(c).to_numpy() for c in ("own", "id", "component"))
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        found = []
-        for i in left:
-            rest = right[(component[right] != component[i]) & ((ids[right] > ids[i]) if x == y else True)]
-            near = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= MOST_DIFFERENT]
-            found.append(np.stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])], 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return meets.groupBy("band", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+    return meets.groupBy("grp", "x", "y").applyInArrow(_linked, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,9 +206,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Documents are linked if the sets of their 3-word shingles have 100 * intersection >= 85 * union. Equal sets are
     one from the start, stood for by their smallest id. In each band of MinHash samples, every set is first
     compared with the smallest id there: one pair per set and band, whatever the size of a band. Components of the
-    confirmed links need no more comparing inside. In bands that still hold several components, all sets of different
-    components are compared by their odd sketches, in blocks, so that no link is lost; what the sketches let through is
-    confirmed on the full sets. Links are followed to components.
+    confirmed links need no more comparing inside. Sets that share bands which still hold several components are
+    compared in blocks, first by their odd sketches and then on the full sets, so that no link is lost. Links are followed
+    to components.
 
     Texts without words (null, empty, white space) have an empty set and are linked with nothing. Rows without id come
     back with a null component and are not kept; rows that repeat an id with the same text share their component.
@@ -199,7 +249,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     component = written(connected_components(links), "component")
     named = members.join(component, members["id"] == component["node"], "left")
     named = written(named.select("band", "id", F.coalesce("component", "id").alias("component")), "named")
-    more = written(_confirmed(_across(named, bits), texts), "links")
+    more = written(_across(named, bits, texts), "links")
     if not more.isEmpty():
         component = written(connected_components(links.unionByName(more)), "component")
 
