@@ -3,6 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from .blanks import as_column
+from .conversions import from_digits
 
 
 def has_bit(value, index: int) -> Column:
@@ -18,7 +19,8 @@ def to_binary(value) -> Column:
 
 
 def from_binary(text) -> Column:
-    return F.conv(as_column(text), 2, 10).try_cast("long")
+    """The number in signed binary text; NULL for any other text."""
+    return from_digits(text, 2, "[01]+")
 
 
 def bit_and(a, b) -> Column:

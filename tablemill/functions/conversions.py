@@ -92,7 +92,14 @@ def to_hex(value) -> Column:
 
 
 def from_hex(text) -> Column:
-    return F.conv(as_column(text), 16, 10).try_cast("long")
+    """The number in signed hexadecimal text; NULL for any other text."""
+    return from_digits(text, 16, "[0-9a-fA-F]+")
+
+
+def from_digits(text, base: int, digits: str) -> Column:
+    text = as_column(text)
+    size = F.conv(F.ltrim(text, F.lit("+-")), base, 10).try_cast("long")
+    return F.when(text.rlike(rf"\A[+-]?{digits}\z"), F.when(F.startswith(text, F.lit("-")), -size).otherwise(size))
 
 
 def has_type(df, name: str, type_name: str) -> Column:

@@ -58,7 +58,7 @@ def contains(a, b) -> Column:
 
 def matches(value, pattern: str) -> Column:
     """True when the *whole* string matches."""
-    return as_column(value).rlike(f"^(?:{pattern})$")
+    return as_column(value).rlike(rf"\A(?:{pattern})\z")
 
 
 def length(value) -> Column:

@@ -149,6 +149,11 @@ def bad_value(df: DataFrame, bad, *specs) -> DataFrame:
 # --- constant columns ------------------------------------------------------------------------------
 
 
+def _without_nan(df: DataFrame, name: str) -> Column:
+    cell = quoted(name)
+    return F.when(~F.isnan(cell), cell) if is_floating(df.schema[name].dataType) else cell
+
+
 def constant_columns(df: DataFrame, *specs, accept_null: bool = False, keep_columns: bool = False) -> tuple[DataFrame, dict]:
     """(table without its constant columns, their values as table parameters).
 
@@ -158,7 +163,7 @@ def constant_columns(df: DataFrame, *specs, accept_null: bool = False, keep_colu
     chosen = resolve(df, *(specs or ("*",)))
     ends = df.agg(
         F.count("*").alias("_rows"),
-        *[f(quoted(c)).alias(f"_{k}{i}") for i, c in enumerate(chosen) for k, f in (("lo", F.min), ("hi", F.max), ("n", F.count))],
+        *[f(_without_nan(df, c)).alias(f"_{k}{i}") for i, c in enumerate(chosen) for k, f in (("lo", F.min), ("hi", F.max), ("n", F.count))],
     ).first()
     values = {}
     for i, c in enumerate(chosen):
@@ -175,7 +180,8 @@ def constant_report(df: DataFrame, *specs) -> DataFrame:
     chosen = resolve(df, *(specs or ("*",)))
     sums = [F.count("*").alias("_rows")]
     for i, c in enumerate(chosen):
-        sums += [F.min(quoted(c)).alias(f"_lo{i}"), F.max(quoted(c)).alias(f"_hi{i}"), F.count(quoted(c)).alias(f"_n{i}")]
+        cell = _without_nan(df, c)
+        sums += [F.min(cell).alias(f"_lo{i}"), F.max(cell).alias(f"_hi{i}"), F.count(cell).alias(f"_n{i}")]
     rows = []
     for i, c in enumerate(chosen):
         same = (F.col(f"_lo{i}") == F.col(f"_hi{i}")) & (F.col(f"_n{i}") == F.col("_rows"))

@@ -45,11 +45,15 @@ def _record_columns() -> list[Column]:
 
 
 def parse_arrays(files: DataFrame) -> DataFrame:
-    """The records of texts (``value``, ``file``, ``path``) that are JSON arrays; other texts give none."""
+    """The records of texts (``value``, ``file``, ``path``) that are JSON arrays; other texts give none.
+
+    Elements that are no objects are skipped; the other elements of their file stay.
+    """
     # A lone object would be wrapped into an array by the parser, so the bracket is tested itself.
     arrays = files.where(F.startswith(strip("value"), F.lit("[")))
-    parsed = F.from_json("value", T.ArrayType(RECORD_SCHEMA))
-    return arrays.select("file", "path", F.inline(parsed)).select(*_record_columns())
+    elements = arrays.select("file", "path", F.explode(F.from_json("value", T.ArrayType(T.StringType()))).alias("element"))
+    objects = elements.where(F.startswith(strip("element"), F.lit("{")))
+    return objects.select("file", "path", F.from_json("element", RECORD_SCHEMA).alias("record")).select("file", "path", "record.*").select(*_record_columns())
 
 
 def read_corpus(spark: SparkSession, *folders: str, pattern: str = "*.json") -> DataFrame:

@@ -52,6 +52,11 @@ def cases():
         (bits.to_binary(L(42)), "101010"),
         (bits.to_binary(bits.bit_xor(L(255), L(7))), "11111000"),
         (bits.from_binary(L("101010")), 42),
+        (bits.from_binary(L("abc")), None),
+        (bits.from_binary(L("-101")), -5),
+        (conversions.from_hex(L("xyz")), None),
+        (conversions.from_hex(L("2a\n")), None),
+        (conversions.from_hex(L("-ff")), -255),
         (conversions.to_hex(L(42)), "2a"),
         (conversions.from_hex(L("2a")), 42),
         (conversions.parse_ints(L("9 8 -23")), [9, 8, -23]),
@@ -113,6 +118,7 @@ def cases():
         (times.year_to_mjd(L(2000.5)), 51544.0 + 183),
         (text.matches(L("abc"), "b"), False),
         (text.matches(L("abc"), "a.c"), True),
+        (text.matches(L("abc\n"), "abc"), False),
         (text.substring(L("2000-01-01T12"), 0, 10), "2000-01-01"),
         (text.substring(L("abc"), 1), "bc"),
         (text.strip(L(" \t a b\xa0\x1c\n")), "a b"),
