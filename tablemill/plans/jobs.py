@@ -1,4 +1,5 @@
-"""Whole jobs: the curation of a corpus, its evaluation, and a training set, each as one lazy plan."""
+"""Whole jobs: the curation of a corpus, its evaluation, and a training set, each as one plan. Splits and reports run counting jobs while the
+plan is built."""
 
 from collections.abc import Callable
 from dataclasses import dataclass
