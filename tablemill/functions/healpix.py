@@ -100,6 +100,59 @@ def pixel_centre(ipix, order) -> Column:
     return _centres_udf(as_column(ipix).cast("long"), as_column(order).cast("int"))
 
 
+def _inside_face(face: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Unit vectors of places in the base pixels, ``x`` and ``y`` from 0 to 1."""
+    row = face // 4
+    ring = row + 2 - x - y
+    near = np.minimum(np.minimum(ring, 4.0 - ring), 1.0)
+    turn = ((face % 4) * 2 + (row != 1)) * near + x - y
+    angle = np.radians(np.divide(turn, near, out=np.zeros_like(turn), where=near > 1e-12) * 45.0)
+    polar = 2.0 * np.arcsin(near / np.sqrt(6.0))
+    z = np.where(near >= 1.0, (2.0 - ring) * 2.0 / 3.0, np.where(ring < 2.0, np.cos(polar), -np.cos(polar)))
+    across = np.where(near >= 1.0, np.sqrt(np.maximum(1.0 - z * z, 0.0)), np.sin(polar))
+    return np.stack([across * np.cos(angle), across * np.sin(angle), z], axis=-1)
+
+
+# Places looked at along a side before the search narrows down around the nearest, and steps of that.
+_PLACES, _STEPS = 33, 40
+
+
+def _side_distances(ra: pd.Series, dec: pd.Series, ipix: pd.Series, order: pd.Series) -> pd.Series:
+    found = np.empty(len(ra))
+    for a in range(0, len(ra), 2000):
+        part = slice(a, a + 2000)
+        lon, lat = np.radians(ra.to_numpy()[part]), np.radians(dec.to_numpy()[part])
+        at = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=-1)[:, None, None, :]
+        side = np.int64(1) << order.to_numpy(dtype="int64")[part]
+        face, inside = np.divmod(ipix.to_numpy(dtype="int64")[part], side * side)
+        face, side, x, y = (v[:, None, None] for v in (face, side, _gathered(inside), _gathered(inside >> 1)))
+        # Two sides run along x, at either end of y, and two the other way.
+        along, end = np.array([True, True, False, False])[None, :, None], np.array([0.0, 1.0, 0.0, 1.0])[None, :, None]
+
+        def chord(t: np.ndarray) -> np.ndarray:
+            place = _inside_face(face + np.zeros_like(t, dtype="int64"), (x + np.where(along, t, end)) / side, (y + np.where(along, end, t)) / side)
+            return np.linalg.norm(place - at, axis=-1)
+
+        grid = np.broadcast_to(np.linspace(0.0, 1.0, _PLACES), (len(lon), 4, _PLACES))
+        best = chord(grid).argmin(axis=2)[:, :, None] / (_PLACES - 1)
+        low, high = np.maximum(best - 1 / (_PLACES - 1), 0.0), np.minimum(best + 1 / (_PLACES - 1), 1.0)
+        for _ in range(_STEPS):
+            one, two = low + (high - low) / 3, high - (high - low) / 3
+            left = chord(one) <= chord(two)
+            low, high = np.where(left, low, one), np.where(left, two, high)
+        nearest = np.minimum(np.minimum(chord(low), chord(high)), chord(best)).min(axis=(1, 2))
+        found[part] = np.degrees(2.0 * np.arcsin(np.minimum(nearest / 2.0, 1.0)))
+    return pd.Series(found)
+
+
+_side_distances_udf = F.pandas_udf(_side_distances, T.DoubleType()).asNondeterministic()
+
+
+def distance_to_sides(ra, dec, ipix, order) -> Column:
+    """Degrees from a position to the nearest place on the border of a pixel."""
+    return _side_distances_udf(as_column(ra).cast("double"), as_column(dec).cast("double"), as_column(ipix).cast("long"), as_column(order).cast("int"))
+
+
 def pixel_radius_degrees(order: int) -> float:
     """An upper bound for the distance of a pixel's corners from its centre."""
     # 48.2 degrees for the base pixels; the limit for small pixels is 61.2 degrees per side.

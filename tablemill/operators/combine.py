@@ -108,17 +108,17 @@ def join_rows(tables: list[DataFrame], order_by: list, fixcols: str = "dups", su
 
 
 def array_join(
-    df: DataFrame, location, side: DataFrame, side_location: str, position: str, rows_per_part: int = 1_000_000
+    df: DataFrame, location, side: DataFrame, side_location: str, position: str, rows_per_part: int | None = None
 ) -> DataFrame:
     """Each row with the columns of its own side table attached as arrays.
 
     All side tables are rows of ``side``, told apart by ``side_location`` and ordered by
-    ``position`` (numbered from 0). Rows whose location has no table get NULL. A side table of more
-    than ``rows_per_part`` rows continues in further rows with a higher ``part``, since a cell cannot
-    grow without limit; no task gathers more than one part.
+    ``position`` (numbered from 0). Rows whose location has no table get NULL. There is one row
+    per input row, part 0; with ``rows_per_part``, a longer side table continues in further rows with a higher
+    ``part``, for tables that no cell can hold.
     """
     values = [c for c in side.columns if c not in (side_location, position)]
-    part = F.floor(F.col(position) / rows_per_part).cast("long").alias("part")
+    part = (F.floor(F.col(position) / rows_per_part) if rows_per_part else F.lit(0)).cast("long").alias("part")
     gathered = side.groupBy(quoted(side_location).alias("_location"), part).agg(
         F.array_sort(F.collect_list(F.struct(quoted(position), *[quoted(v) for v in values]))).alias("_rows")
     )

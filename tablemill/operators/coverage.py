@@ -92,7 +92,8 @@ def union_coverage(*tables: DataFrame) -> DataFrame:
 def parse_ascii(df: DataFrame, column: str) -> DataFrame:
     """Tiles from text such as ``1/1 2 4 2/12-14 21``: order, slash, numbers and ranges.
 
-    All columns of ``df`` are kept. A text may hold many tiles, and each becomes its own row.
+    All columns of ``df`` are kept. A text may hold many tiles, and each becomes its own row. A range is
+    given as the largest tiles that make it up, so its length does not matter.
     """
     blocks = F.regexp_extract_all(F.col(column), F.lit(r"(\d+)/([\d\s,-]*(?!\d*/))"), F.lit(0))
     orders = df.select("*", F.explode(blocks).alias("_block")).select(
@@ -103,7 +104,30 @@ def parse_ascii(df: DataFrame, column: str) -> DataFrame:
     ends = F.split("_range", "-")
     first = ends[0].cast("long")
     last = F.coalesce(F.get(ends, F.lit(1)).cast("long"), first)
-    return orders.select(*df.columns, "order", F.explode(F.sequence(first, last)).alias("ipix"))
+    return orders.select(*df.columns, F.explode(_range_tiles(F.col("order"), first, last)).alias("_tile")).select(*df.columns, "_tile.*")
+
+
+def _range_tiles(order: Column, first: Column, last: Column) -> Column:
+    """The largest tiles that make up the tiles ``first`` to ``last`` of an order: at most six of each order."""
+
+    def inner(level: Column) -> tuple[Column, Column]:
+        """The tiles ``level`` orders up that lie in the range whole: the first, and the one after the last."""
+        bits = level * 2
+        shift = lambda v: F.call_function("shiftright", v, bits)
+        return shift(first - 1) + 1, shift(last + 1)
+
+    def tiles(level: Column) -> Column:
+        (low, end), (low_up, end_up) = inner(level), inner(level + 1)
+        # What larger tiles take is in the middle; base tiles have no larger ones.
+        takes = (low_up < end_up) & (level < order)
+        left_end, right = F.when(takes, low_up * 4).otherwise(end), F.when(takes, end_up * 4).otherwise(end)
+
+        def run(a: Column, b: Column) -> Column:
+            return F.when(a < b, F.sequence(a, F.greatest(a, b - 1))).otherwise(F.array().cast("array<bigint>"))
+
+        return F.transform(F.concat(run(low, left_end), run(right, end)), lambda i: F.struct((order - level).alias("order"), i.alias("ipix")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), order), tiles))
 
 
 def sky_proportion(tiles: DataFrame) -> DataFrame:
@@ -141,21 +165,31 @@ def in_coverage(df: DataFrame, tiles: DataFrame, ra: str = "ra", dec: str = "dec
 def near_coverage(
     df: DataFrame, key: str, tiles: DataFrame, distance: float, ra: str = "ra", dec: str = "dec"
 ) -> DataFrame:
-    """Rows in the coverage or, approximately, within ``distance`` degrees of it.
+    """Rows in the coverage or within ``distance`` degrees of it.
 
-    Near means: within ``distance`` plus a tile's radius of the tile's centre. So rows up to a tile
-    radius too far may be kept, none that is near is lost. Each order is matched on its own, since the
-    radius sets the size of the search cells.
+    A row in the coverage is near, and so is one whose nearest tile centre is within ``distance``. The
+    others are near if the border of some tile is; only tiles whose centre is at most a tile's radius beyond
+    the distance need measuring, and those are few, as tiles of an order do not overlap. Each order
+    is matched on its own, since the radius sets the size of the search cells.
     """
-    near = None
-    for order in _orders(tiles):
-        radius = distance + healpix.pixel_radius_degrees(order)
+    orders = _orders(tiles)
+    if not orders:
+        return df.limit(0)
+    places = df.select(key, F.col(ra).alias("ra"), F.col(dec).alias("dec"))
+    near = in_coverage(places, tiles, "ra", "dec").select(key)
+    for order in orders:
         centre = healpix.pixel_centre("ipix", F.lit(order))
         centres = tiles.where(F.col("order") == order).select(F.col("ipix").alias("_ipix"), centre.alias("_at")).select("_ipix", "_at.*")
-        close = Sky(radius * 3600.0, (ra, dec), ("ra", "dec")).nearest(df, centres, key, "_ipix").select(F.col(ID1).alias(key))
-        near = close if near is None else near.unionByName(close)
-    if near is None:
-        return df.limit(0)
+        centres = checkpointed(centres.distinct())
+        if distance > 0:
+            near = near.unionByName(Sky(distance * 3600.0).nearest(places, centres, key, "_ipix").select(F.col(ID1).alias(key)))
+        near = checkpointed(near.distinct())
+        rest = places.join(near, key, "left_anti")
+        around = Sky((distance + healpix.pixel_radius_degrees(order)) * 3600.0).pairs(rest, centres, key, "_ipix")
+        measured = around.join(rest, around[ID1] == rest[key]).select(
+            key, healpix.distance_to_sides("ra", "dec", ID2, F.lit(order)).alias("_distance")
+        )
+        near = near.unionByName(measured.where(F.col("_distance") <= distance).select(key))
     return df.join(near.distinct(), key, "left_semi")
 
 

@@ -283,6 +283,9 @@ class Sky(Matcher):
     values2: tuple = ("ra", "dec")
 
     def axes(self, name):
+        # A radius of 0 asks for equal positions; the smallest cells do for that.
+        if not self.radius:
+            return None
         # A straight line through the sphere instead of an arc on it, in units of the radius.
         unit = 2 * math.sin(math.radians(min(self.radius * _ARCSEC, 180.0)) / 2)
         return [x / unit for x in unit_vector(f"{name}0", f"{name}1")]
@@ -345,10 +348,17 @@ class Cartesian(Matcher):
         return [float(self.tolerance)] * len(self.values1)
 
     def axes(self, name):
+        if not all(self.scales()):
+            return None
         return [F.col(f"{name}{i}") / s for i, s in enumerate(self.scales())]
 
+    @staticmethod
+    def _square(a: Column, b: Column, scale: float) -> Column:
+        """The squared distance along an axis in units of its tolerance; a tolerance of 0 asks for equal values."""
+        return ((a - b) / scale) ** 2 if scale else F.when(a == b, 0.0).otherwise(float("inf"))
+
     def scored(self, pairs):
-        squares = [((F.col(f"a{i}") - F.col(f"b{i}")) / s) ** 2 for i, s in enumerate(self.scales())]
+        squares = [self._square(F.col(f"a{i}"), F.col(f"b{i}"), s) for i, s in enumerate(self.scales())]
         relative = pairs.withColumn("_relative", F.sqrt(sum(squares[1:], squares[0]))).where(F.col("_relative") <= 1.0)
         return relative.withColumn(SCORE, F.col("_relative") * self.unit()).drop("_relative")
 
@@ -356,6 +366,9 @@ class Cartesian(Matcher):
         scales = self.scales()
         left, right = a, b
         for i, scale in enumerate(scales):
+            if not scale:
+                left, right = left.withColumn(f"_cell{i}", F.col(f"a{i}")), right.withColumn(f"_cell{i}", F.col(f"b{i}"))
+                continue
             reach = scale * (1 + 1e-9)
             low = F.floor((F.col(f"a{i}") - reach) / (2 * scale)).cast("long")
             high = F.floor((F.col(f"a{i}") + reach) / (2 * scale)).cast("long")

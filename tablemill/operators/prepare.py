@@ -70,16 +70,16 @@ def render_conversations(
     conversation: str = "conv_id",
     turn: str = "turn",
     generation: bool = False,
-    turns_per_part: int = 1024,
+    turns_per_part: int | None = None,
 ) -> DataFrame:
     """Whole conversations as template text: (conversation, part, turns, rejected, text).
 
-    A cell cannot grow without limit, so a conversation with more than ``turns_per_part`` turn
-    numbers continues in further parts; nothing is cut off, and no task ever collects more than
-    one part.
+    A conversation is one row, part 0. With ``turns_per_part``, one with more turn numbers continues
+    in further parts, for conversations that no cell can hold; nothing is cut off. ``render_turns`` gives the
+    pieces without gathering them.
     """
     pieces = render_turns(df, conversation, turn, generation)
-    part = F.floor(F.col(turn) / turns_per_part).cast("long").alias("part")
+    part = (F.floor(F.col(turn) / turns_per_part) if turns_per_part else F.lit(0)).cast("long").alias("part")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(turn), F.col("piece"))))
     text = F.array_join(F.transform(ordered, lambda p: p["piece"]), "")
     return pieces.groupBy(conversation, part).agg(

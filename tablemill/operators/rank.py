@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.blanks import is_floating
 from ..session import written
 
 # Fixed by Spark: the low 33 bits of monotonically_increasing_id are the place in the partition.
@@ -81,9 +82,16 @@ def order_statistics(df: DataFrame, wanted: list[tuple[Column, Callable[[int], i
     """
     names = [f"_v{i}" for i in range(len(wanted))]
     values = df.select(*[expr.alias(n) for (expr, _), n in zip(wanted, names)])
-    ends = values.agg(
-        *[f(n).alias(f"{f.__name__}{n}") for n in names for f in (F.min, F.max, F.count)]
-    ).first()
+    infinite = float("inf")
+    aggregates = []
+    for n in names:
+        # Infinities are the first and last ranks; with one as an end, all else would share a bin.
+        floating = is_floating(values.schema[n].dataType)
+        finite = F.when(F.abs(n) < infinite, F.col(n)) if floating else F.col(n)
+        aggregates += [f(finite).alias(f"{f.__name__}{n}") for f in (F.min, F.max)]
+        aggregates.append((F.count(F.when(~F.isnan(n), F.col(n))) if floating else F.count(n)).alias(f"count{n}"))
+        aggregates += [F.count(F.when(F.col(n) == end, 1) if floating else F.lit(None)).alias(f"{side}{n}") for side, end in (("low", -infinite), ("high", infinite))]
+    ends = values.agg(*aggregates).first()
     found: list = [None] * len(wanted)
     open_items = {}
     for i, ((_, rank_of), n) in enumerate(zip(wanted, names)):
@@ -91,6 +99,11 @@ def order_statistics(df: DataFrame, wanted: list[tuple[Column, Callable[[int], i
         rank = rank_of(count) if count else 0
         if rank < 1 or rank > count:
             continue
+        low, high = ends[f"low{n}"], ends[f"high{n}"]
+        if rank <= low or rank > count - high:
+            found[i] = -infinite if rank <= low else infinite
+            continue
+        rank -= low
         if lo == hi:
             found[i] = lo
         else:

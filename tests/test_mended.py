@@ -1,7 +1,14 @@
 """Cases that earlier versions got wrong."""
 
-from tablemill.operators import columns, rows
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from tablemill.functions import healpix
+from tablemill.operators import columns, coverage, match, rank, rows
 from tablemill.sources import records
+from tests.test_match import deepest, positions, sky, tiles
 
 
 def test_stray_elements_leave_their_file(spark):
@@ -30,3 +37,52 @@ def test_nan_is_blank_in_constant_columns(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, float("nan"))], "a double, b double")
     assert list(columns.constant_columns(df)[1]) == ["a"]
     assert sorted(columns.constant_columns(df, accept_null=True)[1]) == ["a", "b"]
+
+
+@pytest.mark.parametrize("find", ["all", "best1", "best"])
+def test_zero_tolerance_is_equality(spark, find):
+    a = spark.createDataFrame([(1, 10.0, 5.0), (2, 10.0, 6.0), (3, 0.0, -90.0)], "i int, ra double, dec double")
+    b = spark.createDataFrame([(7, 10.0, 5.0), (8, 10.0, 6.0 + 1e-9), (9, 0.0, -90.0)], "j int, ra double, dec double")
+    pairs = lambda m: {(r[0], r[1], r[2]) for r in match.find_pairs(m, a, b, "i", "j", find).collect()}
+    same = {(1, 7, 0.0), (3, 9, 0.0)}
+    assert pairs(match.Sky(0.0)) == same
+    assert pairs(match.Cartesian(0.0, ("ra", "dec"), ("ra", "dec"))) == same
+    assert {p[:2] for p in pairs(match.Anisotropic((0.0, 1.0), ("ra", "dec"), ("ra", "dec")))} >= {(1, 7), (2, 8), (3, 9)}
+
+
+def test_infinities_are_first_and_last_ranks(spark):
+    inf = float("inf")
+    values = [-inf, -inf, inf, float("nan"), None] + [float(i * i) for i in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    wanted = [(F.col("v"), lambda n, k=k: k) for k in (1, 2, 3, 150, 302, 303, 304)]
+    assert rank.order_statistics(df, wanted, bins=64) == [-inf, -inf, 0.0, 147.0**2, 299.0**2, inf, None]
+
+
+def test_ranges_of_any_length(spark):
+    top = 12 * 4**29 - 1
+    df = spark.createDataFrame([(1, f"29/0-{top}"), (2, "3/5-70"), (3, f"29/1-{top}"), (4, "2/12-15"), (5, "0/2-4 2/7")], "i int, m string")
+    found: dict = {}
+    for r in coverage.parse_ascii(df, "m").collect():
+        found.setdefault(r.i, set()).add((r.order, r.ipix))
+    assert found[1] == {(0, i) for i in range(12)} and found[4] == {(1, 3)} and found[5] == {(0, 2), (0, 3), (0, 4), (2, 7)}
+    assert deepest(found[2], 3) == set(range(5, 71))
+    assert sum(4 ** (29 - o) for o, _ in found[3]) == top and len(found[3]) == 11 + 3 * 29
+
+
+def test_near_coverage_is_exact(spark):
+    places = positions(400, 21)
+    cells = [(2, 17), (3, 400), (0, 11), (2, 70), (1, 0)]
+    near = {r.i for r in coverage.near_coverage(sky(spark, places, "i"), "i", tiles(spark, cells), 3.0).collect()}
+    order = 8
+    fine = np.array(sorted(deepest(cells, order)), dtype="int64")
+    at = healpix._centres(*(pd.Series(v) for v in (fine, np.full(len(fine), order))))
+
+    def vectors(ra, dec):
+        ra, dec = np.radians(ra), np.radians(dec)
+        return np.stack([np.cos(dec) * np.cos(ra), np.cos(dec) * np.sin(ra), np.sin(dec)], axis=-1)
+
+    grid = vectors(at.ra.to_numpy(), at.dec.to_numpy())
+    gaps = [np.degrees(2 * np.arcsin(np.linalg.norm(grid - vectors(*p), axis=1).min() / 2)) for p in places]
+    slack = healpix.pixel_radius_degrees(order)
+    assert {i for i, g in enumerate(gaps) if g <= 3.0} <= near <= {i for i, g in enumerate(gaps) if g <= 3.0 + slack}
+    assert len(near) < len(places)
