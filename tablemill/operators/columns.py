@@ -250,16 +250,14 @@ def explode_all(df: DataFrame, sizes: dict[str, int] | None = None, dimensions:
 # --- shape -----------------------------------------------------------------------------------------
 
 
-def transpose(df: DataFrame, name_column: str | None = None, heading: str = "heading", most_rows: int = 10_000) -> DataFrame:
+def transpose(df: DataFrame, name_column: str | None = None, heading: str = "heading") -> DataFrame:
     """Rows and columns swapped; the values of the first (or named) column become the column names.
 
-    Only for tables that fit as columns: a larger one is refused, never cut. Values become
+    The result has a column per row, so the names of all rows make up its schema and are read for it. Values become
     text, as one new column holds what were cells of different types.
     """
     name_column = name_column or df.columns[0]
-    names = [r[0] for r in df.select(quoted(name_column).cast("string")).limit(most_rows + 1).collect()]
-    if len(names) > most_rows:
-        raise ValueError(f"cannot transpose more than {most_rows} rows")
+    names = [r[0] for r in df.select(quoted(name_column).cast("string")).collect()]
     if len(set(names)) < len(names) or None in names:
         raise ValueError(f"{name_column} does not name the rows uniquely")
     values = [c for c in df.columns if c != name_column]

@@ -24,6 +24,8 @@ from .rank import rank_within
 
 ID1, ID2, SCORE = "_id1", "_id2", "_score"
 _ARCSEC = 1 / 3600
+# The power of two, in arcseconds, that is more than half the sky.
+_WHOLE_SKY = 20
 
 
 class Matcher:
@@ -223,8 +225,11 @@ class _SkyCells:
     of zones.
     """
 
-    def __init__(self, height: float):
-        self.height = min(max(height, 1e-7), 60.0)
+    def __init__(self, height):
+        if isinstance(height, Column):
+            self.height = F.least(F.greatest(height, F.lit(1e-7)), F.lit(60.0))
+        else:
+            self.height = min(max(height, 1e-7), 60.0)
 
     def zone(self, dec: Column) -> Column:
         return F.floor((dec + 90.0) / self.height).cast("long")
@@ -307,8 +312,12 @@ class Sky(Matcher):
 class SkyErrors(Matcher):
     """Distance on the sky of at most the sum of two per-row errors (arcseconds, third value).
 
-    ``scale`` is a typical error; it sets the size of the cells but never the result. The score is
+    ``scale`` is a typical error; it sets the size of the smallest cells but never the result. The score is
     the distance as a fraction of the allowed one.
+
+    Errors fall into classes by powers of two, and a pair is found in the cells of the larger of its two classes, so
+    that one large error widens no other search. A row is copied to the classes above its own that occur at all:
+    some ten, and never more than there are powers of two between ``scale`` and the whole sky.
     """
 
     scale: float
@@ -316,20 +325,41 @@ class SkyErrors(Matcher):
     values2: tuple = ("ra", "dec", "err")
 
     def candidates(self, a, b):
-        [most] = b.agg(F.max("b2")).first()
-        most = float(most or 0.0)
-        grid = _SkyCells(2 * self.scale * _ARCSEC)
-        reach = (F.col("a2") + most) * _ARCSEC * (1 + 1e-9) + 1e-12
-        left = grid.reached(a, "a0", "a1", reach)
-        right = grid.own(b, "b0", "b1")
+        scale = max(float(self.scale), 1e-4)
+        smallest = min(math.ceil(math.log2(scale)), _WHOLE_SKY)
+
+        def classed(df: DataFrame, error: str) -> DataFrame:
+            power = F.least(F.ceil(F.log2(F.greatest(error, F.lit(scale)))), F.lit(_WHOLE_SKY))
+            return df.withColumn("_class", F.greatest(power, F.lit(smallest)).cast("int"))
+
+        a, b = classed(a, "a2"), classed(b, "b2")
+        levels = sorted(r[0] for r in a.select("_class").union(b.select("_class")).distinct().collect())
+        level = F.array(*[F.lit(x) for x in levels]).cast("array<int>")
+        higher = F.explode(F.filter(level, lambda x: x > F.col("_class")))
+        # A hair more than the cells' own measure, so that rounding cannot lose a border case.
+        widest = F.pow(F.lit(2.0), F.col("_level"))
+        grid = _SkyCells(2 * widest * _ARCSEC)
+        reach = F.least((F.col("a2") + widest) * _ARCSEC * (1 + 1e-9) + 1e-12, F.lit(360.0))
+
+        def met(own_a: bool) -> DataFrame:
+            """Pairs of the class of ``a``, those of equal class among them; or of the class of ``b`` where that is larger."""
+            this, other = (a, b) if own_a else (b, a)
+            this = this.withColumn("_level", F.col("_class"))
+            other = other.withColumn("_level", F.col("_class")).unionByName(other.withColumn("_level", higher)) if own_a else other.withColumn("_level", higher)
+            left, right = (this, other) if own_a else (other, this)
+            left = grid.reached(left.drop("_class"), "a0", "a1", reach)
+            right = grid.own(right.drop("_class"), "b0", "b1")
+            return left.join(right, ["_level", "_zone", "_cell"])
+
         distance = sky_distance("a0", "a1", "b0", "b1") / _ARCSEC
         allowed = F.col("a2") + F.col("b2")
         return (
-            left.join(right, ["_zone", "_cell"])
+            met(True)
+            .unionByName(met(False))
             .withColumn("_distance", distance)
             .where(F.col("_distance") <= allowed)
             .withColumn(SCORE, F.coalesce(F.try_divide(F.col("_distance"), allowed), F.lit(0.0)))
-            .drop("_zone", "_cell", "_distance")
+            .drop("_level", "_zone", "_cell", "_distance")
         )
 
 

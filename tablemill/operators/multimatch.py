@@ -157,3 +157,31 @@ def match_groups(inputs: list[Input], matcher: Matcher, fixcols: str = "dups", s
         alone = i.table.select(quoted(i.key).alias(f"_m{n}")).join(grouped, F.col(f"_m{n}") == F.col("_g"), "left_anti")
         ids = ids.unionByName(alone, allowMissingColumns=True)
     return _with_tables(ids, inputs, fixcols, suffixes)
+
+
+def within_pairs(table: DataFrame, key: str, matcher: Matcher, values: tuple) -> DataFrame:
+    """Close pairs of rows of one table, each once with the smaller key first: (_id1, _id2, _score).
+
+    As many as there are; where copies abound, :func:`within_groups` says the same in one row per row.
+    """
+    return replace(matcher, values1=values, values2=values).pairs(table, table, key, key).where(F.col(ID1) < F.col(ID2))
+
+
+def within_groups(table: DataFrame, key: str, matcher: Matcher, values: tuple, group: str = "group", size: str = "size") -> DataFrame:
+    """Rows of one table that are linked with another by chains of close pairs: key, group (its smallest key), its size.
+
+    Rows at one position are one from the start, so copies make no pairs. Rows with blank positions are in no group.
+    """
+    one = replace(matcher, values1=values, values2=values)
+    rows = {side: one.keyed(table, key, values, side) for side in ("a", "b")}
+    firsts = {s: rows[s].groupBy(f"_p{s}").agg(F.min(f"_id_{s}").alias(f"_i{s}"), F.count("*").alias(f"_n{s}")) for s in rows}
+    close = one.candidates(firsts["a"].select("_pa", "_pa.*", "_ia"), firsts["b"].select("_pb", "_pb.*", "_ib"))
+    component = checkpointed(connected_components(close.where("_ia < _ib").select("_ia", "_ib")))
+    places = firsts["a"].join(component, F.col("_ia") == F.col("node"), "left").select(
+        F.col("_pa").alias("_place"), F.coalesce("component", "_ia").alias("_group"), F.col("_na").alias("_n")
+    )
+    sizes = places.groupBy("_group").agg(F.sum("_n").alias("_size")).where("_size > 1")
+    places = places.drop("_n").join(sizes, "_group")
+    return rows["a"].join(places, F.col("_pa") == F.col("_place")).select(
+        F.col("_id_a").alias(key), F.col("_group").alias(group), F.col("_size").alias(size)
+    )

@@ -71,20 +71,26 @@ def _bin(value: Column, lo, hi, bins: int) -> Column:
     )
 
 
+#: Intervals counted in one pass over the data, at most; more open ones take further passes.
+INTERVALS = 32
+
+
 def order_statistics(df: DataFrame, wanted: list[tuple[Column, Callable[[int], int]]], bins: int = 4096) -> list:
     """The exact value at one 1-based rank of each numeric expression, blanks left out.
 
-    ``wanted`` lists (expression, function that gives the rank for the number of values). Each pass counts the values of every still open interval
+    ``wanted`` lists (expression, function that gives the rank for the number of values). Each pass counts the values of open intervals
     in equal bins, with the smallest and largest value met per bin, and keeps the bin that holds
-    the rank, until that bin holds a single value. Only bin counts reach the driver (``bins``
-    rows per item), each pass shuffles nothing but partial counts, and a value shared by a third of
+    the rank, until that bin holds a single value. Ranks that are looked for in the same interval of the same
+    expression object share its counts. Only bin counts reach the driver (``bins`` rows for each of at most
+    ``INTERVALS`` intervals), each pass shuffles nothing but partial counts, and a value shared by a third of
     all rows ends its search at once. A rank outside 1..n gives None.
     """
-    names = [f"_v{i}" for i in range(len(wanted))]
-    values = df.select(*[expr.alias(n) for (expr, _), n in zip(wanted, names)])
+    expressions = {id(expr): expr for expr, _ in wanted}
+    named = {key: f"_v{i}" for i, key in enumerate(expressions)}
+    values = df.select(*[expr.alias(named[key]) for key, expr in expressions.items()])
     infinite = float("inf")
     aggregates = []
-    for n in names:
+    for n in named.values():
         # Infinities are the first and last ranks; with one as an end, all else would share a bin.
         floating = is_floating(values.schema[n].dataType)
         finite = F.when(F.abs(n) < infinite, F.col(n)) if floating else F.col(n)
@@ -94,7 +100,8 @@ def order_statistics(df: DataFrame, wanted: list[tuple[Column, Callable[[int], i
     ends = values.agg(*aggregates).first()
     found: list = [None] * len(wanted)
     open_items = {}
-    for i, ((_, rank_of), n) in enumerate(zip(wanted, names)):
+    for i, (expr, rank_of) in enumerate(wanted):
+        n = named[id(expr)]
         lo, hi, count = ends[f"min{n}"], ends[f"max{n}"], ends[f"count{n}"]
         rank = rank_of(count) if count else 0
         if rank < 1 or rank > count:
@@ -107,48 +114,52 @@ def order_statistics(df: DataFrame, wanted: list[tuple[Column, Callable[[int], i
         if lo == hi:
             found[i] = lo
         else:
-            open_items[i] = (lo, hi, rank)
+            open_items[i] = ((n, lo, hi), rank)
     while open_items:
-        cells = []
-        for i, (lo, hi, _) in open_items.items():
-            value = F.col(names[i])
-            cell = _bin(value, lo, hi, bins)
-            cells.append(
-                F.struct(
-                    F.lit(i).alias("item"),
-                    F.when(value.between(lo, hi), cell).alias("bin"),
-                    value.alias("value"),
-                )
-            )
-        # One array slot per item; items over columns of different types are counted apart.
-        by_type: dict = {}
-        for i, cell in zip(open_items, cells):
-            by_type.setdefault(values.schema[names[i]].dataType, []).append(cell)
-        counted = []
-        for group in by_type.values():
-            counted += (
-                values.select(F.explode(F.array(*group)).alias("c"))
-                .select("c.*")
-                .where("bin is not null")
-                .groupBy("item", "bin")
-                .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-                .orderBy("item", "bin")
-                .collect()
-            )
+        intervals = list(dict.fromkeys(interval for interval, _ in open_items.values()))
+        counted = {}
+        for start in range(0, len(intervals), INTERVALS):
+            counted |= _counts(values, intervals[start : start + INTERVALS], bins)
         still_open = {}
-        for i, (_, _, rank) in open_items.items():
-            for row in (r for r in counted if r["item"] == i):
+        for i, (interval, rank) in open_items.items():
+            for row in counted[interval]:
                 if rank <= row["n"]:
                     if row["lo"] == row["hi"]:
                         found[i] = row["lo"]
                     else:
-                        still_open[i] = (row["lo"], row["hi"], rank)
+                        still_open[i] = ((interval[0], row["lo"], row["hi"]), rank)
                     break
                 rank -= row["n"]
         open_items = still_open
     return found
 
 
+def _counts(values: DataFrame, intervals: list[tuple], bins: int) -> dict[tuple, list]:
+    """The filled bins of each interval (column, smallest, largest value) in order."""
+    # One array slot per interval; those over columns of different types are counted apart.
+    by_type: dict = {}
+    for i, (name, lo, hi) in enumerate(intervals):
+        value = F.col(name)
+        cell = F.when(value.between(lo, hi), _bin(value, lo, hi, bins))
+        by_type.setdefault(values.schema[name].dataType, []).append(
+            F.struct(F.lit(i).alias("item"), cell.alias("bin"), value.alias("value"))
+        )
+    counted: dict[tuple, list] = {interval: [] for interval in intervals}
+    for group in by_type.values():
+        rows = (
+            values.select(F.explode(F.array(*group)).alias("c"))
+            .select("c.*")
+            .where("bin is not null")
+            .groupBy("item", "bin")
+            .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+            .orderBy("item", "bin")
+            .collect()
+        )
+        for row in rows:
+            counted[intervals[row["item"]]].append(row)
+    return counted
+
+
 def exact_quantiles(df: DataFrame, wanted: list[tuple[Column, float]]) -> list:
     """Exact quantiles with linear interpolation between neighbouring values, blanks left out."""
     counts: list[int] = [0] * len(wanted)

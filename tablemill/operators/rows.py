@@ -1,17 +1,19 @@
 """Row filters. Each sees the rows its predecessor put out.
 
 A DataFrame has no order of its own, so every filter that depends on positions takes ``order_by``, the
-columns of a total order. Short heads and tails are top-k queries; anything longer numbers the
-rows in a distributed way, so no result size forces the table through one task.
+columns of a total order. Heads, tails and ranges of any size go one way, which counts on the first key
+and sorts only what lies between two of its values, so no result size forces the table through one task. These
+counts are jobs that run while the plan is built.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.blanks import as_column, is_floating, typed_blank_to_null
 from .rank import number_rows
 
-# Up to this many rows a top-k query is used; each task then keeps at most this many rows.
-TOP_K = 100_000
+# The quantile sketch that brackets a run of positions is off by at most one row in so many.
+ACCURACY = 10_000
+_SKETCHED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def select_rows(df: DataFrame, condition) -> DataFrame:
@@ -25,12 +27,7 @@ def sort_order(df: DataFrame, keys, down: bool = False, nulls_first: bool = Fals
     Keys are column names or expressions. A minus sign before a name turns that key's direction.
     """
     orders = []
-    for key in [keys] if isinstance(keys, (str, Column)) else list(keys):
-        falling, column = down, key
-        if isinstance(key, str):
-            turned = key.startswith("-") and key not in df.columns
-            falling = down != turned
-            column = typed_blank_to_null(df, key[1:] if turned else key)
+    for column, falling in _directed(df, keys, down):
         if falling:
             orders.append(column.desc_nulls_first() if nulls_first else column.desc_nulls_last())
         else:
@@ -38,25 +35,64 @@ def sort_order(df: DataFrame, keys, down: bool = False, nulls_first: bool = Fals
     return orders
 
 
-def _reversed(df: DataFrame, keys, down: bool, nulls_first: bool) -> list[Column]:
-    return sort_order(df, keys, not down, not nulls_first)
+def _directed(df: DataFrame, keys, down: bool) -> list[tuple[Column, bool]]:
+    """Each key as a column, and whether it falls."""
+    directed = []
+    for key in [keys] if isinstance(keys, (str, Column)) else list(keys):
+        falling, column = down, key
+        if isinstance(key, str):
+            turned = key.startswith("-") and key not in df.columns
+            falling = down != turned
+            column = typed_blank_to_null(df, key[1:] if turned else key)
+        directed.append((column, falling))
+    return directed
+
 
+def _positions(df: DataFrame, keys, down: bool, nulls_first: bool, first: int, last: int) -> DataFrame:
+    """Rows ``first`` to ``last`` of the order, both included, in that order.
 
-def _positions(df: DataFrame, order: list[Column], first: int, last: int) -> DataFrame:
-    """Rows ``first`` to ``last`` of the order, both included."""
-    if last <= TOP_K:
-        return df.orderBy(*order).limit(last).offset(first - 1)
-    return number_rows(df, order).where(F.col("_rn").between(first, last)).orderBy("_rn").drop("_rn")
+    A quantile sketch of the first key gives two values around the positions. The rows before the bracket are counted,
+    and those inside it sorted and numbered: a few in 10,000 rows more than asked for, and the ties of its ends.
+    The count also proves the bracket; should it miss, or if the first key is neither number nor time, all
+    rows are numbered.
+    """
+    order = sort_order(df, keys, down, nulls_first)
+    if last < first:
+        return df.where(F.lit(False))
+    key, falling = _directed(df, keys, down)[0]
+    inside, before = F.lit(True), 0
+    if isinstance(df.select(key.alias("k")).schema["k"].dataType, _SKETCHED):
+        found = _bracket(df, key, falling, nulls_first, first, last)
+        inside, before = found or (inside, before)
+    numbered = number_rows(df.where(inside), order)
+    return numbered.where(F.col("_rn").between(first - before, last - before)).orderBy("_rn").drop("_rn")
+
+
+def _bracket(df: DataFrame, key: Column, falling: bool, nulls_first: bool, first: int, last: int) -> tuple[Column, int] | None:
+    """A condition that rows ``first`` to ``last`` meet, and the number of rows before all that meet it."""
+    rows, filled = df.agg(F.count("*"), F.count(key)).first()
+    blanks = rows - filled if nulls_first else 0
+    shares = [(first - blanks) / max(filled, 1) - 2 / ACCURACY, (last - blanks) / max(filled, 1) + 2 / ACCURACY]
+    if falling:
+        shares = [1 - shares[1], 1 - shares[0]]
+    bounds = df.agg(F.percentile_approx(key, [min(max(s, 0.0), 1.0) for s in shares], ACCURACY)).first()[0]
+    low = key >= F.lit(bounds[0]) if bounds and shares[0] > 0 else F.lit(True)
+    high = key <= F.lit(bounds[1]) if bounds and shares[1] < 1 else F.lit(True)
+    with_blanks = first <= blanks if nulls_first else last > filled
+    inside = F.when(key.isNull(), F.lit(with_blanks)).otherwise(low & high)
+    outside_first = F.when(key.isNull(), F.lit(nulls_first and not with_blanks)).otherwise(~high if falling else ~low)
+    before, within = df.agg(F.count(F.when(outside_first, 1)), F.count(F.when(inside, 1))).first()
+    return (inside, before) if before < first and before + within >= min(last, rows) else None
 
 
 def head(df: DataFrame, rows: int, order_by) -> DataFrame:
     """The first rows of the order."""
-    return _positions(df, sort_order(df, order_by), 1, _whole(rows))
+    return _positions(df, order_by, False, False, 1, _whole(rows))
 
 
 def tail(df: DataFrame, rows: int, order_by) -> DataFrame:
     """The last rows of the order, in that order."""
-    last = _positions(df, _reversed(df, order_by, False, False), 1, _whole(rows))
+    last = _positions(df, order_by, True, True, 1, _whole(rows))
     return last.orderBy(*sort_order(df, order_by))
 
 
@@ -72,7 +108,7 @@ def row_range(df: DataFrame, first: int, last: int | str, order_by) -> DataFrame
         last = first + int(last[1:]) - 1
     if first < 1 or last < 1:
         raise ValueError("row index must be at least 1")
-    return _positions(df, sort_order(df, order_by), first, int(last))
+    return _positions(df, order_by, False, False, first, int(last))
 
 
 def every(df: DataFrame, step: int, order_by, exact: bool = True) -> DataFrame:
@@ -83,7 +119,8 @@ def every(df: DataFrame, step: int, order_by, exact: bool = True) -> DataFrame:
     if exact:
         return number_rows(df, sort_order(df, order_by)).where((F.col("_rn") - 1) % step == 0).drop("_rn")
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    return df.where(F.pmod(F.xxhash64(*keys), F.lit(step)) == 0)
+    named = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+    return df.where(F.conv(F.substring(named, 1, 15), 16, 10).cast("long") % step == 0)
 
 
 def sort(df: DataFrame, keys, down: bool = False, nulls_first: bool = False) -> DataFrame:
@@ -98,10 +135,10 @@ def sort_head(
 
     Ascending unless ``down``: the brightest ten are the ten smallest magnitudes.
     """
-    order = sort_order(df, keys, down, nulls_first)
     if not from_tail:
-        return _positions(df, order, 1, _whole(rows))
-    return _positions(df, _reversed(df, keys, down, nulls_first), 1, _whole(rows)).orderBy(*order)
+        return _positions(df, keys, down, nulls_first, 1, _whole(rows))
+    last = _positions(df, keys, not down, not nulls_first, 1, _whole(rows))
+    return last.orderBy(*sort_order(df, keys, down, nulls_first))
 
 
 def repeat(df: DataFrame, count: int, order_by, by_row: bool = False, copy: str = "copy") -> DataFrame:

@@ -25,9 +25,6 @@ _METADATA = {
     "Utype": "utype", "Xtype": "xtype",
 }
 _QUANTILES = {"Median": 0.5, "Quartile1": 0.25, "Quartile2": 0.5, "Quartile3": 0.75}
-# Exact quantiles of at most this many rows are left to the built-in aggregate, which keeps every
-# distinct value of a column in memory; beyond it they are found by counting.
-BUILT_IN_ROWS = 1_000_000
 
 
 def _share(item: str) -> float | None:
@@ -64,7 +61,8 @@ def statistics(
     """One row per column with the wanted items; numeric items are blank for other columns.
 
     Everything but exact quantiles comes from one aggregate over all columns. Quantiles
-    interpolate linearly between neighbouring values unless ``approximate``. MinPos and MaxPos
+    interpolate linearly between neighbouring values and are found by counting, in jobs that run while the plan is
+    built, unless ``approximate``: those are sketches in the one aggregate. MinPos and MaxPos
     are row positions from 1 in the order of ``order_by``.
     """
     columns = list(columns or df.columns)
@@ -80,23 +78,23 @@ def statistics(
     found: dict[tuple[str, str], Column] = {}
     shares = {i: _share(i) for i in items if _share(i) is not None}
     deviations = [i for i in items if i in ("MedAbsDev", "ScMedAbsDev")]
-    if approximate:
-        built_in = True
-    else:
-        built_in = not (shares or deviations) or df.count() <= BUILT_IN_ROWS
     medians = {}
-    quantile = _quantile(approximate)
+    numbers = {c: _number(df, c) for c in numeric}
+
+    def quantile(x: Column, wanted) -> Column:
+        return F.percentile_approx(x, wanted, 10_000)
+
     if deviations:
-        if built_in:
+        if approximate:
             row = df.agg(*[quantile(_number(df, c), 0.5).alias(f"m{i}") for i, c in enumerate(numeric)]).first()
             medians = {c: row[f"m{i}"] for i, c in enumerate(numeric)}
         else:
-            medians = dict(zip(numeric, exact_quantiles(df, [(_number(df, c), 0.5) for c in numeric])))
-    if not built_in:
-        wanted = [(_number(df, c), s) for c in numeric for s in shares.values()]
+            medians = dict(zip(numeric, exact_quantiles(df, [(numbers[c], 0.5) for c in numeric])))
+    if not approximate and (shares or deviations):
+        wanted = [(numbers[c], s) for c in numeric for s in shares.values()]
         keys = [(c, i) for c in numeric for i in shares]
         if deviations:
-            wanted += [(F.abs(_number(df, c) - F.lit(medians[c])), 0.5) for c in numeric]
+            wanted += [(F.abs(numbers[c] - F.lit(medians[c])), 0.5) for c in numeric]
             keys += [(c, "MedAbsDev") for c in numeric]
         for key, value in zip(keys, exact_quantiles(df, wanted)):
             found[key] = F.lit(value).cast("double")
@@ -180,12 +178,6 @@ _MOMENTS = {
 }
 
 
-def _quantile(approximate: bool):
-    if approximate:
-        return lambda x, shares: F.percentile_approx(x, shares, 10_000)
-    return lambda x, shares: F.percentile(x, shares)
-
-
 def _cardinalities(df: DataFrame, columns: list[str]) -> set[str]:
     """Columns with few enough distinct values to count them exactly.
 

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,27 @@ def test_errors_per_row(spark):
     found = match.find_pairs(match.SkyErrors(60.0), sky(spark, a, "ia"), sky(spark, b, "ib"), "ia", "ib", "all")
     expected = {(i, j) for i, p in enumerate(a) for j, q in enumerate(b) if separation(p[:2], q[:2]) * 3600 <= p[2] + q[2]}
     assert ids(found) == expected and expected
+    # One error of ten degrees, one of the whole sky, one of none.
+    a[0], b[0], b[1] = (*a[0][:2], 36_000.0), (*b[0][:2], 3e6), (*b[1][:2], 0.0)
+    found = match.find_pairs(match.SkyErrors(60.0), sky(spark, a, "ia"), sky(spark, b, "ib"), "ia", "ib", "all")
+    expected = {(i, j) for i, p in enumerate(a) for j, q in enumerate(b) if separation(p[:2], q[:2]) * 3600 <= p[2] + q[2]}
+    assert ids(found) == expected and found.count() == len(expected)
+
+
+def test_groups_within_one_table(spark):
+    r = random.Random(11)
+    points = [(r.uniform(0, 30),) for _ in range(150)] + [(5.0,)] * 60 + [(None,)]
+    df = table(spark, points, "i")
+    matcher = match.Cartesian(0.1, ("x0",), ("x0",))
+    close = {(i, j) for i, p in enumerate(points[:-1]) for j, q in enumerate(points[:-1]) if i < j and abs(p[0] - q[0]) <= 0.1}
+    assert ids(multimatch.within_pairs(df, "i", matcher, ("x0",))) == close
+    group = {i: i for i in range(len(points) - 1)}
+    for _ in range(len(points)):
+        for i, j in close:
+            group[i] = group[j] = min(group[i], group[j])
+    sizes = Counter(group.values())
+    found = {tuple(x) for x in multimatch.within_groups(df, "i", matcher, ("x0",)).collect()}
+    assert found == {(i, g, sizes[g]) for i, g in group.items() if sizes[g] > 1}
 
 
 @pytest.mark.parametrize("dimensions", [1, 2, 3])
