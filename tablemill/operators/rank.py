@@ -152,10 +152,9 @@ def _counts(values: DataFrame, intervals: list[tuple], bins: int) -> dict[tuple,
             .where("bin is not null")
             .groupBy("item", "bin")
             .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-            .orderBy("item", "bin")
             .collect()
         )
-        for row in rows:
+        for row in sorted(rows, key=lambda r: (r["item"], r["bin"])):
             counted[intervals[row["item"]]].append(row)
     return counted
 

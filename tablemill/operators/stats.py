@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.blanks import is_floating
 from .columns import quoted
-from .rank import exact_quantiles, number_rows
+from .rank import exact_quantiles
 
 # The statistics and their defaults, the scale of the scaled median absolute deviation, and the
 # number of distinct values above which Cardinality is blank.
@@ -63,7 +63,8 @@ def statistics(
     Everything but exact quantiles comes from one aggregate over all columns. Quantiles
     interpolate linearly between neighbouring values and are found by counting, in jobs that run while the plan is
     built, unless ``approximate``: those are sketches in the one aggregate. MinPos and MaxPos
-    are row positions from 1 in the order of ``order_by``.
+    are row positions from 1 in the order of the columns ``order_by``, blanks last: the rows before the first one with the
+    extreme value are counted, so nothing is sorted.
     """
     columns = list(columns or df.columns)
     unknown = [i for i in items if i not in SCHEMA_ITEMS + VALUE_ITEMS and _share(i) is None]
@@ -73,7 +74,9 @@ def statistics(
     if {"MinPos", "MaxPos"} & set(items):
         if order_by is None:
             raise ValueError("positions need an order")
-        df = number_rows(df, order_by)
+        keys = [quoted(k) if isinstance(k, str) else k for k in ([order_by] if isinstance(order_by, (str, Column)) else order_by)]
+        place = F.struct(*[x for i, k in enumerate(keys) for x in (k.isNull().alias(f"blank{i}"), k.alias(f"key{i}"))])
+        first_places = _first_places(df, place, numeric, [i for i in items if i in ("MinPos", "MaxPos")])
 
     found: dict[tuple[str, str], Column] = {}
     shares = {i: _share(i) for i in items if _share(i) is not None}
@@ -130,9 +133,8 @@ def statistics(
         if item in _MOMENTS:
             return aggregated(_MOMENTS[item](x))
         if item in ("MinPos", "MaxPos"):
-            sign = 1 if item == "MinPos" else -1
-            # The first row of the extreme value, as a minimum so that tasks can combine their parts.
-            return aggregated(F.min_by("_rn", F.when(x.isNotNull(), F.struct(x * sign, F.col("_rn")))))
+            first = first_places[column, item]
+            return F.lit(None).cast("long") if first is None else aggregated(F.count(F.when(place < first, 1)) + 1)
         if item in shares:
             if (column, "quantiles") not in found:
                 # All quantiles of a column from one collection of its values.
@@ -178,6 +180,24 @@ _MOMENTS = {
 }
 
 
+def _first_places(df: DataFrame, place: Column, numeric: list[str], items: list[str]) -> dict[tuple[str, str], Column | None]:
+    """The place of the first row that has a column's smallest or largest value, as a literal."""
+    wanted = [(c, i) for c in numeric for i in items]
+    if not wanted:
+        return {}
+    columns = []
+    for n, (c, item) in enumerate(wanted):
+        x = _number(df, c) * (1 if item == "MinPos" else -1)
+        # A minimum, so that tasks can combine their parts.
+        columns.append(F.min_by(place, F.when(x.isNotNull(), F.struct(x, place))).alias(f"_p{n}"))
+    kinds = df.select(place.alias("place")).schema["place"].dataType
+    found = df.agg(*columns).first()
+    return {
+        key: None if row is None else F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kinds)])
+        for key, row in zip(wanted, found)
+    }
+
+
 def _cardinalities(df: DataFrame, columns: list[str]) -> set[str]:
     """Columns with few enough distinct values to count them exactly.
 
