@@ -16,8 +16,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
-    return near_dedup.one_of_each(docs)
+    """One document of each group of near-duplicates, the one with the smallest id. Links are five-word shingles of a
+    similarity of 0.8 or more, not those of op5."""
+    return near_dedup.one_of_each(docs, width=5, alike=(80, 100))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
 """Near-duplicate groups by MinHash with odd sketches."""
 
+import math
+from dataclasses import dataclass
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -8,20 +12,63 @@ from ..operators.multimatch import connected_components
 from ..session import written
 from . import flat
 
-#: Words of a shingle, and the least similarity of a link as a fraction.
+#: Words of a shingle, and the least similarity of a link as a fraction, unless a caller asks for others.
 WIDTH, ALIKE = 3, (85, 100)
-#: Bands of rows of MinHash samples. A link of similarity 0.85 is in no common band with probability 6e-11.
-BANDS, ROWS = 32, 4
+#: Probability at most with which a link of the least similarity is in no common band, and with which it is above the
+#: limit of its sketches; more alike pairs are missed less.
+MISS = 1e-10
+#: Bands have up to so many rows of MinHash samples, fewer where that would take more than so many bands.
+MOST_ROWS, MANY_BANDS = 4, 64
 #: Bits of an odd sketch. A sample that differs flips two bits at most, so the number of differing bits is at most twice
-#: the number of differing samples: a pair above the limit below has more than 48 of 128 samples different, which
-#: happens with probability 1e-10 at similarity 0.85.
-SKETCH_BITS, MOST_DIFFERENT = 512, 2 * 48
+#: the number of differing samples, whatever the number of samples.
+SKETCH_BITS = 512
 #: Sets of a group that are compared with one another in one task, and shingles looked at side by side there.
 BLOCK, COLUMNS = 512, 4096
 
-_RNG = np.random.default_rng(5)
-_FACTORS = _RNG.integers(1, 2**32 - 1, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_MASKS = _RNG.integers(0, 2**32 - 1, BANDS * ROWS, dtype=np.uint32)
+
+@dataclass(frozen=True)
+class Likeness:
+    """What a link is, and the bands and sketch limit that find it: bands of rows of samples, and the most bits in which
+    the sketches of a link differ."""
+
+    width: int
+    alike: tuple[int, int]
+    bands: int
+    rows: int
+    most_different: int
+
+    @property
+    def samples(self) -> int:
+        return self.bands * self.rows
+
+
+@lru_cache
+def likeness(width: int = WIDTH, alike: tuple[int, int] = ALIKE) -> Likeness:
+    """Shingles of ``width`` words and a similarity of at least ``alike``, with bands and limit by MISS."""
+    if width < 1 or not 0 < alike[0] <= alike[1]:
+        raise ValueError("shingles have a word or more, and the least similarity is above 0 and at most 1")
+    s = alike[0] / alike[1]
+    for rows in range(MOST_ROWS, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-(s**rows))) if s < 1 else 1
+        if bands <= MANY_BANDS:
+            break
+    most, beyond = bands * rows, 0.0
+    while s < 1 and most > 0:
+        # The probability that exactly ``most`` of all samples differ.
+        n = bands * rows
+        ways = math.lgamma(n + 1) - math.lgamma(most + 1) - math.lgamma(n - most + 1)
+        beyond += math.exp(ways + most * math.log(1 - s) + (n - most) * math.log(s))
+        if beyond > MISS:
+            break
+        most -= 1
+    return Likeness(width, alike, bands, rows, 2 * most if s < 1 else 0)
+
+
+@lru_cache
+def _hashes(samples: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(5)
+    factors = rng.integers(1, 2**32 - 1, samples, dtype=np.uint32) | np.uint32(1)
+    return factors, rng.integers(0, 2**32 - 1, samples, dtype=np.uint32)
 
 
 def shingles(column, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -43,50 +90,51 @@ def shingles(column, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     return grams[new], np.r_[0, np.cumsum(np.bincount(text[new], minlength=len(count)))]
 
 
-def sketches(grams: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sketches(grams: np.ndarray, offsets: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, odd sketches) of the non-empty sets; a sketch is SKETCH_BITS bits as bytes."""
     short = (grams >> np.uint64(32)).astype(np.uint32)
-    samples = np.empty((BANDS * ROWS, len(offsets) - 1), np.uint32)
+    factors, masks = _hashes(like.samples)
+    samples = np.empty((like.samples, len(offsets) - 1), np.uint32)
     step = 1 << 16
     cuts = np.searchsorted(offsets, np.arange(step, int(offsets[-1]), step))
     cuts = np.unique(np.r_[0, cuts, len(offsets) - 1])
     for a, b in zip(cuts[:-1], cuts[1:]):
         part, starts = short[offsets[a] : offsets[b]], offsets[a:b] - offsets[a]
-        for k in range(BANDS * ROWS):
-            samples[k, a:b] = np.minimum.reduceat((part ^ _MASKS[k]) * _FACTORS[k], starts)
-    seat = np.arange(BANDS * ROWS, dtype=np.uint64)[:, None] << np.uint64(32)
+        for k in range(like.samples):
+            samples[k, a:b] = np.minimum.reduceat((part ^ masks[k]) * factors[k], starts)
+    seat = np.arange(like.samples, dtype=np.uint64)[:, None] << np.uint64(32)
     named = flat.mixed(seat | samples)
-    keys = np.zeros((BANDS, len(offsets) - 1), np.uint64)
-    for r in range(ROWS):
-        keys = flat.mixed(keys * np.uint64(0x9E3779B97F4A7C15) + named[r::ROWS])
+    keys = np.zeros((like.bands, len(offsets) - 1), np.uint64)
+    for r in range(like.rows):
+        keys = flat.mixed(keys * np.uint64(0x9E3779B97F4A7C15) + named[r :: like.rows])
     # Folding by parity: the bit of a sample is flipped, so samples that share a bit cancel out in pairs.
     bits = np.zeros((len(offsets) - 1, SKETCH_BITS), np.uint8)
     column = (named % np.uint64(SKETCH_BITS)).astype(np.int64)
-    for k in range(BANDS * ROWS):
+    for k in range(like.samples):
         bits[np.arange(len(bits)), column[k]] ^= 1
     return keys.T, np.packbits(bits, axis=1)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, id_col: str, text_col: str, like: Likeness) -> DataFrame:
     """(doc_id, n, sign1, sign2, bands, sketch): the signature names the set, so equal sets need no further look."""
 
     def scan(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
-                grams, offsets = shingles(part.column(1))
+                grams, offsets = shingles(part.column(1), like.width)
                 n = np.diff(offsets)
                 sums = [np.zeros(len(grams) + 1, np.uint64) for _ in range(2)]
                 np.cumsum(flat.mixed(grams), out=sums[0][1:])
                 np.cumsum(flat.mixed(grams ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1][1:])
                 sign = [flat.mixed(s[offsets[1:]] - s[offsets[:-1]]).view(np.int64) for s in sums]
                 full = n > 0
-                bands, sketch = np.zeros((len(n), BANDS), np.uint64), [None] * len(n)
+                bands, sketch = np.zeros((len(n), like.bands), np.uint64), [None] * len(n)
                 if full.any():
-                    bands[full], packed = sketches(grams, np.r_[offsets[:-1][full], offsets[-1]])
+                    bands[full], packed = sketches(grams, np.r_[offsets[:-1][full], offsets[-1]], like)
                     for i, s in zip(np.flatnonzero(full), packed):
                         sketch[i] = s.tobytes()
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * like.bands), pa.array(bands.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n), pa.array(sign[0]), pa.array(sign[1]), lists, pa.array(sketch, pa.binary())],
                     names=["doc_id", "n", "sign1", "sign2", "bands", "sketch"],
@@ -96,7 +144,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(scan, "doc_id long, n long, sign1 long, sign2 long, bands array<long>, sketch binary")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are alike."""
     a, b = (texts.select(F.col("doc_id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
     both = pairs.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b")).select("a", "b", "text_a", "text_b")
@@ -106,11 +154,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
                 alike = np.zeros(batch.num_rows, bool)
-                (ga, oa), (gb, ob) = shingles(batch.column(2)), shingles(batch.column(3))
+                (ga, oa), (gb, ob) = (shingles(batch.column(c), like.width) for c in (2, 3))
                 for i in range(batch.num_rows):
                     x, y = ga[oa[i] : oa[i + 1]], gb[ob[i] : ob[i + 1]]
                     common = len(np.intersect1d(x, y, assume_unique=True))
-                    alike[i] = common * ALIKE[1] >= ALIKE[0] * (len(x) + len(y) - common) and common > 0
+                    alike[i] = common * like.alike[1] >= like.alike[0] * (len(x) + len(y) - common) and common > 0
                 yield batch.select(["a", "b"]).filter(pa.array(alike))
 
     return both.mapInArrow(check, "a long, b long")
@@ -134,14 +182,14 @@ def _common(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return total
 
 
-def _linked(table: pa.Table) -> pa.Table:
+def _linked(table: pa.Table, like: Likeness) -> pa.Table:
     """Links between components in two blocks of a group, on the full sets: as many as join all that is linked there."""
     own, ids, component = (table.column(c).to_numpy() for c in ("own", "id", "component"))
     x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
     left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
     bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
     differs = component[left][:, None] != component[right][None, :]
-    near = np.stack([np.bitwise_count(bits[right] ^ bits[i]).sum(1) <= MOST_DIFFERENT for i in left]) & differs if len(left) and len(right) else differs
+    near = np.stack([np.bitwise_count(bits[right] ^ bits[i]).sum(1) <= like.most_different for i in left]) & differs if len(left) and len(right) else differs
     found = []
     if near.any():
         grams = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
@@ -155,7 +203,7 @@ def _linked(table: pa.Table) -> pa.Table:
                 c = root[c]
             return c
 
-        for i, j in zip(*np.nonzero(near & (common * ALIKE[1] >= ALIKE[0] * union))):
+        for i, j in zip(*np.nonzero(near & (common * like.alike[1] >= like.alike[0] * union))):
             a, b = find(component[left[i]]), find(component[right[j]])
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -164,7 +212,7 @@ def _linked(table: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _across(named: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
+def _across(named: DataFrame, bits: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """Links (a, b) between different components of (band, id, component), on the full sets.
 
     Bands that hold several components are open. Sets that hang together by open bands form a group; whatever pair
@@ -182,7 +230,7 @@ def _across(named: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
-                grams, offsets = shingles(batch.column(1))
+                grams, offsets = shingles(batch.column(1), like.width)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([grams[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["gram_id", "grams"]
                 )
@@ -197,14 +245,14 @@ def _across(named: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
     meets = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "component", "sketch", "grams"
     )
-    return meets.groupBy("grp", "x", "y").applyInArrow(_linked, "a long, b long")
+    return meets.groupBy("grp", "x", "y").applyInArrow(lambda table: _linked(table, like), "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, alike: tuple[int, int] = ALIKE) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept (doc_id = component_id). Other columns are ignored.
 
-    Documents are linked if the sets of their 3-word shingles have 100 * intersection >= 85 * union. Equal sets are
-    one from the start, stood for by their smallest id. In each band of MinHash samples, every set is first
+    Documents are linked if the sets of their shingles of ``width`` words have a similarity of at least ``alike``: for
+    the defaults, if 100 * intersection >= 85 * union of their 3-word shingles. Equal sets are one from the start, stood for by their smallest id. In each band of MinHash samples, every set is first
     compared with the smallest id there: one pair per set and band, whatever the size of a band. Components of the
     confirmed links need no more comparing inside. Sets that share bands which still hold several components are
     compared in blocks, first by their odd sketches and then on the full sets, so that no link is lost. Links are followed
@@ -213,7 +261,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts without words (null, empty, white space) have an empty set and are linked with nothing. Rows without id come
     back with a null component and are not kept; rows that repeat an id with the same text share their component.
     """
-    sets = written(_sets(docs, id_col, text_col), "sets")
+    like = likeness(width, tuple(alike))
+    sets = written(_sets(docs, id_col, text_col, like), "sets")
     full = sets.where("n > 0 and doc_id is not null")
     heads = full.groupBy("sign1", "sign2").agg(F.min("doc_id").alias("id"))
     s, h = full.alias("s"), heads.alias("h")
@@ -233,23 +282,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     bits = heads.select(F.col("id").alias("sketch_id"), "sketch")
 
-    def alike(pairs: DataFrame) -> DataFrame:
+    def near(pairs: DataFrame) -> DataFrame:
         a, b = (bits.select(F.col("sketch_id").alias(f"k_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
         both = pairs.join(a, F.col("a") == F.col("k_a")).join(b, F.col("b") == F.col("k_b"))
 
-        def near(batches):
+        def check(batches):
             for batch in batches:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (2, 3))
-                yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= MOST_DIFFERENT))
+                yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= like.most_different))
 
-        return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(near, "a long, b long")
+        return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(check, "a long, b long")
 
     stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(_confirmed(alike(stars), texts), "links")
+    links = written(_confirmed(near(stars), texts, like), "links")
     component = written(connected_components(links), "component")
     named = members.join(component, members["id"] == component["node"], "left")
     named = written(named.select("band", "id", F.coalesce("component", "id").alias("component")), "named")
-    more = written(_across(named, bits, texts), "links")
+    more = written(_across(named, bits, texts, like), "links")
     if not more.isEmpty():
         component = written(connected_components(links.unionByName(more)), "component")
 
@@ -263,7 +312,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"), F.coalesce(F.col("doc_id") == name, F.lit(False)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, alike: tuple[int, int] = ALIKE) -> DataFrame:
     """The rows of ``docs`` that stand for their group, with all their columns."""
-    kept = near_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = near_groups(docs, id_col, text_col, width, alike).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept.hint("shuffle_hash"), docs[id_col].cast("long") == kept["_kept_id"], "left_semi")
