@@ -313,6 +313,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, alike: tuple[int, int] = ALIKE) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, with all their columns."""
-    kept = near_groups(docs, id_col, text_col, width, alike).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs[id_col].cast("long") == kept["_kept_id"], "left_semi")
+    """The rows of ``docs`` that stand for their group, with all their columns: one row of each group of linked sets, the
+    one with the smallest id, a row without id only if none there has one.
+
+    Each row counts by its own text. Of rows that repeat id and text one stays. Rows without words are linked with
+    nothing: one of each id stays, and all of those without id.
+    """
+    # Ids may be missing or repeat, so rows are numbered. The table is written: a number must be the same in all scans.
+    row = F.struct(*[docs[c] for c in docs.columns])
+    text = docs[text_col].cast("string")
+    rows = written(docs.select(row.alias("row"), docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("no")), "rows")
+    groups = near_groups(rows.select("no", F.col("row").getField(text_col).alias("text")), "no", "text", width, alike)
+    groups = groups.select(F.col("doc_id").alias("group_no"), "n_shingles", "component_id")
+    group = F.when(F.col("n_shingles") > 0, F.struct(F.lit(0).alias("kind"), F.col("component_id").alias("name")))
+    group = group.when(F.col("id").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("id").alias("name")))
+    group = group.otherwise(F.struct(F.lit(2).alias("kind"), F.col("no").alias("name")))
+    # The hash of the text decides between rows without id, whatever their numbers.
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "hash", "no")).alias("first")
+    named = rows.select("id", "hash", "no").join(groups, F.col("no") == F.col("group_no"))
+    kept = named.groupBy(group.alias("group")).agg(first).select(F.col("first.no").alias("kept_no"))
+    return rows.join(kept.hint("shuffle_hash"), rows["no"] == kept["kept_no"], "left_semi").select("row.*")

@@ -64,3 +64,23 @@ def test_bands_and_limit_follow_the_similarity():
         near_dedup.likeness(0)
     with pytest.raises(ValueError):
         near_dedup.likeness(3, (0, 100))
+
+
+def test_stage_rows_without_id_and_repeated_ids(spark, folder):
+    long = " ".join(f"w{k}" for k in range(100))
+    near = long + " and more"
+    rows = [
+        (None, "alone and like nothing else here"), (None, long), (None, near), (7, near), (9, long),  # 7 stands for its group
+        (None, "twice without an id at all"), (None, "Twice without an id at all"),
+        (1, "one text that repeats its id"), (1, "one text that repeats its id"), (1, "another text of the same id"),
+        (None, None), (None, ""), (None, " "), (2, None), (2, None), (3, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, row int")
+    got = corpus_pipeline.one_of_near_copies(spark, docs, folder)
+    assert got.columns == docs.columns
+    places = {r.row for r in got.collect()}
+    assert len(places & {5, 6}) == 1 and len(places & {7, 8}) == 1 and len(places & {13, 14}) == 1
+    assert places - {5, 6, 7, 8, 13, 14} == {0, 3, 9, 10, 11, 12, 15}
+    # The hot key of a third of all rows.
+    docs = spark.range(300).selectExpr("if(id % 3 = 0, null, id) as doc_id", "concat('text ', id, ' of ', id * 7, ' kind ', id * 11, ' and ', id * 13) as text")
+    assert corpus_pipeline.one_of_near_copies(spark, docs, folder).count() == 300
