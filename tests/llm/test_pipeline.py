@@ -3,6 +3,7 @@
 import corpus_pipeline
 from tablemill.llm import language_id, mixing
 from tests.llm import brute
+from tests.llm.test_near_stage import kept
 
 
 def test_stages(spark, folder):
@@ -19,8 +20,8 @@ def test_stages(spark, folder):
     rejected = {r.doc_id for r in language_id.identify(docs).where("lang_pred = 'und' or score < 0.3").collect()}
     assert sorted(after) == sorted(x for x in before if x[0] not in rejected)
     before, after = steps["near_dedup"]
-    near = brute.near(before)
-    assert sorted(after) == sorted(x for x in before if near[x[0]][2]) and len(after) < len(before)
+    stay = set(kept(before, 5, (80, 100)))
+    assert sorted(after) == sorted(x for x in before if x[0] in stay) and len(after) < len(before)
     before, after = steps["decontaminate"]
     hits = brute.contaminated(before, items)
     assert sorted(after) == sorted(x for x in before if not hits[x[0]][1]) and len(after) < len(before)
