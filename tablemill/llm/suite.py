@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, language_id, mixing, near_dedup, sharding, substring_dedup, suffix_dedup, toxicity, warc
+from . import decontaminate, divergence, exact_dedup, language_id, mixing, near_dedup, sharding, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {}
 
@@ -112,3 +112,31 @@ def op9_suffix_dedup(spark, folder):
 @query()
 def op10_toxicity(spark, folder):
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@query(
+    r"""
+    with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as r,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words
+      from documents),
+    w as (select lang, source, r, unnest(words) as term from d),
+    kept as (select lang, term, count(*) as all_n from w group by lang, term having count(distinct r) >= 3),
+    v as (select lang, count(*) as kinds, sum(all_n) as lang_total from kept group by lang),
+    c as (select lang, source, term, count(*) as n from w semi join kept using (lang, term) group by all),
+    g as (select lang, source, coalesce(any_value(total), 0) as total, coalesce(any_value(kinds), 0) as kinds, coalesce(any_value(lang_total), 0) as lang_total
+      from (select distinct lang, source from d) left join (select lang, source, sum(n) as total from c group by all) using (lang, source) left join v using (lang) group by all),
+    cells as (select lang, source, term, coalesce(n, 0) as n, all_n, 1 + (1000000000::hugeint * (coalesce(n, 0) + 1)) // (total + kinds)::hugeint as p,
+        1 + (1000000000::hugeint * (all_n + 1)) // (lang_total + kinds)::hugeint as q
+      from g join kept using (lang) left join c using (lang, source, term)),
+    apart as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+      from cells a join cells b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+    pairs as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(value, 0) as bigint) as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source left join apart p on p.lang = a.lang and p.source = a.source and p.item = b.source),
+    typical as (select lang, source, 'term' as part, term as item, cast(((p - q) * (p - q)) // q as bigint) as value from cells where n > 0 and p > q)
+    select lang, source, part, item, value, cast(rank as integer) as rank
+    from (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from (select * from pairs union all select * from typical))
+    where part = 'pair' or rank <= 200
+    """
+)
+def op13_source_divergence(spark, folder):
+    return divergence.audit(_table(spark, folder, "documents"))
