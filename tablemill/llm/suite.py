@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, divergence, exact_dedup, language_id, mixing, near_dedup, sharding, substring_dedup, suffix_dedup, toxicity, warc
+from . import decontaminate, divergence, exact_dedup, language_id, mixing, near_dedup, ranked_search, sharding, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {}
 
@@ -114,6 +114,29 @@ def op10_toxicity(spark, folder):
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+@query(
+    r"""
+    with w as (
+      select 'd' as kind, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words from documents
+      union all
+      select 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') from benchmark),
+    whole as (select count(*) filter (len(words) > 0) as docs, cast(sum(len(words)) as bigint) as terms from w where kind = 'd'),
+    q as (select id as item, term, count(*) as n from (select id, unnest(words) as term from w where kind = 'b') group by all),
+    t as (select id, term, count(*) as tf from (select id, unnest(words) as term from w where kind = 'd') semi join q using (term) group by all),
+    weights as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from t, whole group by term, docs),
+    lengths as (select id, 25 + ((75 * len(words)::hugeint * docs) // terms) as m from w, whole where kind = 'd' and len(words) > 0),
+    scored as (select item, id as doc_id, cast(sum(n * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+      from q join t using (term) join weights using (term) join lengths using (id) group by all),
+    ranked as (select *, row_number() over (partition by item order by score desc, doc_id) as rank from scored where score > 0)
+    select item as item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
+    """
+)
+def op11_ranked_search(spark, folder):
+    return ranked_search.rank_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 @query(
     r"""
     with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as r,
