@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, divergence, exact_dedup, language_id, mixing, near_dedup, ranked_search, sharding, substring_dedup, suffix_dedup, toxicity, warc
+from . import decontaminate, divergence, exact_dedup, language_id, mixing, near_dedup, quality, ranked_search, sharding, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {}
 
@@ -137,6 +137,11 @@ def op11_ranked_search(spark, folder):
     return ranked_search.rank_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+@query()
+def op12_quality(spark, folder):
+    return quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 @query(
     r"""
     with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as r,
