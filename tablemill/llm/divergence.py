@@ -97,8 +97,8 @@ def both_ways(one: tuple, two: tuple, size: int, kinds: int) -> tuple[int, int]:
 def _pair(one: pa.Table, two: pa.Table) -> pa.Table:
     sides = []
     for table, prefix in ((one, ""), (two, "_")):
-        counts = table.column(f"{prefix}counts").combine_chunks().flatten()
-        sides.append((counts.field("at").to_numpy(), counts.field("n").to_numpy(), table.column(f"{prefix}total")[0].as_py()))
+        places, counts = (table.column(prefix + c).combine_chunks().flatten().to_numpy() for c in ("places", "counts"))
+        sides.append((places, counts, table.column(f"{prefix}total")[0].as_py()))
     forth, back = both_ways(*sides, one.column("size")[0].as_py(), one.column("kinds")[0].as_py())
     return one.select(["lang", "one", "two"]).append_column("forth", pa.array([forth], pa.int64())).append_column("back", pa.array([back], pa.int64()))
 
@@ -139,14 +139,16 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     packed = found.groupBy("lang", "source", block).agg(F.array_sort(F.collect_list(entry)).alias("counts"))
     # Every group has a row for every block of its language, also where it has none of the terms.
     grid = groups.join(blocks, "lang", "left").withColumn("block", F.coalesce("block", nothing)).withColumn("size", F.coalesce("size", nothing))
-    packed = grid.join(packed, ["lang", "source", "block"], "left").withColumn("counts", F.coalesce("counts", F.array().cast("array<struct<at:int,n:bigint>>")))
-    packed = written(packed.select("lang", "source", "block", "size", "kinds", "total", "counts"), "packed")
+    # Two plain arrays take 12 bytes a term on the way to the pair tasks, an array of pairs 32.
+    arrays = [F.coalesce(F.col(f"counts.{c}"), F.array().cast(f"array<{kind}>")).alias(name) for c, kind, name in (("at", "int", "places"), ("n", "long", "counts"))]
+    packed = grid.join(packed, ["lang", "source", "block"], "left").select("lang", "source", "block", "size", "kinds", "total", *arrays)
+    packed = written(packed, "packed")
     other = groups.select(F.col("lang").alias("_lang"), F.col("source").alias("other"))
     pairs = packed.join(other, (F.col("lang") == F.col("_lang")) & (F.col("source") != F.col("other"))).drop("_lang")
     key = ["lang", "block", "one", "two"]
     left = pairs.where("source < other").withColumnsRenamed({"source": "one", "other": "two"})
     right = pairs.where("source > other").withColumnsRenamed({"source": "two", "other": "one"})
-    right = right.select(*[F.col(c).alias(f"_{c}") for c in (*key, "total", "counts")])
+    right = right.select(*[F.col(c).alias(f"_{c}") for c in (*key, "total", "places", "counts")])
     priced = left.groupBy(*key).cogroup(right.groupBy(*[f"_{k}" for k in key])).applyInArrow(_pair, "lang string, one string, two string, forth long, back long")
     priced = priced.groupBy("lang", "one", "two").agg(F.sum("forth").alias("forth"), F.sum("back").alias("back"))
     ways = F.array(
