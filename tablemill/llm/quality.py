@@ -15,7 +15,7 @@ FEATURES = SHAPES + WORDS
 #: Dimensions of the latent space, and labelled texts that it is derived from, at most.
 DIMENSIONS, BASIS_ROWS = 48, 2_000
 #: Labelled texts that vote, at most so many of either label, of at most so many bytes each; all others are scored only.
-SAMPLE_EACH, SAMPLE_BYTES = 4_000, 1 << 16
+SAMPLE_EACH, SAMPLE_BYTES = 4_000, 1 << 15
 #: Nearest texts that vote, and the power of their similarity that weights a vote.
 NEIGHBOURS, POWER = 31, 4
 #: Documents of one block of the product with all labelled vectors.
