@@ -12,14 +12,17 @@ plans, spills and splits them like any other join:
 """
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.sky import sky_distance, unit_vector
 from ..session import checkpointed
 from .combine import fix_columns
 from .columns import quoted
+from .components import connected_components, contracted
 from .rank import rank_within
 
 ID1, ID2, SCORE = "_id1", "_id2", "_score"
@@ -61,16 +64,18 @@ class Matcher:
         """Coordinates in a space where close means a straight distance of at most 1; None if there is none."""
         return None
 
+    def narrowed(self, fraction: float) -> "Matcher":
+        """The same with a part of the reach, the scores unchanged; only for those with axes. Fractions are powers of 2."""
+        return self
+
     def closest(self, a: DataFrame, b: DataFrame) -> DataFrame:
         """The best partner of each position: (_pa, _pb, _score) and ``_ib``.
 
         ``a`` has _pa, a0, …; ``b`` has _pb, b0, … and ``_ib``, which decides between equally good ones.
-        Positions of ``b`` that crowd together are searched from coarse to fine cells, so
-        that a crowded cell is never compared with all positions near it.
+        Cells of ``b`` that hold many positions are searched from coarse to fine, so that none is ever compared with all
+        positions near it.
         """
-        close = descend(self, a, b)
-        if close is None:
-            close = self.candidates(a, b)
+        close = self.candidates(a, b) if self.axes("b") is None else descend(self, a, b)
         best = close.groupBy("_pa").agg(F.min(F.struct(SCORE, "_ib", "_pb")).alias("_best"))
         return best.select("_pa", "_best._pb", f"_best.{SCORE}", "_best._ib")
 
@@ -86,10 +91,10 @@ class Matcher:
         return a.join(best, "_pa").select(F.col("_id_a").alias(ID1), F.col("_ib").alias(ID2), SCORE)
 
 
-# --- crowded places -------------------------------------------------------------------------------
+# --- from coarse to fine ---------------------------------------------------------------------------
 
-# A cell with more distinct positions than this is searched in finer cells.
-CROWD = 1000
+#: Positions of a cell that are compared one by one; beyond it the cell is quartered along each axis.
+LEAF = 1000
 # Cells are quartered at most this often; below that, distances are beyond the precision of doubles.
 FINEST = 23
 
@@ -99,27 +104,14 @@ def _cell_keys(level: int, points: list[Column]) -> list[Column]:
     return [F.floor(u * (4.0**level / 2)).cast("long").alias(f"_k{i}") for i, u in enumerate(points)]
 
 
-def is_crowded(matcher: Matcher, b: DataFrame) -> bool:
-    """Whether some cell of ``b`` holds more than ``CROWD`` positions."""
-    axes = matcher.axes("b")
-    if axes is None:
-        return False
-    sizes = b.groupBy(*_cell_keys(0, axes)).count()
-    return (sizes.agg(F.max("count")).first()[0] or 0) > CROWD
-
-
-def descend(matcher: Matcher, a: DataFrame, b: DataFrame) -> DataFrame | None:
-    """Pairs that hold the best partner of each position of ``a``; None if nothing is crowded.
+def descend(matcher: Matcher, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs that hold the best partner of each position of ``a``.
 
-    A pyramid of cells is built over the crowded parts of ``b``. Each cell knows how many positions
-    it holds and one of them. A position of ``a`` starts with the cells within its reach. The
-    nearest of their known positions is a limit, and cells whose nearest corner is beyond it are
-    dropped. Of the others, the crowded ones are replaced by their parts, with which the same is
-    done, and the rest are compared position by position. Exact, as only cells that cannot hold the
-    best partner are dropped.
+    Positions of ``a`` meet those of ``b`` in the cells within their reach, if a cell holds at most LEAF of them. A fuller cell
+    knows how many positions it holds and one of them. The nearest of the known positions is a limit for a position
+    of ``a``; cells whose nearest corner is beyond it are dropped, the others are replaced by their parts, with which
+    the same is done until no full cell is left. Exact, as only cells that cannot hold the best partner are dropped.
     """
-    if not is_crowded(matcher, b):
-        return None
     n = len(matcher.axes("b"))
     keys, points, here = [f"_k{i}" for i in range(n)], [f"_u{i}" for i in range(n)], [f"_w{i}" for i in range(n)]
     # A hair more than the reach, so that rounding loses nothing; the true score decides in the end.
@@ -149,44 +141,42 @@ def descend(matcher: Matcher, a: DataFrame, b: DataFrame) -> DataFrame | None:
             .select("_pa", *here, *keys, "_n", F.least("_limit", "_new").alias("_limit"))
         )
 
-    # Written out once, so that the coordinates are not computed again in every filter.
-    members = checkpointed(b.select("*", *[u.alias(p) for u, p in zip(matcher.axes("b"), points)]))
-    frontier = checkpointed(
-        a.select("_pa", *[w.alias(h) for w, h in zip(matcher.axes("a"), here)], F.lit(float("inf")).alias("_limit"))
-    )
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min_by(F.struct(*points), F.struct(*points)).alias("_known"))
+
+    def compared(rows: DataFrame, others: DataFrame) -> DataFrame:
+        """The positions of ``a`` with all positions of ``b`` in the same cell."""
+        return matcher.scored(rows.select("_pa", *keys).join(others.drop(*points), keys).drop(*keys).select("*", "_pa.*"))
+
+    members = b.select("*", *[u.alias(p) for u, p in zip(matcher.axes("b"), points)])
+    members = members.select("*", *_cell_keys(0, [F.col(p) for p in points]))
+    frontier = a.select("_pa", *[w.alias(h) for w, h in zip(matcher.axes("a"), here)])
     for k, w in zip(keys, here):
         low, high = [F.floor((F.col(w) + side * slack) / 2).cast("long") for side in (-1, 1)]
         frontier = frontier.withColumn(k, F.explode(F.sequence(low, high)))
-    found = None
-    for level in range(FINEST + 1):
-        members = members.select(
-            *[c for c in members.columns if c not in keys], *_cell_keys(level, [F.col(p) for p in points])
-        )
-        cells = checkpointed(
-            members.groupBy(*keys).agg(
-                F.count("*").alias("_n"), F.min_by(F.struct(*points), F.struct(*points)).alias("_known")
-            )
+    full = checkpointed(counted(members).where(F.col("_n") > LEAF))
+    found, level = compared(frontier, members.join(full.select(*keys), keys, "left_anti")), 0
+    if full.isEmpty():
+        return found
+    members = checkpointed(members.join(full.select(*keys), keys, "left_semi"))
+    frontier = checkpointed(pruned(frontier.withColumn("_limit", F.lit(float("inf"))).join(full, keys), level).drop("_n"))
+    while not frontier.isEmpty():
+        level += 1
+        members = members.select(*[c for c in members.columns if c not in keys], *_cell_keys(level, [F.col(p) for p in points]))
+        cells = checkpointed(counted(members))
+        # Four parts along each axis: their keys are the cell's key and two more bits.
+        parts = cells.withColumns({f"_up{i}": F.shiftright(k, 2) for i, k in enumerate(keys)})
+        into = [F.col(f"f.{k}") == F.col(f"c._up{i}") for i, k in enumerate(keys)]
+        frontier = (
+            frontier.alias("f")
+            .join(parts.alias("c"), into)
+            .select("_pa", *[F.col(f"f.{h}") for h in here], "f._limit", *[F.col(f"c.{k}") for k in keys], "c._n", "c._known")
         )
-        if level == 0:
-            frontier = frontier.join(cells, keys)
-        else:
-            # Four parts along each axis: their keys are the cell's key and two more bits.
-            parts = cells.withColumns({f"_up{i}": F.shiftright(k, 2) for i, k in enumerate(keys)})
-            into = [F.col(f"f.{k}") == F.col(f"c._up{i}") for i, k in enumerate(keys)]
-            frontier = (
-                frontier.alias("f")
-                .join(parts.alias("c"), into)
-                .select("_pa", *[F.col(f"f.{h}") for h in here], "f._limit", *[F.col(f"c.{k}") for k in keys], "c._n", "c._known")
-            )
         frontier = checkpointed(pruned(frontier, level))
-        crowded = F.lit(level < FINEST) & (F.col("_n") > CROWD)
-        direct = frontier.where(~crowded).select("_pa", *keys).join(members.drop(*points), keys).drop(*keys)
-        pairs = matcher.scored(direct.select("*", "_pa.*"))
-        found = pairs if found is None else found.unionByName(pairs)
-        frontier = frontier.where(crowded).drop("_n")
-        if frontier.isEmpty():
-            return found
-        members = checkpointed(members.join(cells.where(F.col("_n") > CROWD).select(*keys), keys, "left_semi"))
+        more = F.lit(level < FINEST) & (F.col("_n") > LEAF)
+        found = found.unionByName(compared(frontier.where(~more), members))
+        frontier = frontier.where(more).drop("_n")
+        members = checkpointed(members.join(cells.where(F.col("_n") > LEAF).select(*keys), keys, "left_semi"))
     return found
 
 
@@ -295,6 +285,9 @@ class Sky(Matcher):
         unit = 2 * math.sin(math.radians(min(self.radius * _ARCSEC, 180.0)) / 2)
         return [x / unit for x in unit_vector(f"{name}0", f"{name}1")]
 
+    def narrowed(self, fraction):
+        return replace(self, radius=self.radius * fraction)
+
     def scored(self, pairs):
         distance = sky_distance("a0", "a1", "b0", "b1") / _ARCSEC
         return pairs.withColumn(SCORE, distance).where(F.col(SCORE) <= self.radius)
@@ -382,6 +375,9 @@ class Cartesian(Matcher):
             return None
         return [F.col(f"{name}{i}") / s for i, s in enumerate(self.scales())]
 
+    def narrowed(self, fraction):
+        return replace(self, tolerance=self.tolerance * fraction)
+
     @staticmethod
     def _square(a: Column, b: Column, scale: float) -> Column:
         """The squared distance along an axis in units of its tolerance; a tolerance of 0 asks for equal values."""
@@ -413,142 +409,185 @@ class Cartesian(Matcher):
 
 @dataclass
 class Anisotropic(Cartesian):
-    """Within an ellipsoid: one tolerance per axis; the score is the scaled distance (0 to 1)."""
+    """Within an ellipsoid: one tolerance per axis; the score is the scaled distance (0 to 1).
+
+    ``part`` is the part of the tolerances that is searched.
+    """
 
     tolerance: tuple
     values1: tuple
     values2: tuple
+    part: float = 1.0
 
     def scales(self) -> list[float]:
-        return [float(t) for t in self.tolerance]
+        return [float(t) * self.part for t in self.tolerance]
+
+    def narrowed(self, fraction):
+        return replace(self, part=self.part * fraction)
 
     def unit(self) -> float:
-        return 1.0
+        return self.part
 
 
 # --- which pairs are kept ---------------------------------------------------------------------------
 
 
 def _swapped(matcher: Matcher) -> Matcher:
-    from dataclasses import replace
-
     return replace(matcher, values1=matcher.values2, values2=matcher.values1)
 
 
+#: Close pairs for each position, on average, up to which all are listed at once.
+PAIRS = 64
+#: Close pairs of positions that hang together, up to which one task pairs them off.
+COMPONENT = 1_000_000
+#: Ranks of rows at one position that are looked up together.
+RANKS = 1024
+
+
+def _steps(matcher: Matcher, at_a: DataFrame, at_b: DataFrame) -> list[float]:
+    """Growing parts of the reach, the last one 1, the first one so small that cells hold few pairs of positions."""
+    steps = [1.0]
+    if matcher.axes("a") is None:
+        return steps
+    sides = [at.select(f"_p{s}.*").select(*[u.alias(f"_u{i}") for i, u in enumerate(matcher.axes(s))]) for at, s in ((at_a, "a"), (at_b, "b"))]
+    points = [F.col(c) for c in sides[0].columns]
+    for level in range(FINEST):
+        keys = [f"_k{i}" for i in range(len(points))]
+        one, two = [side.groupBy(*_cell_keys(level, points)).agg(F.count("*").alias(n)) for side, n in zip(sides, ("_na", "_nb"))]
+        pairs, places = one.join(two, keys).agg(F.sum(F.col("_na") * F.col("_nb")), F.sum(F.col("_na") + F.col("_nb"))).first()
+        if (pairs or 0) <= PAIRS * (places or 0):
+            break
+        steps.insert(0, steps[0] / 4)
+    return steps
+
+
 def _mutual_best(matcher: Matcher, t1: DataFrame, t2: DataFrame, id1: str, id2: str) -> DataFrame:
     """One-to-one pairs: again and again the positions that are each other's nearest are paired off.
 
-    Rows at the same position are paired in the order of their ids, all in one round, as many as
-    the scarcer side has. What is left is matched again in the next round, until no close pair is
-    left. Each round works on positions with their number of unpaired rows, not on rows.
+    Rows at the same position are paired in the order of their ids, as many as the scarcer side has. Where positions
+    crowd together, the closest pairs are taken first, within growing parts of the reach: what they leave unpaired has no
+    partner that near, so that the list of close pairs stays short although all pairs within the reach would be many.
     """
     a, b = matcher.keyed(t1, id1, matcher.values1, "a"), matcher.keyed(t2, id2, matcher.values2, "b")
-    at_a = a.groupBy("_pa").agg(F.count("*").alias("_na"), F.min("_id_a").alias("_ia"))
-    at_b = b.groupBy("_pb").agg(F.count("*").alias("_nb"), F.min("_id_b").alias("_ib"))
-    if is_crowded(matcher, at_b.select("_pb.*")):
-        return _mutual_best_crowded(matcher, a, b, at_a, at_b)
-    # Close positions are found once, with the number of unpaired and of paired rows at both; the
-    # rounds only thin them out.
     none = F.lit(0).cast("long")
-    close = checkpointed(
-        matcher.candidates(at_a.select("*", "_pa.*"), at_b.select("*", "_pb.*"))
-        .select("_pa", "_pb", SCORE, "_ia", "_ib", "_na", "_nb", none.alias("_from_a"), none.alias("_from_b"))
-    )
-    copies = close.where("_na > 1 or _nb > 1").limit(1).count() > 0
+    at_a = a.groupBy("_pa").agg(F.count("*").alias("_na"), F.min("_id_a").alias("_ia")).withColumn("_from_a", none)
+    at_b = b.groupBy("_pb").agg(F.count("*").alias("_nb"), F.min("_id_b").alias("_ib")).withColumn("_from_b", none)
     chosen = None
-    while not close.isEmpty():
-        best_a = close.groupBy("_pa").agg(F.min(F.struct(SCORE, "_ib", "_pb")).alias("_x")).select("_pa", "_x._pb")
-        best_b = close.groupBy("_pb").agg(F.min(F.struct(SCORE, "_ia", "_pa")).alias("_x")).select("_pb", "_x._pa")
-        paired = checkpointed(
-            close.join(best_a, ["_pa", "_pb"])
-            .join(best_b, ["_pa", "_pb"])
-            .select("_pa", "_pb", SCORE, "_ia", "_ib", "_from_a", "_from_b", F.least("_na", "_nb").alias("_n"))
-        )
+    for part in _steps(matcher, at_a, at_b):
+        close = matcher.narrowed(part).candidates(at_a.select("*", "_pa.*"), at_b.select("*", "_pb.*"))
+        single = (F.col("_na") + F.col("_from_a") == 1) & (F.col("_nb") + F.col("_from_b") == 1)
+        paired = _paired_off(checkpointed(close.select(*_PAIR, single.alias("_single"))))
         chosen = paired if chosen is None else chosen.unionByName(paired)
-        used_a = paired.select("_pa", F.col("_n").alias("_used_a"))
-        used_b = paired.select("_pb", F.col("_n").alias("_used_b"))
-        taken_a, taken_b = F.coalesce("_used_a", none), F.coalesce("_used_b", none)
-        close = checkpointed(
-            close.join(used_a, "_pa", "left")
-            .join(used_b, "_pb", "left")
-            .withColumns(
-                {
-                    "_na": F.col("_na") - taken_a,
-                    "_nb": F.col("_nb") - taken_b,
-                    "_from_a": F.col("_from_a") + taken_a,
-                    "_from_b": F.col("_from_b") + taken_b,
-                }
-            )
-            .where("_na > 0 and _nb > 0")
-            .drop("_used_a", "_used_b")
-        )
-    if chosen is None:
-        return close.select(F.col("_ia").alias(ID1), F.col("_ib").alias(ID2), SCORE)
-    if not copies:
-        return chosen.select(F.col("_ia").alias(ID1), F.col("_ib").alias(ID2), SCORE)
-    return _ranks_to_rows(chosen, a, b)
+        if part < 1:
+            at_a, at_b = checkpointed(_unpaired(at_a, paired, "a")), checkpointed(_unpaired(at_b, paired, "b"))
+    alone = chosen.where("_single").select(F.col("_ia").alias(ID1), F.col("_ib").alias(ID2), SCORE)
+    copies = chosen.where("not _single")
+    return alone if copies.isEmpty() else alone.unionByName(_ranks_to_rows(copies, a, b))
 
 
-def _mutual_best_crowded(matcher: Matcher, a: DataFrame, b: DataFrame, at_a: DataFrame, at_b: DataFrame) -> DataFrame:
-    """The same without the table of all close pairs, which crowds would make quadratic.
+_PAIR = ("_pa", "_pb", SCORE, "_ia", "_ib", "_na", "_nb", "_from_a", "_from_b")
+_CHOSEN = ("_pa", "_pb", SCORE, "_ia", "_ib", "_from_a", "_from_b", "_n", "_single")
 
-    Each round searches the nearest unpaired position again, in both directions.
+
+def _paired_off(close: DataFrame) -> DataFrame:
+    """The pairs taken of a list of close positions with their numbers of unpaired and paired rows.
+
+    A round takes the pairs that are each other's nearest. What is left falls into parts that share no position; a task
+    takes the pairs of a part in their order. Parts of more than COMPONENT pairs go through further rounds, until they
+    fall apart.
     """
-    back, none = _swapped(matcher), F.lit(0).cast("long")
-    left_a = checkpointed(at_a.withColumn("_from_a", none))
-    left_b = checkpointed(at_b.withColumn("_from_b", none))
+    none = F.lit(0).cast("long")
     chosen = None
     while True:
-        there = matcher.closest(left_a.select("_pa", "_pa.*"), left_b.select("_pb", "_pb.*", "_ib"))
-        # In the other direction the tables change their names.
-        as_a, as_b = _renamed_place(left_b, "_pb", "b", "a"), _renamed_place(left_a, "_pa", "a", "b")
-        home = back.closest(as_a.select("_pa", "_pa.*"), as_b.select("_pb", "_pb.*", F.col("_ia").alias("_ib")))
-        home = _renamed_place(
-            _renamed_place(home.select(F.col("_pa").alias("_qb"), F.col("_pb").alias("_qa")), "_qb", "a", "b", "_pb"), "_qa", "b", "a", "_pa"
-        )
-        paired = checkpointed(
-            there.select("_pa", "_pb", SCORE)
-            .join(home.select("_pa", "_pb"), ["_pa", "_pb"])
-            .join(left_a, "_pa")
-            .join(left_b, "_pb")
-            .select("_pa", "_pb", SCORE, "_from_a", "_from_b", F.least("_na", "_nb").alias("_n"))
-        )
-        if paired.isEmpty():
-            break
+        best_a = close.groupBy("_pa").agg(F.min(F.struct(SCORE, "_ib", "_pb")).alias("_x")).select("_pa", "_x._pb")
+        best_b = close.groupBy("_pb").agg(F.min(F.struct(SCORE, "_ia", "_pa")).alias("_x")).select("_pb", "_x._pa")
+        both = close.join(best_a, ["_pa", "_pb"]).join(best_b, ["_pa", "_pb"]).withColumn("_n", F.least("_na", "_nb"))
+        paired = checkpointed(both.select(*_CHOSEN))
         chosen = paired if chosen is None else chosen.unionByName(paired)
-        left_a = checkpointed(_unpaired(left_a, paired, "a"))
-        left_b = checkpointed(_unpaired(left_b, paired, "b"))
-    if chosen is None:
-        chosen = paired
-    return _ranks_to_rows(chosen, a, b)
-
-
-def _renamed_place(df: DataFrame, place: str, old: str, new: str, to: str | None = None) -> DataFrame:
-    """A position's struct with its fields named after the other table."""
-    fields = df.schema[place].dataType.names
-    turned = F.struct(*[F.col(f"{place}.{f}").alias(f.replace(old, new, 1)) for f in fields])
-    return df.withColumn(to or f"_p{new}", turned).drop(place)
+        used_a, used_b = paired.select("_pa", F.col("_n").alias("_used_a")), paired.select("_pb", F.col("_n").alias("_used_b"))
+        taken_a, taken_b = F.coalesce("_used_a", none), F.coalesce("_used_b", none)
+        left = close.join(used_a, "_pa", "left").join(used_b, "_pb", "left").withColumns(
+            {
+                "_na": F.col("_na") - taken_a,
+                "_nb": F.col("_nb") - taken_b,
+                "_from_a": F.col("_from_a") + taken_a,
+                "_from_b": F.col("_from_b") + taken_b,
+                # Names of positions for the search of parts; two that share a name only make their parts one.
+                "_u": F.xxhash64(F.lit("a"), "_pa"),
+                "_v": F.xxhash64(F.lit("b"), "_pb"),
+            }
+        )
+        left = checkpointed(left.where("_na > 0 and _nb > 0").drop("_used_a", "_used_b"))
+        if left.isEmpty():
+            return chosen
+        parts = connected_components(contracted(left.select("_u", "_v")))
+        placed = left.join(parts, F.col("_u") == F.col("node")).drop("_u", "_v", "node")
+        sizes = placed.groupBy("component").agg(F.count("*").alias("_size"))
+        placed = checkpointed(placed.join(sizes, "component"))
+        chosen = chosen.unionByName(checkpointed(_in_order(placed.where(F.col("_size") <= COMPONENT).drop("_size"))))
+        close = placed.where(F.col("_size") > COMPONENT).drop("component", "_size")
+        if close.isEmpty():
+            return chosen
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    """The pairs of each component taken one after another, nearest first, while both positions have rows left."""
+
+    def take(batches):
+        part, used_a, used_b = None, {}, {}
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("component", "_ia", "_ib", "_na", "_nb")]
+            at, ranks_a, ranks_b, numbers = [], [], [], []
+            for k, (component, ia, ib, na, nb) in enumerate(zip(*columns)):
+                if component != part:
+                    part, used_a, used_b = component, {}, {}
+                x, y = used_a.get(ia, 0), used_b.get(ib, 0)
+                n = min(na - x, nb - y)
+                if n > 0:
+                    used_a[ia], used_b[ib] = x + n, y + n
+                    at.append(k)
+                    ranks_a.append(x)
+                    ranks_b.append(y)
+                    numbers.append(n)
+            rows = batch.take(pa.array(at, pa.int64()))
+            new = {
+                "_from_a": pa.compute.add(rows.column("_from_a"), pa.array(ranks_a, pa.int64())),
+                "_from_b": pa.compute.add(rows.column("_from_b"), pa.array(ranks_b, pa.int64())),
+                "_n": pa.array(numbers, pa.int64()),
+            }
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else rows.column(c) for c in _CHOSEN], names=list(_CHOSEN))
+
+    ordered = pairs.repartition("component").sortWithinPartitions("component", SCORE, "_ia", "_ib")
+    schema = ordered.withColumn("_n", F.lit(0).cast("long")).select(*_CHOSEN).schema
+    return ordered.mapInArrow(take, schema)
 
 
 def _unpaired(left: DataFrame, paired: DataFrame, side: str) -> DataFrame:
     place, number, start = f"_p{side}", f"_n{side}", f"_from_{side}"
-    taken = F.coalesce("_n", F.lit(0).cast("long"))
+    taken = F.coalesce("_taken", F.lit(0).cast("long"))
+    used = paired.groupBy(place).agg(F.sum("_n").alias("_taken"))
     return (
-        left.join(paired.select(place, "_n"), place, "left")
+        left.join(used, place, "left")
         .withColumns({number: F.col(number) - taken, start: F.col(start) + taken})
         .where(f"{number} > 0")
-        .drop("_n")
+        .drop("_taken")
     )
 
 
 def _ranks_to_rows(chosen: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of paired positions: each pairing covers a run of ranks at both positions."""
-    runs = chosen.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    ranked_a = rank_within(a, ["_pa"], "_id_a", "_ra")
-    ranked_b = rank_within(b, ["_pb"], "_id_b", "_rb")
+    """Rows of paired positions: each pairing covers a run of ranks at both positions.
+
+    Runs are looked up by blocks of RANKS ranks, so that the rows of a position spread over tasks.
+    """
+    low, high = F.col("_from_a"), F.col("_from_a") + F.col("_n")
+    block = F.explode(F.sequence(F.floor(low / RANKS), F.floor((high - 1) / RANKS)))
+    runs = chosen.select("_pa", "_pb", SCORE, "_from_a", "_from_b", "_n", block.alias("_block"))
+    ranked_a = rank_within(a.join(chosen.select("_pa").distinct(), "_pa", "left_semi"), ["_pa"], "_id_a", "_ra")
+    ranked_b = rank_within(b.join(chosen.select("_pb").distinct(), "_pb", "left_semi"), ["_pb"], "_id_b", "_rb")
     return (
-        runs.withColumns({"_ra": F.col("_from_a") + F.col("_k"), "_rb": F.col("_from_b") + F.col("_k")})
-        .join(ranked_a, ["_pa", "_ra"])
+        runs.join(ranked_a.withColumn("_block", F.floor((F.col("_ra") - 1) / RANKS)), ["_pa", "_block"])
+        .where((F.col("_ra") > low) & (F.col("_ra") <= high))
+        .withColumn("_rb", F.col("_ra") - low + F.col("_from_b"))
         .join(ranked_b, ["_pb", "_rb"])
         .select(F.col("_id_a").alias(ID1), F.col("_id_b").alias(ID2), SCORE)
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import checkpointed
 from .columns import quoted
 from .combine import fix_columns
+from .components import connected_components
 from .match import ID1, ID2, Matcher
 
 
@@ -71,43 +72,6 @@ def match_pairs(
     return _with_tables(ids, inputs, fixcols, suffixes)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node that has an edge; a component is named by its smallest node.
-
-    Large-star and small-star steps in turn (Kiveris et al. 2014), each an aggregate for the
-    smallest neighbour and a join, so no task holds the neighbours of a node together. The number
-    of rounds grows with the logarithm of the longest chain. Each round is checkpointed.
-    """
-    links = checkpointed(edges.select(F.col(edges.columns[0]).alias("u"), F.col(edges.columns[1]).alias("v")).where("u <> v"))
-    if links.isEmpty():
-        return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    while True:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        wide = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        smallest = wide.groupBy("u").agg(F.min("v").alias("m"))
-        narrow = wide.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = checkpointed(
-            narrow.unionByName(smallest.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        )
-        # Finished when every node hangs on one other node that itself hangs on none.
-        roles = links.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
-            links.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent"))
-        )
-        unfinished = (
-            roles.groupBy("node")
-            .agg(F.sum("child").alias("children"), F.max("parent").alias("parent"))
-            .where("children > 1 or (children = 1 and parent = 1)")
-        )
-        if unfinished.isEmpty():
-            break
-    heads = links.select(F.col("v").alias("node")).distinct()
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        heads.select("node", F.col("node").alias("component"))
-    )
-
-
 def _links(inputs: list[Input], matcher: Matcher) -> DataFrame:
     """Close positions of different tables, each position named by (table, smallest id there)."""
     firsts = []

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablemill.functions import healpix
-from tablemill.operators import coverage, match, multimatch
+from tablemill.operators import components as graph, coverage, match, multimatch
 
 random.seed(11)
 
@@ -356,18 +356,17 @@ def crowd(n, seed, shift=0.0):
 
 @pytest.mark.parametrize("shift", [0.0, 0.7])
 def test_crowded_cells_are_searched_exactly(spark, monkeypatch, shift):
-    monkeypatch.setattr(match, "CROWD", 20)
+    monkeypatch.setattr(match, "LEAF", 20)
     a, b = crowd(100, 21), crowd(120, 22, shift)
     ta, tb = sky(spark, a, "ia"), sky(spark, b, "ib")
     matcher = match.Sky(1.5 * 3600)
-    assert match.is_crowded(matcher, tb.select(F.col("ra").alias("b0"), F.col("dec").alias("b1")))
     near = lambda p, others: min((separation(p, q), j) for j, q in enumerate(others))
     one = ids(match.find_pairs(matcher, ta, tb, "ia", "ib", "best1"))
     assert one == {(i, near(p, b)[1]) for i, p in enumerate(a) if near(p, b)[0] <= 1.5}
 
 
 def test_crowded_points_in_space(spark, monkeypatch):
-    monkeypatch.setattr(match, "CROWD", 4)
+    monkeypatch.setattr(match, "LEAF", 4)
     r = random.Random(8)
     a, b = [[(r.gauss(0, 0.1), r.gauss(0, 0.1), r.uniform(-3, 3)) for _ in range(100)] for _ in range(2)]
     names = ("x0", "x1", "x2")
@@ -377,8 +376,77 @@ def test_crowded_points_in_space(spark, monkeypatch):
 
 
 def test_crowded_one_to_one(spark, monkeypatch):
-    monkeypatch.setattr(match, "CROWD", 6)
+    monkeypatch.setattr(match, "PAIRS", 1)
     r = random.Random(12)
     a, b = [[(r.uniform(0, 3),) for _ in range(25)] + [(1.0,)] * n for n in (5, 3)]
     found = match.find_pairs(match.Cartesian(0.5, ("x0",), ("x0",)), table(spark, a, "ia"), table(spark, b, "ib"), "ia", "ib", "best")
     assert ids(found) == greedy(a, b, 0.5, math.dist)
+
+
+@pytest.fixture
+def tables_written(monkeypatch):
+    """The intermediate tables that a match writes."""
+    names = []
+
+    def counted(module):
+        write = module.checkpointed
+        monkeypatch.setattr(module, "checkpointed", lambda df: names.append(module.__name__) or write(df))
+
+    for module in (match, graph):
+        counted(module)
+    return names
+
+
+def test_chain_of_shrinking_gaps(spark, tables_written):
+    """Each pair can only be decided after the next one, 2,000 times in a row."""
+    places, at = [], 0.0
+    for k in range(4001):
+        places.append(at)
+        at += 1.0 - k / 8002
+    a, b = [[(x,) for x in places[s::2]] for s in (0, 1)]
+    found = match.find_pairs(match.Cartesian(1.0, ("x0",), ("x0",)), table(spark, a, "ia"), table(spark, b, "ib"), "ia", "ib", "best")
+    # The narrowest gap is the last one, so all are paired from the end; the first position stays alone.
+    assert ids(found) == {(i + 1, i) for i in range(2000)}
+    assert len(tables_written) <= 15
+
+
+@pytest.mark.parametrize("limit", [2, 8, 1000])
+def test_large_components_fall_apart(spark, monkeypatch, limit):
+    monkeypatch.setattr(match, "COMPONENT", limit)
+    monkeypatch.setattr(match, "RANKS", 3)
+    r = random.Random(limit)
+    a, b = [[(r.choice([r.uniform(0, 4), 1.0, 2.25]), r.uniform(0, 0.3)) for _ in range(60)] + [(1.0, 0.0)] * n for n in (20, 33)]
+    names = ("x0", "x1")
+    found = match.find_pairs(match.Cartesian(0.25, names, names), table(spark, a, "ia"), table(spark, b, "ib"), "ia", "ib", "best")
+    assert ids(found) == greedy(a, b, 0.25, math.dist)
+
+
+def test_ellipsoids_in_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(match, "PAIRS", 1)
+    r = random.Random(5)
+    a, b = [[(r.gauss(0, 0.4), r.gauss(0, 0.2)) for _ in range(80)] for _ in range(2)]
+    names = ("x0", "x1")
+    found = match.find_pairs(match.Anisotropic((1.0, 0.5), names, names), table(spark, a, "ia"), table(spark, b, "ib"), "ia", "ib", "best")
+    scaled = lambda p, q: math.hypot(p[0] - q[0], (p[1] - q[1]) / 0.5)
+    assert ids(found) == greedy(a, b, 1.0, scaled)
+    exact = {(x[0], x[1]): x[2] for x in found.collect()}
+    assert all(abs(s - scaled(a[i], b[j])) < 1e-12 for (i, j), s in exact.items())
+
+
+def test_copies_over_many_tasks(spark):
+    """200,000 rows at one place of either table: ranks meet in blocks, each in its own task."""
+    a, b = [spark.range(n).select(F.col("id").alias(key), F.lit(1.0).alias("x0")) for n, key in ((200_000, "ia"), (150_000, "ib"))]
+    found = match.find_pairs(match.Cartesian(1.0, ("x0",), ("x0",)), a, b, "ia", "ib", "best")
+    assert found.where(F.col(match.ID1) == F.col(match.ID2)).count() == found.count() == 150_000
+
+
+@pytest.mark.parametrize("chunk", [3, 1000])
+def test_contracted_links(spark, monkeypatch, chunk):
+    monkeypatch.setattr(graph, "CHUNK", chunk)
+    r = random.Random(chunk)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(200)]
+    frame = spark.createDataFrame(links, "u long, v long").coalesce(3)
+    whole = {tuple(x) for x in graph.connected_components(frame).collect()}
+    short = graph.contracted(frame)
+    assert {tuple(x) for x in graph.connected_components(short).collect()} == whole
+    assert all(x.u > x.v for x in short.collect())
