@@ -278,8 +278,8 @@ class Sky(Matcher):
     values2: tuple = ("ra", "dec")
 
     def axes(self, name):
-        # A radius of 0 asks for equal positions; the smallest cells do for that.
-        if not self.radius:
+        # A radius of 0 asks for equal positions; below this one, a point in space is not exact enough.
+        if self.radius < 1e-4:
             return None
         # A straight line through the sphere instead of an arc on it, in units of the radius.
         unit = 2 * math.sin(math.radians(min(self.radius * _ARCSEC, 180.0)) / 2)

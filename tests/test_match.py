@@ -450,3 +450,51 @@ def test_contracted_links(spark, monkeypatch, chunk):
     short = graph.contracted(frame)
     assert {tuple(x) for x in graph.connected_components(short).collect()} == whole
     assert all(x.u > x.v for x in short.collect())
+
+
+def clusters(seed, kinds, n):
+    """Crowds at distances around the reach, some of one table only."""
+    r = random.Random(seed)
+    centres = [(r.uniform(0, 9), r.uniform(0, 3), r.choice(kinds), r.choice([0.02, 0.1, 0.3])) for _ in range(14)]
+    out = {k: [] for k in range(max(map(max, kinds)) + 1)}
+    for _ in range(n):
+        x, y, owners, spread = r.choice(centres)
+        out[r.choice(owners)].append((x + r.uniform(-spread, spread), y + r.uniform(-spread, spread)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_crowds_within_one_table(spark, seed):
+    places = clusters(seed, [(0,)], 260)[0]
+    found = multimatch.within_groups(table(spark, places, "id"), "id", match.Cartesian(0.8, ("x0", "x1"), ("x0", "x1")), ("x0", "x1"))
+    links = [(i, j) for i, j in itertools.combinations(range(len(places)), 2) if math.dist(places[i], places[j]) <= 0.8]
+    groups = Counter(components(links).values())
+    assert {(r.id, r.group, r["size"]) for r in found.collect()} == {(i, g, groups[g]) for i, g in components(links).items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_crowds_of_several_tables(spark, seed):
+    places = clusters(seed, [(0,), (1,), (0, 1), (0, 1, 2), (2,)], 300)
+    names = ("x0", "x1")
+    inputs = [multimatch.Input(table(spark, places[k], "id").withColumn("x0", F.col("x0") * 1.0), "id", names) for k in range(3)]
+    found = multimatch.match_groups(inputs, match.Cartesian(0.7, names, names), fixcols="all", suffixes=["_0", "_1", "_2"])
+    nodes = [(k, i) for k in range(3) for i in range(len(places[k]))]
+    at = lambda node: places[node[0]][node[1]]
+    links = [(u, v) for u, v in itertools.combinations(nodes, 2) if u[0] != v[0] and math.dist(at(u), at(v)) <= 0.7]
+    groups = {}
+    for node, g in components(links).items():
+        groups.setdefault(g, []).append(node)
+    firsts = {tuple(min((i for t, i in g if t == k), default=None) for k in range(3)) for g in groups.values()}
+    assert {tuple(r[f"id_{k}"] for k in range(3)) for r in found.collect()} == firsts
+
+
+def test_links_of_a_crowd_are_linear(spark):
+    """20,000 positions inside one radius."""
+    r = random.Random(3)
+    places = [(r.uniform(0, 0.7), r.uniform(0, 0.7)) for _ in range(20_000)]
+    matcher = match.Cartesian(1.0, ("x0", "x1"), ("x0", "x1"))
+    rows = table(spark, places, "id")
+    a, b = [multimatch._positions(matcher.keyed(rows, "id", ("x0", "x1"), side), side) for side in "ab"]
+    assert multimatch._Links(matcher, a, b).first().count() < 3 * len(places)
+    found = multimatch.within_groups(rows, "id", matcher, ("x0", "x1"))
+    assert found.where("group = 0 and size = 20000").count() == len(places)
