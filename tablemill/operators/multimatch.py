@@ -76,144 +76,121 @@ def match_pairs(
 
 # --- links in crowds ------------------------------------------------------------------------------
 
-#: A cell of linked positions is seen through one position in each of its parts, so many along each axis.
+#: A cell whose positions all hang together is seen through one position in each of its parts, so many along each axis.
 PARTS = 4
 
 
+def _positions(inputs: list[Input], matcher: Matcher) -> DataFrame:
+    """Distinct positions of each table: (_node: table and smallest id there, _place)."""
+    found = []
+    for n, i in enumerate(inputs):
+        rows = _matcher_for(matcher, i, i).keyed(i.table, i.key, i.values, "a")
+        node = F.struct(F.lit(n).alias("t"), F.min("_id_a").alias("id"))
+        found.append(rows.groupBy("_pa").agg(node.alias("_node")).select("_node", F.col("_pa").alias("_place")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _sides(rows: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
+    """The same rows as the two sides of a match, columns ``names`` with the side's letter."""
+    fields = rows.schema["_place"].dataType.names
+    return tuple(
+        rows.select(
+            F.struct(*[F.col(f"_place.{f}").alias(f.replace("a", side, 1)) for f in fields]).alias(f"_p{side}"),
+            *[F.col(n).alias(n + side) for n in names],
+        ).select("*", f"_p{side}.*")
+        for side in "ab"
+    )
+
+
 class _Links:
-    """Links between close positions of two tables, no more than some for each position.
+    """Links that make the same groups as all close pairs, no more than some for each position.
 
-    ``a`` has _pa, a0, …, _ia and ``b`` has _pb, b0, …, _ib; positions are named by those ids. Cells are so small that all
-    positions in one are close. Where both tables have positions in a cell, these are linked through the first ones, and the
-    cell counts as one node: it needs one link to any other node only, and first looks for it with one position of each
-    of its parts. Positions of a table alone in their cell are nodes of their own.
+    Cells are so small that all positions in one are close. Where a cell has positions of two tables (``among`` one table: of
+    that table), all of them hang together: each gets a link to the first one, and the cell counts as one head. A head
+    needs one link to any other only, and first looks for it with one position of each table in each of its parts.
+    Positions of a table alone in their cell are heads of their own.
     """
 
-    def __init__(self, matcher: Matcher, a: DataFrame, b: DataFrame):
-        self.matcher, self.count = matcher, len(matcher.axes("a"))
+    def __init__(self, matcher: Matcher, positions: DataFrame, among: bool):
+        self.matcher, self.count, self.among = matcher, len(matcher.axes("a")), among
         side = (1 - 1e-6) / math.sqrt(self.count)
-        sides = []
-        for rows, name in ((a, "a"), (b, "b")):
-            axes = matcher.axes(name)
-            cell = F.struct(*[F.floor(u / side).alias(f"k{i}") for i, u in enumerate(axes)])
-            part = F.struct(*[F.floor(u / side * PARTS).alias(f"k{i}") for i, u in enumerate(axes)])
-            sides.append(rows.select("*", cell.alias("_cell"), part.alias("_part")))
-        first = [rows.groupBy("_cell").agg(F.min(f"_i{n}").alias(f"_r{n}")) for rows, n in zip(sides, "ab")]
-        shared = first[0].join(first[1], "_cell")
-        self.a, self.b = [
-            rows.join(shared, "_cell", "left").withColumn("_node", F.coalesce(f"_r{n}", f"_i{n}")) for rows, n in zip(sides, "ab")
-        ]
+        axes = matcher.axes("a")
+        cell = F.struct(*[F.floor(u / side).alias(f"k{i}") for i, u in enumerate(axes)])
+        part = F.struct(*[F.floor(u / side * PARTS).alias(f"k{i}") for i, u in enumerate(axes)])
+        rows = positions.select("*", "_place.*").select("_node", "_place", cell.alias("_cell"), part.alias("_part"))
+        first = rows.groupBy("_cell").agg(F.min("_node").alias("_first"), F.max("_node").alias("_last"))
+        shared = first.where("_first <> _last" if among else "_first.t <> _last.t").select("_cell", "_first")
+        self.rows = rows.join(shared, "_cell", "left").withColumn("_head", F.coalesce("_first", "_node"))
+        table = F.col("_node.t")
+        part = F.when(F.col("_first").isNotNull(), F.col("_part"))
+        seen = self.rows.groupBy("_head", part.alias("_part"), table.alias("_t")).agg(
+            F.min(F.struct("_node", "_place")).alias("_one"), F.min("_cell").alias("_cell"), F.count("*").alias("_n")
+        )
+        self.seen = checkpointed(seen.select("_head", "_t", "_one._place", "_cell", "_n"))
 
     def first(self) -> DataFrame:
-        """(_ia, _ib): stars in shared cells, and links found between parts."""
-        stars = self.a.where("_rb is not null").select("_ia", F.col("_rb").alias("_ib")).unionByName(
-            self.b.where("_ra is not null").select(F.col("_ra").alias("_ia"), "_ib")
-        )
-        seen = []
-        for rows, n in ((self.a, "a"), (self.b, "b")):
-            part = F.when(F.col("_ra").isNotNull() & F.col("_rb").isNotNull(), F.col("_part"))
-            one = rows.groupBy("_node", part.alias("_part")).agg(F.min(F.struct(f"_i{n}", f"_p{n}")).alias("_one"))
-            seen.append(one.select(f"_one._p{n}", f"_one._p{n}.*", F.col("_node").alias(f"_n{n}")))
-        return stars.unionByName(self._nodes(self.matcher.candidates(*seen)))
-
-    @staticmethod
-    def _nodes(close: DataFrame) -> DataFrame:
-        return close.select(F.col("_na").alias("_ia"), F.col("_nb").alias("_ib")).distinct()
-
-    def crowds(self) -> tuple[DataFrame, DataFrame]:
-        """Cells of either table with positions that :meth:`first` did not look at."""
-        return tuple(
-            rows.where("_ra is not null and _rb is not null").groupBy("_cell").agg(F.count("*").alias("_n"), F.count_distinct("_part").alias("_parts"))
-            .where("_n > _parts").select("_cell")
-            for rows in (self.a, self.b)
-        )
-
-    def second(self, group_a: DataFrame, group_b: DataFrame, crowded_a: DataFrame, crowded_b: DataFrame) -> DataFrame:
-        """The links that are missing, given (_ia, _ga) and (_ib, _gb): the groups that the first links make.
-
-        Only cells that hold different groups and one of which is crowded are compared position by position.
+        """(u, v): stars in shared cells, and links found between parts."""
+        stars = self.rows.where("_first <> _node").select(F.col("_node").alias("u"), F.col("_first").alias("v"))
+        return stars.unionByName(_between(self.matcher, *_sides(self.seen, "_head", "_t"), self.among))
+
+    def crowds(self) -> DataFrame:
+        """Cells with positions that :meth:`first` did not look at."""
+        return self.seen.where("_n > 1").select("_cell").distinct()
+
+    def second(self, components: DataFrame, crowds: DataFrame) -> DataFrame:
+        """The links that are missing, given the components that the first links make.
+
+        Only cells that hold different components and one of which is crowded are compared position by position.
         """
-        a, b = self.a.join(group_a, "_ia"), self.b.join(group_b, "_ib")
+        rows = self.rows.join(components, F.col("_node") == F.col("node"), "left").withColumn("_group", F.coalesce("component", "_node"))
+        rows = rows.withColumn("_t", F.col("_node.t"))
         reach = math.ceil(math.sqrt(self.count) * (1 + 2e-6))
         offsets = F.array(*[F.array(*map(F.lit, o)) for o in itertools.product(range(-reach, reach + 1), repeat=self.count)])
+        near = crowds.select(F.col("_cell").alias("_ca"), F.explode(offsets).alias("_o"))
+        moved = F.struct(*[(F.col(f"_ca.k{i}") + F.col("_o")[i]).alias(f"k{i}") for i in range(self.count)])
+        pairs = near.select("_ca", moved.alias("_cb"))
+        for n in "ab":
+            ends = rows.groupBy(F.col("_cell").alias(f"_c{n}")).agg(F.min("_group").alias(f"_low{n}"), F.max("_group").alias(f"_high{n}"))
+            pairs = pairs.join(ends, f"_c{n}")
+        pairs = pairs.where("not (_lowa = _higha and _lowb = _highb and _lowa = _lowb)").select("_ca", "_cb")
+        left, right = _sides(rows, "_cell", "_head", "_t", "_group")
+        met = pairs.join(left, F.col("_ca") == F.col("_cella")).join(right, F.col("_cb") == F.col("_cellb")).where("_groupa <> _groupb")
+        return _heads(self.matcher.scored(met), self.among)
 
-        def around(crowded: DataFrame, here: str, there: str) -> DataFrame:
-            near = crowded.select(F.col("_cell").alias(here), F.explode(offsets).alias("_o"))
-            moved = F.struct(*[(F.col(f"{here}.k{i}") + F.col("_o")[i]).alias(f"k{i}") for i in range(self.count)])
-            return near.select(here, moved.alias(there))
 
-        pairs = around(crowded_a, "_ca", "_cb").unionByName(around(crowded_b, "_cb", "_ca")).distinct()
-        for rows, n in ((a, "a"), (b, "b")):
-            ends = rows.groupBy(F.col("_cell").alias(f"_c{n}")).agg(F.min(f"_g{n}").alias(f"_low{n}"), F.max(f"_g{n}").alias(f"_high{n}"))
-            pairs = pairs.join(ends, f"_c{n}")
-        pairs = pairs.where(~((F.col("_lowa") == F.col("_higha")) & (F.col("_lowb") == F.col("_highb")) & (F.col("_lowa") == F.col("_lowb")))).select("_ca", "_cb")
-        left = a.select(F.col("_cell").alias("_ca"), "_pa", F.col("_node").alias("_na"), "_ga")
-        right = b.select(F.col("_cell").alias("_cb"), "_pb", F.col("_node").alias("_nb"), "_gb")
-        met = pairs.join(left, "_ca").join(right, "_cb").where("_ga <> _gb")
-        return self._nodes(self.matcher.scored(met.select("*", "_pa.*", "_pb.*")))
+def _between(matcher: Matcher, a: DataFrame, b: DataFrame, among: bool) -> DataFrame:
+    return _heads(matcher.candidates(a, b), among)
 
 
-def _linked(pairs: list[tuple]) -> DataFrame:
-    """(node, component) for positions linked by chains of close pairs.
+def _heads(close: DataFrame, among: bool) -> DataFrame:
+    """(u, v) of the heads of close positions, of different tables unless ``among`` one."""
+    if not among:
+        close = close.where("_ta <> _tb")
+    return close.where("_heada <> _headb").select(F.greatest("_heada", "_headb").alias("u"), F.least("_heada", "_headb").alias("v")).distinct()
 
-    ``pairs`` lists (matcher, a, b, name of a, name of b): two tables of positions, and what makes their ids nodes.
-    """
-    links, crowded = [], []
-    for matcher, a, b, name_a, name_b in pairs:
-        if matcher.axes("a") is None:
-            found = matcher.candidates(a, b).select("_ia", "_ib")
-        else:
-            cells = _Links(matcher, a, b)
-            found = cells.first()
-            crowds = [checkpointed(c) for c in cells.crowds()]
-            if not all(c.isEmpty() for c in crowds):
-                crowded.append((cells, crowds, name_a, name_b))
-        links.append(found.select(name_a(F.col("_ia")).alias("u"), name_b(F.col("_ib")).alias("v")))
-    components = checkpointed(connected_components(reduce(DataFrame.unionByName, links)))
-    if not crowded:
+
+def _linked(positions: DataFrame, matcher: Matcher, among: bool) -> DataFrame:
+    """(node, component) for positions linked by chains of close pairs, as a written table."""
+    if matcher.axes("a") is None:
+        rows = positions.select("_place", F.col("_node").alias("_head"), F.col("_node.t").alias("_t"))
+        return checkpointed(connected_components(_between(matcher, *_sides(rows, "_head", "_t"), among)))
+    cells = _Links(matcher, positions, among)
+    components = checkpointed(connected_components(cells.first()))
+    crowds = cells.crowds()
+    if crowds.isEmpty():
         return components
-    more = []
-    for cells, crowds, name_a, name_b in crowded:
-        groups = []
-        for rows, n, name in ((cells.a, "a", name_a), (cells.b, "b", name_b)):
-            own = rows.select(f"_i{n}", name(F.col(f"_i{n}")).alias("_own"))
-            groups.append(own.join(components, F.col("_own") == F.col("node"), "left").select(f"_i{n}", F.coalesce("component", "_own").alias(f"_g{n}")))
-        found = cells.second(*groups, *crowds)
-        more.append(found.select(name_a(F.col("_ia")).alias("u"), name_b(F.col("_ib")).alias("v")))
-    more = checkpointed(reduce(DataFrame.unionByName, more))
+    more = checkpointed(cells.second(components, crowds))
     if more.isEmpty():
         return components
     return checkpointed(connected_components(components.toDF("u", "v").where("u <> v").unionByName(more)))
 
 
-def _group_pairs(inputs: list[Input], matcher: Matcher) -> list[tuple]:
-    """The positions of each two tables, each position named by (table, smallest id there)."""
-
-    def named(n: int):
-        return lambda identity: F.struct(F.lit(n).alias("t"), identity.alias("id"))
-
-    firsts = []
-    for i in inputs:
-        one = _matcher_for(matcher, i, i)
-        firsts.append([_positions(one.keyed(i.table, i.key, i.values, side), side) for side in "ab"])
-    return [
-        (_matcher_for(matcher, inputs[n], inputs[k]), firsts[n][0], firsts[k][1], named(n), named(k))
-        for n in range(len(inputs))
-        for k in range(n + 1, len(inputs))
-    ]
-
-
-def _positions(rows: DataFrame, side: str) -> DataFrame:
-    place = f"_p{side}"
-    return rows.groupBy(place).agg(F.min(f"_id_{side}").alias(f"_i{side}")).select(place, f"{place}.*", f"_i{side}")
-
-
 def match_groups(inputs: list[Input], matcher: Matcher, fixcols: str = "dups", suffixes: list[str] | None = None) -> DataFrame:
     """One output row per group of rows that are linked by chains of close pairs between tables.
 
     Of several entries from one table the one with the smallest key is shown.
     """
-    components = _linked(_group_pairs(inputs, matcher))
+    components = _linked(_positions(inputs, matcher), matcher, False)
     members = components.select(F.col("node.t").alias("t"), F.col("node.id").alias("id"), "component")
     ids = members.groupBy("component").agg(
         *[F.min(F.when(F.col("t") == n, F.col("id"))).alias(f"_m{n}") for n in range(len(inputs))]
@@ -246,15 +223,14 @@ def within_groups(table: DataFrame, key: str, matcher: Matcher, values: tuple, g
     Rows at one position are one from the start, so copies make no pairs. Rows with blank positions are in no group.
     """
     one = replace(matcher, values1=values, values2=values)
-    rows = {side: one.keyed(table, key, values, side) for side in ("a", "b")}
-    firsts = {s: rows[s].groupBy(f"_p{s}").agg(F.min(f"_id_{s}").alias(f"_i{s}"), F.count("*").alias(f"_n{s}")) for s in rows}
-    same = lambda identity: identity
-    component = _linked([(one, firsts["a"].select("_pa", "_pa.*", "_ia"), firsts["b"].select("_pb", "_pb.*", "_ib"), same, same)])
-    places = firsts["a"].join(component, F.col("_ia") == F.col("node"), "left").select(
+    component = _linked(_positions([Input(table, key, values)], one), one, True).select(F.col("node.id").alias("node"), F.col("component.id").alias("component"))
+    rows = one.keyed(table, key, values, "a")
+    firsts = rows.groupBy("_pa").agg(F.min("_id_a").alias("_ia"), F.count("*").alias("_na"))
+    places = firsts.join(component, F.col("_ia") == F.col("node"), "left").select(
         F.col("_pa").alias("_place"), F.coalesce("component", "_ia").alias("_group"), F.col("_na").alias("_n")
     )
     sizes = places.groupBy("_group").agg(F.sum("_n").alias("_size")).where("_size > 1")
     places = places.drop("_n").join(sizes, "_group")
-    return rows["a"].join(places, F.col("_pa") == F.col("_place")).select(
+    return rows.join(places, F.col("_pa") == F.col("_place")).select(
         F.col("_id_a").alias(key), F.col("_group").alias(group), F.col("_size").alias(size)
     )

@@ -494,7 +494,7 @@ def test_links_of_a_crowd_are_linear(spark):
     places = [(r.uniform(0, 0.7), r.uniform(0, 0.7)) for _ in range(20_000)]
     matcher = match.Cartesian(1.0, ("x0", "x1"), ("x0", "x1"))
     rows = table(spark, places, "id")
-    a, b = [multimatch._positions(matcher.keyed(rows, "id", ("x0", "x1"), side), side) for side in "ab"]
-    assert multimatch._Links(matcher, a, b).first().count() < 3 * len(places)
+    given = multimatch._positions([multimatch.Input(rows, "id", ("x0", "x1"))], matcher)
+    assert multimatch._Links(matcher, given, True).first().count() < 3 * len(places)
     found = multimatch.within_groups(rows, "id", matcher, ("x0", "x1"))
     assert found.where("group = 0 and size = 20000").count() == len(places)
