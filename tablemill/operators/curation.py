@@ -1,5 +1,6 @@
 """Curation of prompt/response records: statuses, failure classes, admission, reports, splits."""
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -7,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.blanks import as_column
 from ..functions.text import file_safe, file_stem, strip
-from .rank import order_statistics
 
 # Statuses of a checked record.
 SUCCESS = "executed successfully"
@@ -319,28 +319,43 @@ def holdout_split(df: DataFrame, key: str, fraction: float = 0.1, seed: int = 0)
     """(train, test) with exactly ``floor(n * fraction)`` test rows, drawn at random.
 
     ``key`` must be unique. A row's draw is a hash of its key, so the split does not depend on
-    partitioning and stays the same when tasks are run again. The k-th smallest draw is found by
-    counting; both parts are then plain filters over the input, with no sort and no shuffle.
+    partitioning and stays the same when tasks are run again. Draws are spread evenly, so the k-th smallest lies near k / n of
+    their range: draws there are counted in narrow bins, and the one with the rank is looked at row by row. Both
+    parts are then plain filters over the input, with no sort and no shuffle.
     """
     drawn = df.withColumn("_draw", _draw(key, seed))
-    size = 0
-
-    def rank(n: int) -> int:
-        nonlocal size
-        size = int(n * fraction)
-        return size
-
-    [limit] = order_statistics(drawn, [(F.col("_draw"), rank)])
-    if limit is None:
+    count = df.count()
+    size = int(count * fraction)
+    if size < 1:
         return df, df.limit(0)
-    below = drawn.where(F.col("_draw") < limit).count()
+    middle, spread = size / count, 8 * math.sqrt(1 / count)
+    low, high = max(int((middle - spread) * _DRAWS), 0), min(int((middle + spread) * _DRAWS), _DRAWS - 1)
+    while True:
+        width = max((high - low) // _BINS, 1)
+        place = F.when(F.col("_draw") < low, -1).when(F.col("_draw") > high, _BINS + 2).otherwise(F.floor((F.col("_draw") - low) / width))
+        bins = drawn.groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.min("_draw").alias("lo"), F.max("_draw").alias("hi"))
+        rank, wanted = size, None
+        for row in sorted(bins.collect(), key=lambda r: r["bin"]):
+            if rank <= row["n"]:
+                wanted = row
+                break
+            rank -= row["n"]
+        # A bin beyond the ends, or one with very many rows (keys that repeat), is cut again.
+        low, high = wanted["lo"], wanted["hi"]
+        if wanted["n"] <= _ROWS_OF_A_BIN or low == high:
+            break
+    inside = drawn.where(F.col("_draw").between(low, high)).select("_draw", F.col(key).alias("_last"))
+    last = inside.orderBy("_draw", "_last").limit(rank).agg(F.max(F.struct("_draw", "_last")).alias("x")).first()["x"]
     # Rows that share the last draw (a hash collision) are taken in key order.
-    tied = drawn.where(F.col("_draw") == limit).select(key).orderBy(key).limit(size - below)
-    last = tied.agg(F.max(key)).first()[0]
-    is_test = (F.col("_draw") < limit) | ((F.col("_draw") == limit) & (F.col(key) <= F.lit(last)))
+    draw = F.lit(last["_draw"])
+    is_test = (F.col("_draw") < draw) | ((F.col("_draw") == draw) & (F.col(key) <= F.lit(last["_last"])))
     return drawn.where(~is_test).drop("_draw"), drawn.where(is_test).drop("_draw")
 
 
+# Draws have 60 bits; their bins, and the rows of a bin that are sorted.
+_DRAWS, _BINS, _ROWS_OF_A_BIN = 1 << 60, 4096, 10_000
+
+
 def shuffle_rows(df: DataFrame, key, seed: int = 42) -> DataFrame:
     """Pseudo-random order that the seed repeats; ``key`` (one or more columns) must be unique."""
     keys = [key] if isinstance(key, str) else list(key)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.blanks import is_floating
-from ..session import written
+from ..session import checkpointed, written
 
 # Fixed by Spark: the low 33 bits of monotonically_increasing_id are the place in the partition.
 _PLACE_BITS = 33
@@ -57,69 +57,53 @@ def number_by_key(df: DataFrame, key, name: str = "_rn") -> DataFrame:
     return df.join(number_rows(df.select(*keys), keys, name), keys)
 
 
-def _bin(value: Column, lo, hi, bins: int) -> Column:
-    """A bin number that never falls as ``value`` grows; both ends always get different bins."""
-    if isinstance(lo, int) and hi - lo < 1 << 62:
-        share = (value - F.lit(lo)).cast("double") / float(hi - lo)
-    else:
-        # Quarters, so that the width of the widest interval of doubles is still finite.
-        width = float(hi) / 4 - float(lo) / 4
-        share = (value.cast("double") / 4 - float(lo) / 4) / width if width > 0 else F.lit(0.0)
-    inner = F.least(F.greatest(F.floor(share * bins), F.lit(0)), F.lit(bins - 1))
-    return (
-        F.when(value == F.lit(hi), bins - 1).when(value == F.lit(lo), 0).otherwise(inner).cast("int")
-    )
-
+# --- order statistics by radix --------------------------------------------------------------------
 
 #: Intervals counted in one pass over the data, at most; more open ones take further passes.
 INTERVALS = 32
+#: Equal bins of an interval, 12 bits of a number.
+BINS = 1 << 12
+# More than the exponent of any double, so that bins of small numbers do not meet those below 0.
+_EXPONENTS = 1100
+
+
+def leading_bits(value: Column) -> Column:
+    """A bin by sign and exponent: it never falls as ``value`` grows, and numbers of one bin are within a factor of about 2."""
+    size = F.when(F.abs(value) == float("inf"), 1e4).otherwise(F.floor(F.log2(F.abs(value)))) + _EXPONENTS
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(0).cast("int")
+
 
+def further_bits(value: Column, low: Column, high: Column) -> Column:
+    """The bin of a number between two of one sign that are within a factor of about 2: differences are exact, and both ends get
+    different bins."""
+    share = (value - low).cast("double") / (high - low).cast("double")
+    return F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
 
-def order_statistics(df: DataFrame, wanted: list[tuple[Column, Callable[[int], int]]], bins: int = 4096) -> list:
+
+def order_statistics(df: DataFrame, wanted: list[tuple[Column, Callable[[int], int]]]) -> list:
     """The exact value at one 1-based rank of each numeric expression, blanks left out.
 
-    ``wanted`` lists (expression, function that gives the rank for the number of values). Each pass counts the values of open intervals
-    in equal bins, with the smallest and largest value met per bin, and keeps the bin that holds
-    the rank, until that bin holds a single value. Ranks that are looked for in the same interval of the same
-    expression object share its counts. Only bin counts reach the driver (``bins`` rows for each of at most
-    ``INTERVALS`` intervals), each pass shuffles nothing but partial counts, and a value shared by a third of
-    all rows ends its search at once. A rank outside 1..n gives None.
+    ``wanted`` lists (expression, function that gives the rank for the number of values). The first pass counts values by
+    sign and exponent, with the smallest and largest value met; the bin that holds a rank is cut into BINS further ones
+    in the next pass, until it holds a single value. So there are at most six passes for doubles, however
+    many orders of magnitude they span (seven for longs, ten for the longest decimals), and a value shared by a third of all rows ends its search at
+    once. Ranks looked for in the same interval of the same expression object share its counts. Only bin
+    counts reach the driver (BINS rows for each of at most ``INTERVALS`` intervals), each pass shuffles nothing but
+    partial counts. A rank outside 1..n gives None.
     """
     expressions = {id(expr): expr for expr, _ in wanted}
     named = {key: f"_v{i}" for i, key in enumerate(expressions)}
     values = df.select(*[expr.alias(named[key]) for key, expr in expressions.items()])
-    infinite = float("inf")
-    aggregates = []
-    for n in named.values():
-        # Infinities are the first and last ranks; with one as an end, all else would share a bin.
-        floating = is_floating(values.schema[n].dataType)
-        finite = F.when(F.abs(n) < infinite, F.col(n)) if floating else F.col(n)
-        aggregates += [f(finite).alias(f"{f.__name__}{n}") for f in (F.min, F.max)]
-        aggregates.append((F.count(F.when(~F.isnan(n), F.col(n))) if floating else F.count(n)).alias(f"count{n}"))
-        aggregates += [F.count(F.when(F.col(n) == end, 1) if floating else F.lit(None)).alias(f"{side}{n}") for side, end in (("low", -infinite), ("high", infinite))]
-    ends = values.agg(*aggregates).first()
     found: list = [None] * len(wanted)
     open_items = {}
+    counted = _counts(values, [(n, None, None) for n in named.values()])
     for i, (expr, rank_of) in enumerate(wanted):
-        n = named[id(expr)]
-        lo, hi, count = ends[f"min{n}"], ends[f"max{n}"], ends[f"count{n}"]
+        interval = (named[id(expr)], None, None)
+        count = sum(row["n"] for row in counted[interval])
         rank = rank_of(count) if count else 0
-        if rank < 1 or rank > count:
-            continue
-        low, high = ends[f"low{n}"], ends[f"high{n}"]
-        if rank <= low or rank > count - high:
-            found[i] = -infinite if rank <= low else infinite
-            continue
-        rank -= low
-        if lo == hi:
-            found[i] = lo
-        else:
-            open_items[i] = ((n, lo, hi), rank)
+        if 1 <= rank <= count:
+            open_items[i] = (interval, rank)
     while open_items:
-        intervals = list(dict.fromkeys(interval for interval, _ in open_items.values()))
-        counted = {}
-        for start in range(0, len(intervals), INTERVALS):
-            counted |= _counts(values, intervals[start : start + INTERVALS], bins)
         still_open = {}
         for i, (interval, rank) in open_items.items():
             for row in counted[interval]:
@@ -131,19 +115,27 @@ def order_statistics(df: DataFrame, wanted: list[tuple[Column, Callable[[int], i
                     break
                 rank -= row["n"]
         open_items = still_open
+        intervals = list(dict.fromkeys(interval for interval, _ in open_items.values()))
+        counted = {}
+        for start in range(0, len(intervals), INTERVALS):
+            counted |= _counts(values, intervals[start : start + INTERVALS])
     return found
 
 
-def _counts(values: DataFrame, intervals: list[tuple], bins: int) -> dict[tuple, list]:
-    """The filled bins of each interval (column, smallest, largest value) in order."""
+def _counts(values: DataFrame, intervals: list[tuple]) -> dict[tuple, list]:
+    """The filled bins of each interval (column, smallest, largest value; None for all values) in order."""
     # One array slot per interval; those over columns of different types are counted apart.
     by_type: dict = {}
     for i, (name, lo, hi) in enumerate(intervals):
         value = F.col(name)
-        cell = F.when(value.between(lo, hi), _bin(value, lo, hi, bins))
-        by_type.setdefault(values.schema[name].dataType, []).append(
-            F.struct(F.lit(i).alias("item"), cell.alias("bin"), value.alias("value"))
-        )
+        kind = values.schema[name].dataType
+        if is_floating(kind):
+            value = F.when(~F.isnan(value), value)
+        if lo is None:
+            cell = F.when(value.isNotNull(), leading_bits(value.cast("double")))
+        else:
+            cell = F.when(value.between(F.lit(lo), F.lit(hi)), further_bits(value, F.lit(lo), F.lit(hi)))
+        by_type.setdefault(kind, []).append(F.struct(F.lit(i).alias("item"), cell.alias("bin"), value.alias("value")))
     counted: dict[tuple, list] = {interval: [] for interval in intervals}
     for group in by_type.values():
         rows = (
@@ -159,6 +151,56 @@ def _counts(values: DataFrame, intervals: list[tuple], bins: int) -> dict[tuple,
     return counted
 
 
+def grouped_quantiles(df: DataFrame, keys: list[str], wanted: list[tuple[Column, float, str]]) -> DataFrame:
+    """One row per key with exact quantiles (value, share, name), linear between neighbouring values, blanks left out.
+
+    The passes of :func:`order_statistics` for all keys at once: what is shuffled, and what a task holds, are counts per key
+    and bin, however many values a key has. A pass joins the rows with the intervals of their key that are still open,
+    at most two for each quantile. Each pass writes its intervals as a table, so this runs jobs.
+    """
+    spread = []
+    for i, (value, share, _) in enumerate(wanted):
+        spread.append(F.struct(F.lit(i).alias("item"), F.nanvl(value.cast("double"), F.lit(None)).alias("value")))
+    key = F.struct(*[F.col(k) for k in keys]).alias("_key")
+    values = df.select(key, F.explode(F.array(*spread)).alias("c")).select("_key", "c.*").where("value is not null")
+    shares = F.element_at(F.array(*[F.lit(float(s)) for _, s, _ in wanted]), F.col("item") + 1)
+
+    def counted(rows: DataFrame, by: list, cell: Column) -> DataFrame:
+        """Filled bins with the number of values up to their end."""
+        bins = rows.groupBy(*by, cell.alias("bin")).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        return bins.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy("bin")))
+
+    bins = counted(values, ["_key", "item"], leading_bits(F.col("value")))
+    bins = bins.withColumn("count", F.sum("n").over(Window.partitionBy("_key", "item")))
+    at = (F.col("count") - 1) * shares
+    # The ranks of both neighbours; the upper one of the last value is the value itself.
+    ranks = F.array(F.floor(at) + 1, F.least(F.floor(at) + 2, F.col("count")))
+    bins = bins.withColumn("weight", at - F.floor(at)).select("*", F.posexplode(ranks).alias("side", "rank"))
+    inside = (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n"))
+    names = ["_key", "item", "side", "weight", "lo", "hi", "rest"]
+    rest = (F.col("rank") - F.col("upto") + F.col("n")).alias("rest")
+    found = None
+    state = checkpointed(bins.where(inside).select(*names[:-1], rest))
+    while True:
+        done = state.where("lo = hi")
+        found = done if found is None else found.unionByName(done)
+        state = state.where("lo < hi")
+        if state.isEmpty():
+            break
+        # Both neighbours mostly lie in one interval, which is counted once.
+        intervals = state.select("_key", "item", F.col("lo").alias("from"), F.col("hi").alias("to")).distinct()
+        within = values.join(intervals, ["_key", "item"]).where(F.col("value").between(F.col("from"), F.col("to")))
+        cell = further_bits(F.col("value"), F.col("from"), F.col("to"))
+        bins = counted(within, ["_key", "item", "from", "to"], cell).select("_key", "item", "from", "to", "n", "lo", "hi", "upto")
+        looked = state.select("_key", "item", "side", "weight", F.col("lo").alias("from"), F.col("hi").alias("to"), F.col("rest").alias("rank"))
+        state = checkpointed(bins.join(looked, ["_key", "item", "from", "to"]).where(inside).select(*names[:-1], rest))
+    low, high = [F.max(F.when(F.col("side") == side, F.col("lo"))) for side in (0, 1)]
+    weight = F.max("weight")
+    per_item = found.groupBy("_key", "item").agg(F.when(low == high, low).otherwise(low * (1 - weight) + high * weight).alias("value"))
+    columns = [F.max(F.when(F.col("item") == i, F.col("value"))).alias(name) for i, (_, _, name) in enumerate(wanted)]
+    return per_item.groupBy("_key").agg(*columns)
+
+
 def exact_quantiles(df: DataFrame, wanted: list[tuple[Column, float]]) -> list:
     """Exact quantiles with linear interpolation between neighbouring values, blanks left out."""
     counts: list[int] = [0] * len(wanted)

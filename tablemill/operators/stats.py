@@ -71,12 +71,15 @@ def statistics(
     if unknown:
         raise ValueError(f"unknown statistics {unknown}")
     numeric = [c for c in columns if _is_number(df.schema[c].dataType)]
+    place = None
     if {"MinPos", "MaxPos"} & set(items):
         if order_by is None:
             raise ValueError("positions need an order")
         keys = [quoted(k) if isinstance(k, str) else k for k in ([order_by] if isinstance(order_by, (str, Column)) else order_by)]
         place = F.struct(*[x for i, k in enumerate(keys) for x in (k.isNull().alias(f"blank{i}"), k.alias(f"key{i}"))])
-        first_places = _first_places(df, place, numeric, [i for i in items if i in ("MinPos", "MaxPos")])
+    first_places, distinct = _looked_up(df, place, [(c, i) for c in numeric for i in items if i in ("MinPos", "MaxPos")], columns if "Cardinality" in items else [])
+    # Whole numbers beyond 2**53 are not doubles; their smallest, largest and sum are as exact as they are.
+    whole = bool(numeric) and all(isinstance(df.schema[c].dataType, T.IntegralType) for c in numeric)
 
     found: dict[tuple[str, str], Column] = {}
     shares = {i: _share(i) for i in items if _share(i) is not None}
@@ -87,24 +90,24 @@ def statistics(
     def quantile(x: Column, wanted) -> Column:
         return F.percentile_approx(x, wanted, 10_000)
 
-    if deviations:
-        if approximate:
-            row = df.agg(*[quantile(_number(df, c), 0.5).alias(f"m{i}") for i, c in enumerate(numeric)]).first()
-            medians = {c: row[f"m{i}"] for i, c in enumerate(numeric)}
-        else:
-            medians = dict(zip(numeric, exact_quantiles(df, [(numbers[c], 0.5) for c in numeric])))
-    if not approximate and (shares or deviations):
-        wanted = [(numbers[c], s) for c in numeric for s in shares.values()]
-        keys = [(c, i) for c in numeric for i in shares]
+    if deviations and approximate:
+        row = df.agg(*[quantile(_number(df, c), 0.5).alias(f"m{i}") for i, c in enumerate(numeric)]).first()
+        medians = {c: row[f"m{i}"] for i, c in enumerate(numeric)}
+    elif not approximate and (shares or deviations):
+        wanted = {(c, i): (numbers[c], s) for c in numeric for i, s in shares.items()}
         if deviations:
-            wanted += [(F.abs(numbers[c] - F.lit(medians[c])), 0.5) for c in numeric]
-            keys += [(c, "MedAbsDev") for c in numeric]
-        for key, value in zip(keys, exact_quantiles(df, wanted)):
-            found[key] = F.lit(value).cast("double")
-            if key[1] == "MedAbsDev":
-                found[(key[0], "ScMedAbsDev")] = F.lit(value).cast("double") * MAD_SCALE
-
-    distinct = _cardinalities(df, columns) if "Cardinality" in items else {}
+            wanted |= {(c, None): (numbers[c], 0.5) for c in numeric}
+        for key, value in zip(wanted, exact_quantiles(df, list(wanted.values()))):
+            if key[1] is None:
+                medians[key[0]] = value
+            else:
+                found[key] = F.lit(value).cast("double")
+    if deviations and not approximate:
+        far = [F.abs(numbers[c] - F.lit(medians[c])) for c in numeric]
+        for c, value in zip(numeric, exact_quantiles(df, [(x, 0.5) for x in far])):
+            found[(c, "MedAbsDev")] = F.lit(value).cast("double")
+            found[(c, "ScMedAbsDev")] = F.lit(value).cast("double") * MAD_SCALE
+
     aggregates: list[Column] = []
 
     def aggregated(expression: Column) -> Column:
@@ -124,12 +127,15 @@ def statistics(
                 return F.lit(None).cast("long")
             # A set of few values; a distinct count would group all other aggregates by the values.
             return limited_cardinality(aggregated(F.size(F.collect_set(cell)).cast("long")))
-        kind = "long" if item in ("MinPos", "MaxPos") else "double"
+        exact = whole and item in ("Minimum", "Maximum", "Sum")
+        kind = "long" if exact or item in ("MinPos", "MaxPos") else "double"
         if not is_number:
             return F.lit(None).cast(kind)
         if (column, item) in found:
             return found[(column, item)]
         x = _number(df, column)
+        if exact:
+            return aggregated(_MOMENTS[item](cell.cast("decimal(38,0)")).cast("long"))
         if item in _MOMENTS:
             return aggregated(_MOMENTS[item](x))
         if item in ("MinPos", "MaxPos"):
@@ -180,33 +186,28 @@ _MOMENTS = {
 }
 
 
-def _first_places(df: DataFrame, place: Column, numeric: list[str], items: list[str]) -> dict[tuple[str, str], Column | None]:
-    """The place of the first row that has a column's smallest or largest value, as a literal."""
-    wanted = [(c, i) for c in numeric for i in items]
-    if not wanted:
-        return {}
-    columns = []
+def _looked_up(df: DataFrame, place: Column | None, wanted: list[tuple[str, str]], counted: list[str]) -> tuple[dict, set[str]]:
+    """What the statistics need first, in one scan: the place of the first row with a column's smallest or largest
+    value, as a literal, and the columns with few enough distinct values to count them exactly.
+
+    The estimate (2 % standard error) only excludes columns that are far above the limit.
+    """
+    if not wanted and not counted:
+        return {}, set()
+    columns = [F.approx_count_distinct(_cell(df, c), 0.02).alias(f"_d{i}") for i, c in enumerate(counted)]
     for n, (c, item) in enumerate(wanted):
         x = _number(df, c) * (1 if item == "MinPos" else -1)
         # A minimum, so that tasks can combine their parts.
         columns.append(F.min_by(place, F.when(x.isNotNull(), F.struct(x, place))).alias(f"_p{n}"))
-    kinds = df.select(place.alias("place")).schema["place"].dataType
     found = df.agg(*columns).first()
+    distinct = {c for c, n in zip(counted, found) if n <= 2 * MOST_DISTINCT}
+    if not wanted:
+        return {}, distinct
+    kinds = df.select(place.alias("place")).schema["place"].dataType
     return {
         key: None if row is None else F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kinds)])
-        for key, row in zip(wanted, found)
-    }
-
-
-def _cardinalities(df: DataFrame, columns: list[str]) -> set[str]:
-    """Columns with few enough distinct values to count them exactly.
-
-    The estimate (2 % standard error) only excludes columns that are far above the limit.
-    """
-    row = df.agg(
-        *[F.approx_count_distinct(_cell(df, c), 0.02).alias(f"d{i}") for i, c in enumerate(columns)]
-    ).first()
-    return {c for i, c in enumerate(columns) if row[f"d{i}"] <= 2 * MOST_DISTINCT}
+        for key, row in zip(wanted, found[len(counted) :])
+    }, distinct
 
 
 def limited_cardinality(value: Column) -> Column:

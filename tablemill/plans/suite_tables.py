@@ -175,7 +175,8 @@ def check_table(spark, folder):
 
 @query(
     f"""select event_type, user_id % 7 as class, count(*) as rows, count(value) as good, round(sum(value), 4) as total, round(avg(value), 6) as mean,
-    min(value) as low, max(value) as high, round(stddev_pop(value), 6) as spread, count(distinct user_id) as users
+    min(value) as low, max(value) as high, round(stddev_pop(value), 6) as spread, count(distinct user_id) as users,
+    round(median(value), 6) as middle, round(quantile_cont(value, 0.9), 6) as upper
     from {GOOD_EVENTS} group by event_type, user_id % 7"""
 )
 def group_and_aggregate(spark, folder):
@@ -186,9 +187,10 @@ def group_and_aggregate(spark, folder):
         [
             ("count", "value", "good"), ("sum", "value", "total"), ("mean", "value", "mean"), ("min", "value", "low"),
             ("max", "value", "high"), ("stdev", "value", "spread"), ("distinct", "user_id", "users"),
+            ("median", "value", "middle"), ("Q.9", "value", "upper"),
         ],
     )
-    return rounded(rounded(grouped, "total", places=4), "mean", "spread")
+    return rounded(rounded(grouped, "total", places=4), "mean", "spread", "middle", "upper")
 
 
 @query(

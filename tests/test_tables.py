@@ -1,5 +1,6 @@
 """Row positions, order statistics, row and column filters, statistics, combination."""
 
+import decimal
 import math
 import random
 
@@ -57,7 +58,7 @@ def test_order_statistics(spark, name):
     data = VALUES[name]
     df = frame(spark, [(v,) for v in data] + [(None,)], "v double").repartition(5)
     ranks = sorted({1, 2, len(data) // 3, len(data) // 2, len(data)} & set(range(1, len(data) + 1)))
-    found = rank.order_statistics(df, [(F.col("v"), lambda n, r=r: r) for r in ranks] + [(F.col("v"), lambda n: n + 1)], bins=16)
+    found = rank.order_statistics(df, [(F.col("v"), lambda n, r=r: r) for r in ranks] + [(F.col("v"), lambda n: n + 1)])
     assert found == [sorted(data)[r - 1] for r in ranks] + [None]
 
 
@@ -65,7 +66,42 @@ def test_order_statistics_of_longs(spark):
     data = [2**62 + i % 100 for i in range(500)] + [-(2**62) - i for i in range(500)] + [i for i in range(100)]
     df = frame(spark, [(v,) for v in data], "v long")
     ranks = [1, 400, 500, 550, 700, 1100]
-    assert rank.order_statistics(df, [(F.col("v"), lambda n, r=r: r) for r in ranks], 16) == [sorted(data)[r - 1] for r in ranks]
+    assert rank.order_statistics(df, [(F.col("v"), lambda n, r=r: r) for r in ranks]) == [sorted(data)[r - 1] for r in ranks]
+
+
+def test_at_most_six_passes(spark, monkeypatch):
+    """Any doubles, 64 bits apart: 300 values over 600 powers of ten, and neighbours of one another."""
+    passes, count = [], rank._counts
+    monkeypatch.setattr(rank, "_counts", lambda *a: passes.append(1) or count(*a))
+    near = [math.pi]
+    for _ in range(200):
+        near.append(math.nextafter(near[-1], 4))
+    for data in (VALUES["wide"], near + VALUES["wide"] + VALUES["extreme"]):
+        passes.clear()
+        df = frame(spark, [(v,) for v in data], "v double").repartition(5)
+        assert rank.order_statistics(df, [(F.col("v"), lambda n, r=r: r) for r in range(1, len(data), 40)]) == [sorted(data)[r - 1] for r in range(1, len(data), 40)]
+        assert len(passes) <= 6
+
+
+def test_order_statistics_of_decimals(spark):
+    data = [decimal.Decimal(x) / 10**6 for x in [10**37 + k for k in range(90)] + [-(10**37) - 3 * k for k in range(90)] + list(range(60))]
+    df = frame(spark, [(v,) for v in data], "v decimal(38,6)")
+    assert rank.order_statistics(df, [(F.col("v"), lambda n, r=r: r) for r in range(1, 241, 17)]) == [sorted(data)[r - 1] for r in range(1, 241, 17)]
+
+
+def test_grouped_quantiles(spark):
+    draw = random.Random(6)
+    data = [(draw.choice(["a", "b", None]), draw.choice([draw.gauss(0, 1e-3), draw.uniform(-1, 1) * 10 ** draw.uniform(-300, 300), 7.0]), i) for i in range(400)]
+    data += [("hot", 5.0, 1)] * 500 + [("hot", 6.0, 1), ("nothing", None, None), ("nan", float("nan"), 2), ("one", -0.0, 3), ("two", 1.0, 4), ("two", 2.0, 9)]
+    df = frame(spark, data, "k string, v double, n int").repartition(6)
+    wanted = [("median", "v", "m"), ("Q.1", "v", "low"), ("Q.999", "v", "high"), ("median", "n", "whole"), ("sum", "n", "total")]
+    got = {r.k: r for r in rows.group(df, ["k"], wanted).collect()}
+    v = F.nanvl("v", F.lit(None))
+    built_in = df.groupBy("k").agg(F.percentile(v, 0.5).alias("m"), F.percentile(v, 0.1).alias("low"), F.percentile(v, 0.999).alias("high"), F.percentile("n", 0.5).alias("whole"), F.sum("n").alias("total"), F.count("*").alias("rows"))
+    for r in built_in.collect():
+        for c in ("m", "low", "high", "whole", "total", "rows"):
+            assert got[r.k][c] == (None if r[c] is None else pytest.approx(r[c], rel=1e-12))
+    assert len(got) == 8 and got["nothing"].m is None and got["nan"].m is None
 
 
 def test_quantiles_by_counting_agree_with_the_aggregate(spark):
@@ -223,6 +259,16 @@ def test_statistics_of_blank_columns(spark):
     assert found["i"].Median == 1.5 and found["i"].Class == "int" and found["x"].Cardinality == 0
 
 
+def test_whole_numbers_stay_exact(spark):
+    big = 2**53 + 1
+    df = frame(spark, [(big, 1, "a"), (big + 2, 2, "b"), (None, 3, None)], "n long, i int, t string")
+    got = {r.Name: r for r in stats.statistics(df, items=["Name", "Minimum", "Maximum", "Sum", "Class", "Index"]).collect()}
+    assert (got["n"].Minimum, got["n"].Maximum, got["n"].Sum) == (big, big + 2, 2 * big + 2)
+    assert (got["i"].Sum, got["t"].Sum, got["t"].Class, got["t"].Index) == (6, None, "string", 3)
+    mixed = stats.statistics(df.withColumn("x", F.lit(0.5)), items=["Name", "Minimum"]).collect()
+    assert {r.Name: r.Minimum for r in mixed} == {"n": float(big), "i": 1.0, "t": None, "x": 0.5}
+
+
 def test_statistics_the_same_as_built_in_quantiles(spark):
     df = spark.range(300).select((F.hash("id") % 50 / 4.0).alias("x"), "id")
     items = ["Median", "Quartile1", "Quartile3", "Q.9", "MedAbsDev", "ScMedAbsDev"]
