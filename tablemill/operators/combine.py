@@ -27,6 +27,25 @@ def unique_parts(locations: list[str]) -> tuple[list[str], str, str]:
     return parts, prefix, suffix
 
 
+def label_locations(df: DataFrame, location: str = "location", sequence: str | None = None, unique: str | None = None) -> DataFrame:
+    """Rows of many files with the number of their file (from 1, by location) and the part of its location that differs.
+
+    The common ends of any number of locations are those of the first and the last one in their order, and of the
+    first and last one read backwards, so one aggregate finds them.
+    """
+    result = df
+    if unique:
+        back = F.reverse(location)
+        row = df.agg(F.min(location), F.max(location), F.min(back), F.max(back), F.min(F.length(location))).first()
+        prefix = len(os.path.commonprefix(row[:2])) if row[0] is not None else 0
+        suffix = min(len(os.path.commonprefix(row[2:4])), row[4] - prefix) if row[0] is not None else 0
+        result = result.withColumn(unique, F.substring(F.col(location), F.lit(prefix + 1), F.length(location) - F.lit(prefix + suffix)))
+    if sequence:
+        numbers = number_rows(df.select(F.col(location).alias("_at")).distinct(), "_at", sequence)
+        result = result.join(numbers.withColumn(sequence, F.col(sequence).cast("int")), F.col(location) == F.col("_at")).drop("_at")
+    return result
+
+
 def concatenate(
     tables: list[DataFrame],
     each: list[Step] | None = None,

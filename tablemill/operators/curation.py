@@ -359,7 +359,7 @@ _DRAWS, _BINS, _ROWS_OF_A_BIN = 1 << 60, 4096, 10_000
 def shuffle_rows(df: DataFrame, key, seed: int = 42) -> DataFrame:
     """Pseudo-random order that the seed repeats; ``key`` (one or more columns) must be unique."""
     keys = [key] if isinstance(key, str) else list(key)
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), *[F.col(k).cast("string") for k in keys])), *keys)
 
 
 def ordered_report(df: DataFrame, *order_by) -> DataFrame:

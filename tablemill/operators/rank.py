@@ -30,10 +30,12 @@ def number_rows(df: DataFrame, order_by, name: str = "_rn") -> DataFrame:
     that place plus the sizes of the partitions before it. The table of sizes has one row per sort
     partition, so it is safe to broadcast whatever the size of ``df``.
     """
-    placed = written(
-        df.orderBy(*sort_keys(order_by)).withColumn("_place", F.monotonically_increasing_id()),
-        "numbered",
-    )
+    return number_sorted(df.orderBy(*sort_keys(order_by)), name)
+
+
+def number_sorted(df: DataFrame, name: str = "_rn") -> DataFrame:
+    """Add the 1-based position of each row of a table that has just been sorted."""
+    placed = written(df.withColumn("_place", F.monotonically_increasing_id()), "numbered")
     part = F.shiftrightunsigned("_place", _PLACE_BITS).alias("_part")
     sizes = placed.groupBy(part).agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

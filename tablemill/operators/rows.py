@@ -176,7 +176,7 @@ def unique(df: DataFrame, order_by, keys: list[str] | None = None, count: str |
 def shuffle(df: DataFrame, keys, seed: int = 0) -> DataFrame:
     """Pseudo-random order fixed by the seed; ``keys`` identify a row."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), *[F.col(k).cast("string") for k in keys])), *keys)
 
 
 def assert_all(df: DataFrame, condition, message: str = "assertion failed") -> DataFrame:

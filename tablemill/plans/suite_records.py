@@ -65,17 +65,20 @@ def read_json_corpus(spark, folder):
 
 @query(f"select * from {CORPUS}")
 def read_json_corpus_tolerant(spark, folder):
-    """Good arrays next to a lone object and a broken file, which are both skipped."""
+    """Files of good arrays, some elements of which are no objects, next to files that are broken in six ways."""
     place = new_folder(spark, "corpus")
-    good = _corpus(spark, folder)
-    names = [F.col(c).alias("chat.jar" if c == "status" else c) for c in good.columns]
-    arrays = good.select(F.to_json(F.array(F.struct(*names))).alias("value"))
-    bad = good.select(F.explode(F.array(F.to_json(F.struct(*names)), F.lit('[{"prompt": "x"'))).alias("value"))
-    lines = arrays.unionByName(bad)
-    # Many small files would only test the file system, so each line is parsed like a file's text.
-    lines.write.text(place)
-    files = spark.read.text(place).select("value", F.lit("f").alias("file"), F.lit("p").alias("path"))
-    return records.parse_arrays(files).drop("file", "path")
+    records.write_record_arrays(_corpus(spark, folder), f"{place}/plain", per_file=200)
+    whole = spark.read.text(f"{place}/plain", wholetext=True).select(F.trim(F.translate("value", "\n", " ")).alias("value"))
+    inner = F.expr("substring(value, 2, length(value) - 2)")
+    stray = F.concat(F.lit('[1, "text", null, [2], "{\\"prompt\\": \\"no\\"}", '), inner, F.lit("]"))
+    broken = [
+        F.concat("value", F.lit(" junk")), F.concat("value", "value"), F.concat("value", F.lit("]")), F.concat("value", F.lit("}")),
+        F.concat(F.lit('{"all": '), "value", F.lit("}")), F.expr("left(value, length(value) - 3)"),
+    ]
+    for name, texts in (("good", [stray]), ("broken", broken)):
+        files = whole.select(F.explode(F.array(*texts)).alias("value"))
+        files.write.option("maxRecordsPerFile", 1).text(f"{place}/{name}")
+    return records.read_corpus(spark, f"{place}/good", f"{place}/broken", f"{place}/missing", pattern="*.txt").drop("file", "path")
 
 
 @query(f"select prompt, cmd, status from {RECORDS}")
@@ -99,8 +102,7 @@ def document_lines(spark, folder):
 def read_text_lines(spark, folder):
     place = new_folder(spark, "lines")
     given.table(spark, folder, "documents").select("text").write.option("lineSep", "\n").text(place)
-    lines = spark.read.option("lineSep", "\n").text(place)
-    return lines.groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+    return records.read_lines(spark, place).groupBy(F.col("text").alias("line")).agg(F.count("*").alias("n"))
 
 
 @query(f"select step, loss from {LOSS_LOG} where loss is not null")
@@ -477,9 +479,9 @@ def holdout_parts(spark, folder):
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-@query("select doc_id from documents")
+@query("select doc_id, row_number() over (order by md5('42:' || doc_id::varchar), doc_id) as place from documents")
 def seeded_shuffle(spark, folder):
-    return curation.shuffle_rows(given.table(spark, folder, "documents").select("doc_id"), "doc_id")
+    return rank.number_sorted(curation.shuffle_rows(given.table(spark, folder, "documents").select("doc_id"), "doc_id"), "place")
 
 
 @query(
@@ -487,7 +489,7 @@ def seeded_shuffle(spark, folder):
 )
 def ordered_report(spark, folder):
     report = given.records(spark, folder).select("rid", "cmd")
-    return rank.number_rows(report, ["cmd", "rid"], "place")
+    return rank.number_sorted(curation.ordered_report(report, "cmd", "rid"), "place")
 
 
 @query("select doc_id, case when length(text) > 500 then left(text, 500) || '...' else text end as text from documents order by doc_id limit 2")

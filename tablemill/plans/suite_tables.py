@@ -109,8 +109,7 @@ def every_tenth_row_approximately(spark, folder):
 def sort_descending(spark, folder):
     """The place of each row in the sorted table; both kinds of blank go last."""
     events = _events(spark, folder)
-    order = rows.sort_order(events, ["value", "event_id"], down=True)
-    return rank.number_rows(events, order, "place").select("event_id", "place")
+    return rank.number_sorted(rows.sort(events, ["value", "event_id"], down=True), "place").select("event_id", "place")
 
 
 @query("select * from part order by p_retailprice, p_partkey limit 10")
@@ -130,12 +129,14 @@ def sort_head_from_tail(spark, folder):
 )
 def repeat_table(spark, folder):
     suppliers = given.table(spark, folder, "supplier").select("s_suppkey")
-    return rank.number_rows(rows.repeat(suppliers, 3, "s_suppkey"), ["copy", "s_suppkey"], "place")
+    return rank.number_sorted(rows.repeat(suppliers, 3, "s_suppkey"), "place")
 
 
-@query("select s_suppkey, cast(i as integer) as copy from supplier, generate_series(1, 3) as g(i)")
+@query(
+    "select s_suppkey, cast(i as integer) as copy, row_number() over (order by s_suppkey, i) as place from supplier, generate_series(1, 3) as g(i)"
+)
 def repeat_rows(spark, folder):
-    return rows.repeat(given.table(spark, folder, "supplier").select("s_suppkey"), 3, "s_suppkey", by_row=True)
+    return rank.number_sorted(rows.repeat(given.table(spark, folder, "supplier").select("s_suppkey"), 3, "s_suppkey", by_row=True), "place")
 
 
 @query(
@@ -153,9 +154,9 @@ def unique_rows(spark, folder):
     return rows.unique(lines, ["l_returnflag"])
 
 
-@query("select c_custkey from customer")
+@query("select c_custkey, row_number() over (order by md5('3:' || c_custkey::varchar), c_custkey) as place from customer")
 def shuffled_rows(spark, folder):
-    return rows.shuffle(given.table(spark, folder, "customer").select("c_custkey"), "c_custkey", seed=3)
+    return rank.number_sorted(rows.shuffle(given.table(spark, folder, "customer").select("c_custkey"), "c_custkey", seed=3), "place")
 
 
 @query("select o_orderkey from orders where o_totalprice > 0")
@@ -369,15 +370,17 @@ def concatenate_alike(spark, folder):
 
 
 @query(
-    f"""select key, name, seq, case seq when 1 then '/data/cat_customer.csv' else '/data/cat_supplier.csv' end as location,
+    f"""select key, name, seq, case seq when 1 then 'cat_customer.csv' else 'cat_supplier.csv' end as location,
     case seq when 1 then 'custom' else 'suppli' end as part from {PARTIES}"""
 )
 def concatenate_with_provenance(spark, folder):
-    return combine.concatenate(
-        [t.select("key", "name") for t in _parties(spark, folder)],
-        sequence="seq", location="location", unique_location="part",
-        locations=["/data/cat_customer.csv", "/data/cat_supplier.csv"],
-    )
+    """The tables are written as files and read as one; where each row came from is known from its file."""
+    place = new_folder(spark, "parties")
+    paths = [f"{place}/cat_{kind}.csv" for kind in ("customer", "supplier")]
+    for table, path in zip(_parties(spark, folder), paths):
+        tables.write_table(table.select("key", "name"), path, "csv")
+    read = tables.with_location(tables.read_table(spark, paths, "csv", "key long, name string"), whole_table=True)
+    return combine.label_locations(read, sequence="seq", unique="part").withColumn("location", F.regexp_extract("location", "[^/]*$", 0))
 
 
 @query(

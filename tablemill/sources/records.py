@@ -44,22 +44,40 @@ def _record_columns() -> list[Column]:
     ]
 
 
+def is_whole_array(value: Column | str) -> Column:
+    """Whether a text is one JSON array and nothing else.
+
+    The parsers stop after the first value, so what follows it goes unseen. Here the text is put once into an array and once
+    into an object, where anything after it breaks one of the two.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    alone = F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))) == 1
+    # A bracket that closes the array too early breaks the object, a brace that closes the object breaks the array.
+    only = F.json_object_keys(F.concat(F.lit('{"x":'), value, F.lit("}"))) == F.array(F.lit("x"))
+    return F.coalesce(F.startswith(strip(value), F.lit("[")) & alone & only, F.lit(False))
+
+
 def parse_arrays(files: DataFrame) -> DataFrame:
-    """The records of texts (``value``, ``file``, ``path``) that are JSON arrays; other texts give none.
+    """The records of texts (``value``, ``file``, ``path``) that are JSON arrays; other texts, also those with anything
+    behind the array, give none.
 
-    Elements that are no objects are skipped; the other elements of their file stay.
+    Elements that are no objects are skipped, texts that look like one among them; the other elements of their file stay.
     """
-    # A lone object would be wrapped into an array by the parser, so the bracket is tested itself.
-    arrays = files.where(F.startswith(strip("value"), F.lit("[")))
-    elements = arrays.select("file", "path", F.explode(F.from_json("value", T.ArrayType(T.StringType()))).alias("element"))
-    objects = elements.where(F.startswith(strip("element"), F.lit("{")))
+    texts = F.from_json("value", T.ArrayType(T.StringType()))
+    # The kind of an element is lost in its text. It is unknown (NULL) where some object repeats a key; there, the last one counts.
+    kinds = F.transform(F.from_json("value", T.ArrayType(T.VariantType())), lambda v: F.schema_of_variant(v))
+    elements = files.where(is_whole_array("value")).select("file", "path", texts.alias("element"), kinds.alias("kind"))
+    kinds = F.coalesce("kind", F.transform("element", lambda _: F.lit(None).cast("string")))
+    each = elements.withColumn("kind", kinds).select("file", "path", F.inline(F.arrays_zip("element", "kind")))
+    unknown = F.col("kind").isNull() & F.startswith(strip("element"), F.lit("{"))
+    objects = each.where(unknown | F.startswith("kind", F.lit("OBJECT")))
     return objects.select("file", "path", F.from_json("element", RECORD_SCHEMA).alias("record")).select("file", "path", "record.*").select(*_record_columns())
 
 
 def read_corpus(spark: SparkSession, *folders: str, pattern: str = "*.json") -> DataFrame:
     """All records of all files named like ``pattern`` directly in the folders.
 
-    Folders that do not exist are skipped, and so are files that are not a JSON array or cannot be
+    Folders that do not exist are skipped, and so are files that are not a JSON array as a whole or cannot be
     parsed. Files are the unit of parallelism, as a JSON array cannot be split. Columns: the record
     fields (with the status field named ``status``), ``file`` and ``path``.
     """
@@ -130,9 +148,10 @@ def write_failures(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
     df.write.mode(mode).partitionBy("mode_key").json(path)
 
 
-def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """Lines of text files in column ``text``."""
-    return spark.read.text(list(paths)).withColumnRenamed("value", "text")
+def read_lines(spark: SparkSession, *paths: str, separator: str | None = "\n") -> DataFrame:
+    """Lines of text files in column ``text``; without ``separator``, any of the three line ends."""
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    return reader.text(list(paths)).withColumnRenamed("value", "text")
 
 
 def text_lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -20,8 +20,8 @@ def _codec(name: str) -> tuple[str, dict]:
         raise ValueError(f"unknown format {name!r}, known formats: {', '.join(FORMATS)}") from None
 
 
-def read_table(spark: SparkSession, path: str, ifmt: str, schema=None) -> DataFrame:
-    """A table file or folder; text formats need a schema, as nothing is inferred."""
+def read_table(spark: SparkSession, path: str | list[str], ifmt: str, schema=None) -> DataFrame:
+    """A table file or folder, or several that are read as one table; text formats need a schema, as nothing is inferred."""
     name, options = _codec(ifmt)
     reader = spark.read.format(name).options(**options)
     if schema is not None:
@@ -39,9 +39,10 @@ def convert(spark: SparkSession, source: str, ifmt: str, target: str, ofmt: str,
     write_table(read_table(spark, source, ifmt, schema), target, ofmt, mode)
 
 
-def with_location(df: DataFrame, name: str = "location") -> DataFrame:
-    """Add the path of the file that each row was read from."""
-    return df.select("*", F.col("_metadata.file_path").alias(name))
+def with_location(df: DataFrame, name: str = "location", whole_table: bool = False) -> DataFrame:
+    """Add the path of the file that each row was read from, or of the folder that holds a table's files."""
+    path = F.col("_metadata.file_path")
+    return df.select("*", (F.regexp_replace(path, "/[^/]*$", "") if whole_table else path).alias(name))
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -329,3 +329,37 @@ def test_best_step_is_the_first(spark):
     log = frame(spark, [(30, 0.5, None), (20, None, 0.1), (10, None, 0.1), (5, None, 0.4)], "step long, loss double, eval_loss double")
     curve = evaluate.loss_curve(log, "eval_loss")
     assert evaluate.best_step(curve).first() == Row(loss=0.1, step=10)
+
+
+PROBES = {
+    '["{\\"prompt\\":\\"x\\"}"]': [],
+    '[{"prompt":"c"}] junk': [],
+    '[{"prompt":"e"}][{"prompt":"f"}]': [],
+    '[{"prompt":"a"}]]': [],
+    '[{"prompt":"a"}]}': [],
+    '[{"prompt":"a"}, "b": 1': [],
+    '[{"prompt":"a"},]': [],
+    '{"prompt":"a"}': [],
+    "": [],
+    "[": [],
+    ' [ ] ': [],
+    '[{"prompt":"a"}, 1, null, "s", [2], "{}", {"prompt":"b","error":null}]': ["a", "b"],
+    '[{"prompt":"a","prompt":"last"}]': ["last"],
+    '[{"prompt":"1","response":{"a":[1]}}]\n': ["1"],
+    '[{"prompt":"\\u00e9 \\n"}]': ["é \n"],
+    '[{"Prompt":"other"}]': [None],
+}
+
+
+def test_strict_arrays(spark):
+    files = spark.createDataFrame([(t, str(i), "p") for i, t in enumerate(PROBES)], "value string, file string, path string")
+    got = {str(i): [] for i in range(len(PROBES))}
+    for r in records.parse_arrays(files).collect():
+        got[r.file].append(r.prompt)
+    assert list(got.values()) == list(PROBES.values())
+
+
+def test_a_file_larger_than_a_variant(spark, tmp_path):
+    """150 MB in one array."""
+    (tmp_path / "large.json").write_text("[" + ",".join(['{"prompt":"' + "x" * 1000 + '"}'] * 150_000) + "]")
+    assert records.read_corpus(spark, str(tmp_path)).where(F.length("prompt") == 1000).count() == 150_000

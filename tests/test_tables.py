@@ -363,3 +363,11 @@ def test_files_are_processed_once(spark, tmp_path):
     assert run() == [0, 2, 4]
     add(range(5, 9))
     assert run() == [0, 2, 4, 6, 8] == run()
+
+
+@pytest.mark.parametrize("places", [["/d/cat_ab.csv", "/d/cat_cb.csv"], ["x"], ["aa", "aaa", "a"], ["abab", "ab"], ["p/1", "p/2", "p/10"]])
+def test_location_parts(spark, places):
+    df = frame(spark, [(p, i) for p in places for i in range(3)], "location string, i int")
+    got = {(r.location, r.part, r.seq) for r in combine.label_locations(df, sequence="seq", unique="part").collect()}
+    parts, _, _ = combine.unique_parts(places)
+    assert got == {(p, part, sorted(places).index(p) + 1) for p, part in zip(places, parts)}
