@@ -1,5 +1,6 @@
 """Training-set preparation: chat templates, tokens, fixed blocks."""
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -7,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.blanks import as_column
 from ..functions.text import strip
-from .rank import number_by_key
+from .rank import number_by_key, number_rows
 
 # The markers of the chat template.
 BEGIN = "<bos>"
@@ -151,15 +152,72 @@ def pack_blocks(
     block, which needs no further shuffle.
     """
     lists = (tokens, *parallel)
-    in_batch = Window.partitionBy("batch_id")
+    return _blocks(batched.select("batch_id", "batch_row", *lists), block, lists, ["batch_id"])
+
+
+#: Runs of batches that are dealt out, at most; the first key of each is known to every task.
+MOST_RUNS = 1 << 16
+
+
+def pack_rows(
+    df: DataFrame, key, tokens: Column, block: int = 1024, batch_size: int = 1000, parallel: dict[str, Column] | None = None
+) -> DataFrame:
+    """The blocks of :func:`pack_blocks` for batches of ``batch_size`` rows in the order of the unique ``key``.
+
+    ``tokens`` and ``parallel`` are the lists as expressions. Whole rows are moved once: the keys alone are sorted and
+    numbered first, and tell each row to which run of batches it belongs. A run stays together, so that rows are ordered,
+    counted into batches, cut and gathered where they are; lists are made after the move.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    numbers = number_rows(df.select(*keys), keys)
+    count = numbers.count()
+    wanted = min(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RUNS)
+    per_run = max(-(-count // (batch_size * wanted)), 1)
+    # At most MOST_RUNS keys.
+    first = numbers.where((F.col("_rn") - 1) % (per_run * batch_size) == 0).orderBy("_rn")
+    starts = [r[0] for r in first.select(F.to_json(F.struct(*keys), _EXACT)).collect()]
+    run = _place_in(starts, F.struct(*keys), df.select(F.struct(*keys).alias("key")).schema["key"].dataType)
+    moved = df.withColumn("_run", run).repartition("_run")
+    at = F.row_number().over(Window.partitionBy("_run").orderBy(*keys)) - 1
+    placed = moved.withColumn("_at", at.cast("long")).withColumns(
+        {"batch_id": F.col("_run") * per_run + F.floor(F.col("_at") / batch_size), "batch_row": F.col("_at") % batch_size}
+    )
+    lists = {"input_ids": tokens, **(parallel or {})}
+    return _blocks(placed.select("_run", "batch_id", "batch_row", *[c.alias(n) for n, c in lists.items()]), block, tuple(lists), ["_run", "batch_id"])
+
+
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
+
+
+def _place_in(starts: list[str], value: Column, kind: T.DataType) -> Column:
+    """The number, from 0, of the last of the sorted ``starts`` (JSON of structs) that is not beyond ``value``.
+
+    It is looked up among every hundredth or so first, and then between two of these.
+    """
+    if len(starts) < 2:
+        return F.lit(0).cast("long")
+    width = math.isqrt(len(starts)) + 1
+
+    def array(values: list[str]) -> Column:
+        # One text, which becomes one constant, instead of an expression for each value.
+        return F.from_json(F.lit(f"[{','.join(values)}]"), T.ArrayType(kind), _EXACT)
+
+    group = F.greatest(F.size(F.filter(array(starts[::width]), lambda v: v <= value)), F.lit(1))
+    inner = F.size(F.filter(F.slice(array(starts), (group - 1) * width + 1, F.lit(width)), lambda v: v <= value))
+    return ((group - 1) * width + F.greatest(inner, F.lit(1)) - 1).cast("long")
+
+
+def _blocks(batched: DataFrame, block: int, lists: tuple[str, ...], batch: list[str]) -> DataFrame:
+    """Blocks of lists whose first one sets the sizes; ``batch`` are the columns that rows of a batch share."""
+    tokens = lists[0]
+    in_batch = Window.partitionBy(*batch)
     before = in_batch.orderBy("batch_row").rowsBetween(Window.unboundedPreceding, -1)
     total = F.col("_total")
     kept = F.when(total >= block, total - total % block).otherwise(total)
     # The blocks of a row are the numbers from that of its first to that of its last token.
     blocks = F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_end") - 1) / block))
     pieces = (
-        batched.select("batch_id", "batch_row", *lists)
-        .withColumn("_size", F.size(tokens).cast("long"))
+        batched.withColumn("_size", F.size(tokens).cast("long"))
         .withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0).cast("long")))
         .withColumn("_total", F.sum("_size").over(in_batch))
         .withColumn("_end", F.least(F.col("_start") + F.col("_size"), kept))
@@ -172,7 +230,7 @@ def pack_blocks(
     def cut(name: str) -> Column:
         return F.slice(name, (low - F.col("_start") + 1).cast("int"), (high - low).cast("int")).alias(name)
 
-    gathered = pieces.groupBy("batch_id", "block_id").agg(
+    gathered = pieces.groupBy(*batch, "block_id").agg(
         F.array_sort(F.collect_list(F.struct("batch_row", *[cut(n) for n in lists]))).alias("_pieces")
     )
     return gathered.select(

@@ -395,9 +395,8 @@ PACK = (
 
 @query(PACK)
 def packed_blocks(spark, folder):
-    batched = prepare.batch_rows(given.spread_table(spark, folder, "documents", "doc_id", "text"), "doc_id", 100)
-    words = batched.withColumn("input_ids", prepare.word_tokens("text"))
-    blocks = prepare.pack_blocks(words, BLOCK)
+    documents = given.table(spark, folder, "documents").select("doc_id", "text")
+    blocks = prepare.pack_rows(documents, "doc_id", prepare.word_tokens("text"), BLOCK, 100)
     return blocks.select(
         "batch_id", "block_id", F.size("input_ids").cast("long").alias("tokens"),
         F.md5(F.array_join("input_ids", " ")).alias("digest"), F.md5(F.array_join("labels", " ")).alias("label_digest"),

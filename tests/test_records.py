@@ -1,6 +1,8 @@
 """Reading, curation, repair, preparation and scoring of records."""
 
+import datetime
 import json
+import random
 
 import pandas as pd
 import pytest
@@ -284,6 +286,22 @@ def test_packing(spark):
         assert all(r[2] == r[4] and r[3] == [1] * len(r[2]) for r in rows)
 
 
+@pytest.mark.parametrize("runs", [1, 3, 40])
+def test_packing_in_one_move(spark, monkeypatch, runs):
+    monkeypatch.setattr(prepare, "MOST_RUNS", runs)
+    draw = random.Random(runs)
+    lists = [[100 * i + j for j in range(draw.choice([0, 1, 7, 40]))] for i in range(57)]
+    keyed = [(f"k{i // 10}", datetime.datetime(2020, 1, 1) + datetime.timedelta(microseconds=i % 10), l, [1] * len(l)) for i, l in enumerate(lists)]
+    df = frame(spark, draw.sample(keyed, len(keyed)), "a string, b timestamp, ids array<int>, mask array<int>")
+    for size, block in [(5, 8), (3, 1000), (57, 4), (1, 3)]:
+        blocks = prepare.pack_rows(df, ["a", "b"], F.col("ids"), block, size, {"attention_mask": F.col("mask")})
+        rows = sorted((r.batch_id, r.block_id, r.input_ids, r.attention_mask, r.labels) for r in blocks.collect())
+        assert [r[:3] for r in rows] == packed(lists, block, size)
+        assert all(r[2] == r[4] and r[3] == [1] * len(r[2]) for r in rows)
+    plan = blocks._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange ") == 1
+
+
 def test_training_tokens(spark):
     df = frame(spark, [(i, "p", "r" * i) for i in range(20)], "id long, prompt string, response string")
     tokens = jobs.training_tokens(df, lambda texts: texts.map(lambda t: [len(t)]), "id")

@@ -371,3 +371,38 @@ def test_location_parts(spark, places):
     got = {(r.location, r.part, r.seq) for r in combine.label_locations(df, sequence="seq", unique="part").collect()}
     parts, _, _ = combine.unique_parts(places)
     assert got == {(p, part, sorted(places).index(p) + 1) for p, part in zip(places, parts)}
+
+
+TEXTS = {
+    "prefixed": [f"Customer#{i:09d}" for i in range(500)],
+    "shared": ["common beginning, then more " + "x" * (i % 7) + chr(97 + i % 26) * (i % 40) for i in range(300)] + ["a", "z", "", "é", "\U0001F600"],
+    "hot": ["the same long text in nearly every row"] * 400 + ["the same long text in nearly every rox", "b", None, None],
+    "bytes": ["\x00", "\x00\x00", "a\x00b", "a", "aa", "ÿ", "\ue000", "\U00010000"] * 3,
+}
+
+
+@pytest.mark.parametrize("name", list(TEXTS))
+def test_heads_of_texts(spark, name):
+    data = [(t, i) for i, t in enumerate(TEXTS[name])]
+    df = frame(spark, data, "t string, i int").repartition(3)
+    ranked = sorted((x for x in data if x[0] is not None), key=lambda x: (x[0].encode(), x[1]))
+    blank = [x for x in data if x[0] is None]
+    same = lambda d: [tuple(r) for r in d.collect()]
+    for n in (1, 4, 50):
+        assert same(rows.head(df, n, ["t", "i"])) == (ranked + blank)[:n]
+        assert same(rows.tail(df, n, ["t", "i"])) == (ranked + blank)[-n:]
+        falling = sorted(ranked, key=lambda x: (x[0].encode(), x[1]), reverse=True)
+        assert same(rows.sort_head(df, n, ["t", "i"], down=True)) == (falling + blank[::-1])[:n]
+    middle = len(data) // 2
+    assert same(rows.row_range(df, middle, "+3", ["t", "i"])) == (ranked + blank)[middle - 1 : middle + 2]
+
+
+def test_heads_of_texts_sort_a_few_rows(spark, monkeypatch):
+    """What is numbered is a small part of the table, also where nine tenths begin alike."""
+    sizes, number = [], rows.number_rows
+    monkeypatch.setattr(rows, "number_rows", lambda df, order: sizes.append(df.count()) or number(df, order))
+    df = spark.range(50_000).select(F.when(F.col("id") % 10 > 0, F.format_string("a long beginning %08d", "id")).otherwise(F.md5(F.col("id").cast("string"))).alias("t"), "id")
+    expected = [tuple(r) for r in df.orderBy("t", "id").limit(30_010).offset(30_000).collect()]
+    assert [tuple(r) for r in rows.row_range(df, 30_001, "+10", ["t", "id"]).collect()] == expected
+    assert [tuple(r) for r in rows.head(df, 5, ["t", "id"]).collect()] == [tuple(r) for r in df.orderBy("t", "id").limit(5).collect()]
+    assert max(sizes) < 2_500
