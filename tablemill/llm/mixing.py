@@ -1,5 +1,6 @@
 """Mixing sources to target weights by Pareto order sampling."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.rank import number_rows
@@ -17,15 +18,15 @@ def words(text: Column) -> Column:
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """(source, source_size, target) of every source of (source, size), as a written table.
+    """(source, source_size, source_rows, target) of every source of (source, size), as a written table.
 
     Sources in code point order, null last, take the weights in turn and share the sum of all sizes; what exceeds
     MOST times a source's size is shared anew by weight. Each round needs two sums over the sources.
     """
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("source_rows"))
     numbered = number_rows(sources, [F.col("source").asc_nulls_last()], "_rn")
     place = F.pmod(F.col("_rn") - 1, F.lit(len(weights))).cast("int")
-    sources = written(numbered.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), place + 1).cast("long").alias("weight")), "sources")
+    sources = written(numbered.select("source", "source_size", "source_rows", F.element_at(F.array(*map(F.lit, weights)), place + 1).cast("long").alias("weight")), "sources")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     share, capped = 0.0, None
     while True:
@@ -40,36 +41,44 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
             break
         capped, share = row["n"], (total - MOST * row["size"]) / row["weight"]
     cap = (F.col("source_size") * MOST).cast("double")
-    return sources.select("source", "source_size", F.least(cap, F.col("weight") * F.lit(share)).cast("double").alias("target"))
+    return sources.select("source", "source_size", "source_rows", F.least(cap, F.col("weight") * F.lit(share)).cast("double").alias("target"))
 
 
-def copies(docs: DataFrame, weights=(1, 2, 3), seed: int = 29, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: doc_id, crc (of the text), size, source_size, target, copies.
+def copies(
+    docs: DataFrame, weights=(1, 2, 3), seed: int = 29, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None
+) -> DataFrame:
+    """One row per input row: doc_id, row, size, source_size, target, copies.
 
     A source whose target is r times its size takes floor(r) certain copies of each document. The rest of its words comes
-    from one more copy of some documents, by Pareto order sampling: with u from a seeded hash of id and text and f the
-    fraction of r, documents rank by (u / (1 - u)) / (f / (1 - f)), and the first ones are taken while their words fit.
-    The last place goes to the document that fits the remaining words best. The cut is found by counting words per
-    class of ranks; only the class with the cut is looked at row by row, so no task holds a source.
+    from one more copy of some documents, by Pareto order sampling: with u from a seeded hash of id and text, documents
+    rank by (u / (1 - u)) over the odds of their inclusion. These odds are in proportion to their words; the factor that
+    makes the sample fill the rest is the same for a whole source and so leaves the order as it is. The first documents are
+    taken while their words fit, then, still in rank order, those that fit what is left, until no document of the source does.
 
-    Null and empty texts have size 0 and never matter. Rows without id are ranked by their text; a null source is a
-    source of its own; equal rows rank the same, are taken one by one, and get the same number of certain copies.
+    The cut is found by counting words per class of ranks; only the class with the cut is looked at row by row, so no task
+    holds a source. What is left then is less than one document, and as few documents as can fill it are gone through in order.
+
+    Null and empty texts have size 0 and take no room. Rows without id are ranked by their text; a null source is a
+    source of its own. ``row`` numbers the input rows (or is ``row_col``), so that each of several equal rows has its own decision.
     """
     text = docs[text_col].cast("string")
+    row = F.monotonically_increasing_id() if row_col is None else docs[row_col].cast("long")
     sized = written(
-        docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), words(text).alias("size"),
+        docs.select(docs[id_col].cast("long").alias("doc_id"), row.alias("row"), docs[source_col].cast("string").alias("source"), words(text).alias("size"),
                     F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc")), "sized",
     )
     goals = targets(sized, weights)
     s, g = sized.alias("s"), goals.alias("g")
-    joined = s.join(g, F.col("s.source").eqNullSafe(F.col("g.source")), "left").select("s.*", "source_size", "target")
+    joined = s.join(g, F.col("s.source").eqNullSafe(F.col("g.source")), "left").select("s.*", "source_size", "source_rows", "target")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # 53 random bits, never 0 or 1.
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "crc"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     f = F.col("fraction")
+    # Odds of 1 for a document of average length; those without words are of no weight either way.
+    odds = F.when(F.col("size") > 0, F.col("size") * F.col("source_rows") / F.col("source_size")).otherwise(1.0)
     ranked = (
         joined.withColumn("certain", F.floor(ratio).cast("int")).withColumn("fraction", ratio - F.col("certain"))
-        .withColumn("rank", F.when(f > 0, (u / (1 - u)) / (f / (1 - f))))
+        .withColumn("rank", F.when(f > 0, (u / (1 - u)) / odds))
         .withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
     )
     # Words wanted beyond the certain copies, and the class of ranks in which they are reached.
@@ -83,37 +92,74 @@ def copies(docs: DataFrame, weights=(1, 2, 3), seed: int = 29, id_col: str = "do
     cut = written(cut, "cut")
     r, c = ranked.alias("r"), cut.alias("c")
     placed = r.join(c, F.col("r.source").eqNullSafe(F.col("c.source")), "left").select("r.*", "cut_bin", "rest")
-    order = Window.partitionBy("source").orderBy("rank", "doc_id", "crc").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source").orderBy("rank", "doc_id", "crc", "row").rowsBetween(Window.unboundedPreceding, 0)
     edge = written(placed.where("bin = cut_bin").withColumn("upto", F.sum("size").over(order)), "edge")
-    # What the first ones leave open, and the document that fits it best; it is one more row per source.
-    gap = edge.groupBy("source").agg((F.max("rest") - F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))), F.lit(0))).alias("gap"))
-    open_ = placed.where("bin > cut_bin").select("source", "size", "rank", "doc_id", "crc").unionByName(
-        edge.where("upto > rest").select("source", "size", "rank", "doc_id", "crc")
-    )
-    o, p = open_.alias("o"), gap.alias("p")
-    last = (
-        o.join(p, F.col("o.source").eqNullSafe(F.col("p.source"))).select("o.*", "gap")
-        .where(F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
-        .groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank", "doc_id", "crc")).alias("last"))
-        .select(F.col("source").alias("last_source"), "last.doc_id", "last.crc", "last.rank")
-    )
-    out = ["doc_id", "crc", "source", "size", "source_size", "target", "rank", "certain"]
+    fits = F.when(F.col("upto") <= F.col("rest"), F.col("upto"))
+    gaps = edge.groupBy("source").agg((F.max("rest") - F.coalesce(F.max(fits), F.lit(0))).alias("gap"))
+    open_ = ["source", "size", "rank", "bin", "doc_id", "crc", "row"]
+    left = placed.where("bin > cut_bin").select(*open_).unionByName(edge.where("upto > rest").select(*open_))
+    more = _filled(left.where("size > 0"), written(gaps, "gaps"))
+    out = ["doc_id", "row", "size", "source_size", "target", "certain"]
     first = F.coalesce(F.col("bin") < F.col("cut_bin"), F.col("rank").isNotNull())
     decided = placed.where("cut_bin is null or bin is null or bin <> cut_bin").select(*out, first.alias("extra")).unionByName(
         edge.select(*out, (F.col("upto") <= F.col("rest")).alias("extra"))
     )
-    d, e = decided.alias("d"), last.alias("e")
-    same = F.col("d.source").eqNullSafe(F.col("e.last_source")) & F.col("d.doc_id").eqNullSafe(F.col("e.doc_id"))
-    same = same & (F.col("d.crc") == F.col("e.crc")) & ~F.col("d.extra")
-    extra = F.col("d.extra") | F.col("e.rank").isNotNull()
-    return d.join(e, same, "left").select("d.doc_id", "d.crc", "size", "source_size", "target", (F.col("certain") + extra.cast("int")).alias("copies"))
+    extra = F.col("extra") | F.col("filler").isNotNull()
+    decided = decided.join(more.select(F.col("row").alias("filler")), F.col("row") == F.col("filler"), "left")
+    return decided.select("doc_id", "row", "size", "source_size", "target", (F.col("certain") + extra.cast("int")).alias("copies"))
+
+
+def _filled(left: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(source, size, row) of the rows that fill the gaps (source, gap), in rank order.
+
+    Of each source, and of sizes within a factor of 2, only the first ones whose words would fill the gap alone can matter.
+    They are gone through in order, which leaves a smaller gap; a shorter document further on may still fit, so this is
+    repeated until none does.
+    """
+    found = None
+    while True:
+        rows = left.alias("l").join(gaps.alias("g"), F.col("l.source").eqNullSafe(F.col("g.source"))).where("size <= gap").select("l.*", "gap")
+        rows = rows.withColumn("octave", F.floor(F.log2("size")).cast("int"))
+        upto = Window.partitionBy("source", "octave").orderBy("bin")
+        bins = rows.groupBy("source", "octave", "bin").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
+        enough = bins.withColumn("upto", F.sum("words").over(upto)).where("upto - words < gap").select(
+            F.col("source").alias("_source"), F.col("octave").alias("_octave"), F.col("bin").alias("_bin")
+        )
+        near = F.col("source").eqNullSafe(F.col("_source")) & (F.col("octave") == F.col("_octave")) & (F.col("bin") == F.col("_bin"))
+        wanted = rows.join(enough, near, "left_semi").select("source", "size", "rank", "doc_id", "crc", "row", "gap")
+        ordered = wanted.repartition("source").sortWithinPartitions("source", "rank", "doc_id", "crc", "row")
+        taken = written(ordered.mapInArrow(_in_order, "source string, size long, row long"), "filled")
+        found = taken if found is None else found.unionByName(taken)
+        if taken.isEmpty():
+            return found
+        used = taken.groupBy("source").agg(F.sum("size").alias("used"))
+        g, t = gaps.alias("g"), used.alias("t")
+        gaps = g.join(t, F.col("g.source").eqNullSafe(F.col("t.source"))).select("g.source", (F.col("gap") - F.col("used")).alias("gap"))
+        gaps = written(gaps, "gaps")
+        left = left.join(taken.select("row"), "row", "left_anti")
+
+
+def _in_order(batches):
+    """The rows that fit, of rows ordered by source and rank."""
+    source, gap, started = None, 0.0, False
+    for batch in batches:
+        at = []
+        sources, sizes, gaps = (batch.column(c).to_pylist() for c in ("source", "size", "gap"))
+        for k, (own, size, room) in enumerate(zip(sources, sizes, gaps)):
+            if not started or own != source:
+                source, gap, started = own, room, True
+            if size <= gap:
+                gap -= size
+                at.append(k)
+        yield batch.select(["source", "size", "row"]).take(pa.array(at, pa.int64()))
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3), seed: int = 29, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with all their columns."""
-    chosen = copies(docs, weights, seed, id_col, text_col, source_col).where("copies > 0")
-    # Rows that repeat id and text all carry the same decision or one more; the larger one holds for each.
-    chosen = chosen.groupBy(F.col("doc_id").alias("_mix_id"), F.col("crc").alias("_mix_crc")).agg(F.max("copies").alias("_mix_n"))
-    crc = F.crc32(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"))
-    taken = docs.join(chosen, docs[id_col].cast("long").eqNullSafe(F.col("_mix_id")) & (crc == F.col("_mix_crc")))
-    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_n"))).select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns.
+
+    The rows are numbered in a written copy, so each of several equal rows follows its own decision.
+    """
+    rows = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mixed")
+    chosen = copies(rows, weights, seed, id_col, text_col, source_col, "_mix_row").where("copies > 0").select(F.col("row").alias("_mix_own"), F.col("copies").alias("_mix_n"))
+    taken = rows.join(chosen, F.col("_mix_row") == F.col("_mix_own"))
+    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_n"))).select(*[rows[c] for c in docs.columns])

@@ -66,8 +66,10 @@ def check_mix(df, sources):
         assert r.source_size == size[s] and r.target == pytest.approx(target[s], rel=1e-9, abs=1e-9) and 0 <= r.copies <= 3
     for s in order:
         mine = [r for r in rows if sources[r.doc_id] == s]
-        taken, largest = sum(r["size"] * r.copies for r in mine), max((r["size"] for r in mine), default=0)
-        assert abs(taken - target[s]) <= largest / 2 + 1
+        gap = target[s] - sum(r["size"] * r.copies for r in mine)
+        certain = min((r.copies for r in mine if r["size"]), default=0)
+        # Nothing that is left would still fit.
+        assert gap > -1e-6 and all(r["size"] > gap for r in mine if r["size"] and r.copies == certain and gap > 1e-6)
         assert max((r.copies for r in mine if r["size"]), default=0) - min((r.copies for r in mine if r["size"]), default=0) <= 1
     return sorted((r.doc_id, r.copies) for r in rows)
 
@@ -88,6 +90,37 @@ def test_mix_uneven_sources(spark):
     check_mix(mixing.copies(docs), {i: s for i, _, s in rows})
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_mix_with_one_long_document(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, " w" * rng.randint(1, 5), f"s{i % 4}") for i in range(1600)] + [(2000 + k, " w" * 1500, f"s{k}") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.copies(docs, seed=seed)
+    check_mix(got, {i: s for i, _, s in rows})
+    taken = {r.target: r.taken for r in got.groupBy("source_size", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()}
+    assert all(abs(t - g) < 1 for g, t in taken.items())
+
+
+def test_mix_prefers_long_documents(spark):
+    """Inclusion odds are in proportion to the words."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit(" w"), (F.col("id") % 2 * 9 + 1).cast("int")).alias("text"), F.when(F.col("id") < 3000, "x").otherwise("y").alias("source"))
+    got = mixing.copies(docs, weights=(1, 5)).where("source_size * 0.4 > target").groupBy("size").agg(F.avg("copies").alias("p")).collect()
+    odds = {r["size"]: r.p / (1 - r.p) for r in got}
+    assert 7 < odds[10] / odds[1] < 13
+
+
+def test_mix_decides_for_each_of_equal_rows(spark):
+    rows = [(None, "same words here", "a", k) for k in range(300)] + [(5, "x y", "a", 300)] * 40 + [(k, "w " * 7, "b", k) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row long")
+    decided = mixing.copies(docs)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    size = F.col("size") * F.col("copies")
+    assert mixed.agg(F.sum(mixing.words(F.col("text")))).first()[0] == decided.agg(F.sum(size)).first()[0]
+    per_row = decided.select("row").distinct().count()
+    assert per_row == len(rows)
+
+
 def test_mix_shares_evenly(spark):
     # Of many equal documents, a fraction is taken that follows the target and not the order of ids.
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < 2000, "x").otherwise("y").alias("source"))
