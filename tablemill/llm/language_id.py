@@ -6,10 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Hashed n-gram features, and the n-gram lengths in characters.
-FEATURES, LENGTHS = 1 << 14, (1, 2, 3)
-#: At most so many labelled rows are learned from, in equal parts by language, and at most so many languages.
-SAMPLE_ROWS, MOST_LANGUAGES = 4_000, 200
+#: Hashed n-gram features (2 ** BITS), and the n-gram lengths in characters.
+BITS, LENGTHS = 14, (1, 2, 3)
+#: Every language is learned. The table of weights has at most so many entries, and fewer features where there are more languages.
+WEIGHTS = 1 << 23
+#: About so many labelled rows are learned from, in equal parts by language, but at least so many of each language.
+SAMPLE_ROWS, LEAST_EACH = 4_000, 10
 #: Follow-the-regularised-leader: learning rate, its offset, and the L1 and L2 weights of the elastic net.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 2e-3, 1e-3, 3
 UNKNOWN = "und"
@@ -25,10 +27,10 @@ def _is_letter() -> np.ndarray:
     return _letters
 
 
-def ngram_counts(text: str) -> tuple[np.ndarray, bool]:
+def ngram_counts(text: str, bits: int = BITS) -> tuple[np.ndarray, bool]:
     """(number of each hashed n-gram of the whole text, whether it has a letter). Case is ignored; every character
     that is no letter counts as a space."""
-    total, letters = np.zeros(FEATURES, np.int64), False
+    total, letters = np.zeros(1 << bits, np.int64), False
     text, longest = text.lower(), max(LENGTHS)
     for at in range(0, len(text), _PIECE):
         first = max(at - longest + 1, 0)
@@ -44,8 +46,8 @@ def ngram_counts(text: str) -> tuple[np.ndarray, bool]:
             name = np.full(len(own) - n + 1, n, np.uint64)
             for k in range(n):
                 name = name * np.uint64(0x100000001B3) + own[k : len(own) - n + 1 + k]
-            name = (name * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 14)
-            total += np.bincount(name.astype(np.int64), minlength=FEATURES)
+            name = (name * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+            total += np.bincount(name.astype(np.int64), minlength=1 << bits)
     return total, letters
 
 
@@ -58,9 +60,14 @@ class Model:
     weights: np.ndarray
     temperature: float = 1.0
 
-    def logits(self, counts: np.ndarray) -> np.ndarray:
-        value = np.log1p(counts) * self.idf
-        return (value @ self.weights) / max(np.sqrt(value @ value), 1e-12)
+    @property
+    def bits(self) -> int:
+        return len(self.idf).bit_length() - 1
+
+    def logits(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of a text with ``counts`` of the features ``at``."""
+        value = np.log1p(counts) * self.idf[at]
+        return (value @ self.weights[at]) / max(np.sqrt(value @ value), 1e-12)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -72,7 +79,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str], id
     """Learn from (features, counts, language number) of each row; every fifth row sets the temperature only."""
     order = np.random.default_rng(seed).permutation(len(rows))
     checks, order = order[::5], np.delete(order, np.s_[::5])
-    z, n = np.zeros((FEATURES, len(languages))), np.zeros((FEATURES, len(languages)))
+    z, n = np.zeros((len(idf), len(languages))), np.zeros((len(idf), len(languages)))
 
     def weights(at) -> np.ndarray:
         w = -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
@@ -91,13 +98,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str], id
             z[at] += g - sigma * w
             n[at] += g * g
     model = Model(languages, idf, weights(slice(None)))
-    dense = np.zeros(FEATURES)
-    logits = []
-    for i in checks:
-        at, counts, _ = rows[i]
-        dense[:] = 0
-        dense[at] = counts
-        logits.append(model.logits(dense))
+    logits = [model.logits(*rows[i][:2]) for i in checks]
     if logits:
         logits, labels = np.stack(logits), np.array([rows[i][2] for i in checks])
 
@@ -111,43 +112,45 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str], id
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Learn from the rows that have an id, a text and a language; None if there are none.
 
-    Document frequencies count all of these rows, in the tasks. Weights are learned from a sample of at most
-    SAMPLE_ROWS rows, chosen by a hash of the id in equal parts by language, over their whole texts.
+    Document frequencies count all of these rows, in the tasks. Weights of all languages are learned from a sample of
+    SAMPLE_ROWS rows, chosen by a hash of the id in equal parts by language, LEAST_EACH at least, over their whole texts. Memory
+    grows with the number of languages only up to WEIGHTS: from 512 languages on, n-grams share more features.
     """
     rows = labelled.select(labelled[id_col].cast("string").alias("id"), labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang"))
     rows = rows.where("id is not null and text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not sizes:
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())
+    if not languages:
         return None
-    languages = sorted(sizes)
+    bits = min(BITS, max((WEIGHTS // len(languages)).bit_length() - 1, 1))
 
     def frequencies(batches):
-        count, texts = np.zeros(FEATURES, np.int64), 0
+        count, texts = np.zeros(1 << bits, np.int64), 0
         for batch in batches:
             for text in batch.column(0):
-                count += ngram_counts(text.as_py())[0] > 0
+                count += ngram_counts(text.as_py(), bits)[0] > 0
                 texts += 1
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[count[at], texts])], names=["feature", "n"])
 
     found = rows.select("text").mapInArrow(frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     found = {r["feature"]: r["n"] for r in found}
-    total, df = found.pop(-1), np.zeros(FEATURES)
+    total, df = found.pop(-1), np.zeros(1 << bits)
     df[list(found)] = list(found.values())
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    each = max(1, SAMPLE_ROWS // len(languages))
+    each = max(LEAST_EACH, SAMPLE_ROWS // len(languages))
     # Twice as many as wanted pass by rate; of these the first by hash are taken, so the window sees a bounded number.
-    rate = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, 2 * each / sizes[lang] + 1e-6)))])
+    rates = sizes.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), 2 * each / F.col("n") + 1e-6).alias("_rate"))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "id"), 11) / F.lit(float(1 << 53))
-    some = rows.withColumn("draw", draw).where(F.col("draw") < F.element_at(rate, F.col("lang")))
+    some = rows.withColumn("draw", draw).join(rates, (F.col("lang") == F.col("_lang")) & (F.col("draw") < F.col("_rate")))
     some = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))).where(F.col("place") <= each)
 
     def features(batches):
         for batch in batches:
             at, counts = [], []
             for text in batch.column(0):
-                count = ngram_counts(text.as_py())[0]
+                count = ngram_counts(text.as_py(), bits)[0]
                 at.append(np.flatnonzero(count).astype(np.int16).tobytes())
                 counts.append(count[count > 0].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(at, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "draw", "at", "counts"])
@@ -164,7 +167,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     ``und`` with score 0 where the text is null or has no letters, or nothing was learned.
     """
     source = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].cast("string").alias("text"))
-    # The model is of fixed size: FEATURES x MOST_LANGUAGES weights at most.
+    # WEIGHTS numbers at most.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches):
@@ -172,12 +175,13 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
         for batch in batches:
             names, scores = [], []
             for text in batch.column(1):
-                counts, letters = ngram_counts(text.as_py()) if known and text.is_valid else (None, False)
+                counts, letters = ngram_counts(text.as_py(), known.bits) if known and text.is_valid else (None, False)
                 if not letters:
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                p = _softmax(known.logits(counts) / known.temperature)
+                at = np.flatnonzero(counts)
+                p = _softmax(known.logits(at, counts[at]) / known.temperature)
                 names.append(known.languages[int(p.argmax())])
                 scores.append(float(p.max()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])

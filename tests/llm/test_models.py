@@ -43,6 +43,27 @@ def test_language_edges(spark, odd):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
 
 
+def test_three_hundred_languages(spark):
+    """Each language has words of its own; all are learned, none is named after another."""
+    draw = random.Random(8)
+    letters = [chr(c) for c in (*range(0x61, 0x7B), *range(0x430, 0x450), *range(0x3B1, 0x3CA))]
+    words = {f"l{k:03d}": ["".join(draw.choices(draw.sample(letters, 9), k=draw.randint(2, 7))) for _ in range(12)] for k in range(300)}
+    rows = [(i, " ".join(draw.choices(words[lang], k=25)), lang) for i, lang in enumerate(sorted(words) * 20)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)).collect()
+    truth = {i: lang for i, _, lang in rows}
+    held = [r for r in got if r.held_out]
+    assert {r.lang_pred for r in got} == set(words) and sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.95
+
+
+def test_weights_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "WEIGHTS", 1 << 10)
+    rows = [(i, w * 30, c) for i in range(90) for w, c in [("the and of ", "en"), ("der und das ", "de"), ("le la et ", "fr")][i % 3 : i % 3 + 1]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.weights.size <= 1 << 10 and model.weights.shape[1] == 3
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in language_id.identify(docs).collect())
+
+
 def test_pieces_of_a_text(monkeypatch):
     text = "Ein Text, der länger ist 123 als ein Stück. " * 5
     whole = language_id.ngram_counts(text)[0]
