@@ -13,8 +13,9 @@ from .language_id import held_out
 #: Hashed subwords, dimensions of their vectors, lengths of the character n-grams of a word with its two ends.
 BUCKETS, DIMENSIONS, LENGTHS = 1 << 17, 8, (3, 4, 5)
 #: Words of a passage; a text is scored by its most toxic passage, so that length hides nothing. A passage is an average
-#: over this many places; a word that it repeats and places beyond the text's end stay empty.
-PASSAGE = 8
+#: over this many places; a word that it repeats and places beyond the text's end stay empty. Passages start at every word, in
+#: learning at every fourth and so that the last one is whole.
+PASSAGE, STRIDE = 8, 4
 #: Learned from at most so many texts of either label, of at most so many bytes each; all others are scored only.
 SAMPLE_EACH, SAMPLE_BYTES = 2_000, 1 << 16
 EPOCHS, BATCH, RATE = 8, 32, 0.5
@@ -63,17 +64,22 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (flat.mixed(np.concatenate(names))[order] % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(owner[order], np.arange(len(words) + 1))
 
 
-def passages(places: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word of each passage, its text, weight of each word in its passage) of texts with words ``number``."""
-    count = np.diff(places)
-    parts = -(-count // PASSAGE)
-    text = np.repeat(np.arange(len(count)), parts)
-    first = places[text] + flat._each(np.zeros(len(count), np.int64), parts) * PASSAGE
-    passage = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(number)]))
-    again = np.zeros(len(number), bool)
-    for k in range(1, min(PASSAGE, len(number))):
-        again[k:] |= (number[k:] == number[:-k]) & (passage[k:] == passage[:-k])
-    return first, text, np.where(again, 0.0, 1 / PASSAGE)
+def since(places: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """How many words ago each word stood in its text last; PASSAGE if that is longer ago or never."""
+    text = np.repeat(np.arange(len(places) - 1), np.diff(places))
+    out = np.full(len(number), PASSAGE)
+    for k in range(min(PASSAGE, len(number)) - 1, 0, -1):
+        out[k:][(number[k:] == number[:-k]) & (text[k:] == text[:-k])] = k
+    return out
+
+
+def passages(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end, text) of the passages that are learned from."""
+    last = np.maximum(np.diff(places) - PASSAGE, 0)
+    parts = np.where(np.diff(places) > 0, -(-last // STRIDE) + 1, 0)
+    text = np.repeat(np.arange(len(last)), parts)
+    first = places[text] + np.minimum(flat._each(np.zeros(len(last), np.int64), parts) * STRIDE, last[text])
+    return first, np.minimum(first + PASSAGE, places[text + 1]), text
 
 
 @dataclass
@@ -91,10 +97,17 @@ class Model:
             return out
         features, offsets = subwords(words)
         word = np.add.reduceat(self.subword_logit[features], offsets[:-1]) / np.diff(offsets)
-        first, text, weight = passages(places, number)
-        logit = np.add.reduceat(word[number] * weight, first) + self.offset
-        start = np.flatnonzero(np.r_[True, np.diff(text) != 0])
-        out[text[start]] = 1 / (1 + np.exp(-np.clip(np.maximum.reduceat(logit, start), -50, 50)))
+        # A word counts in the passages that start after it stood last and not after it: sums from two ends.
+        at, size = np.arange(len(number)), np.diff(places)
+        text = np.repeat(np.arange(len(size)), size)
+        value = word[number] / PASSAGE
+        total = np.bincount(np.maximum(at - since(places, number) + 1, places[text]), value, len(at) + 1)
+        logit = np.cumsum(total[:-1] - np.r_[0, value[:-1]])
+        # Passages that are whole, or the first one.
+        logit[at - places[text] > np.maximum(size[text] - PASSAGE, 0)] = -np.inf
+        filled = np.flatnonzero(size)
+        most = np.round(np.maximum.reduceat(logit, places[filled]), 9) + self.offset
+        out[filled] = 1 / (1 + np.exp(-np.clip(most, -50, 50)))
         return out
 
 
@@ -106,8 +119,8 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
     """
     words, number, places = word_bag(pa.array(texts, pa.string()))
     features, offsets = subwords(words)
-    first, text, share = passages(places, number)
-    ends = np.r_[first[1:], len(number)]
+    first, ends, text = passages(places)
+    again = since(places, number)
     of_text = np.searchsorted(text, np.arange(len(texts) + 1))
     used = np.unique(np.repeat(np.arange(len(texts)), np.diff(places)) * len(words) + number) % max(len(words), 1)
     uses = np.bincount(features, np.repeat(np.bincount(used, minlength=len(words)), np.diff(offsets)), BUCKETS)
@@ -123,7 +136,8 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
             part = flat._each(of_text[some], of_text[some + 1] - of_text[some])
             size = ends[part] - first[part]
             token = flat._each(first[part], size)
-            part_of, token = share[token][:, None], number[token]
+            inside = flat._each(np.zeros(len(part), np.int64), size)
+            part_of, token = np.where(again[token] <= inside, 0.0, 1 / PASSAGE)[:, None], number[token]
             own, place = np.unique(token, return_inverse=True)
             width = offsets[own + 1] - offsets[own]
             feature = features[flat._each(offsets[own], width)]

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +108,41 @@ def test_toxicity_misspellings_and_length(spark, odd):
     assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held) / len(held) > 0.95
 
 
+def test_toxicity_of_a_phrase_at_any_place(spark, odd):
+    """Four words that are toxic together: the same score wherever they stand."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(150)]
+    phrase = ["wret", "chlin", "gumbo", "stark"]
+    rows, labels = [], []
+    for i in range(600):
+        text = [rng.choice(words) for _ in range(rng.randint(10, 50))]
+        if i % 4 == 0:
+            at = rng.randrange(len(text))
+            text[at:at] = phrase
+        elif i % 4 == 1:
+            text[3:3] = [rng.choice(phrase)]
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(i % 4 == 0)))
+    plain = [words[0]] * 40
+    rows += [(1000 + at, " ".join(plain[:at] + phrase + plain[at:])) for at in range(41)]
+    got = {r.doc_id: r for r in toxicity.toxicity(odd(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    scores = [got[1000 + at].score for at in range(41)]
+    assert min(scores) > 0.9 and max(scores) - min(scores) < 0.05
+
+
+def test_score_is_that_of_the_most_toxic_passage():
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(0, 5, toxicity.BUCKETS), -0.3)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "ff", "gg"], n)) for n in (0, 1, 3, 7, 8, 9, 30, 200)]
+    words = sorted({w for t in texts for w in t.split()})
+    features, offsets = toxicity.subwords([w.encode() for w in words])
+    logit = {w: model.subword_logit[features[offsets[i] : offsets[i + 1]]].mean() for i, w in enumerate(words)}
+    for text, score in zip(texts, model.score(pa.array(texts))):
+        w = text.split()
+        found = [sum(logit[x] for x in set(w[k : k + 8])) / 8 for k in range(max(len(w) - 8, 0) + 1)]
+        assert score == pytest.approx(1 / (1 + np.exp(-np.clip(max(found) - 0.3, -50, 50))) if w else 0.0, rel=1e-6)
+
+
 def test_toxicity_edges(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(odd([]), none).collect() == []
