@@ -140,10 +140,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     idf = np.log((1 + total) / (1 + df)) + 1
 
     each = max(LEAST_EACH, SAMPLE_ROWS // len(languages))
+    # One row per language, and these are on the driver already. Texts that do not pass must not be shuffled to meet their rate.
     # Twice as many as wanted pass by rate; of these the first by hash are taken, so the window sees a bounded number.
     rates = sizes.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), 2 * each / F.col("n") + 1e-6).alias("_rate"))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "id"), 11) / F.lit(float(1 << 53))
-    some = rows.withColumn("draw", draw).join(rates, (F.col("lang") == F.col("_lang")) & (F.col("draw") < F.col("_rate")))
+    some = rows.withColumn("draw", draw).join(F.broadcast(rates), (F.col("lang") == F.col("_lang")) & (F.col("draw") < F.col("_rate")))
     some = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))).where(F.col("place") <= each)
 
     def features(batches):
