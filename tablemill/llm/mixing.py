@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Pareto order sampling."""
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.rank import number_rows
@@ -62,7 +63,7 @@ def copies(
     source of its own. ``row`` numbers the input rows (or is ``row_col``), so that each of several equal rows has its own decision.
     """
     text = docs[text_col].cast("string")
-    row = F.monotonically_increasing_id() if row_col is None else docs[row_col].cast("long")
+    row = F.monotonically_increasing_id() if row_col is None else docs[row_col]
     sized = written(
         docs.select(docs[id_col].cast("long").alias("doc_id"), row.alias("row"), docs[source_col].cast("string").alias("source"), words(text).alias("size"),
                     F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc")), "sized",
@@ -128,7 +129,7 @@ def _filled(left: DataFrame, gaps: DataFrame) -> DataFrame:
         near = F.col("source").eqNullSafe(F.col("_source")) & (F.col("octave") == F.col("_octave")) & (F.col("bin") == F.col("_bin"))
         wanted = rows.join(enough, near, "left_semi").select("source", "size", "rank", "doc_id", "crc", "row", "gap")
         ordered = wanted.repartition("source").sortWithinPartitions("source", "rank", "doc_id", "crc", "row")
-        taken = written(ordered.mapInArrow(_in_order, "source string, size long, row long"), "filled")
+        taken = written(ordered.mapInArrow(_in_order, ordered.select("source", "size", "row").schema), "filled")
         found = taken if found is None else found.unionByName(taken)
         if taken.isEmpty():
             return found
@@ -157,9 +158,18 @@ def _in_order(batches):
 def mix(docs: DataFrame, weights=(1, 2, 3), seed: int = 29, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with all their columns.
 
-    The rows are numbered in a written copy, so each of several equal rows follows its own decision.
+    Rows are told apart by their place in their files, so each of several equal rows follows its own decision.
     """
-    rows = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mixed")
+    rows = _placed(docs)
     chosen = copies(rows, weights, seed, id_col, text_col, source_col, "_mix_row").where("copies > 0").select(F.col("row").alias("_mix_own"), F.col("copies").alias("_mix_n"))
     taken = rows.join(chosen, F.col("_mix_row") == F.col("_mix_own"))
     return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_n"))).select(*[rows[c] for c in docs.columns])
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """The rows with ``_mix_row``, which stays the same when they are read again: file and place in it, for a table that is
+    read from Parquet files; the result of other work is written and numbered first."""
+    try:
+        return docs.withColumn("_mix_row", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    except AnalysisException:
+        return written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mixed")

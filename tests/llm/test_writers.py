@@ -117,6 +117,9 @@ def test_mix_decides_for_each_of_equal_rows(spark):
     assert mixed.columns == docs.columns
     size = F.col("size") * F.col("copies")
     assert mixed.agg(F.sum(mixing.words(F.col("text")))).first()[0] == decided.agg(F.sum(size)).first()[0]
+    written_docs = mixing.written(docs.repartition(3), "t")
+    again = mixing.mix(written_docs)
+    assert again.columns == docs.columns and again.agg(F.sum(mixing.words(F.col("text")))).first()[0] == decided.agg(F.sum(size)).first()[0]
     per_row = decided.select("row").distinct().count()
     assert per_row == len(rows)
 
