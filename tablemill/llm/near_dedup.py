@@ -22,8 +22,9 @@ MOST_ROWS, MANY_BANDS = 4, 64
 #: Bits of an odd sketch. A sample that differs flips two bits at most, so the number of differing bits is at most twice
 #: the number of differing samples, whatever the number of samples.
 SKETCH_BITS = 512
-#: Sets of a group that are compared with one another in one task, and shingles looked at side by side there.
-BLOCK, COLUMNS = 512, 4096
+#: Sets of a group that are compared with one another in one task, and shingles looked at side by side there. Sketches
+#: are compared so many blocks at a time.
+BLOCK, COLUMNS, SIDE_BY_SIDE = 512, 4096, 8
 
 
 @dataclass(frozen=True)
@@ -182,14 +183,44 @@ def _common(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return total
 
 
+def _near(table: pa.Table, left: np.ndarray, right: np.ndarray, like: Likeness) -> np.ndarray:
+    """Which sets of ``left`` may be linked with which of ``right``, in other components: by the sizes of the sets, which
+    must be as near as the similarity itself, and by their sketches."""
+    component, n = (table.column(c).to_numpy() for c in ("component", "n"))
+    near = component[left][:, None] != component[right][None, :]
+    bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+    for row, i in zip(near, left):
+        row &= np.minimum(n[right], n[i]) * like.alike[1] >= like.alike[0] * np.maximum(n[right], n[i])
+        at = np.flatnonzero(row)
+        row[at] = np.bitwise_count(bits[right[at]] ^ bits[i]).sum(1) <= like.most_different
+    return near
+
+
+def _candidates(table: pa.Table, like: Likeness) -> pa.Table:
+    """The sets that two blocks must compare in full, for each two blocks of two runs of SIDE_BY_SIDE."""
+    own = table.column("own").to_numpy()
+    run = own // SIDE_BY_SIDE
+    x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+    left, right = np.flatnonzero(run == x), np.flatnonzero(run == y)
+    near = _near(table, left, right, like)
+    parts = []
+    for a in np.unique(own[left]):
+        for b in np.unique(own[right]):
+            if a <= b:
+                here = near[np.ix_(own[left] == a, own[right] == b)]
+                wanted = np.union1d(left[own[left] == a][here.any(1)], right[own[right] == b][here.any(0)])
+                parts.append((np.full(len(wanted), a), np.full(len(wanted), b), wanted))
+    a, b, wanted = (np.concatenate([part[i] for part in parts] or [np.zeros(0, np.int64)]) for i in range(3))
+    kept = table.take(pa.array(wanted, pa.int64())).select(["grp", "own", "id", "component", "n", "sketch"])
+    return kept.append_column("x", pa.array(a, pa.int32())).append_column("y", pa.array(b, pa.int32()))
+
+
 def _linked(table: pa.Table, like: Likeness) -> pa.Table:
     """Links between components in two blocks of a group, on the full sets: as many as join all that is linked there."""
     own, ids, component = (table.column(c).to_numpy() for c in ("own", "id", "component"))
     x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
     left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-    bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
-    differs = component[left][:, None] != component[right][None, :]
-    near = np.stack([np.bitwise_count(bits[right] ^ bits[i]).sum(1) <= like.most_different for i in left]) & differs if len(left) and len(right) else differs
+    near = _near(table, left, right, like)
     found = []
     if near.any():
         grams = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
@@ -216,8 +247,10 @@ def _across(named: DataFrame, bits: DataFrame, texts: DataFrame, like: Likeness)
     """Links (a, b) between different components of (band, id, component), on the full sets.
 
     Bands that hold several components are open. Sets that hang together by open bands form a group; whatever pair
-    shares an open band is in one group, once. The sets of a group come in blocks, and a task compares two blocks as
-    matrices and gives a spanning set of links, so neither a group in one task nor all its pairs are ever made.
+    shares an open band is in one group, once. The sets of a group come in blocks. First only sizes and sketches meet, eight
+    blocks with eight in a task; then the full sets go where a set has a possible partner, and a task compares
+    two blocks as matrices and gives a spanning set of links. So neither a group in one task nor all its pairs are ever
+    made, and no full set is sent to blocks without a possible partner.
     """
     sizes = named.groupBy("band").agg(F.min("id").alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
     open_ = sizes.where("low < high").select(F.col("band").alias("open_band"), "hub")
@@ -226,6 +259,18 @@ def _across(named: DataFrame, bits: DataFrame, texts: DataFrame, like: Likeness)
     own = named.select("id", "component").distinct()
     grouped = group.join(own, group["member"] == own["id"]).select("grp", "id", "component")
 
+    blocks = grouped.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("grp", "of")
+    blocked = grouped.join(blocks, grouped["grp"] == blocks["of"]).join(bits, grouped["id"] == bits["sketch_id"])
+    blocked = blocked.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    # Every run of blocks meets every other one once, and itself.
+    run = F.floor(F.col("own") / SIDE_BY_SIDE).cast("int")
+    last = F.floor((F.col("blocks") - 1) / SIDE_BY_SIDE).cast("int")
+    meets = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
+        "grp", F.least(run, "other").alias("x"), F.greatest(run, "other").alias("y"), "own", "id", "component", "n", "sketch"
+    )
+    schema = "grp long, own int, id long, component long, n long, sketch binary, x int, y int"
+    wanted = written(meets.groupBy("grp", "x", "y").applyInArrow(lambda table: _candidates(table, like), schema), "candidates")
+
     def sets(batches):
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
@@ -235,17 +280,10 @@ def _across(named: DataFrame, bits: DataFrame, texts: DataFrame, like: Likeness)
                     [batch.column(0), pa.array([grams[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["gram_id", "grams"]
                 )
 
-    wanted = group.select("member")
-    full = texts.join(wanted, texts["doc_id"] == wanted["member"], "left_semi").select("doc_id", "text").mapInArrow(sets, "gram_id long, grams binary")
-    blocks = grouped.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("grp", "of")
-    blocked = grouped.join(blocks, grouped["grp"] == blocks["of"])
-    blocked = blocked.join(bits, blocked["id"] == bits["sketch_id"]).join(full, F.col("id") == F.col("gram_id"))
-    blocked = blocked.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    # Every block meets every other one once, and itself.
-    meets = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "component", "sketch", "grams"
-    )
-    return meets.groupBy("grp", "x", "y").applyInArrow(lambda table: _linked(table, like), "a long, b long")
+    ids = wanted.select(F.col("id").alias("member")).distinct()
+    full = texts.join(ids, texts["doc_id"] == ids["member"], "left_semi").select("doc_id", "text").mapInArrow(sets, "gram_id long, grams binary")
+    pairs = wanted.join(full, wanted["id"] == full["gram_id"]).drop("gram_id")
+    return pairs.groupBy("grp", "x", "y").applyInArrow(lambda table: _linked(table, like), "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, alike: tuple[int, int] = ALIKE) -> DataFrame:
@@ -255,7 +293,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the defaults, if 100 * intersection >= 85 * union of their 3-word shingles. Equal sets are one from the start, stood for by their smallest id. In each band of MinHash samples, every set is first
     compared with the smallest id there: one pair per set and band, whatever the size of a band. Components of the
     confirmed links need no more comparing inside. Sets that share bands which still hold several components are
-    compared in blocks, first by their odd sketches and then on the full sets, so that no link is lost. Links are followed
+    compared in blocks, first by their sizes and odd sketches and then on the full sets, so that no link is lost. Links are followed
     to components.
 
     Texts without words (null, empty, white space) have an empty set and are linked with nothing. Rows without id come
@@ -268,7 +306,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     s, h = full.alias("s"), heads.alias("h")
     heads = written(
         h.join(s, (F.col("s.doc_id") == F.col("h.id")) & (F.col("s.sign1") == F.col("h.sign1")) & (F.col("s.sign2") == F.col("h.sign2")))
-        .select("id", "h.sign1", "h.sign2", "bands", "sketch").dropDuplicates(["id", "sign1", "sign2"]), "heads",
+        .select("id", "h.sign1", "h.sign2", "n", "bands", "sketch").dropDuplicates(["id", "sign1", "sign2"]), "heads",
     )
     # A band key alone names the band: keys of different bands are hashed with their place.
     rows = heads.select("id", F.posexplode("bands").alias("no", "key")).select("id", F.xxhash64("no", "key").alias("band"))
@@ -280,7 +318,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # One text for each set; a repeated row would only repeat a pair.
     texts = written(texts.join(wanted.hint("shuffle_hash"), texts["doc_id"] == wanted["id"], "left_semi"), "texts")
 
-    bits = heads.select(F.col("id").alias("sketch_id"), "sketch")
+    bits = heads.select(F.col("id").alias("sketch_id"), "n", "sketch")
 
     def near(pairs: DataFrame) -> DataFrame:
         a, b = (bits.select(F.col("sketch_id").alias(f"k_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")

@@ -61,7 +61,8 @@ def edited(seed, groups=6, most=14):
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_near_edits(odd, monkeypatch, seed):
-    monkeypatch.setattr(near_dedup, "BLOCK", 3)  # several blocks in every open band
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)  # several blocks in every open band, in several runs
+    monkeypatch.setattr(near_dedup, "SIDE_BY_SIDE", 2)
     rows = edited(seed)
     assert by_id(near_dedup.near_groups(odd(rows))) == brute.near(rows)
 
