@@ -161,6 +161,66 @@ def format_functions(spark, folder):
     )
 
 
+@query(
+    f"""select {KEY}, try_cast(t as tinyint) as byte, try_cast(t as smallint) as short, try_cast(t as integer) as whole, cast(try_cast(t || '.5' as float) as double) as real, try_cast(t || '.25e2' as double) as wide,
+    cast(try_cast(t || '000000000000000000001' as decimal(38, 0)) as varchar) as big, cast(try_cast(t || '.125' as decimal(38, 10)) as varchar) as exact,
+    try_cast(l_partkey * 40 as smallint) as to_short, cast(trunc(l_extendedprice * 1e6 / 3) as bigint) as to_long, cast(cast(l_extendedprice / 3 as float) as double) as to_float, true as is_long, false as is_text
+    from (select *, case when l_orderkey % 5 = 0 then 'n' || l_partkey when l_orderkey % 5 = 1 then '-' || l_partkey else l_partkey::varchar end as t from lineitem)"""
+)
+def parsed_numbers(spark, folder):
+    """Numbers of every kind from text that is a number, a negative one or none."""
+    lines = _lines(spark, folder)
+    kind = F.col("l_orderkey") % 5
+    t = F.concat(F.when(kind == 0, "n").when(kind == 1, "-").otherwise(""), F.col("l_partkey").cast("string"))
+    return lines.select(
+        *KEYS,
+        conversions.parse_byte(t).alias("byte"),
+        conversions.parse_short(t).alias("short"),
+        conversions.parse_int(t).alias("whole"),
+        conversions.parse_float(F.concat(t, F.lit(".5"))).cast("double").alias("real"),
+        conversions.parse_double(F.concat(t, F.lit(".25e2"))).alias("wide"),
+        conversions.parse_big_integer(F.concat(t, F.lit("000000000000000000001"))).cast("string").alias("big"),
+        conversions.parse_big_decimal(F.concat(t, F.lit(".125"))).cast("string").alias("exact"),
+        conversions.to_short(F.col("l_partkey") * 40).alias("to_short"),
+        conversions.to_long(F.col("l_extendedprice") * 1e6 / 3).alias("to_long"),
+        conversions.to_float(F.col("l_extendedprice") / 3).cast("double").alias("to_float"),
+        conversions.has_type(lines, "l_orderkey", "bigint").alias("is_long"),
+        conversions.has_type(lines, "l_orderkey", "string").alias("is_text"),
+    )
+
+
+@query(
+    """select o_orderkey, (k - 500) % 7 as rest, case when k % 3 <> 0 then round(p / (k % 3), 6) end as shared, case when k = 0 then 0 else ((18446744073709551616::hugeint - k) // 4294967296::hugeint)::bigint end as unsigned,
+    (k % 2 = 0) <> (p > 1000) as one_of_two, cast(round(p / 7, 2)::float as double) as short_decimal, round(cos(p), 9) as c, round(degrees(p / 1000), 6) as deg
+    from (select o_orderkey, o_custkey as k, o_totalprice as p from orders)"""
+)
+def operator_functions(spark, folder):
+    k, p = F.col("o_custkey"), F.col("o_totalprice")
+    return given.table(spark, folder, "orders").select(
+        "o_orderkey",
+        arithmetic.remainder(k - 500, 7).alias("rest"),
+        r(arithmetic.divide(p, k % 3)).alias("shared"),
+        bits.shift_right_unsigned(-k, 32).alias("unsigned"),
+        arithmetic.boolean_xor(k % 2 == 0, p > 1000).alias("one_of_two"),
+        arithmetic.round_decimal(p / 7, 2).cast("double").alias("short_decimal"),
+        r(arithmetic.cos(p), 9).alias("c"),
+        r(arithmetic.to_degrees(p / 1000)).alias("deg"),
+    )
+
+
+@query(
+    """select event_id, round(s / 86400 + 40587, 9) as mjd, round(s, 3) as unix_back, round(s / 86400 + 40587, 6) as from_jd from (select event_id, event_id * 977 + 0.25e0 as s from events)"""
+)
+def unix_time_functions(spark, folder):
+    s = F.col("event_id") * 977 + 0.25
+    return given.table(spark, folder, "events").select(
+        "event_id",
+        r(times.unix_to_mjd(s), 9).alias("mjd"),
+        r(times.mjd_to_unix(times.unix_to_mjd(s)), 3).alias("unix_back"),
+        r(times.jd_to_mjd(times.unix_to_mjd(s) + 2400000.5)).alias("from_jd"),
+    )
+
+
 @query(
     f"""with t as (select ia, ra, dec, radians(ra) as a, radians(dec) as d, radians(83.6) as a0, radians(22.0) as d0 from {SKY_A})
     select ia, round(degrees(2 * asin(sqrt(pow(sin((d - d0) / 2), 2) + cos(d) * cos(d0) * pow(sin((a - a0) / 2), 2)))), 6) as distance,
@@ -180,6 +240,32 @@ def sky_functions(spark, folder):
     )
 
 
+def _turned(rotation) -> str:
+    """[longitude, latitude] in degrees of the unit vector (x, y, z) turned by a rotation, in SQL."""
+    a, b, c = [" + ".join(f"({v!r}::double) * {n}" for v, n in zip(row, "xyz")) for row in rotation]
+    return f"[round((degrees(atan2({b}, {a})) + 360) % 360, 6), round(degrees(atan2({c}, sqrt(pow({a}, 2) + pow({b}, 2)))), 6) + 0.0]"
+
+
+@query(
+    f"""select ia, {_turned(sky.ICRS_TO_GALACTIC)} as galactic, {_turned(zip(*sky.ICRS_TO_GALACTIC))} as from_galactic,
+    [round((degrees(atan2(cos(e) * y - sin(e) * z, x)) + 360) % 360, 6), round(degrees(asin(sin(e) * y + cos(e) * z)), 6) + 0.0] as from_ecliptic,
+    round(2 * asin(sqrt((pow(x - 1, 2) + y * y + z * z) / 4)), 9) as from_origin
+    from (select ia, radians({sky.OBLIQUITY_ARCSEC}e0 / 3600) as e, cos(radians(dec)) * cos(radians(ra)) as x, cos(radians(dec)) * sin(radians(ra)) as y, sin(radians(dec)) as z from {SKY_A})"""
+)
+def sky_system_functions(spark, folder):
+    """Each position read as one of a system and given in another, and its distance from (0, 0) in radians."""
+    def each(pair):
+        return F.transform(pair, lambda v: F.round(v, 6) + 0.0)
+
+    return given.sky_a(spark, folder).select(
+        "ia",
+        each(sky.icrs_to_galactic("ra", "dec")).alias("galactic"),
+        each(sky.galactic_to_icrs("ra", "dec")).alias("from_galactic"),
+        each(sky.ecliptic_to_icrs("ra", "dec")).alias("from_ecliptic"),
+        r(sky.sky_distance_radians(F.radians("ra"), F.radians("dec"), F.lit(0.0), F.lit(0.0)), 9).alias("from_origin"),
+    )
+
+
 @query(
     f"""with t as (select ia, ra, dec, round((ra / 15) * 360000)::bigint as h, round(abs(dec) * 36000)::bigint as d from {SKY_A})
     select ia, lpad((h // 360000 % 24)::varchar, 2, '0') || ':' || lpad((h // 6000 % 60)::varchar, 2, '0') || ':' || lpad((h // 100 % 60)::varchar, 2, '0') || '.' || lpad((h % 100)::varchar, 2, '0') as hms,
@@ -238,10 +324,11 @@ def string_functions(spark, folder):
     """with t as (select vec_id, list_transform(embedding, lambda x: x::double) as a from embeddings), u as (select *, list_reverse(a) as b, list_avg(a) as m from t)
     select vec_id, round(m, 6) as mean, round(list_sum(a), 6) as total, round(list_stddev_pop(a), 6) as stdev, round(list_var_pop(a), 6) as variance, list_max(a) as high, list_min(a) as low,
     round(list_aggregate(a, 'quantile_cont', 0.5), 9) as median, round(list_aggregate(a, 'quantile_cont', 0.95), 9) as q95, round(list_inner_product(a, b), 9) as product,
-    list_transform(list_slice(a, 1, 2), lambda x: round(x * 2, 9)) as doubled, round(a[1] + b[1], 9) as added, round(a[1] - b[1], 9) as less, round(a[1] / b[1], 6) as ratio, round(1 / a[2], 6) as inverse,
+    list_transform(a, lambda x: round(x * 2, 9) + 0.0) as doubled, list_transform(list_zip(a, b), lambda x: round(x[1] + x[2], 9) + 0.0) as added,
+    list_transform(list_zip(a, b), lambda x: round(x[1] - x[2], 9) + 0.0) as less, list_transform(list_zip(a, b), lambda x: round(x[1] / x[2], 6) + 0.0) as ratio, list_transform(a, lambda x: round(1 / x, 6) + 0.0) as inverse,
     cast(len(a) as integer) as size, [a[1], a[64]] as ends, list_slice(a, 3, 5) as middle, cast(len(list_filter(a, lambda x: x > 0)) as integer) as positive, [7, 7] as sevens,
     [0, 1, 2] as counted, [1, 3, 5] as looped, array_to_string([vec_id, vec_id + 1], ';') as joined, cast(list_position(a, a[4]) - 1 as bigint) as found,
-    case when a[1] > 0 then 'up' else 'down' end as first_sign, a[1] * 0 as zeroth, a[2] * 1 as firsts from u"""
+    list_transform(a, lambda x: case when x > 0 then 'up' else 'down' end) as signs, list_transform(a, lambda x, i: round(x * (i - 1), 9) + 0.0) as weighted, a[64] as final from u"""
 )
 def array_functions(spark, folder):
     vectors = given.table(spark, folder, "embeddings").select(
@@ -249,6 +336,10 @@ def array_functions(spark, folder):
     )
     signs = arrays.condition(F.transform("a", lambda x: x > 0), "up", "down")
     weighted = arrays.array_func("a", lambda x, i: x * i)
+
+    def each(array, places=9):
+        return F.transform(array, lambda x: F.round(x, places) + 0.0)
+
     return vectors.select(
         "vec_id",
         r(arrays.mean("a")).alias("mean"),
@@ -260,11 +351,11 @@ def array_functions(spark, folder):
         r(arrays.median("a"), 9).alias("median"),
         r(arrays.quantile("a", 0.95), 9).alias("q95"),
         r(arrays.dot_product("a", "b"), 9).alias("product"),
-        F.transform(arrays.slice_array(arrays.multiply("a", 2), 0, 2), lambda x: F.round(x, 9)).alias("doubled"),
-        r(arrays.element(arrays.add("a", "b"), 0), 9).alias("added"),
-        r(arrays.element(arrays.subtract("a", "b"), 0), 9).alias("less"),
-        r(arrays.element(arrays.divide("a", "b"), 0)).alias("ratio"),
-        r(arrays.element(arrays.reciprocal("a"), 1)).alias("inverse"),
+        each(arrays.multiply("a", 2)).alias("doubled"),
+        each(arrays.add("a", "b")).alias("added"),
+        each(arrays.subtract("a", "b")).alias("less"),
+        each(arrays.divide("a", "b"), 6).alias("ratio"),
+        each(arrays.reciprocal("a"), 6).alias("inverse"),
         arrays.size("a").alias("size"),
         arrays.pick("a", 0, 63).alias("ends"),
         arrays.slice_array("a", 2, 5).alias("middle"),
@@ -274,9 +365,9 @@ def array_functions(spark, folder):
         arrays.loop(1, 7, 2).alias("looped"),
         arrays.join(arrays.array("vec_id", F.col("vec_id") + 1).cast("array<string>"), ";").alias("joined"),
         arrays.index_of("a", F.col("a")[3]).alias("found"),
-        arrays.element(signs, 0).alias("first_sign"),
-        arrays.element(weighted, 0).alias("zeroth"),
-        arrays.element(weighted, 1).alias("firsts"),
+        signs.alias("signs"),
+        each(weighted).alias("weighted"),
+        arrays.element("a", 63).alias("final"),
     )
 
 

@@ -143,6 +143,19 @@ def exact_match_all(spark, folder):
     return match.match_tables(orders, customers, "o_orderkey", "c_custkey", matcher, find="all").select("o_orderkey", "c_custkey", "Score")
 
 
+@query(
+    """select a.o_orderkey as done, b.o_orderkey as open, 0.0::double as "Score" from orders a join orders b on a.o_custkey = b.o_custkey
+    and a.o_orderpriority = b.o_orderpriority where a.o_orderstatus = 'F' and b.o_orderstatus <> 'F'"""
+)
+def exact_match_many(spark, folder):
+    """Finished and other orders of one customer and priority: several a side."""
+    orders = given.table(spark, folder, "orders")
+    done = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("done"), "o_custkey", "o_orderpriority")
+    open_ = orders.where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("open"), F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("p"))
+    matcher = match.Exact(("o_custkey", "o_orderpriority"), ("c", "p"))
+    return match.match_tables(done, open_, "done", "open", matcher, find="all").select("done", "open", "Score")
+
+
 @query("select c_custkey, min(s_suppkey) as s_suppkey from customer join supplier on c_nationkey = s_nationkey group by c_custkey")
 def exact_match_best1(spark, folder):
     customers = given.table(spark, folder, "customer").select("c_custkey", "c_nationkey")
@@ -165,15 +178,16 @@ def exact_match_best(spark, folder):
 
 
 @query(
-    "select c_custkey, round(min(abs(c_acctbal - s_acctbal)), 6) as \"Score\" from customer join supplier on abs(c_acctbal - s_acctbal) <= 20.005 group by c_custkey"
+    """with c as (select c_custkey, round(c_acctbal * 100) as c from customer), s as (select s_suppkey, round(s_acctbal * 100) as s from supplier)
+    select c_custkey, arg_min(s_suppkey, (abs(c - s), s_suppkey)) as s_suppkey, round(min(abs(c - s)), 6) as "Score" from c join s on abs(c - s) <= 2000.5 group by c_custkey"""
 )
 def one_dimensional_match(spark, folder):
-    """How far the nearest is; which of two equally near ones it is depends on the last bit."""
-    customers = given.table(spark, folder, "customer").select("c_custkey", "c_acctbal")
-    suppliers = given.table(spark, folder, "supplier").select("s_suppkey", "s_acctbal")
-    matcher = match.Cartesian(20.005, ("c_acctbal",), ("s_acctbal",))
+    """The nearest balance in whole cents, so that equally near ones are so to the last bit; of these the smallest id."""
+    customers = given.table(spark, folder, "customer").select("c_custkey", F.round(F.col("c_acctbal") * 100).alias("c"))
+    suppliers = given.table(spark, folder, "supplier").select("s_suppkey", F.round(F.col("s_acctbal") * 100).alias("s"))
+    matcher = match.Cartesian(2000.5, ("c",), ("s",))
     found = match.match_tables(customers, suppliers, "c_custkey", "s_suppkey", matcher, find="best1")
-    return found.select("c_custkey", F.round("Score", 6).alias("Score"))
+    return found.select("c_custkey", "s_suppkey", F.round("Score", 6).alias("Score"))
 
 
 XYZ_A = f"(select ia, cos(radians(dec)) * cos(radians(ra)) * 10 as x, cos(radians(dec)) * sin(radians(ra)) * 10 as y, sin(radians(dec)) * 10 as z from {SKY_A})"
@@ -187,25 +201,25 @@ def _points(spark, folder):
 
 
 @query(
-    f"""select ia, round(min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))), 6) as "Score" from {XYZ_A} a,
+    f"""select ia, arg_min(ib, (round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)), 9), ib)) as ib, round(min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))), 6) as "Score" from {XYZ_A} a,
     (select ia as ib, x, y, z + 0.1 as z from {XYZ_A}) b where sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 0.7 group by ia"""
 )
 def three_dimensional_match(spark, folder):
     a = _points(spark, folder)
     b = a.select(F.col("ia").alias("ib"), "x", "y", (F.col("z") + 0.1).alias("z"))
     found = match.match_tables(a, b, "ia", "ib", match.Cartesian(0.7, ("x", "y", "z"), ("x", "y", "z")), find="best1")
-    return found.select("ia", F.round("Score", 6).alias("Score"))
+    return found.select("ia", "ib", F.round("Score", 6).alias("Score"))
 
 
 @query(
-    f"""select ia, round(min(sqrt(pow((a.x - b.x) / 1.1, 2) + pow((a.y - b.y) / 0.6, 2))), 6) as "Score" from {XYZ_A} a,
+    f"""select ia, arg_min(ib, (round(sqrt(pow((a.x - b.x) / 1.1, 2) + pow((a.y - b.y) / 0.6, 2)), 9), ib)) as ib, round(min(sqrt(pow((a.x - b.x) / 1.1, 2) + pow((a.y - b.y) / 0.6, 2))), 6) as "Score" from {XYZ_A} a,
     (select ia as ib, x + 0.05 as x, y from {XYZ_A}) b where pow((a.x - b.x) / 1.1, 2) + pow((a.y - b.y) / 0.6, 2) <= 1 group by ia"""
 )
 def anisotropic_match(spark, folder):
     a = _points(spark, folder).select("ia", "x", "y")
     b = a.select(F.col("ia").alias("ib"), (F.col("x") + 0.05).alias("x"), "y")
     found = match.match_tables(a, b, "ia", "ib", match.Anisotropic((1.1, 0.6), ("x", "y"), ("x", "y")), find="best1")
-    return found.select("ia", F.round("Score", 6).alias("Score"))
+    return found.select("ia", "ib", F.round("Score", 6).alias("Score"))
 
 
 # Both catalogues as one table.

@@ -156,10 +156,12 @@ def simulated_sky(spark, folder):
     return sky.select("c_custkey", F.round("ra", 6).alias("ra"), F.round("dec", 6).alias("dec"))
 
 
-@query("select i, n_name from generate_series(0, 24) as g(i) join nation on n_nationkey = i")
+@query("select i, o_orderstatus from (select unnest(generate_series(1, (select max(o_orderkey) from orders), 3)) as i) join orders on o_orderkey = i")
 def loop_rows(spark, folder):
-    nations = given.table(spark, folder, "nation")
-    return generated.loop_table(spark, 0, 25).join(nations, F.col("i") == F.col("n_nationkey")).select("i", "n_name")
+    """A loop by threes up to the largest order, and the orders it meets."""
+    orders = given.table(spark, folder, "orders")
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    return generated.loop_table(spark, 1, (last or 0) + 1, 3).join(orders, F.col("i") == F.col("o_orderkey")).select("i", "o_orderstatus")
 
 
 @query("select o_orderkey, o_orderstatus, o_totalprice, o_orderdate from orders")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import blanks
-from ..functions.sky import unit_vector
+from ..functions.sky import sky_distance, unit_vector
 from ..operators import columns, combine, coordinates, modes, rank, rows, stats
 from ..session import new_folder
 from ..sources import tables
@@ -297,12 +297,12 @@ def explode_columns(spark, folder):
     return columns.explode_columns(given.table(spark, folder, "embeddings").select("vec_id", "embedding"), "embedding")
 
 
-@query("select vec_id, embedding[1] as a_1, embedding[2] as a_2, embedding[3] as b_1 from embeddings")
+@query("select vec_id, " + ", ".join(f"embedding[{i + 1}] as {'ab'[i // 40]}_{i % 40 + 1}" for i in range(64)) + " from embeddings")
 def explode_all_columns(spark, folder):
     vectors = given.table(spark, folder, "embeddings").select(
-        "vec_id", F.slice("embedding", 1, 2).alias("a"), F.slice("embedding", 3, 1).alias("b")
+        "vec_id", F.slice("embedding", 1, 40).alias("a"), F.slice("embedding", 41, 24).alias("b")
     )
-    return columns.explode_all(vectors, sizes={"a": 2, "b": 1})
+    return columns.explode_all(vectors, sizes={"a": 40})
 
 
 
@@ -347,6 +347,19 @@ def coordinates_there_and_back(spark, folder):
     return sky.select("ia", *[(F.round(v, 6) + 0.0).alias(n) for n, v in zip("xyz", unit_vector(lon, lat))])
 
 
+@query(
+    "select ia, round(radians((degrees(atan2(gy, gx)) + 360) % 360), 9) as l, round(atan2(gz, sqrt(gx * gx + gy * gy)), 9) as b, true as read_back from "
+    + GALACTIC.format(SKY_A)
+)
+def sky_coordinate_units(spark, folder):
+    """Galactic positions in radians; ICRS again as sexagesimal text, which reads back within its last place."""
+    sky = coordinates.add_sky_coordinates(given.sky_a(spark, folder), "icrs", "galactic", "ra", "dec", "l", "b", out_unit="rad")
+    sky = coordinates.add_sky_coordinates(sky, "galactic", "icrs", "l", "b", "h", "d", in_unit="rad", out_unit="sex")
+    sky = coordinates.add_sky_coordinates(sky, "icrs", "fk5", "h", "d", "ra_back", "dec_back", in_unit="sex")
+    off = sky_distance("ra", "dec", "ra_back", "dec_back") * 3600
+    return sky.select("ia", F.round("l", 9).alias("l"), F.round("b", 9).alias("b"), (off < 0.1).alias("read_back"))
+
+
 # --- tables together ------------------------------------------------------------------------------
 
 
@@ -555,16 +568,20 @@ def stats_mode(spark, folder):
     return rounded(process(part, [step(columns.keep_columns, "p_size", "p_retailprice")], "stats"), "Mean", "StDev")
 
 
-CHECKED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+# Prices as cents, and times without a form of an engine's own.
+CHECKED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "cast(round(o_totalprice * 100) as bigint) as cents", "{} as ordered"]
 
 
 @query(
     """select bit_xor(h) as "xor", sum(h)::varchar as total, count(*) as "rows" from (select ('0x' || substr(md5(concat("""
-    + ", ".join(f"'|', coalesce({c}::varchar, chr(0))" for c in CHECKED)
-    + """)), 1, 15))::bigint as h from orders)"""
+    + ", ".join(f"'|', coalesce({c}::varchar, chr(0))" for c in ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "cents", "ordered"])
+    + """)), 1, 15))::bigint as h from (select """
+    + ", ".join(CHECKED).format("strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')")
+    + """ from orders))"""
 )
 def checksum_mode(spark, folder):
-    found = modes.checksum(given.table(spark, folder, "orders").select(*CHECKED))
+    orders = given.table(spark, folder, "orders")
+    found = modes.checksum(orders.selectExpr(*[c.format("date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss')") for c in CHECKED]))
     return found.withColumn("total", F.col("total").cast("string"))
 
 
