@@ -196,3 +196,14 @@ def test_archives_are_gzip(spark, tmp_path):
     (file,) = glob.glob(str(tmp_path / "out" / "part-*"))
     text = gzip.decompress(open(file, "rb").read())
     assert text.count(b"WARC/1.1\r\n") == 20 and text.count(b"WARC-Type: response") == 20
+
+
+def test_archives_named_as_streams(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", "page " * k) for k in range(20)], "page_id long, url string, html string")
+    warc.write_archives(warc.marked(pages.coalesce(1)), str(tmp_path / "out"))
+    data = b"".join(f.read_bytes() for f in sorted((tmp_path / "out").glob("part-*")))
+    for name in ("x.warc", "x.warc.gz"):
+        (tmp_path / name).write_bytes(data)
+    assert warc.read_archives(spark, str(tmp_path / "x.warc")).count() == 20
+    with pytest.raises(ValueError, match="stream"):
+        warc.read_archives(spark, str(tmp_path / "x.warc.gz"))
