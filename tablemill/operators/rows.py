@@ -12,7 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.blanks import as_column, is_floating, typed_blank_to_null
-from .rank import grouped_quantiles, number_rows
+from ..session import written
+from .rank import grouped_quantiles, number_rows, number_sorted
 
 # The quantile sketch that brackets a run of positions is off by at most one row in so many.
 ACCURACY = 10_000
@@ -146,10 +147,25 @@ def row_range(df: DataFrame, first: int, last: int | str, order_by) -> DataFrame
 def every(df: DataFrame, step: int, order_by, exact: bool = True) -> DataFrame:
     """Each ``step``-th row, beginning with the first.
 
-    Inexact, it takes about as many rows by a hash of the order key, without any shuffle.
+    Only the order keys are sorted, written and numbered; rows then meet the keys picked, which Spark broadcasts if they are
+    small. Of rows with equal keys, whose order is open, as many are taken as there are picks among them; only
+    such rows are numbered themselves. Inexact, it takes about as many rows by a hash of the order key, without any shuffle.
     """
     if exact:
-        return number_rows(df, sort_order(df, order_by)).where((F.col("_rn") - 1) % step == 0).drop("_rn")
+        directed = _directed(df, order_by, False)
+        names = [f"_key{i}" for i in range(len(directed))]
+        orders = [F.col(n).desc_nulls_last() if falling else F.col(n).asc_nulls_last() for n, (_, falling) in zip(names, directed)]
+        placed = number_sorted(df.select(*[c.alias(n) for n, (c, _) in zip(names, directed)]).orderBy(*orders))
+        picked = placed.where((F.col("_rn") - 1) % step == 0).groupBy(*names).agg(F.count("*").alias("_picks"))
+        picked = written(picked.select(F.struct(*names).alias("_picked"), "_picks"), "picked")
+        keyed = df.withColumn("_key", F.struct(*[c.alias(n) for n, (c, _) in zip(names, directed)]))
+        met = keyed.join(picked, F.col("_key") == F.col("_picked"))
+        if met.count() == (picked.agg(F.sum("_picks")).first()[0] or 0):
+            return met.select(*[df[c] for c in df.columns])
+        numbered = number_rows(met, sort_order(df, order_by))
+        first = numbered.groupBy("_picked").agg(F.min("_rn").alias("_first")).withColumnRenamed("_picked", "_run")
+        kept = numbered.join(first, F.col("_picked") == F.col("_run")).where("_rn - _first < _picks")
+        return kept.drop("_key", "_picked", "_picks", "_rn", "_run", "_first")
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     named = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
     return df.where(F.conv(F.substring(named, 1, 15), 16, 10).cast("long") % step == 0)

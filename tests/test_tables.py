@@ -155,6 +155,17 @@ def test_sort_puts_both_kinds_of_blank_last(spark):
     assert ids(rows.sort(df, ["x", "i"], nulls_first=True)) == [2, 3, 4, 1]
 
 
+def test_every_with_ties_and_blanks(spark):
+    values = [None, float("nan"), 3.0, 3.0, 3.0, 3.0, 3.0, 1.0, 2.0, -0.0, 0.0, None]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, x double").repartition(3)
+    in_order = [0.0, 0.0, 1.0, 2.0, 3.0, 3.0, 3.0, 3.0, 3.0, None, None, None]
+    for step in (1, 2, 3, 5):
+        found = [None if r.x is None or r.x != r.x else r.x + 0.0 for r in rows.every(df, step, "x").collect()]
+        assert sorted(map(str, found)) == sorted(map(str, in_order[::step])), step
+    assert sorted(r.id for r in rows.every(df, 4, ["-x", "id"]).collect()) == [2, 6, 10]
+    assert rows.every(df.limit(0), 3, "x").count() == 0
+
+
 def test_every_and_repeat(spark):
     df = spark.range(25).repartition(3)
     assert [r.id for r in rows.every(df, 10, "id").orderBy("id").collect()] == [0, 10, 20]
