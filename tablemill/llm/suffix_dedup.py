@@ -1,4 +1,4 @@
-"""Substring deduplication on bytes by prefix doubling."""
+"""Substring deduplication on bytes: positions met by minimisers, those left open doubled inside a task."""
 
 import hashlib
 
