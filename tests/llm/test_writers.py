@@ -36,6 +36,17 @@ def test_shards_edges(odd):
     assert sorted(r.slot for r in few) == [0, 0]
 
 
+def test_equal_rows_spread_over_buckets(spark, odd, monkeypatch):
+    monkeypatch.setattr(sharding, "EQUAL_BYTES", 1_000)
+    rows = odd([(None, None)] * 3000 + [(i, f"text {i}") for i in range(1000)])
+    sizes = [n for _, n in sharding._with_buckets(rows, "doc_id", "text", 17, 8).groupBy("bucket").count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 4000 and max(sizes) < 700
+    got = sharding.shard_digest(rows, shards=5).collect()
+    slots = sorted((r.shard, r.slot) for r in got)
+    assert slots == [(s, k) for s in range(5) for k in range(800)]
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == list(range(1000))
+
+
 def test_shards_keep_rows(spark, odd):
     rows = odd([(i, f"text {i}") for i in range(50)])
     stored = sharding.write_shards(rows, new_folder(spark, "t"), 3, seed=1).select("record.*")
