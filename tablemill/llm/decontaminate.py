@@ -4,11 +4,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import written
 from . import flat
 
 WINDOW = 10
-#: Bytes of benchmark text in one set of patterns; a larger benchmark is searched in several passes.
-PACK_BYTES = 16_000_000
+#: Bytes of the tables of one set of patterns; a larger benchmark is searched in several passes.
+PACK_BYTES = 64_000_000
+#: Bytes that a word takes in those tables besides its text: hash, two places, block and shift, suffix bucket, item.
+WORD_BYTES = 56
+#: Words in a piece of an item; pieces overlap by a window less one word, so that no window is lost.
+PIECE_WORDS = 100_000
 #: Words in a lane; the lanes of a batch are searched side by side.
 LANE = 256
 
@@ -28,20 +33,46 @@ class Patterns:
     """Test strings of the same number of words, with the tables that find them.
 
     ``shift`` says how far a window may move given its last block of two words: to the next place where that block
-    occurs in a test string, or past it. Strings whose last block stands at the window's end share a suffix bucket.
+    occurs in a test string, or past it. Where a window may not move, test strings with its last block and its first one
+    share a bucket. All are places in one text and its word hashes, so a string costs some 50 bytes. Strings that are
+    equal by 128 bits are one, with the items of all.
     """
 
-    def __init__(self, size: int, hashes: np.ndarray, strings: list[bytes], items: list[list[str]]):
-        self.size, self.hashes, self.strings, self.items = size, hashes, strings, items
-        self.block = min(2, size)
-        blocks = np.stack([_blocks(hashes[:, k : k + self.block]) for k in range(size - self.block + 1)], 1)
-        last = blocks.shape[1] - 1
-        flat_blocks, shift = blocks.ravel(), np.tile(last - np.arange(last + 1), len(blocks))
-        order = np.lexsort((shift, flat_blocks))
-        first = np.r_[True, np.diff(flat_blocks[order]) != 0]
-        self.known, self.shift, self.past = flat_blocks[order][first], shift[order][first], last + 1
-        order = np.argsort(blocks[:, last], kind="stable")
-        self.suffix, self.by_suffix = blocks[order, last], order
+    def __init__(self, size: int, data: np.ndarray, offsets: np.ndarray, item: np.ndarray):
+        self.size, self.block, self.data = size, min(2, size), data.tobytes()
+        self.hashes, starts, ends, places = flat.words(data, offsets)
+        self.starts, self.ends = starts.astype(np.int32), ends.astype(np.int32)
+        n = np.diff(places)
+        blocks = _blocks(np.stack([self.hashes[k : len(self.hashes) - self.block + 1 + k] for k in range(self.block)], 1))
+        # A block may stand last in a string unless less than a whole string ends with it.
+        last = size - self.block
+        at, inner = flat._each(places[:-1], n - self.block + 1), flat._each(np.zeros(len(n), np.int64), n - self.block + 1)
+        shift = np.maximum(last - inner, 0)
+        order = np.lexsort((shift, blocks[at]))
+        first = np.r_[True, np.diff(blocks[at][order]) != 0]
+        self.known, self.shift, self.past = blocks[at][order][first], shift[order][first].astype(np.int8 if size < 100 else np.int64), last + 1
+        # Strings by contents, then the distinct items of each.
+        at, of = flat._each(places[:-1], n - size + 1), np.repeat(item, n - size + 1)
+        one, two = (flat.Spans(self.hashes, base).hash(at, at + size) for base in (0, 1))
+        order = np.lexsort((of, two, one))
+        at, of, one, two = at[order], of[order], one[order], two[order]
+        new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
+        distinct = new | np.r_[True, of[1:] != of[:-1]]
+        self.first, self.item = at[new].astype(np.int32), of[distinct].astype(np.int32)
+        self.item_ends = np.r_[np.flatnonzero(new[distinct])[1:], len(self.item)].astype(np.int64)
+        bucket = self._bucket(blocks, self.first)
+        self.by_bucket = np.argsort(bucket, kind="stable").astype(np.int32)
+        self.buckets = bucket[self.by_bucket]
+
+    def _bucket(self, blocks: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return flat.mixed(blocks[at + self.size - self.block] + blocks[at] * np.uint64(0x9E3779B97F4A7C15))
+
+    def string(self, k: int) -> bytes:
+        return self.data[self.starts[self.first[k]] : self.ends[self.first[k] + self.size - 1]]
+
+    def items(self, k: int) -> np.ndarray:
+        """Places of the items that hold a string."""
+        return self.item[self.item_ends[k - 1] if k else 0 : self.item_ends[k]]
 
     def search(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word, pattern) of all places in one text whose word hashes equal a pattern's."""
@@ -61,12 +92,12 @@ class Patterns:
             at, stop = at[more], stop[more]
         at = np.concatenate(stops)
         at = at[at + self.size <= offsets[np.searchsorted(offsets, at, "right")]]
-        # All strings of the suffix bucket, less those with another first word, then all words.
-        last = blocks[at + self.size - self.block]
-        low, high = np.searchsorted(self.suffix, last, "left"), np.searchsorted(self.suffix, last, "right")
-        at, pattern = np.repeat(at, high - low), self.by_suffix[flat._each(low, high - low)]
+        # All strings of the bucket, less those with another word.
+        own = self._bucket(blocks, at)
+        low, high = np.searchsorted(self.buckets, own, "left"), np.searchsorted(self.buckets, own, "right")
+        at, pattern = np.repeat(at, high - low), self.by_bucket[flat._each(low, high - low)]
         for k in range(self.size):
-            same = hashes[at + k] == self.hashes[pattern, k]
+            same = hashes[at + k] == self.hashes[self.first[pattern] + k]
             at, pattern = at[same], pattern[same]
         return at, pattern
 
@@ -78,37 +109,37 @@ def _blocks(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def patterns(items: list[tuple[str, str]], window: int = WINDOW) -> list[Patterns]:
-    """The test strings of (id, text): all windows of ``window`` words; shorter items are one string."""
-    by_size: dict[int, dict[bytes, set]] = {}
-    for item, text in items:
-        words = text.encode().translate(_WORD).split()
-        size = min(window, len(words))
-        for k in range(len(words) - size + 1 if size else 0):
-            by_size.setdefault(size, {}).setdefault(b" ".join(words[k : k + size]), set()).add(item)
+def patterns(pack: pa.Table, window: int = WINDOW) -> tuple[list[str], list[Patterns]]:
+    """(item ids, test strings) of (id, text, n) with words joined by one space: all windows of ``window`` words; shorter
+    items are one string."""
+    if not pack.num_rows:
+        return [], []
+    ids, item = np.unique(np.array(pack.column("id").to_pylist(), object), return_inverse=True)
+    sizes = np.minimum(pack.column("n").to_numpy(), window)
     out = []
-    for size, found in sorted(by_size.items()):
-        strings = list(found)
-        hashes = flat.words(*flat.flat(pa.array(strings, pa.binary())))[0].reshape(-1, size)
-        out.append(Patterns(size, hashes, strings, [sorted(found[s]) for s in strings]))
-    return out
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        data, offsets = flat.flat(pack.column("text").take(pa.array(rows)))
+        out.append(Patterns(size, data[offsets[0] : offsets[-1]], offsets - offsets[0], item[rows]))
+    return ids.tolist(), out
 
 
-def _scan(source: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
+def _scan(source: DataFrame, pack: pa.Table, window: int) -> DataFrame:
     """For each (row, text): the row as it is, n_words, the places of the hit words, and the items found."""
-    shared = source.sparkSession.sparkContext.broadcast(patterns(items, window))
+    shared = source.sparkSession.sparkContext.broadcast(patterns(pack, window))
 
     def scan(batches):
         for batch in batches:
             data, offsets = normalised(batch.column(1))
             hashes, starts, ends, places = flat.words(data, offsets)
             hit, ids = [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
-            for p in shared.value:
+            names, found = shared.value
+            for p in found:
                 for at, k in zip(*(x.tolist() for x in p.search(hashes, places))):
-                    if b" ".join(data[starts[w] : ends[w]].tobytes() for w in range(at, at + p.size)) == p.strings[k]:
+                    if b" ".join(data[starts[w] : ends[w]].tobytes() for w in range(at, at + p.size)) == p.string(k):
                         text = int(np.searchsorted(places, at, "right")) - 1
                         hit[text].extend(range(at - int(places[text]), at - int(places[text]) + p.size))
-                        ids[text].extend(p.items[k])
+                        ids[text].extend(names[i] for i in p.items(k).tolist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -123,15 +154,29 @@ def _scan(source: DataFrame, items: list[tuple[str, str]], window: int) -> DataF
     return source.mapInArrow(scan, schema)
 
 
-def benchmark_packs(benchmark: DataFrame, id_col: str, text_col: str):
-    """The items with id and text in sets of some PACK_BYTES; one set at a time is on the driver to build its tables."""
+def benchmark_packs(benchmark: DataFrame, id_col: str, text_col: str, window: int = WINDOW):
+    """The items with id and words, as tables (id, text, n) whose patterns take some PACK_BYTES each.
+
+    Tasks normalise the items and cut long ones into pieces of PIECE_WORDS, so that a set holds no more than asked for,
+    whatever the length of an item. One set at a time is on the driver.
+    """
     items = benchmark.select(benchmark[id_col].cast("string").alias("id"), benchmark[text_col].cast("string").alias("text"))
     items = items.where("id is not null and text is not null").distinct()
-    volume = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+    def cut(batches):
+        for batch in batches:
+            for item, text in zip(*batch.columns):
+                words = text.as_buffer().to_pybytes().translate(_WORD).split()
+                pieces = [words[k : k + PIECE_WORDS + window - 1] for k in range(0, max(1, len(words) - window + 1), PIECE_WORDS)] if words else []
+                columns = [pa.array([item.as_py()] * len(pieces), pa.string()), pa.array([b" ".join(x) for x in pieces], pa.binary()), pa.array([len(x) for x in pieces], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "n"])
+
+    pieces = written(items.mapInArrow(cut, "id string, text binary, n long"), "items")
+    volume = pieces.agg(F.sum(F.octet_length("text") + F.col("n") * WORD_BYTES)).first()[0] or 0
     packs = 1 + volume // PACK_BYTES
     part = F.pmod(F.xxhash64("id", "text"), F.lit(packs))
     for k in range(packs):
-        yield [tuple(r) for r in (items if packs == 1 else items.where(part == k)).collect()]
+        yield (pieces if packs == 1 else pieces.where(part == k)).toArrow().combine_chunks()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
@@ -145,7 +190,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     """
     text = docs[text_col].cast("string")
     source = docs.select(F.struct(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("hash")).alias("row"), text.alias("text"))
-    passes = [_scan(source, items, window) for items in benchmark_packs(benchmark, item_col, item_text_col)]
+    passes = [_scan(source, items, window) for items in benchmark_packs(benchmark, item_col, item_text_col, window)]
     out = passes[0]
     if len(passes) > 1:
         for more in passes[1:]:
@@ -161,7 +206,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                       item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without any hit, with all their columns; nothing is shuffled."""
     out = docs
-    for items in benchmark_packs(benchmark, item_col, item_text_col):
+    for items in benchmark_packs(benchmark, item_col, item_text_col, window):
         source = out.select(F.struct(*[out[c] for c in docs.columns]).alias("row"), out[text_col].cast("string").alias("text"))
         out = _scan(source, items, window).where(F.size("hit") == 0).select("row.*")
     return out

@@ -1,11 +1,15 @@
 """Exact and near duplicates, and benchmark passages, against brute force."""
 
+import pickle
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tablemill.llm import decontaminate, exact_dedup, near_dedup
+from tablemill.llm import decontaminate, exact_dedup, flat, near_dedup
 from tests.llm import brute
 
 
@@ -83,7 +87,8 @@ def test_decontaminate_whole_table(spark, folder, documents):
 @pytest.mark.parametrize("packed", [False, True])
 def test_decontaminate_small(spark, odd, monkeypatch, packed):
     if packed:  # several sets of test strings
-        monkeypatch.setattr(decontaminate, "PACK_BYTES", 60)
+        monkeypatch.setattr(decontaminate, "PACK_BYTES", 900)
+        monkeypatch.setattr(decontaminate, "PIECE_WORDS", 3)
     rng = random.Random(4)
     word = lambda: rng.choice(["a", "b", "c", "1", "ö", "Dd"])
     line = lambda n: "".join(word() + rng.choice([" ", "-", ", ", "\n", "\x00"]) for _ in range(n))
@@ -101,3 +106,26 @@ def test_decontaminate_edges(spark, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r) for r in decontaminate.contamination(odd([(None, "a b"), (None, None)]), none).select("n_words", "hit", "items").collect()] == [(2, [], []), (0, [], [])]
     assert decontaminate.contamination(odd([]), none).collect() == []
+
+
+def test_decontaminate_full_pack():
+    """The tables of a full set are as large as said, and are built in less than five times that."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i:05d}" for i in range(50_000)])
+    count = decontaminate.PACK_BYTES // (decontaminate.WORD_BYTES + 7)
+    texts = [" ".join(words[rng.integers(0, len(words), n)]) for n in [100] * (count // 100 - 1000) + [100_000]]
+    texts += [texts[5]] * 50 + ["w00001 w00002 w00003"]
+    pack = pa.table({"id": [str(i) for i in range(len(texts))], "text": pa.array([t.encode() for t in texts]), "n": [len(t.split()) for t in texts]})
+    tracemalloc.start()
+    ids, found = decontaminate.patterns(pack)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0.7 * decontaminate.PACK_BYTES < len(pickle.dumps((ids, found))) < 1.1 * decontaminate.PACK_BYTES and peak < 300_000_000
+    text = "a b " + texts[5] + " c w00001 w00002 w00003"
+    hashes, _, _, places = flat.words(*flat.flat(pa.array([text])))
+    places_ = {p.size: sorted(zip(*(x.tolist() for x in p.search(hashes, places)))) for p in found}
+    long, short = (next(p for p in found if p.size == n) for n in (10, 3))
+    assert [a for a, _ in places_[10]] == list(range(2, 93)) and [a for a, _ in places_[3]] == [103]
+    same = {ids[i] for i in long.items(places_[10][0][1])}
+    assert same == {"5", *(str(i) for i in range(len(texts) - 51, len(texts) - 1))}
+    assert short.string(places_[3][0][1]) == b"w00001 w00002 w00003"
