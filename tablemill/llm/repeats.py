@@ -5,8 +5,8 @@ wholes: a run whose key (minimiser) and signature (all of its units) occur earli
 remains open are the first runs of keys that have several signatures; only those travel as text.
 
 Volume: one packed entry of 28 bytes per run (2 to 3 runs per 100 units), then the open runs. Copies inside a task
-are settled there. Keys that gather more than one in 50,000 of all runs, found by an exact distributed heavy-hitter
-count, are spread by whole windows (see ``flat.runs``), so no bucket holds a common passage of all documents.
+are settled there. Keys that gather 2,000 runs, or one in a million where that is more, found by an exact distributed
+heavy-hitter count, are spread by whole windows (see ``flat.runs``), so no bucket holds a common passage of all documents.
 """
 
 import numpy as np
@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import written
 from . import flat
 
-#: A minimiser is hot above this share of all runs, and above so many runs. At most 2 / HOT_SHARE are sent to tasks.
-HOT_SHARE, HOT_LEAST = 1 / 50_000, 2_000
+#: A minimiser is hot above this share of all runs, and above so many runs. At most 2 / HOT_SHARE (16 MB) are sent to tasks.
+#: At 100 TB of text, some 2.5e12 runs, a key that is not hot has 2.5 million runs at most, 70 MB of packed entries.
+HOT_SHARE, HOT_LEAST = 1 / 1_000_000, 2_000
 #: Runs per bucket, some 60 MB in a task.
 BUCKET_RUNS = 1_000_000
+#: Open windows per partition in the second half.
+PART_WINDOWS = 1_000_000
 
 _LAYOUT = (("<u4", 4), ("<u8", 8), ("<i8", 8), ("<u4", 4), ("<u4", 4))
 
@@ -60,7 +63,8 @@ def _unpack(blobs) -> list[np.ndarray]:
 
 def hot_minimisers(source: DataFrame, units, window: int, gram: int) -> tuple[np.ndarray, int]:
     """(minimisers that may exceed the limit, number of runs). Each task names those above half the share in it, so
-    at most 2 / HOT_SHARE rows come from a task and reach the driver."""
+    at most 2 / HOT_SHARE rows come from a task. Their sums are written, and only those above the limit, which the sum
+    of all runs gives, reach the driver: at most 2 / HOT_SHARE."""
     none = np.zeros(0, np.uint64)
 
     def count(batches):
@@ -88,11 +92,11 @@ def hot_minimisers(source: DataFrame, units, window: int, gram: int) -> tuple[np
         )
 
     found = source.select("text").mapInArrow(count, "key long, n long, runs long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("runs").alias("runs"))
-    # The extra rows of the tasks meet in key 0.
-    rows = found.where((F.col("n") >= HOT_LEAST // 2) | (F.col("runs") > 0)).collect()
-    runs = sum(r["runs"] for r in rows)
+    found = written(found, "minimisers")
+    # The extra rows of the tasks, which carry the numbers of runs, meet in key 0.
+    runs = found.agg(F.sum("runs")).first()[0] or 0
     least = max(HOT_LEAST, runs * HOT_SHARE) / 2
-    hot = np.array([r["key"] for r in rows if r["n"] >= least], np.int64).view(np.uint64)
+    hot = found.where(F.col("n") >= least).select("key").toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64)
     return np.sort(hot), runs
 
 
@@ -173,7 +177,7 @@ def repeated_runs(docs: DataFrame, units, window: int, gram: int, by_document: b
         )
 
     packed = source.mapInArrow(scan, "bucket int, known boolean, runs binary")
-    return written(packed.groupBy("bucket").applyInArrow(settle, "doc_id long, start int, n int, key long"), "runs")
+    return written(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settle, "doc_id long, start int, n int, key long"), "runs")
 
 
 def packed_runs(docs: DataFrame, runs: DataFrame, cut, id_col: str, text_col: str) -> DataFrame:
@@ -202,10 +206,13 @@ def packed_runs(docs: DataFrame, runs: DataFrame, cut, id_col: str, text_col: st
     return joined.mapInArrow(pack, "key long, doc_id long, start int, n int, packed binary")
 
 
-def by_key(packed: DataFrame, judge) -> DataFrame:
+def by_key(packed: DataFrame, runs: DataFrame, judge) -> DataFrame:
     """Runs (doc_id, start, n) of repeated windows: ``judge`` gets all rows of some keys, sorted by key and place, in
-    chunks of a few MB, so a task never holds its whole partition."""
-    sorted_ = packed.repartition("key").sortWithinPartitions("key", "doc_id", "start")
+    chunks of a few MB, so a task never holds its whole partition. ``runs`` is the written table behind ``packed``, whose
+    open windows say how many partitions there are."""
+    least = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows = runs.where("key is not null").agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    sorted_ = packed.repartition(max(least, -(-windows // PART_WINDOWS)), "key").sortWithinPartitions("key", "doc_id", "start")
 
     def stream(batches):
         held: list = []

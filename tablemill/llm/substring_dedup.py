@@ -48,7 +48,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id
     """
     runs = repeats.repeated_runs(docs, repeats.word_units, window, gram, True, id_col, text_col)
     packed = repeats.packed_runs(docs, runs, lambda t, s, n: _strings(t, s, n, window), id_col, text_col)
-    resolved = repeats.by_key(packed, lambda table: _judge(table, window))
+    resolved = repeats.by_key(packed, runs, lambda table: _judge(table, window))
     return runs.where("key is null").select("doc_id", "start", "n").unionByName(resolved)
 
 

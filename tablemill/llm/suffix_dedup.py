@@ -79,7 +79,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, first: int = FIRST,
         return [bytes(text[s : s + k + length - 1]) for s, k in zip(starts.tolist(), n.tolist())]
 
     packed = repeats.packed_runs(docs, runs, cut, id_col, text_col)
-    return runs.where("key is null").select("doc_id", "start", "n").unionByName(repeats.by_key(packed, lambda t: _judge(t, length)))
+    return runs.where("key is null").select("doc_id", "start", "n").unionByName(repeats.by_key(packed, runs, lambda t: _judge(t, length)))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, first: int = FIRST, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True) -> DataFrame:
