@@ -210,23 +210,30 @@ def _stitched(table: pa.Table) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(_FIELDS, _TYPES))})
 
 
-#: Names that Spark's text reader takes for one compressed stream, decoded before the gzip magic is looked for.
-_STREAMS = r"\.(gz|bz2|deflate|snappy|lz4|zst)$"
+#: Names that Spark's text reader would decode as one stream before the magic is looked for; ``.gz`` is read as it is.
+_STREAMS = r"\.(bz2|deflate|snappy|lz4|zst)$"
+#: Hands the bytes of files with this ending on as they are. Such files are not split: one task reads one, as a stream.
+#: The second setting has another name in Hadoop's shaded client, which comes with Spark.
+_AS_IT_IS = {
+    "io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec",
+    "io.compress.passthrough.extension": ".gz",
+    "org.apache.hadoop.shaded.io.compress.passthrough.extension": ".gz",
+}
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All WARC records of the gzip archives under ``path``: record_type, page_id, url, refers_to, payload_digest,
     payload_bytes (of the full payload), payload.
 
-    Files are split. A task takes the candidate members that start in its byte range, and keeps those that decode to
-    a WARC header. Bytes that belong to no valid member are passed over. Files named ``.gz`` or like another
-    compressed stream raise ValueError: Spark's readers decode them whole, without splitting, and members are not seen.
+    Files are split, but for those named ``.gz``, which go to one task each. A task takes the candidate members that start
+    in its byte range, and keeps those that decode to a WARC header. Bytes that belong to no valid member are passed over.
+    Files named like another compressed stream raise ValueError: Spark's readers decode them, and members are not seen.
     """
     streams = spark.read.format("binaryFile").load(path).where(F.col("path").rlike(_STREAMS)).select("path").head()
     if streams:
         raise ValueError(f"{streams.path} would be decoded as one stream; name archives without the ending of a compression")
     raw = (
-        spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+        spark.read.options(lineSep=MAGIC.decode("latin-1"), encoding="ISO-8859-1", **_AS_IT_IS).text(path)
         .select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     )
     parts = raw.mapInArrow(_candidates, _PARTS)

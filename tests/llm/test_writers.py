@@ -213,8 +213,9 @@ def test_archives_named_as_streams(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"http://x/{k}", "page " * k) for k in range(20)], "page_id long, url string, html string")
     warc.write_archives(warc.marked(pages.coalesce(1)), str(tmp_path / "out"))
     data = b"".join(f.read_bytes() for f in sorted((tmp_path / "out").glob("part-*")))
-    for name in ("x.warc", "x.warc.gz"):
+    for name in ("x.warc", "x.warc.gz", "x.warc.bz2"):
         (tmp_path / name).write_bytes(data)
-    assert warc.read_archives(spark, str(tmp_path / "x.warc")).count() == 20
+    split, whole = (sorted(warc.read_archives(spark, str(tmp_path / n)).collect(), key=str) for n in ("x.warc", "x.warc.gz"))
+    assert len(split) == 20 and split == whole
     with pytest.raises(ValueError, match="stream"):
-        warc.read_archives(spark, str(tmp_path / "x.warc.gz"))
+        warc.read_archives(spark, str(tmp_path / "x.warc.bz2"))
