@@ -6,6 +6,7 @@ a local session without it (a laptop, the tests) gets a temporary folder of its
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +26,33 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+#: Paths given out inside each open ``cleared`` block, the innermost one last.
+_given: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; nothing is created yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _given:
+        _given[-1].append(path)
+    return path
+
+
+@contextmanager
+def cleared(spark: SparkSession):
+    """Deletes the intermediate tables of the block when it ends, also by an error.
+
+    Operators return DataFrames that still read those tables, so write or collect results inside the block. Blocks may be
+    nested, but not used from several threads at once.
+    """
+    _given.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        for path in _given.pop():
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

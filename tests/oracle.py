@@ -11,6 +11,8 @@ import traceback
 
 import duckdb
 
+from tablemill.session import cleared
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -97,7 +99,8 @@ def main(names):
     for name, function in chosen.items():
         started = time.time()
         try:
-            problem = compare(spark, connection, name, function, sqls.get(name))
+            with cleared(spark):
+                problem = compare(spark, connection, name, function, sqls.get(name))
         except Exception:
             problem = "".join(traceback.format_exc()[-1500:])
         if problem:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablemill.functions import healpix
 from tablemill.operators import columns, coverage, match, rank, rows
+from tablemill.session import cleared, new_folder, shared_folder, written
 from tablemill.sources import records
 from tests.test_match import deepest, positions, sky, tiles
 
@@ -86,3 +87,27 @@ def test_near_coverage_is_exact(spark):
     slack = healpix.pixel_radius_degrees(order)
     assert {i for i, g in enumerate(gaps) if g <= 3.0} <= near <= {i for i, g in enumerate(gaps) if g <= 3.0 + slack}
     assert len(near) < len(places)
+
+
+def test_intermediate_tables_are_cleared(spark):
+    def tables():
+        place = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+        found = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(place)
+        return {f.getPath().getName() for f in found}
+
+    outer = written(spark.range(3), "outer")
+    before = tables()
+    with cleared(spark):
+        first = rows.sort_head(spark.range(1000), 10, ["id"]).count()
+        numbered = rank.number_rows(spark.range(100).repartition(4), ["id"], "rn")
+        with cleared(spark):
+            inner = written(spark.range(5), "inner")
+            assert inner.count() == 5 and len(tables() - before) >= 1
+        assert numbered.agg(F.max("rn")).first()[0] == 100 and first == 10
+        new_folder(spark, "never")
+    assert tables() == before and outer.count() == 3
+    with pytest.raises(ZeroDivisionError):
+        with cleared(spark):
+            written(spark.range(5), "inner")
+            1 / 0
+    assert tables() == before
