@@ -16,7 +16,7 @@ from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.sky import sky_distance, unit_vector
 from ..session import checkpointed
@@ -68,16 +68,21 @@ class Matcher:
         """The same with a part of the reach, the scores unchanged; only for those with axes. Fractions are powers of 2."""
         return self
 
+    def within(self, a: list[Column], b: list[Column]) -> Column:
+        """The score of two positions, infinite where they are too far apart; only for those with axes."""
+        raise NotImplementedError
+
     def closest(self, a: DataFrame, b: DataFrame) -> DataFrame:
-        """The best partner of each position: (_pa, _pb, _score) and ``_ib``.
+        """The best partner of each position: (_pa, _score, _ib).
 
         ``a`` has _pa, a0, …; ``b`` has _pb, b0, … and ``_ib``, which decides between equally good ones.
         Cells of ``b`` that hold many positions are searched from coarse to fine, so that none is ever compared with all
         positions near it.
         """
-        close = self.candidates(a, b) if self.axes("b") is None else descend(self, a, b)
-        best = close.groupBy("_pa").agg(F.min(F.struct(SCORE, "_ib", "_pb")).alias("_best"))
-        return best.select("_pa", "_best._pb", f"_best.{SCORE}", "_best._ib")
+        if self.axes("b") is not None:
+            return descend(self, a, b)
+        best = self.candidates(a, b).groupBy("_pa").agg(F.min(F.struct(SCORE, "_ib")).alias("_best"))
+        return best.select("_pa", f"_best.{SCORE}", "_best._ib")
 
     def nearest(self, t1: DataFrame, t2: DataFrame, id1: str, id2: str) -> DataFrame:
         """For each row of ``t1`` its best partner in ``t2``, the lowest id among equally good ones.
@@ -94,7 +99,9 @@ class Matcher:
 # --- from coarse to fine ---------------------------------------------------------------------------
 
 #: Positions of a cell that are compared one by one; beyond it the cell is quartered along each axis.
-LEAF = 1000
+LEAF = 64
+# Cells of the first level are four times as wide as the search reaches on both sides: few positions see more than one or two.
+COARSEST = -1
 # Cells are quartered at most this often; below that, distances are beyond the precision of doubles.
 FINEST = 23
 
@@ -105,79 +112,86 @@ def _cell_keys(level: int, points: list[Column]) -> list[Column]:
 
 
 def descend(matcher: Matcher, a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs that hold the best partner of each position of ``a``.
+    """The best partner of each position of ``a`` among ``b``: (_pa, _score, _ib).
 
     Positions of ``a`` meet those of ``b`` in the cells within their reach, if a cell holds at most LEAF of them. A fuller cell
     knows how many positions it holds and one of them. The nearest of the known positions is a limit for a position
     of ``a``; cells whose nearest corner is beyond it are dropped, the others are replaced by their parts, with which
     the same is done until no full cell is left. Exact, as only cells that cannot hold the best partner are dropped.
+
+    The pairs are never sorted or moved: a first pass keeps the least score of each cell, which is hashed as the pairs are made,
+    a second one looks for the partner in the best cell only.
     """
-    n = len(matcher.axes("b"))
-    keys, points, here = [f"_k{i}" for i in range(n)], [f"_u{i}" for i in range(n)], [f"_w{i}" for i in range(n)]
+    n, sides = len(matcher.axes("b")), len(matcher.values1)
+    keys, points = [f"_k{i}" for i in range(n)], [f"_u{i}" for i in range(n)]
+    values = [f"b{i}" for i in range(sides)]
     # A hair more than the reach, so that rounding loses nothing; the true score decides in the end.
     slack = 1 + 1e-7
 
-    def gap(level: int) -> Column:
-        """Distance of the position of ``a`` from the cell."""
-        side = 2.0 / 4.0**level
-        parts = [
-            F.greatest(F.col(k) * side - F.col(w), F.col(w) - (F.col(k) + 1) * side, F.lit(0.0)) for k, w in zip(keys, here)
-        ]
+    def straight(parts: list[Column]) -> Column:
         return F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
 
-    def known() -> Column:
-        """Distance of the position of ``a`` from the position the cell knows."""
-        parts = [F.col(f"_known.{u}") - F.col(w) for u, w in zip(points, here)]
-        return F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
+    def reached(rows: DataFrame, level: int) -> DataFrame:
+        """Cells within the limit known so far, with their distance and that of the position they know."""
+        side = 2.0 / 4.0**level
+        rows = rows.select("*", "_pa.*")
+        here = matcher.axes("a")
+        corner = [F.greatest(F.col(k) * side - w, w - (F.col(k) + 1) * side, F.lit(0.0)) for k, w in zip(keys, here)]
+        known = [F.col(f"_known.{u}") - w for u, w in zip(points, here)]
+        measured = rows.select("_pa", *keys, "_n", "_limit", straight(corner).alias("_gap"), straight(known).alias("_near"))
+        return measured.where(F.col("_gap") <= F.least("_limit", F.lit(1.0)) * slack)
 
     def pruned(rows: DataFrame, level: int) -> DataFrame:
         """Cells that may hold the best partner; ``_limit`` is the distance to the nearest known position."""
-        measured = rows.withColumns({"_gap": gap(level), "_near": known()})
-        limits = measured.groupBy("_pa").agg(F.min("_near").alias("_new"))
-        reach = F.least("_limit", F.col("_new"), F.lit(1.0)) * slack
-        return (
-            measured.join(limits, "_pa")
-            .where(F.col("_gap") <= reach)
-            .select("_pa", *here, *keys, "_n", F.least("_limit", "_new").alias("_limit"))
-        )
+        measured = reached(rows, level).withColumn("_limit", F.least("_limit", F.min("_near").over(Window.partitionBy("_pa"))))
+        return measured.where(F.col("_gap") <= F.least("_limit", F.lit(1.0)) * slack).select("_pa", *keys, "_n", "_limit")
 
     def counted(rows: DataFrame) -> DataFrame:
         return rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min_by(F.struct(*points), F.struct(*points)).alias("_known"))
 
-    def compared(rows: DataFrame, others: DataFrame) -> DataFrame:
-        """The positions of ``a`` with all positions of ``b`` in the same cell."""
-        return matcher.scored(rows.select("_pa", *keys).join(others.drop(*points), keys).drop(*keys).select("*", "_pa.*"))
-
-    members = b.select("*", *[u.alias(p) for u, p in zip(matcher.axes("b"), points)])
-    members = members.select("*", *_cell_keys(0, [F.col(p) for p in points]))
-    frontier = a.select("_pa", *[w.alias(h) for w, h in zip(matcher.axes("a"), here)])
-    for k, w in zip(keys, here):
-        low, high = [F.floor((F.col(w) + side * slack) / 2).cast("long") for side in (-1, 1)]
+    members = b.select("_ib", *values, *[u.alias(p) for u, p in zip(matcher.axes("b"), points)])
+    members = members.select("*", *_cell_keys(COARSEST, [F.col(p) for p in points]))
+    frontier, side, level = a.select("_pa", *[w.alias(p) for w, p in zip(matcher.axes("a"), points)]), 2 / 4.0**COARSEST, COARSEST
+    for k, p in zip(keys, points):
+        low, high = [F.floor((F.col(p) + way * slack) / side).cast("long") for way in (-1, 1)]
         frontier = frontier.withColumn(k, F.explode(F.sequence(low, high)))
+    frontier = frontier.drop(*points)
+    at, own = ["_level", *keys], [*keys, "_ib", *values]
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_level", F.lit(level))
+
     full = checkpointed(counted(members).where(F.col("_n") > LEAF))
-    found, level = compared(frontier, members.join(full.select(*keys), keys, "left_anti")), 0
-    if full.isEmpty():
-        return found
-    members = checkpointed(members.join(full.select(*keys), keys, "left_semi"))
-    frontier = checkpointed(pruned(frontier.withColumn("_limit", F.lit(float("inf"))).join(full, keys), level).drop("_n"))
-    while not frontier.isEmpty():
-        level += 1
-        members = members.select(*[c for c in members.columns if c not in keys], *_cell_keys(level, [F.col(p) for p in points]))
-        cells = checkpointed(counted(members))
-        # Four parts along each axis: their keys are the cell's key and two more bits.
-        parts = cells.withColumns({f"_up{i}": F.shiftright(k, 2) for i, k in enumerate(keys)})
-        into = [F.col(f"f.{k}") == F.col(f"c._up{i}") for i, k in enumerate(keys)]
-        frontier = (
-            frontier.alias("f")
-            .join(parts.alias("c"), into)
-            .select("_pa", *[F.col(f"f.{h}") for h in here], "f._limit", *[F.col(f"c.{k}") for k in keys], "c._n", "c._known")
-        )
-        frontier = checkpointed(pruned(frontier, level))
-        more = F.lit(level < FINEST) & (F.col("_n") > LEAF)
-        found = found.unionByName(compared(frontier.where(~more), members))
-        frontier = frontier.where(more).drop("_n")
-        members = checkpointed(members.join(cells.where(F.col("_n") > LEAF).select(*keys), keys, "left_semi"))
-    return found
+    # Positions of ``a`` with the cells to look into, and positions of ``b`` in these cells, each at one level.
+    asked, leaves = numbered(frontier), numbered(members.select(*own))
+    if not full.isEmpty():
+        leaves = numbered(members.join(full.select(*keys), keys, "left_anti").select(*own))
+        members = checkpointed(members.join(full.select(*keys), keys, "left_semi"))
+        frontier = checkpointed(pruned(frontier.withColumn("_limit", F.lit(float("inf"))).join(full, keys), level).drop("_n"))
+        while not frontier.isEmpty():
+            level += 1
+            members = members.select(*[c for c in members.columns if c not in keys], *_cell_keys(level, [F.col(p) for p in points]))
+            cells = checkpointed(counted(members))
+            # Four parts along each axis: their keys are the cell's key and two more bits.
+            parts = cells.withColumns({f"_up{i}": F.shiftright(k, 2) for i, k in enumerate(keys)})
+            into = [F.col(f"f.{k}") == F.col(f"c._up{i}") for i, k in enumerate(keys)]
+            frontier = (
+                frontier.alias("f").join(parts.alias("c"), into).select("_pa", "f._limit", *[F.col(f"c.{k}") for k in keys], "c._n", "c._known")
+            )
+            frontier = checkpointed(pruned(frontier, level))
+            more = F.lit(level < FINEST) & (F.col("_n") > LEAF)
+            open_ = cells.where(more).select(*keys)
+            asked = asked.unionByName(numbered(frontier.where(~more).select("_pa", *keys)))
+            leaves = leaves.unionByName(numbered(members.join(open_, keys, "left_anti").select(*own)))
+            frontier = frontier.where(more).drop("_n")
+            members = checkpointed(members.join(open_, keys, "left_semi"))
+    score = matcher.within([F.col(f"_pa.a{i}") for i in range(sides)], [F.col(v) for v in values])
+    pairs = asked.join(leaves, at).withColumn(SCORE, score).where(F.col(SCORE) < float("inf"))
+    least = pairs.groupBy("_pa", F.struct(*at).alias("_cell")).agg(F.min(SCORE).alias("_least"))
+    nearly = 1 + 1e-12
+    chosen = least.withColumn("_best", F.min("_least").over(Window.partitionBy("_pa"))).where(F.col("_least") <= F.col("_best") * nearly)
+    found = chosen.select("_pa", "_cell.*", "_best").join(leaves, at).withColumn(SCORE, score).where(F.col(SCORE) <= F.col("_best") * nearly)
+    return found.groupBy("_pa").agg(F.min(F.struct(SCORE, "_ib")).alias("_found")).select("_pa", f"_found.{SCORE}", "_found._ib")
 
 
 # --- equality --------------------------------------------------------------------------------------
@@ -288,6 +302,10 @@ class Sky(Matcher):
     def narrowed(self, fraction):
         return replace(self, radius=self.radius * fraction)
 
+    def within(self, a, b):
+        distance = sky_distance(a[0], a[1], b[0], b[1]) / _ARCSEC
+        return F.when(distance <= self.radius, distance).otherwise(float("inf"))
+
     def scored(self, pairs):
         distance = sky_distance("a0", "a1", "b0", "b1") / _ARCSEC
         return pairs.withColumn(SCORE, distance).where(F.col(SCORE) <= self.radius)
@@ -383,9 +401,17 @@ class Cartesian(Matcher):
         """The squared distance along an axis in units of its tolerance; a tolerance of 0 asks for equal values."""
         return ((a - b) / scale) ** 2 if scale else F.when(a == b, 0.0).otherwise(float("inf"))
 
+    def _relative(self, a, b) -> Column:
+        squares = [self._square(x, y, s) for x, y, s in zip(a, b, self.scales())]
+        return F.sqrt(sum(squares[1:], squares[0]))
+
+    def within(self, a, b):
+        relative = self._relative(a, b)
+        return F.when(relative <= 1.0, relative * self.unit()).otherwise(float("inf"))
+
     def scored(self, pairs):
-        squares = [self._square(F.col(f"a{i}"), F.col(f"b{i}"), s) for i, s in enumerate(self.scales())]
-        relative = pairs.withColumn("_relative", F.sqrt(sum(squares[1:], squares[0]))).where(F.col("_relative") <= 1.0)
+        a, b = [[F.col(f"{side}{i}") for i in range(len(self.scales()))] for side in "ab"]
+        relative = pairs.withColumn("_relative", self._relative(a, b)).where(F.col("_relative") <= 1.0)
         return relative.withColumn(SCORE, F.col("_relative") * self.unit()).drop("_relative")
 
     def candidates(self, a, b):
