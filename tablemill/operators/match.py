@@ -463,9 +463,11 @@ def _swapped(matcher: Matcher) -> Matcher:
 
 
 #: Close pairs for each position, on average, up to which all are listed at once.
-PAIRS = 64
+PAIRS = 2
 #: Close pairs of positions that hang together, up to which one task pairs them off.
 COMPONENT = 1_000_000
+#: Close pairs of positions, up to which their parts are looked for at once.
+FEW = 10_000
 #: Ranks of rows at one position that are looked up together.
 RANKS = 1024
 
@@ -518,12 +520,13 @@ _CHOSEN = ("_pa", "_pb", SCORE, "_ia", "_ib", "_from_a", "_from_b", "_n", "_sing
 def _paired_off(close: DataFrame) -> DataFrame:
     """The pairs taken of a list of close positions with their numbers of unpaired and paired rows.
 
-    A round takes the pairs that are each other's nearest. What is left falls into parts that share no position; a task
+    A round takes the pairs that are each other's nearest; rounds go on while each takes away half of the list, so that all
+    together cost about two. What is left then falls into parts that share no position; a task
     takes the pairs of a part in their order. Parts of more than COMPONENT pairs go through further rounds, until they
     fall apart.
     """
     none = F.lit(0).cast("long")
-    chosen = None
+    chosen, before = None, close.count()
     while True:
         best_a = close.groupBy("_pa").agg(F.min(F.struct(SCORE, "_ib", "_pb")).alias("_x")).select("_pa", "_x._pb")
         best_b = close.groupBy("_pb").agg(F.min(F.struct(SCORE, "_ia", "_pa")).alias("_x")).select("_pb", "_x._pa")
@@ -544,15 +547,21 @@ def _paired_off(close: DataFrame) -> DataFrame:
             }
         )
         left = checkpointed(left.where("_na > 0 and _nb > 0").drop("_used_a", "_used_b"))
-        if left.isEmpty():
+        size, last = left.count(), before
+        if not size:
             return chosen
+        before = size
+        if size > FEW and 2 * size <= last:
+            close = left.drop("_u", "_v")
+            continue
         parts = connected_components(contracted(left.select("_u", "_v")))
         placed = left.join(parts, F.col("_u") == F.col("node")).drop("_u", "_v", "node")
         sizes = placed.groupBy("component").agg(F.count("*").alias("_size"))
         placed = checkpointed(placed.join(sizes, "component"))
         chosen = chosen.unionByName(checkpointed(_in_order(placed.where(F.col("_size") <= COMPONENT).drop("_size"))))
         close = placed.where(F.col("_size") > COMPONENT).drop("component", "_size")
-        if close.isEmpty():
+        before = close.count()
+        if not before:
             return chosen
 
 
