@@ -115,12 +115,18 @@ def _filled(left: DataFrame, gaps: DataFrame) -> DataFrame:
 
     Of each source, and of sizes within a factor of 2, only the first ones whose words would fill the gap alone can matter.
     They are gone through in order, which leaves a smaller gap; a shorter document further on may still fit, so this is
-    repeated until none does.
+    repeated until none does. A row that was gone through is taken or longer than the gap from then on, so what a round leaves
+    are the later classes of ranks, as far as they still fit; each round writes them, and they get fewer.
     """
-    found = None
+    found, seen = None, None
+    left = left.withColumn("octave", F.floor(F.log2("size")).cast("int"))
+    own = left.columns
     while True:
         rows = left.alias("l").join(gaps.alias("g"), F.col("l.source").eqNullSafe(F.col("g.source"))).where("size <= gap").select("l.*", "gap")
-        rows = rows.withColumn("octave", F.floor(F.log2("size")).cast("int"))
+        if seen is not None:
+            same = F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.octave") == F.col("s.octave"))
+            rows = rows.alias("r").join(seen.alias("s"), same, "left").where("_last is null or bin > _last").select("r.*")
+        rows = written(rows, "open")
         upto = Window.partitionBy("source", "octave").orderBy("bin")
         bins = rows.groupBy("source", "octave", "bin").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
         enough = bins.withColumn("upto", F.sum("words").over(upto)).where("upto - words < gap").select(
@@ -137,7 +143,8 @@ def _filled(left: DataFrame, gaps: DataFrame) -> DataFrame:
         g, t = gaps.alias("g"), used.alias("t")
         gaps = g.join(t, F.col("g.source").eqNullSafe(F.col("t.source"))).select("g.source", (F.col("gap") - F.col("used")).alias("gap"))
         gaps = written(gaps, "gaps")
-        left = left.join(taken.select("row"), "row", "left_anti")
+        seen = written(enough.groupBy(F.col("_source").alias("source"), F.col("_octave").alias("octave")).agg(F.max("_bin").alias("_last")), "seen")
+        left = rows.select(*own)
 
 
 def _in_order(batches):
