@@ -97,6 +97,10 @@ def word_tokens(text) -> Column:
     )
 
 
+#: Characters of texts that a tokenizer gets at once, unless a single text is longer.
+CHARACTERS = 1 << 20
+
+
 def tokenise(
     df: DataFrame,
     tokenizer: Callable[[pd.Series], pd.Series],
@@ -105,7 +109,8 @@ def tokenise(
 ) -> DataFrame:
     """Replace ``text`` by ``input_ids`` and ``attention_mask``.
 
-    ``tokenizer`` gets a batch of texts and returns one list of token ids per text.
+    ``tokenizer`` gets a batch of texts and returns one list of token ids per text. Batches end at CHARACTERS, so that the
+    lists of a task take a bounded amount of memory, however many rows come at once.
     """
     kept = [f for f in df.schema if f.name != text]
     schema = T.StructType(
@@ -116,15 +121,29 @@ def tokenise(
         ]
     )
 
+    most = CHARACTERS
+
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids = tokenizer(batch[text])
-            mask = ids.map(lambda tokens: [1] * len(tokens))
-            yield batch.drop(columns=[text]).assign(input_ids=ids, attention_mask=mask)[schema.names]
+        for rows in batches:
+            for batch in _cut_by_length(rows, text, most):
+                ids = tokenizer(batch[text])
+                mask = ids.map(lambda tokens: [1] * len(tokens))
+                yield batch.drop(columns=[text]).assign(input_ids=ids, attention_mask=mask)[schema.names]
 
     return df.mapInPandas(encode, schema)
 
 
+def _cut_by_length(rows: pd.DataFrame, text: str, most: int) -> Iterator[pd.DataFrame]:
+    """Runs of rows whose texts have ``most`` characters together, or of one row."""
+    start, size = 0, 0
+    for at, length in enumerate(rows[text].str.len().fillna(0).astype("int64")):
+        if at > start and size + length > most:
+            yield rows.iloc[start:at].reset_index(drop=True)
+            start, size = at, 0
+        size += length
+    yield rows.iloc[start:].reset_index(drop=True)
+
+
 def batch_rows(df: DataFrame, key, batch_size: int = 1000) -> DataFrame:
     """Add the position in its batch (``batch_row``) and the batch number (``batch_id``, from 0).
 
