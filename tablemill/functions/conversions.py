@@ -5,6 +5,14 @@ from pyspark.sql import Column, functions as F
 from .blanks import as_column, blank_to_null
 
 _INTEGER = r"(?<![\w.])[-+]?\d+(?![\w.])"
+# Every text that is read as a whole number, as a double and as a decimal. A failed cast costs an exception, many times as much
+# as looking at the text first; the cast itself decides in the end.
+_WHOLE = r"^[^0-9A-Za-z+.-]*[-+]?[0-9]*\.?[0-9]*[^0-9A-Za-z+.-]*$"
+_DOUBLE = (
+    r"(?i)^[\x00-\x20]*[-+]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[-+]?[0-9]+)?[fd]?"
+    r"|0x(?:[0-9a-f]+\.?|[0-9a-f]*\.[0-9a-f]+)p[-+]?[0-9]+[fd]?|inf(?:inity)?|nan)[\x00-\x20]*$"
+)
+_DECIMAL = r"^[\x00-\x20]*[-+]?(?:\p{Nd}+\.?\p{Nd}*|\.\p{Nd}+)(?:[eE][-+]?\p{Nd}+)?[\x00-\x20]*$"
 _REAL = r"(?i)(?<![\w.])(?:[-+]?(?:\d+\.?\d*|\.\d+)(?:e[-+]?\d+)?|nan)(?![\w.])"
 
 
@@ -13,27 +21,27 @@ def to_string(value) -> Column:
 
 
 def parse_byte(text) -> Column:
-    return as_column(text).try_cast("byte")
+    return _narrowed(parse_long(text), 8, "byte")
 
 
 def parse_short(text) -> Column:
-    return as_column(text).try_cast("short")
+    return _narrowed(parse_long(text), 16, "short")
 
 
 def parse_int(text) -> Column:
-    return as_column(text).try_cast("int")
+    return _narrowed(parse_long(text), 32, "int")
 
 
 def parse_long(text) -> Column:
-    return as_column(text).try_cast("long")
+    return _if_like(text, _WHOLE, "long")
 
 
 def parse_float(text) -> Column:
-    return as_column(text).try_cast("float")
+    return _if_like(text, _DOUBLE, "float")
 
 
 def parse_double(text) -> Column:
-    return as_column(text).try_cast("double")
+    return _if_like(text, _DOUBLE, "double")
 
 
 def parse_big_integer(text) -> Column:
@@ -44,7 +52,12 @@ def parse_big_integer(text) -> Column:
 
 def parse_big_decimal(text, scale: int = 10) -> Column:
     """At most 38 digits, ``scale`` of them after the point."""
-    return as_column(text).try_cast(f"decimal(38,{scale})")
+    return _if_like(text, _DECIMAL, f"decimal(38,{scale})")
+
+
+def _if_like(text, pattern: str, kind: str) -> Column:
+    text = as_column(text)
+    return F.when(text.cast("string").rlike(pattern), text.try_cast(kind))
 
 
 def parse_ints(text) -> Column:
@@ -61,19 +74,30 @@ def parse_doubles(text) -> Column:
 
 def to_byte(value) -> Column:
     """The fraction is dropped; blank out of range."""
-    return blank_to_null(value).try_cast("byte")
+    return _if_in_range(value, 8, "byte")
 
 
 def to_short(value) -> Column:
-    return blank_to_null(value).try_cast("short")
+    return _if_in_range(value, 16, "short")
 
 
 def to_integer(value) -> Column:
-    return blank_to_null(value).try_cast("int")
+    return _if_in_range(value, 32, "int")
 
 
 def to_long(value) -> Column:
-    return blank_to_null(value).try_cast("long")
+    return _if_in_range(value, 64, "long")
+
+
+def _if_in_range(value, bits: int, kind: str) -> Column:
+    """The cast where the value, as a double, is near the range of this many bits; beyond it each cast would cost an exception."""
+    value, half = blank_to_null(value), 2.0 ** (bits - 1)
+    return F.when(value.between(-half - 1, half), value.try_cast(kind))
+
+
+def _narrowed(whole: Column, bits: int, kind: str) -> Column:
+    half = 1 << (bits - 1)
+    return F.when(whole.between(-half, half - 1), whole.try_cast(kind))
 
 
 def to_float(value) -> Column:

@@ -2,6 +2,7 @@
 
 import pandas as pd
 
+from tablemill.functions import conversions
 from tablemill.operators import prepare
 
 
@@ -18,3 +19,19 @@ def test_a_tokenizer_gets_texts_of_bounded_length(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
     got = {r.i: (r.input_ids, r.attention_mask) for r in prepare.tokenise(df, ids).collect()}
     assert got == {i: ([ord(c) for c in t], [1] * len(t)) for i, t in enumerate(texts)}
+
+
+def test_conversions_that_fail_by_the_million_throw_nothing(spark):
+    """A failed cast costs an exception; whatever cannot be a number of the kind is seen before."""
+    texts = ["n1", "1n", "", "--1", "1 2", "128", "-129", "40000", "3000000000"]
+    kinds = {"byte": {128, -129, 40000, 3000000000}, "short": {40000, 3000000000}, "int": {3000000000}}
+    for kind, beyond in kinds.items():
+        checks = [(conversions.parse_byte, conversions.parse_short, conversions.parse_int)[list(kinds).index(kind)]("t").alias("v")]
+        df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *checks)
+        assert {r.t for r in df.where("v is null").collect()} == {t for t in texts if not t.lstrip("-").isdigit() or t.startswith("--") or int(t) in beyond}
+        condition = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "RLIKE" in condition and ">=" in condition
+    edges = [(-32768.9, -32768), (-32769.0, None), (32767.9, 32767), (32768.0, None), (float("nan"), None), (float("inf"), None)]
+    got = spark.createDataFrame([(v,) for v, _ in edges], "v double").select(conversions.to_short("v").alias("s"))
+    assert [r.s for r in got.collect()] == [s for _, s in edges]
+    assert "CASE WHEN" in got._jdf.queryExecution().optimizedPlan().toString()
