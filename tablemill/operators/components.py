@@ -51,35 +51,39 @@ def _stars(held: list) -> pa.RecordBatch:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge; a component is named by its smallest node.
 
-    Large-star and small-star steps in turn (Kiveris et al. 2014), each an aggregate for the
-    smallest neighbour and a join, so no task holds the neighbours of a node together. The number
-    of rounds grows with the logarithm of the longest chain. Each round is checkpointed.
+    Nodes that hang on one smaller node only leave first, and take that one's component in the end; so pairs and stars are
+    done before any round. What is left goes through large-star and small-star steps in turn (Kiveris et al. 2014), each an
+    aggregate for the smallest neighbour and a join, so no task holds the neighbours of a node together. After each round the
+    nodes that hang on one leave again. The number of rounds grows with the logarithm of the longest chain. Each round is checkpointed.
     """
     links = checkpointed(edges.select(F.col(edges.columns[0]).alias("u"), F.col(edges.columns[1]).alias("v")).where("u <> v"))
     if links.isEmpty():
         return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    while True:
+    leaves, links = _leaves(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    layers = [leaves]
+    while not links.isEmpty():
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         wide = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         smallest = wide.groupBy("u").agg(F.min("v").alias("m"))
         narrow = wide.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = checkpointed(
+        round_ = checkpointed(
             narrow.unionByName(smallest.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
-        # Finished when every node hangs on one other node that itself hangs on none.
-        roles = links.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
-            links.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent"))
-        )
-        unfinished = (
-            roles.groupBy("node")
-            .agg(F.sum("child").alias("children"), F.max("parent").alias("parent"))
-            .where("children > 1 or (children = 1 and parent = 1)")
-        )
-        if unfinished.isEmpty():
-            break
-    heads = links.select(F.col("v").alias("node")).distinct()
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        heads.select("node", F.col("node").alias("component"))
-    )
+        leaves, links = _leaves(round_)
+        layers.append(leaves)
+    named = layers[-1].select(F.col("u").alias("node"), F.col("v").alias("component"))
+    for leaves in reversed(layers[:-1]):
+        above = leaves.join(named, F.col("v") == F.col("node"), "left")
+        # Written, as each layer looks at the one before twice.
+        named = checkpointed(named.unionByName(above.select(F.col("u").alias("node"), F.coalesce("component", "v").alias("component"))))
+    heads = named.select("component").distinct()
+    return named.unionByName(heads.select(F.col("component").alias("node"), "component"))
+
+
+def _leaves(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links (u > v, each once) whose u has no other link, and the rest."""
+    ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
+    degrees = ends.groupBy("node").agg((F.count("*") == 1).alias("leaf"))
+    marked = checkpointed(links.join(degrees, F.col("u") == F.col("node")).select("u", "v", "leaf"))
+    return marked.where("leaf").drop("leaf"), marked.where("not leaf").drop("leaf")

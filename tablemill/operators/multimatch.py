@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import checkpointed
 from .columns import quoted
 from .combine import fix_columns
-from .components import connected_components
+from .components import connected_components, contracted
 from .match import ID1, ID2, Matcher
 
 
@@ -78,6 +78,8 @@ def match_pairs(
 
 #: A cell whose positions all hang together is seen through one position in each of its parts, so many along each axis.
 PARTS = 4
+#: Cells along each axis of a region, whose links are put together before components are searched.
+REGION = 64
 
 
 def _positions(inputs: list[Input], matcher: Matcher) -> DataFrame:
@@ -120,7 +122,7 @@ class _Links:
         rows = positions.select("*", "_place.*").select("_node", "_place", cell.alias("_cell"), part.alias("_part"))
         first = rows.groupBy("_cell").agg(F.min("_node").alias("_first"), F.max("_node").alias("_last"))
         shared = first.where("_first <> _last" if among else "_first.t <> _last.t").select("_cell", "_first")
-        self.rows = rows.join(shared, "_cell", "left").withColumn("_head", F.coalesce("_first", "_node"))
+        self.rows = checkpointed(rows.join(shared, "_cell", "left").withColumn("_head", F.coalesce("_first", "_node")))
         table = F.col("_node.t")
         part = F.when(F.col("_first").isNotNull(), F.col("_part"))
         seen = self.rows.groupBy("_head", part.alias("_part"), table.alias("_t")).agg(
@@ -129,9 +131,18 @@ class _Links:
         self.seen = checkpointed(seen.select("_head", "_t", "_one._place", "_cell", "_n"))
 
     def first(self) -> DataFrame:
-        """(u, v): stars in shared cells, and links found between parts."""
-        stars = self.rows.where("_first <> _node").select(F.col("_node").alias("u"), F.col("_first").alias("v"))
-        return stars.unionByName(_between(self.matcher, *_sides(self.seen, "_head", "_t"), self.among))
+        """(u, v): numbers that stars in shared cells and links found between parts connect, chains inside a region made stars.
+
+        Links of one region meet in one task where the region is not too full, which is not needed for right results.
+        """
+        stars = self.rows.where("_first <> _node").select("_cell", F.col("_node.id").alias("u"), F.col("_first.id").alias("v"))
+        close = self.matcher.candidates(*_sides(self.seen, "_head", "_t", "_cell")).where("_heada <> _headb")
+        if not self.among:
+            close = close.where("_ta <> _tb")
+        links = stars.unionByName(close.select(F.col("_cella").alias("_cell"), F.col("_heada.id").alias("u"), F.col("_headb.id").alias("v")))
+        region = F.xxhash64(*[F.floor(F.col(f"_cell.k{i}") / REGION) for i in range(self.count)])
+        near = links.select(region.alias("_region"), "u", "v").hint("rebalance", F.col("_region")).sortWithinPartitions("_region")
+        return contracted(near.select("u", "v"))
 
     def crowds(self) -> DataFrame:
         """Cells with positions that :meth:`first` did not look at."""
@@ -142,7 +153,7 @@ class _Links:
 
         Only cells that hold different components and one of which is crowded are compared position by position.
         """
-        rows = self.rows.join(components, F.col("_node") == F.col("node"), "left").withColumn("_group", F.coalesce("component", "_node"))
+        rows = self.rows.join(components, F.col("_node.id") == F.col("node"), "left").withColumn("_group", F.coalesce("component", "_node.id"))
         rows = rows.withColumn("_t", F.col("_node.t"))
         reach = math.ceil(math.sqrt(self.count) * (1 + 2e-6))
         offsets = F.array(*[F.array(*map(F.lit, o)) for o in itertools.product(range(-reach, reach + 1), repeat=self.count)])
@@ -174,15 +185,18 @@ def _linked(positions: DataFrame, matcher: Matcher, among: bool) -> DataFrame:
     if matcher.axes("a") is None:
         rows = positions.select("_place", F.col("_node").alias("_head"), F.col("_node.t").alias("_t"))
         return checkpointed(connected_components(_between(matcher, *_sides(rows, "_head", "_t"), among)))
-    cells = _Links(matcher, positions, among)
+    # Numbers instead of ids of any type; the names come back in the end.
+    numbered = checkpointed(positions.withColumn("_num", F.monotonically_increasing_id()))
+    cells = _Links(matcher, numbered.select(F.struct("_node.t", F.col("_num").alias("id")).alias("_node"), "_place"), among)
     components = checkpointed(connected_components(cells.first()))
     crowds = cells.crowds()
-    if crowds.isEmpty():
-        return components
-    more = checkpointed(cells.second(components, crowds))
-    if more.isEmpty():
-        return components
-    return checkpointed(connected_components(components.toDF("u", "v").where("u <> v").unionByName(more)))
+    if not crowds.isEmpty():
+        more = checkpointed(cells.second(components, crowds).select("u.id", F.col("v.id").alias("other")).toDF("u", "v"))
+        if not more.isEmpty():
+            components = checkpointed(connected_components(components.toDF("u", "v").where("u <> v").unionByName(more)))
+    members = components.join(numbered.select("_node", "_num"), F.col("node") == F.col("_num")).select("_node", "component")
+    names = members.groupBy("component").agg(F.min("_node").alias("_name"))
+    return checkpointed(members.join(names, "component").select(F.col("_node").alias("node"), F.col("_name").alias("component")))
 
 
 def match_groups(inputs: list[Input], matcher: Matcher, fixcols: str = "dups", suffixes: list[str] | None = None) -> DataFrame:
