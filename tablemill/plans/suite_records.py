@@ -65,9 +65,12 @@ def read_json_corpus(spark, folder):
 
 @query(f"select * from {CORPUS}")
 def read_json_corpus_tolerant(spark, folder):
-    """Files of good arrays, some elements of which are no objects, next to files that are broken in six ways."""
+    """Files of good arrays, some elements of which are no objects, next to files that are broken in six ways.
+
+    All are whole files that no task splits, so they are compressed: the corpus is written eight times.
+    """
     place = new_folder(spark, "corpus")
-    records.write_record_arrays(_corpus(spark, folder), f"{place}/plain", per_file=200)
+    records.write_record_arrays(_corpus(spark, folder), f"{place}/plain", per_file=200, compression="gzip")
     whole = spark.read.text(f"{place}/plain", wholetext=True).select(F.trim(F.translate("value", "\n", " ")).alias("value"))
     inner = F.expr("substring(value, 2, length(value) - 2)")
     stray = F.concat(F.lit('[1, "text", null, [2], "{\\"prompt\\": \\"no\\"}", '), inner, F.lit("]"))
@@ -77,8 +80,8 @@ def read_json_corpus_tolerant(spark, folder):
     ]
     for name, texts in (("good", [stray]), ("broken", broken)):
         files = whole.select(F.explode(F.array(*texts)).alias("value"))
-        files.write.option("maxRecordsPerFile", 1).text(f"{place}/{name}")
-    return records.read_corpus(spark, f"{place}/good", f"{place}/broken", f"{place}/missing", pattern="*.txt").drop("file", "path")
+        files.write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(f"{place}/{name}")
+    return records.read_corpus(spark, f"{place}/good", f"{place}/broken", f"{place}/missing", pattern="*.txt.gz").drop("file", "path")
 
 
 @query(f"select prompt, cmd, status from {RECORDS}")

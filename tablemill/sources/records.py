@@ -120,11 +120,14 @@ def write_records(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     df.write.mode(mode).json(path)
 
 
-def write_record_arrays(df: DataFrame, path: str, per_file: int = 10_000, mode: str = "errorifexists") -> None:
+def write_record_arrays(
+    df: DataFrame, path: str, per_file: int = 10_000, mode: str = "errorifexists", compression: str = "none"
+) -> None:
     """Records as files that each hold one JSON array of at most ``per_file`` records.
 
     ``status`` is written under its name in the files. Chunks are cut within the tasks that produce
-    the rows, so no group is larger than ``per_file``.
+    the rows, so no group is larger than ``per_file``. ``compression`` is one of Spark's for text, such as ``gzip``; the readers
+    know it by the files' ending.
     """
     fields = [F.col(c).alias(STATUS_FIELD if c == "status" else c) for c in df.columns]
     at = F.monotonically_increasing_id()
@@ -139,6 +142,7 @@ def write_record_arrays(df: DataFrame, path: str, per_file: int = 10_000, mode:
         .write.mode(mode)
         .option("maxRecordsPerFile", 1)
         .option("lineSep", "\n")
+        .option("compression", compression)
         .text(path)
     )
 
