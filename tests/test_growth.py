@@ -1,8 +1,10 @@
 """What queries write, shuffle and hold beside their results."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from tablemill.plans import suite_records
+from tablemill.plans import suite_match, suite_records
 from tablemill.sources import records
 
 SMALL = "/root/testdata/sf0.001"
@@ -26,3 +28,10 @@ def test_compressed_arrays_are_read_back(spark, tmp_path):
     for read in (records.read_corpus, records.read_corpus_trusted):
         back = read(spark, str(tmp_path / "out"), pattern="*.gz").select("prompt", "response").collect()
         assert sorted(map(tuple, back)) == sorted(map(tuple, df.collect()))
+
+
+def test_whole_tables_are_not_sent_to_every_task(spark):
+    """A table whose file is small was hashed in every task, however many rows it holds."""
+    plan = suite_match.one_dimensional_match(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"(\w+Join) \[[^\]]*_id[12]#", plan)
+    assert len(joins) >= 2 and set(joins) == {"SortMergeJoin"}
