@@ -105,6 +105,18 @@ def sorted_join(side: DataFrame) -> DataFrame:
     return side.hint("merge")
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, identity: str, how: str, *others: str) -> DataFrame:
+    """``rows`` joined with the row of ``table`` whose ``identity`` is in column ``key``; a blank key finds none.
+
+    Rows without a key go where the hash of columns ``others`` says. By the key alone all of them met in one task, which no
+    outer join needs.
+    """
+    place = F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key))).otherwise(F.xxhash64(*[quoted(c) for c in others]))
+    table = table.withColumn("_dealt2", F.xxhash64(quoted(identity)))
+    same = (F.col(key) == quoted(identity)) & (F.col("_dealt1") == F.col("_dealt2"))
+    return rows.withColumn("_dealt1", place).join(sorted_join(table), same, how).drop("_dealt1", "_dealt2")
+
+
 # --- from coarse to fine ---------------------------------------------------------------------------
 
 #: Positions of a cell that are compared one by one; beyond it the cell is quartered along each axis.
@@ -698,7 +710,7 @@ def match_tables(
     right = f2.withColumn("_has2", F.lit(True))
     how1 = "left" if join in ("all1", "1or2", "1xor2") else "inner"
     how2 = "full" if join in ("1or2", "1xor2") else "right" if join == "all2" else "left" if join == "all1" else "inner"
-    joined = left.join(sorted_join(pairs), quoted(k1) == F.col(ID1), how1).join(sorted_join(right), F.col(ID2) == quoted(k2), how2)
+    joined = looked_up(left.join(sorted_join(pairs), quoted(k1) == F.col(ID1), how1), right, ID2, k2, how2, k1)
     if join == "1xor2":
         joined = joined.where("_has1 is null or _has2 is null")
     if scorecol:

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tablemill.operators import match
 from tablemill.plans import suite_match, suite_records
 from tablemill.sources import records
 
@@ -35,3 +36,24 @@ def test_whole_tables_are_not_sent_to_every_task(spark):
     plan = suite_match.one_dimensional_match(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     joins = [kind for kind, keys in re.findall(r"(\w+Join) (\[[^\]]*\], \[[^\]]*\])", plan) if "_id1#" in keys or "_id2#" in keys]
     assert len(joins) >= 2 and set(joins) == {"SortMergeJoin"}
+
+
+def _rows_by_task(spark, find):
+    """Numbers of result rows in each of 8 tasks."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        return [r["count"] for r in find().groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_rows_without_partner_are_spread(spark):
+    """All rows of the first table that had no partner were hashed by their blank partner to one task."""
+    a = spark.range(400).selectExpr("id as ia", "cast(id as double) as x")
+    b = spark.range(4).selectExpr("id as ib", "cast(id as double) as x")
+    for join, rows in (("1xor2", 396), ("1or2", 400), ("all1", 400)):
+        found = _rows_by_task(spark, lambda: match.match_tables(a, b, "ia", "ib", match.Exact(("x",), ("x",)), find="best1", join=join))
+        assert sum(found) == rows and max(found) < 100
