@@ -11,7 +11,7 @@ from ..session import checkpointed
 from .columns import quoted
 from .combine import fix_columns
 from .components import connected_components, contracted
-from .match import ID1, ID2, Matcher
+from .match import ID1, ID2, Matcher, looked_up, sorted_join
 
 
 @dataclass
@@ -51,10 +51,10 @@ def _with_tables(ids: DataFrame, inputs: list[Input], fixcols: str, suffixes) ->
     present = [F.col(f"_m{n}").isNotNull() for n in range(len(inputs))]
     result = ids.where(admitted(inputs, present))
     fixed = fix_columns([i.table for i in inputs], fixcols, suffixes)
-    for n, (i, f) in enumerate(zip(inputs, fixed)):
-        key = f.columns[i.table.columns.index(i.key)]
-        result = result.join(f, F.col(f"_m{n}") == quoted(key), "left")
-    return result.drop(*[f"_m{n}" for n in range(len(inputs))])
+    names = [f"_m{n}" for n in range(len(inputs))]
+    for name, i, f in zip(names, inputs, fixed):
+        result = looked_up(result, f, name, f.columns[i.table.columns.index(i.key)], "left", *names)
+    return result.drop(*names)
 
 
 def match_pairs(
@@ -70,7 +70,7 @@ def match_pairs(
         if n != reference - 1:
             best = _matcher_for(matcher, centre, other).nearest(centre.table, other.table, centre.key, other.key)
             best = best.select(F.col(ID1).alias(f"_m{reference - 1}"), F.col(ID2).alias(f"_m{n}"))
-            ids = ids.join(best, f"_m{reference - 1}", "left")
+            ids = ids.join(sorted_join(best), f"_m{reference - 1}", "left")
     return _with_tables(ids, inputs, fixcols, suffixes)
 
 

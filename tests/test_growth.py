@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tablemill.operators import match
+from tablemill.operators import match, multimatch
 from tablemill.plans import suite_match, suite_records
 from tablemill.sources import records
 
@@ -57,3 +57,18 @@ def test_rows_without_partner_are_spread(spark):
     for join, rows in (("1xor2", 396), ("1or2", 400), ("all1", 400)):
         found = _rows_by_task(spark, lambda: match.match_tables(a, b, "ia", "ib", match.Exact(("x",), ("x",)), find="best1", join=join))
         assert sum(found) == rows and max(found) < 100
+
+
+def test_tables_of_a_multi_match_are_not_sent_to_every_task(spark):
+    for query in (suite_match.multi_match_pairs, suite_match.multi_match_pairs_always, suite_match.multi_match_admission):
+        plan = query(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        joins = [kind for kind, keys in re.findall(r"(\w+Join) (\[[^\]]*\], \[[^\]]*\])", plan) if "_m0#" in keys or "_m1#" in keys or "_m2#" in keys]
+        assert len(joins) >= 5 and set(joins) == {"SortMergeJoin"}
+
+
+def test_rows_without_entries_are_spread(spark):
+    a = spark.range(400).selectExpr("id as ia", "cast(id as double) as x")
+    b = spark.range(4).selectExpr("id as ib", "cast(id as double) as x")
+    inputs = [multimatch.Input(a, "ia", ("x",), "always"), multimatch.Input(b, "ib", ("x",))]
+    found = _rows_by_task(spark, lambda: multimatch.match_pairs(inputs, match.Exact(("x",), ("x",))))
+    assert sum(found) == 400 and max(found) < 100
