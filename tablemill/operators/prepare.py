@@ -110,7 +110,8 @@ def tokenise(
     """Replace ``text`` by ``input_ids`` and ``attention_mask``.
 
     ``tokenizer`` gets a batch of texts and returns one list of token ids per text. Batches end at CHARACTERS, so that the
-    lists of a task take a bounded amount of memory, however many rows come at once.
+    lists of a task take a bounded amount of memory, however many rows come at once. Rows without a text get no lists (NULL)
+    and stay out of the batches.
     """
     kept = [f for f in df.schema if f.name != text]
     schema = T.StructType(
@@ -126,8 +127,8 @@ def tokenise(
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for batch in _cut_by_length(rows, text, most):
-                ids = tokenizer(batch[text])
-                mask = ids.map(lambda tokens: [1] * len(tokens))
+                ids = _of_texts(tokenizer, batch[text])
+                mask = ids.map(lambda tokens: [1] * len(tokens), na_action="ignore")
                 yield batch.drop(columns=[text]).assign(input_ids=ids, attention_mask=mask)[schema.names]
 
     return df.mapInPandas(encode, schema)
@@ -144,6 +145,17 @@ def _cut_by_length(rows: pd.DataFrame, text: str, most: int) -> Iterator[pd.Data
     yield rows.iloc[start:].reset_index(drop=True)
 
 
+def _of_texts(tokenizer: Callable[[pd.Series], pd.Series], texts: pd.Series) -> pd.Series:
+    """The lists of all texts, and None where there is no text."""
+    given = texts.notna()
+    if given.all():
+        return tokenizer(texts)
+    ids = pd.Series([None] * len(texts), dtype=object)
+    if given.any():
+        ids[given] = tokenizer(texts[given].reset_index(drop=True)).to_numpy()
+    return ids
+
+
 def batch_rows(df: DataFrame, key, batch_size: int = 1000) -> DataFrame:
     """Add the position in its batch (``batch_row``) and the batch number (``batch_id``, from 0).
 

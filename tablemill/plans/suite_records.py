@@ -385,7 +385,9 @@ def code_point_tokenizer(texts: pd.Series) -> pd.Series:
 def batched_tokenizer(spark, folder):
     documents = given.spread_table(spark, folder, "documents", "doc_id", "text")
     tokens = prepare.tokenise(documents, code_point_tokenizer)
-    return tokens.select("doc_id", F.size("attention_mask").cast("long").alias("tokens"), F.col("input_ids")[0].alias("first_id"))
+    # As in the SQL, the code point of an empty text is -1.
+    first = F.when(F.array_size("input_ids") == 0, -1).otherwise(F.get("input_ids", F.lit(0)))
+    return tokens.select("doc_id", F.array_size("attention_mask").cast("long").alias("tokens"), first.alias("first_id"))
 
 
 BLOCK = 1024

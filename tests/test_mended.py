@@ -1,12 +1,14 @@
 """Cases that earlier versions got wrong."""
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tablemill.functions import healpix
-from tablemill.operators import columns, coverage, match, rank, rows
+from tablemill.operators import columns, coverage, match, prepare, rank, rows
+from tablemill.plans import registry
 from tablemill.session import cleared, new_folder, shared_folder, written
 from tablemill.sources import records
 from tests.test_match import deepest, positions, sky, tiles
@@ -111,3 +113,31 @@ def test_intermediate_tables_are_cleared(spark):
             written(spark.range(5), "inner")
             1 / 0
     assert tables() == before
+
+
+def test_one_empty_or_missing_text_does_not_end_a_query(spark, tmp_path):
+    """The empty text has no first token and the missing one no tokens at all; either raised an error."""
+    function, sql = registry.ALL["batched_tokenizer"]
+    ordinary = [(1, "ab"), (2, "\U0001f600x"), (2, "\U0001f600x"), (None, "\x00y")]
+    for name, odd in (("empty", [(3, "")]), ("missing", [(4, None)]), ("both", [(3, ""), (4, None), (5, None)])):
+        path = str(tmp_path / name)
+        spark.createDataFrame(ordinary + odd, "doc_id long, text string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+        found = function(spark, path)
+        assert found.dtypes == [("doc_id", "bigint"), ("tokens", "bigint"), ("first_id", "int")]
+        connection = duckdb.connect()
+        connection.execute(f"create view documents as select * from read_parquet('{path}/documents.parquet/*.parquet')")
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(connection.execute(sql).fetchall(), key=repr)
+
+
+def test_a_tokenizer_gets_no_missing_texts(spark, monkeypatch):
+    def ids(batch: pd.Series) -> pd.Series:
+        assert len(batch) and list(batch.index) == list(range(len(batch)))
+        return batch.map(lambda t: [ord(c) for c in t])
+
+    texts = [None, "ab", "", None, "cde", None, "fg", None, None, "h"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    wanted = {i: (None, None) if t is None else ([ord(c) for c in t], [1] * len(t)) for i, t in enumerate(texts)}
+    for characters in (1, 3, 1000):  # batches of one row, some of them without any text, and one of all rows
+        monkeypatch.setattr(prepare, "CHARACTERS", characters)
+        assert {r.i: (r.input_ids, r.attention_mask) for r in prepare.tokenise(df, ids).collect()} == wanted
+    assert [r.input_ids for r in prepare.tokenise(df.where("text is null"), ids).collect()] == [None] * 5
